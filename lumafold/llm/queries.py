@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumafold.llm import packing, sstable
+from lumafold.llm import byte_bpe, line_dedup, packing, sstable
 from lumafold.session import ship, table
 
 
@@ -22,9 +22,23 @@ def op6_sst_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op7_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(ship(spark), sf_dir, "documents")
+    return line_dedup.dedup_digest(docs)
+
+
+def op9_rank_queue_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(ship(spark), sf_dir, "documents")
+    return byte_bpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_sst_shards": op6_sst_shards,
+    "op7_line_windows": op7_line_windows,
+    "op9_rank_queue_bpe": op9_rank_queue_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_line_windows": line_dedup.SQL,
+}
