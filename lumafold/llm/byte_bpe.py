@@ -17,7 +17,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -28,10 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumafold.llm.chunk_encoder import _beside_space
-
-_SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
-
+from lumafold.llm.chunk_encoder import chunk_of, cuts, safe_chunks, safe_word
 
 def load_ranks(path: str) -> dict[bytes, int]:
     """A rank file: a base64 token and its rank on each line."""
@@ -134,7 +130,7 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list
 class ByteBPE:
     """Encodes texts by ranks and a pre-token pattern, and decodes ids."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cap: int = 500_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cap: int = 400_000) -> None:
         self.ranks, self.cap = ranks, cap
         self.split = regex.compile(pattern).findall
         self.queue = RankQueue(max(ranks.values()) + 1)
@@ -142,8 +138,8 @@ class ByteBPE:
         for token, rank in ranks.items():
             self.tokens[rank] = token
         self.pretokens: dict[str, list[int]] = {}
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}  # of a space and the word
+        self.older: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> Iterator[int]:
         known, ranks, queue = self.pretokens, self.ranks, self.queue
@@ -162,18 +158,23 @@ class ByteBPE:
         """Ids of each text as little-endian unsigned 32-bit bytes."""
         out: list[bytes] = []
         for text in texts:
-            if text[:1].isspace() or text[-1:].isspace() or "  " in text or _beside_space(text):
-                out.append(b"".join(map(self._chunk, _SAFE_CUT.split(text))))
+            head, *rest = cuts(text)
+            part = list(map(self.words.get, rest))
+            older = self.older
+            safe = not rest or safe_word(head)
+            for i in [i for i, ids in enumerate(part) if ids is None]:
+                word = rest[i]
+                if not safe_word(word):
+                    safe = False  # not every space of this text is a place to cut
+                    break
+                ids = older.get(word) or self._chunk(chunk_of(word))
+                part[i] = self.words[word] = ids
+            if not safe:
+                out.append(b"".join(map(self._chunk, safe_chunks(text))))
                 continue
-            head, *rest = text.split(" ")
-            chunks = [head, *[" " + x for x in rest]]
-            young, old = self.young, self.old
-            for chunk in set(chunks).difference(young):
-                ids = old.get(chunk)
-                young[chunk] = self._chunk(chunk) if ids is None else ids
-            out.append(b"".join(map(young.__getitem__, chunks)))
-            if len(young) > self.cap:
-                self.old, self.young = young, {}
+            out.append(self._chunk(head) + b"".join(part))
+            if len(self.words) > self.cap:
+                self.older, self.words = self.words, {}
         if len(self.pretokens) >= self.cap:
             self.pretokens = {}
         return out
@@ -184,7 +185,7 @@ class ByteBPE:
 
 
 @lru_cache(maxsize=2)
-def codec(path: str, pattern: str, cap: int = 500_000) -> ByteBPE:
+def codec(path: str, pattern: str, cap: int = 400_000) -> ByteBPE:
     """One codec for each worker process, kept over its tasks."""
     return ByteBPE(load_ranks(path), pattern, cap)
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -26,7 +27,7 @@ class ChunkEncoder:
     one only between two characters that aren't white space; texts with other spaces take a slower path.
     """
 
-    def __init__(self, path: str, drops_space: bool, cap: int = 600_000) -> None:
+    def __init__(self, path: str, drops_space: bool, cap: int = 400_000) -> None:
         from tokenizers import Tokenizer
 
         self.plain = Tokenizer.from_file(path)
@@ -36,9 +37,13 @@ class ChunkEncoder:
         self.mark_id, self.mark = max(special.items()) if special else (-1, "")
         self.special = tuple(special.values())
         self.drops_space, self.cap = drops_space, cap
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.rare: dict[str, bytes] = {}
+        self._byte_letters = {b: c for b, c in _byte_letters().items() if chr(b) != c}
+        self.direct = False
+        probes = ["the", "\nThe", "\nÉa.", "Théa", "ßtr", "x,", "Àb.", "q?", "zzgh", "É", "über!", "a;", "Ñu:"]
+        self.direct = self._encoded([chunk_of(w) for w in probes]) == [self._by_model(w) for w in probes]
+        self.words: dict[str, bytes] = {}  # of a space and the word
+        self.older: dict[str, bytes] = {}
+        self.rare: dict[str, bytes] = {}  # of first chunks, and of chunks with other white space
 
     def _fresh(self, chunks: list[str]) -> list[bytes]:
         """Encode chunks: in one text, apart from each other by a special token, or alone if they contain one."""
@@ -56,55 +61,123 @@ class ChunkEncoder:
             out += [raw[a:b] for a, b in zip(starts, ends, strict=True)]
         return out
 
-    def _known(self, chunks: set[str], memo: dict[str, bytes]) -> None:
-        missing = chunks.difference(memo)
-        if missing and self.old and memo is self.young:
-            again = missing.intersection(self.old)
-            memo.update((c, self.old[c]) for c in again)
-            missing -= again
+    def _encoded(self, chunks: list[str]) -> list[bytes]:
+        """As _fresh; the few chunks that might hold a special token's text go apart."""
+        if not any("<|" in c for c in chunks):
+            return self._fresh(chunks)
+        odd = {c: ids for c in chunks if "<|" in c for ids in self._fresh([c])}
+        even = iter(self._fresh([c for c in chunks if c not in odd]))
+        return [odd[c] if c in odd else next(even) for c in chunks]
+
+    def _by_model(self, word: str) -> bytes | None:
+        """Ids of a space and ``word``, from the library's model alone: for Latin-1 letters, then at most one
+        mark of ".,!?;:". Such a word is one pre-token, or two, whose letters are known without the
+        library's normalizer and pre-tokenizer; None for others."""
+        lead = word[0] == "\n"
+        core, mark = (word[lead:-1], word[-1]) if word[-1] in ".,!?;:" else (word[lead:], "")
+        if not core.isalpha():
+            return None
+        if self.drops_space:
+            core = core.lower()
+        if not core.isascii():
+            if max(core) > "\xff":
+                return None
+            core = core.encode().decode("latin-1").translate(self._byte_letters)
+        tokenize = self.plain.model.tokenize
+        if self.drops_space:
+            ids = [t.id for t in tokenize(core)]
+        elif lead:
+            ids = [t.id for x in (self._byte_letters[10], core) for t in tokenize(x)]
+        else:
+            ids = [t.id for t in tokenize(self._byte_letters[32] + core)]
+        if mark:
+            ids += [t.id for t in tokenize(mark)]
+        return array("I", ids).tobytes()
+
+    def _word_ids(self, words: list[str]) -> dict[str, bytes]:
+        found: dict[str, bytes] = {}
+        if self.direct:
+            by_model = self._by_model
+            found = {w: ids for w in words if (ids := by_model(w)) is not None}
+        rest = [w for w in words if w not in found] if len(found) < len(words) else []
+        if rest:
+            found.update(zip(rest, self._encoded([chunk_of(w) for w in rest]), strict=True))
+        return found
+
+    def _rarely(self, chunks: list[str]) -> list[bytes]:
+        missing = list(set(chunks).difference(self.rare))
         if missing:
-            odd = [c for c in missing if "<|" in c]
-            even = list(missing.difference(odd)) if odd else list(missing)
-            memo.update(zip(even, self._fresh(even), strict=True))
-            if odd:
-                memo.update(zip(odd, self._fresh(odd), strict=True))
+            self.rare.update(zip(missing, self._encoded(missing), strict=True))
+        return [self.rare[c] for c in chunks]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut, slow = [], []
+        get = self.words.get
+        heads: list[str] = []
+        tails: list[list[str]] = []
+        slow: dict[int, list[str]] = {}
         for k, text in enumerate(texts):
-            if not self.drops_space and (text[:1].isspace() or text[-1:].isspace() or "  " in text or _beside_space(text)):
-                slow.append(k)
-                cut.append(_SAFE_CUT.split(text))
-            else:
-                head, *rest = text.split(" ")
-                cut.append([head, *[" " + x for x in rest]])
-        sluggish = set(slow)
-        self._known(set().union(*(c for k, c in enumerate(cut) if k not in sluggish)), self.young)
-        look = self.young.__getitem__
-        out = [b"" if k in sluggish else b"".join(map(look, c)) for k, c in enumerate(cut)]
-        if slow:
-            self._known(set().union(*(cut[k] for k in slow)), self.rare)
-            for k in slow:
-                out[k] = b"".join(map(self.rare.__getitem__, cut[k]))
-        if len(self.young) > self.cap:
-            self.old, self.young = self.young, {}
+            if not self.drops_space and (text[:1] == " " or text.partition(" ")[0][-1:].isspace()):
+                slow[k] = [text] if self.drops_space else safe_chunks(text)
+                text = ""
+            head, *rest = cuts(text)
+            heads.append(head)
+            tails.append(rest)
+        parts = [list(map(get, rest)) for rest in tails]
+        gaps = [[i for i, ids in enumerate(part) if ids is None] for part in parts]
+        missing = {rest[i] for rest, gap in zip(tails, gaps, strict=True) for i in gap}
+        if missing:
+            unsafe = {w for w in missing if not safe_word(w)}
+            missing.difference_update(unsafe)
+            older = self.older
+            found = {w: older[w] for w in missing if w in older} if older else {}
+            found.update(self._word_ids([w for w in missing if w not in found]))
+            for k, (rest, part, gap) in enumerate(zip(tails, parts, gaps, strict=True)):
+                if unsafe and any(rest[i] in unsafe for i in gap):
+                    slow[k], parts[k] = [texts[k]] if self.drops_space else safe_chunks(texts[k]), []
+                    continue
+                for i in gap:
+                    part[i] = found[rest[i]]
+            self.words.update(found)
+        out = [first + b"".join(part) for first, part in zip(self._rarely(heads), parts, strict=True)]
+        for k, chunks in slow.items():
+            out[k] = b"".join(self._rarely(chunks))
+        if len(self.words) > self.cap:
+            self.older, self.words = self.words, {}
         if len(self.rare) > self.cap // 8:
             self.rare = {}
         return out
 
 
-#: White space other than the space, as the tokenizers' patterns and Python see it.
-_OTHER_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0                　"
-_PAIRS = tuple(x for c in _OTHER_SPACE for x in (" " + c, c + " "))
-_LATIN_PAIRS = tuple(p for p in _PAIRS if max(p) < "\x7f")
+def cuts(text: str) -> list[str]:
+    """The text's words as they stand between spaces; a word after a line break keeps the break."""
+    return text.replace("\n", " \n").split(" ")
+
+
+def chunk_of(word: str) -> str:
+    """What ``word`` (not the first of cuts) stands for."""
+    return word if word[0] == "\n" else " " + word
+
+
+def safe_word(word: str) -> bool:
+    """Whether white space is nowhere but in the single line break that may stand before the word.
+    A text with another word than such (as where spaces follow each other) can't be cut at every space."""
+    body = word[1:] if word[:1] == "\n" else word
+    return bool(body) and not body[0].isspace() and not body[-1].isspace()
+
+
+def safe_chunks(text: str) -> list[str]:
+    """The text, cut before each single space between two characters that aren't white space."""
+    return _SAFE_CUT.split(text)
 
 
-def _beside_space(text: str) -> bool:
-    """Whether a space stands beside other white space."""
-    return any(p in text for p in (_LATIN_PAIRS if text.isascii() else _PAIRS))
+def _byte_letters() -> dict[int, str]:
+    """Byte-level BPE writes each byte as a letter: printable Latin-1 as itself, the rest from U+0100 on."""
+    printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    others = [b for b in range(256) if b not in set(printable)]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, drops_space: bool, cap: int = 600_000) -> ChunkEncoder:
+def encoder(path: str, drops_space: bool, cap: int = 400_000) -> ChunkEncoder:
     """One encoder for each worker process, kept over its tasks."""
     return ChunkEncoder(path, drops_space, cap)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumafold.llm import byte_bpe, line_dedup, packing, sstable
+from lumafold.llm import byte_bpe, line_dedup, packing, sstable, substring_dedup
 from lumafold.session import ship, table
 
 
@@ -32,13 +32,20 @@ def op9_rank_queue_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(ship(spark), sf_dir, "documents")
+    return substring_dedup.dedup_digest(docs, length=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_sst_shards": op6_sst_shards,
     "op7_line_windows": op7_line_windows,
     "op9_rank_queue_bpe": op9_rank_queue_bpe,
+    "op4_difference_cover": op4_difference_cover,
 }
 
 ORACLES: dict[str, str] = {
     "op7_line_windows": line_dedup.SQL,
+    "op4_difference_cover": substring_dedup.SQL,
 }
