@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumafold.llm import byte_bpe, line_dedup, packing, sstable, substring_dedup
+from lumafold.llm import byte_bpe, divergence, line_dedup, near_dup, packing, sstable, substring_dedup
 from lumafold.session import ship, table
 
 
@@ -37,15 +37,29 @@ def op4_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_digest(docs, length=50)
 
 
+def op2_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(ship(spark), sf_dir, "documents")
+    return divergence.judge(docs).drop("language", "class_distance", "word_distance")
+
+
+def op3_bayesian_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(ship(spark), sf_dir, "documents")
+    return near_dup.near_duplicates(docs, width=5, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_sst_shards": op6_sst_shards,
     "op7_line_windows": op7_line_windows,
     "op9_rank_queue_bpe": op9_rank_queue_bpe,
     "op4_difference_cover": op4_difference_cover,
+    "op2_divergence_rules": op2_divergence_rules,
+    "op3_bayesian_minhash": op3_bayesian_minhash,
 }
 
 ORACLES: dict[str, str] = {
     "op7_line_windows": line_dedup.SQL,
     "op4_difference_cover": substring_dedup.SQL,
+    "op3_bayesian_minhash": near_dup.SQL,
+    "op2_divergence_rules": divergence.sql(),
 }
