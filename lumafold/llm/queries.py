@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumafold.llm import byte_bpe, divergence, line_dedup, near_dup, packing, sstable, substring_dedup
+from lumafold.llm import byte_bpe, divergence, line_dedup, near_dup, packing, pairwise_quality, sstable, substring_dedup
 from lumafold.session import ship, table
 
 
@@ -47,6 +47,11 @@ def op3_bayesian_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(docs, width=5, percent=85)
 
 
+def op1_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(ship(spark), sf_dir, "documents")
+    return pairwise_quality.classify(docs, table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_sst_shards": op6_sst_shards,
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_difference_cover": op4_difference_cover,
     "op2_divergence_rules": op2_divergence_rules,
     "op3_bayesian_minhash": op3_bayesian_minhash,
+    "op1_bradley_terry": op1_bradley_terry,
 }
 
 ORACLES: dict[str, str] = {
