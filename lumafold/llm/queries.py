@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumafold.llm import byte_bpe, divergence, line_dedup, near_dup, packing, pairwise_quality, sstable, substring_dedup
+from lumafold.llm import brown_lm, byte_bpe, divergence, line_dedup, near_dup, packing, pairwise_quality, sstable, substring_dedup
 from lumafold.session import ship, table
 
 
@@ -52,6 +52,11 @@ def op1_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairwise_quality.classify(docs, table(spark, sf_dir, "labels"))
 
 
+def op10_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(ship(spark), sf_dir, "documents")
+    return brown_lm.score_documents(docs)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_sst_shards": op6_sst_shards,
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_divergence_rules": op2_divergence_rules,
     "op3_bayesian_minhash": op3_bayesian_minhash,
     "op1_bradley_terry": op1_bradley_terry,
+    "op10_brown_classes": op10_brown_classes,
 }
 
 ORACLES: dict[str, str] = {
