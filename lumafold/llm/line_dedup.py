@@ -26,6 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumafold.llm.common import stage
+
 #: Stands for a null doc_id, after all others.
 LAST_ID = (1 << 63) - 1
 
@@ -70,6 +72,8 @@ def late_windows(docs: DataFrame, width: int = 3) -> DataFrame:
     """doc, late: the hashes (16 bytes each, joined) of its windows that a smaller doc_id has too."""
     found = windows(docs, width)
     first = found.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("h1", "h2", "first")
+    # Written, so that the join has an exchange on either side, which adaptive execution can split.
+    first = stage(first, "repeated-lines")
     late = found.join(first, ["h1", "h2"]).where("doc > first")
     return late.groupBy("doc").agg(F.collect_set(F.struct("h1", "h2")).alias("late"))
 

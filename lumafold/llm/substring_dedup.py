@@ -128,14 +128,17 @@ def _windows(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
 def removals(docs: DataFrame, length: int = 50) -> DataFrame:
     """doc, copy, starts: what each document loses, all or the words of the windows at ``starts``."""
     table = anchors(docs, length)
-    hits = table.join(_shared(table), "h")
+    # Written, so that the join has an exchange on either side, which adaptive execution can split.
+    shared = stage(_shared(table), "shared-anchors")
+    hits = table.join(shared, "h")
     is_copy = (F.col("at") == WHOLE) & (F.col("doc") > F.col("first"))
     by_doc = stage(hits.groupBy("doc").agg(F.max(is_copy).alias("copy"), F.collect_list(F.when(F.col("at") != WHOLE, F.col("at"))).alias("places")), "anchors")
     found = _windows(docs, by_doc.where("not copy and size(places) > 0").select("doc", "places"), length)
-    late = found.join(_shared(found), "h").where("doc > first").groupBy("doc").agg(F.collect_list("at").alias("starts"))
+    repeated = stage(_shared(found), "shared-windows")
+    late = found.join(repeated, "h").where("doc > first").groupBy("doc").agg(F.collect_list("at").alias("starts"))
     copies = by_doc.where("copy").select("doc", F.lit(True).alias("copy"), F.lit(None).cast("array<int>").alias("starts"))
     out = stage(late.select("doc", F.lit(False).alias("copy"), "starts").unionByName(copies), "removals")
-    drop_staged(by_doc)
+    drop_staged(by_doc, shared, repeated)
     return out
 
 
