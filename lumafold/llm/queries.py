@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lumafold.llm import brown_lm, byte_bpe, divergence, line_dedup, near_dup, packing, pairwise_quality, sstable, substring_dedup
+from lumafold.llm import brown_lm, byte_bpe, divergence, line_dedup, mtree_search, near_dup, packing, pairwise_quality, sstable, substring_dedup
 from lumafold.session import ship, table
 
 
@@ -57,6 +58,11 @@ def op10_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown_lm.score_documents(docs)
 
 
+def op8_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(ship(spark), sf_dir, "embeddings")
+    return mtree_search.top_k(vectors, F.col("id") % 20 == 0, k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_sst_shards": op6_sst_shards,
@@ -67,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bayesian_minhash": op3_bayesian_minhash,
     "op1_bradley_terry": op1_bradley_terry,
     "op10_brown_classes": op10_brown_classes,
+    "op8_mtree_topk": op8_mtree_topk,
 }
 
 ORACLES: dict[str, str] = {
@@ -74,4 +81,5 @@ ORACLES: dict[str, str] = {
     "op4_difference_cover": substring_dedup.SQL,
     "op3_bayesian_minhash": near_dup.SQL,
     "op2_divergence_rules": divergence.sql(),
+    "op8_mtree_topk": mtree_search.SQL,
 }
