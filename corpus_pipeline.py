@@ -1,12 +1,76 @@
-"""The corpus pipeline: quality rules, line dedup, near-duplicate removal, substring dedup, packing."""
+"""The corpus pipeline: documents to packed training sequences in five stages.
+
+Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and returns a table that is written
+and read again as the next stage's docs. All but the last return the columns of documents, with n_chars anew.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumafold.llm import divergence, line_dedup, near_dup, packing, substring_dedup
+from lumafold.llm.common import stage
+from lumafold.session import ship, table
+
+
+def _trimmed(cut: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` after a cut of texts: n_chars counted anew, and no rows that the cut left without a word."""
+    emptied = (F.col("n_removed") > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    counted = cut.where(~emptied)
+    if "n_chars" in docs.columns:
+        counted = counted.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return counted.select(*docs.columns)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the divergence rules reject go."""
+    ship(spark)
+    return docs.join(divergence.judge(docs).where("not kept").select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def line_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of three-line windows go; documents of which nothing stays go too."""
+    ship(spark)
+    return _trimmed(line_dedup.dedup_lines(docs), docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near duplicates, the document with the smallest id stays."""
+    ship(spark)
+    gone = near_dup.near_duplicates(docs, width=5, percent=85).where("not kept").select("doc_id").distinct()
+    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of later copies of fifty-word windows go; documents of which nothing stays go too."""
+    ship(spark)
+    return _trimmed(substring_dedup.dedup_substrings(docs, length=50), docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each piece, with its place in its sequence."""
+    ship(spark)
+    packed = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_windows),
+    ("minhash_near_dedup", near_duplicates),
+    ("substring_dedup", substrings),
+    ("best_fit_packing", best_fit_packing),
+]
 
-STAGES: list = []
+#: Packing has no SQL form, so the run is tested against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over the documents of ``sf_dir``."""
+    docs = table(ship(spark), sf_dir, "documents")
+    for name, work in STAGES[:-1]:
+        docs = stage(work(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
