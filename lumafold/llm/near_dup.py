@@ -10,9 +10,10 @@ Texts are sets of distinct ``width``-word shingles (A-Z lower-cased). Two sets a
    ``miss`` (uniform prior, one binomial trial for each compared value).
 4. Survivors are verified on their full sets of 64-bit shingle hashes: first the likeliest pair of each node,
    and then only pairs whose ends are still in different components.
-5. Buckets that still hold several components are compared across them in bounded blocks, by the same
-   batches and bounds, and what survives is verified in the same way. So a group of copies costs a star,
-   while links between any two members of a bucket are still found.
+5. Buckets that still hold several components are compared across them in bounded blocks: by the same batches and
+   bounds, then on the full sets, each pair in the first bucket that it shares. A block only sends the links
+   that join two components. So a group of copies costs a star, no pair of a bucket is left out, and rows grow
+   with members, not with pairs.
 
 A pair at the threshold 0.85 shares no band with probability (1 - 0.85^7)^36, below 1e-6.
 
@@ -23,7 +24,6 @@ own component (null). Extra columns are ignored.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +39,9 @@ ROWS, BANDS = 7, 36
 VALUES = ROWS * BANDS
 #: Signature values compared before each look at the posterior.
 BATCH = 36
-#: Members of one block in step 5.
-BLOCK = 512
+#: Members of one block in step 5, and bytes of their sets.
+BLOCK = 2048
+BLOCK_BYTES = 32 << 20
 
 _rng = np.random.default_rng(20240229)
 _FACTORS = (_rng.integers(0, 1 << 31, VALUES, np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -186,8 +187,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             good = []
             for k in range(batch.num_rows):
                 x, y = (np.frombuffer(batch.column(j)[k].as_py(), np.uint64) for j in (2, 3))
-                common = len(x) + len(y) - len(np.union1d(x, y))
-                if 100 * common >= percent * (len(x) + len(y) - common):
+                if similar(x, y, percent):
                     good.append(k)
             kept = batch.take(pa.array(good, pa.int64()))
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["a", "b"])
@@ -206,67 +206,97 @@ def _rooted(frame: DataFrame, roots: DataFrame | None, column: str, out: str) ->
 class _Links:
     """Verified links and the components that they make so far."""
 
-    def __init__(self, docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> None:
-        self.docs, self.nodes, self.width, self.percent = docs, nodes, width, percent
+    def __init__(self, sets: DataFrame, percent: int) -> None:
+        self.sets, self.percent = sets, percent
         self.edges: list[DataFrame] = []
         self.roots: DataFrame | None = None
 
-    def add(self, survivors: DataFrame, name: str) -> None:
+    def join(self, good: DataFrame) -> None:
+        """Take in verified links (a written table)."""
+        if good.limit(1).count():
+            self.edges.append(good)
+            every = self.edges[0]
+            for more in self.edges[1:]:
+                every = every.unionByName(more)
+            self.roots = connected_components(every)
+
+    def add(self, survivors: DataFrame) -> None:
         """Verify pairs (a, b, m) until no unverified one joins two components."""
-        ends = survivors.select(F.col("a").alias("c")).unionByName(survivors.select(F.col("b").alias("c"))).distinct()
-        sets = _full_sets(self.docs, self.nodes.select("c", F.col("first").alias("doc")).join(ends, "c", "left_semi"), self.width)
         rest = survivors
-        for k in range(4):
-            # The likeliest pair of each node, three times; then all that still join two components.
-            if k < 3:
-                best = rest.groupBy("b").agg(F.max(F.struct("m", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
-            else:
-                best = rest.select("a", "b")
-            good = stage(_verify(best, sets, self.percent), f"links-{name}-{k}")
-            if good.limit(1).count():
-                self.edges.append(good)
-                every = self.edges[0]
-                for more in self.edges[1:]:
-                    every = every.unionByName(more)
-                self.roots = connected_components(every)
-            if k == 3:
-                break
-            left = rest.join(best.select("a", "b"), ["a", "b"], "left_anti")
-            left = _rooted(_rooted(left, self.roots, "a", "ra"), self.roots, "b", "rb").where("ra <> rb").select("a", "b", "m")
-            rest = stage(left, f"open-{name}-{k}")
-            if not rest.limit(1).count():
-                break
-        drop_staged(sets)
+        for k in range(3):
+            # The likeliest pair of each node, twice; then all that still join two components.
+            best = rest.groupBy("b").agg(F.max(F.struct("m", "a")).alias("x")).select(F.col("x.a").alias("a"), "b") if k < 2 else rest.select("a", "b")
+            self.join(stage(_verify(best, self.sets, self.percent), f"links-{k}"))
+            if k < 2:
+                left = rest.join(best, ["a", "b"], "left_anti")
+                rest = stage(_rooted(_rooted(left, self.roots, "a", "ra"), self.roots, "b", "rb").where("ra <> rb").select("a", "b", "m"), f"open-{k}")
+                if not rest.limit(1).count():
+                    break
+
+
+class _Forest:
+    """Union-find over component numbers."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(y, y)
+        return x
+
+
+def compare_block(c: np.ndarray, root: np.ndarray, sig: np.ndarray, bands: np.ndarray, full: list[np.ndarray], left: np.ndarray, right: np.ndarray, key: int, bounds: dict[int, int], percent: int) -> list[tuple[int, int]]:
+    """Links between members of ``left`` and ``right`` (row numbers) of the bucket ``key`` that join two components."""
+    forest, out = _Forest(), []
+    band = int(np.flatnonzero(bands[0] == key)[0])
+    for k in left.tolist():
+        other = right[root[right] != root[k]]
+        if right is left:
+            other = other[other > k]
+        if band and len(other):
+            other = other[~(bands[other, :band] == bands[k, :band]).any(axis=1)]
+        if not len(other):
+            continue
+        alive, m = surviving(np.broadcast_to(sig[k], (len(other), VALUES)), sig[other], bounds)
+        for x in other[alive][np.argsort(-m, kind="stable")].tolist():
+            mine, its = forest.find(int(root[k])), forest.find(int(root[x]))
+            if mine != its and similar(full[k], full[x], percent):
+                forest.up[its] = mine
+                out.append((min(int(c[k]), int(c[x])), max(int(c[k]), int(c[x]))))
+    return out
 
 
-def _across(members: DataFrame, nodes: DataFrame, bounds: dict[int, int]) -> DataFrame:
-    """a, b, m: surviving pairs from different components (root) of a bucket (key), found block by block."""
-    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the threshold; sizes that rule it out are not compared."""
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    if 100 * len(small) < percent * len(large):
+        return False
+    place = np.searchsorted(large, small)
+    place[place == len(large)] = 0
+    common = int((large[place] == small).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def _across(members: DataFrame, nodes: DataFrame, sets: DataFrame, bounds: dict[int, int], percent: int) -> DataFrame:
+    """a, b: links that join components (root) within a bucket (key), found block by block."""
+    rows = members.join(nodes.select("c", "sig", "bands").join(sets, "c"), "c")
+    sizes = members.join(sets.select("c", F.octet_length("full").alias("bytes")), "c").groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    placed = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
     # A block meets every block of its bucket once, in the task named by the pair of their numbers.
-    dealt = placed.select("key", "c", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("key", "c", "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") <= F.col("other")).alias("left"))
-
-    def compare(table: pa.Table) -> pa.Table:
-        # a block against itself holds each member once, as a left one
-        c, root, sig = table["c"].to_numpy(), table["root"].to_numpy(), np.frombuffer(b"".join(table["sig"].to_pylist()), "<u2").reshape(-1, VALUES)
-        same = table["i"][0].as_py() == table["j"][0].as_py()
-        left = table["left"].to_numpy(zero_copy_only=False)
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        rights = np.arange(len(c)) if same else np.flatnonzero(~left)
-        for k in np.arange(len(c)) if same else np.flatnonzero(left):
-            other = rights[(root[rights] != root[k])]
-            if same:
-                other = other[other > k]
-            if len(other):
-                alive, m = surviving(np.broadcast_to(sig[k], (len(other), VALUES)), sig[other], bounds)
-                if len(alive):
-                    out.append((np.minimum(c[other[alive]], c[k]), np.maximum(c[other[alive]], c[k]), m))
-        parts = [np.concatenate([x[q] for x in out]) if out else np.empty(0, np.int64) for q in range(3)]
-        return pa.table({"a": pa.array(parts[0], pa.int64()), "b": pa.array(parts[1], pa.int64()), "m": pa.array(parts[2].astype(np.int32))})
-
-    joined = dealt.join(nodes.select("c", "sig"), "c")
-    return joined.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long, m int").distinct()
+    dealt = placed.select("key", "c", "root", "sig", "bands", "full", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("key", "c", "root", "sig", "bands", "full", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") <= F.col("other")).alias("low"))
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        c, root, low = (table[x].to_numpy(zero_copy_only=False) for x in ("c", "root", "low"))
+        bands = np.frombuffer(b"".join(table["bands"].to_pylist()), np.int64).reshape(-1, BANDS)
+        full = [np.frombuffer(x, np.uint64) for x in table["full"].to_pylist()]
+        every = np.arange(len(c))
+        left, right = (every, every) if key[1].as_py() == key[2].as_py() else (every[low], every[~low])
+        found = compare_block(c, root, _matrix(table["sig"].combine_chunks()), bands, full, left, right, key[0].as_py(), bounds, percent)
+        return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
+
+    return dealt.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, miss: float = 1e-5) -> DataFrame:
@@ -277,23 +307,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, miss: fl
     firsts = stage(known.groupBy("c").agg(F.min("doc").alias("first"), F.min("row").alias("row")), "firsts")
     nodes = stage(known.select("c", "row", "bands", "sig").join(firsts.select("row", "first"), "row").select("c", "first", "bands", "sig"), "nodes")
     buckets = _explode_bands(nodes)
-    shared = buckets.groupBy("key").agg(F.min("c").alias("pivot"), F.max("c").alias("top"), F.count("*").alias("size")).where("pivot < top").select("key", "pivot", "size")
+    # Written, so that the join has an exchange on either side, which adaptive execution can split.
+    shared = stage(buckets.groupBy("key").agg(F.min("c").alias("pivot"), F.max("c").alias("top"), F.count("*").alias("size")).where("pivot < top").select("key", "pivot", "size"), "shared")
     members = stage(buckets.join(shared, "key").select("key", "c", "pivot", "size"), "buckets")
+    sets = _full_sets(docs, firsts.select("c", F.col("first").alias("doc")).join(members.select("c").distinct(), "c", "left_semi"), width)
     stars = members.where("c <> pivot").select(F.col("pivot").alias("a"), F.col("c").alias("b")).distinct()
-    links = _Links(docs, nodes, width, percent)
-    links.add(stage(_prune(stars, nodes, bounds), "stars"), "star")
+    links = _Links(sets, percent)
+    links.add(stage(_prune(stars, nodes, bounds), "stars"))
     # A bucket of two has been compared in full; larger ones may hold links between others than the pivot.
-    several = _rooted(members.where("size > 2"), links.roots, "c", "root").select("key", "c", "root")
-    several = stage(several, "several")
-    split = several.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    several = stage(_rooted(members.where("size > 2"), links.roots, "c", "root").select("key", "c", "root"), "several")
+    split = stage(several.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"), "split")
     mixed = stage(several.join(split, "key", "left_semi"), "mixed")
     if mixed.limit(1).count():
-        found = stage(_across(mixed, nodes, bounds), "across")
-        if found.limit(1).count():
-            links.add(found, "across")
+        links.join(stage(_across(mixed, nodes, sets, bounds, percent), "across"))
     labelled = _rooted(firsts.select("c", "first"), links.roots, "c", "root")
     lowest = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
     component = stage(labelled.join(lowest, "root").select("c", "component_id"), "components")
+    drop_staged(sets, nodes, members, mixed, several, shared)
     out = rows.select("doc", "n", "c").join(component, "c", "left")
     out = out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
