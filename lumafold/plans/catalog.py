@@ -1,4 +1,4 @@
-"""Registered queries and their SQL equivalents."""
+"""All registered queries over the supplied tables, and their SQL equivalents."""
 
 from __future__ import annotations
 
@@ -6,5 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lumafold.plans import masks, signals
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+for _part in (masks, signals):
+    QUERIES |= _part.QUERIES
+    ORACLES |= _part.ORACLES
+QUERIES = dict(sorted(QUERIES.items()))
