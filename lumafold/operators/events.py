@@ -82,6 +82,22 @@ def strongest_instance(instances: DataFrame, segment: str, energy: str, order: s
     return instances.withColumn("rk", F.row_number().over(at)).where("rk = 1").drop("rk")
 
 
+def running_rows(instances: DataFrame, order: str, size: str, groups: int = 64) -> DataFrame:
+    """Adds first and last: the row numbers (from 1) of each instance when instances follow each other by ``order``.
+
+    A running sum in two steps, so that no single task sees all instances: inside equal ranges of the (numeric) key,
+    then over the ranges' totals.
+    """
+    ends = instances.agg(F.min(order).alias("__lo"), F.max(order).alias("__hi"))
+    share = (F.col(order) - F.col("__lo")) / (F.col("__hi") - F.col("__lo") + 1)
+    spread = instances.crossJoin(F.broadcast(ends)).withColumn("__g", F.floor(share * groups)).drop("__lo", "__hi")  # one row of ends
+    inside = spread.withColumn("__run", F.sum(size).over(Window.partitionBy("__g").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    totals = spread.groupBy("__g").agg(F.sum(size).alias("__n"))
+    before = totals.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    met = inside.join(F.broadcast(before.select("__g", "__before")), "__g")  # ``groups`` rows
+    return met.withColumn("last", F.col("__before") + F.col("__run")).withColumn("first", F.col("last") - F.col(size) + 1).drop("__g", "__run", "__before")
+
+
 def whole_segment_window(instances: DataFrame, first: str, last: str, duration: str, below: int) -> DataFrame:
     """One row: instances that start before row ``below``, their total duration and last row."""
     return instances.where(F.col(first) < below).agg(F.count("*").alias("n_instances"), F.coalesce(F.sum(duration), F.lit(0)).alias("elapsed"), F.max(last).alias("last_row"))

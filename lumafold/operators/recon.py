@@ -297,7 +297,7 @@ def frame_map(kspace: DataFrame, maps: DataFrame, shape: tuple[int, ...], coils:
     kspace: frame, coil, ix, iy, iz, re, im (missing places are zero). maps: coil, ix, iy, iz, re, im, of one frame's
     size, sent to every frame's task by cogroup. A frame whose solver fails becomes zeros with the error as status.
     """
-    frames = kspace.select("frame").distinct()
+    frames = kspace.select((F.col("frame") + 0).cast("int").alias("frame")).distinct()
     dealt = maps.crossJoin(frames)  # each frame needs the whole map: frames x one map, not a search
 
     def volume(table: pa.Table) -> np.ndarray:
