@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumafold.llm.chunk_encoder import chunk_of, cuts, safe_chunks, safe_word
+from lumafold.llm.chunk_encoder import LONGEST, chunk_of, cuts, safe_chunks, safe_word
 
 def load_ranks(path: str) -> dict[bytes, int]:
     """A rank file: a base64 token and its rank on each line."""
@@ -168,7 +168,9 @@ class ByteBPE:
                     safe = False  # not every space of this text is a place to cut
                     break
                 ids = older.get(word) or self._chunk(chunk_of(word))
-                part[i] = self.words[word] = ids
+                part[i] = ids
+                if len(word) <= LONGEST:
+                    self.words[word] = ids
             if not safe:
                 out.append(b"".join(map(self._chunk, safe_chunks(text))))
                 continue

@@ -20,6 +20,10 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 _SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
+#: Longest chunk that a memo keeps.
+LONGEST = 256
+
+
 class ChunkEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
@@ -38,12 +42,13 @@ class ChunkEncoder:
         self.special = tuple(special.values())
         self.drops_space, self.cap = drops_space, cap
         self._byte_letters = {b: c for b, c in _byte_letters().items() if chr(b) != c}
-        self.direct = False
-        probes = ["the", "\nThe", "\nÉa.", "Théa", "ßtr", "x,", "Àb.", "q?", "zzgh", "É", "über!", "a;", "Ñu:"]
-        self.direct = self._encoded([chunk_of(w) for w in probes]) == [self._by_model(w) for w in probes]
-        self.words: dict[str, bytes] = {}  # of a space and the word
+        self.words: dict[str, bytes] = {}  # of a word with the space before it, if spaces count
         self.older: dict[str, bytes] = {}
-        self.rare: dict[str, bytes] = {}  # of first chunks, and of chunks with other white space
+        self.rare: dict[str, bytes] = {}  # of short first chunks, and of short chunks with other white space
+        self.marks = {m: array("I", [t.id for t in self.plain.model.tokenize(m)]).tobytes() for m in ".,!?;:"}
+        probes = ["the", "Théa", "ßtr", "x,", "Àb.", "q?", "zzgh", "É", "über!", "a;", "Ñu:", "µ", *([] if drops_space else ["\nThe", "\nÉa."])]
+        #: Whether the model alone agrees with the whole tokenizer on the probes; else it isn't used alone.
+        self.direct = self._encoded([self._chunk(w) for w in probes]) == [self._by_model(w) for w in probes]
 
     def _fresh(self, chunks: list[str]) -> list[bytes]:
         """Encode chunks: in one text, apart from each other by a special token, or alone if they contain one."""
@@ -70,11 +75,17 @@ class ChunkEncoder:
         return [odd[c] if c in odd else next(even) for c in chunks]
 
     def _by_model(self, word: str) -> bytes | None:
-        """Ids of a space and ``word``, from the library's model alone: for Latin-1 letters, then at most one
-        mark of ".,!?;:". Such a word is one pre-token, or two, whose letters are known without the
-        library's normalizer and pre-tokenizer; None for others."""
+        """Ids of ``word`` as it stands in the memo, from the library's model alone: for Latin-1 letters, then at most one
+        mark of ".,!?;:". Such a word is one pre-token, or two, whose letters are known without the library's
+        normalizer and pre-tokenizer; None for others."""
         lead = word[0] == "\n"
-        core, mark = (word[lead:-1], word[-1]) if word[-1] in ".,!?;:" else (word[lead:], "")
+        if word[-1] in self.marks:
+            core = word[:-1]
+            if not core[lead:].isalpha():
+                return None
+            ids = self.words.get(core) or self.older.get(core) or self._by_model(core)
+            return ids + self.marks[word[-1]] if ids else None
+        core = word[lead:]
         if not core.isalpha():
             return None
         if self.drops_space:
@@ -90,10 +101,11 @@ class ChunkEncoder:
             ids = [t.id for x in (self._byte_letters[10], core) for t in tokenize(x)]
         else:
             ids = [t.id for t in tokenize(self._byte_letters[32] + core)]
-        if mark:
-            ids += [t.id for t in tokenize(mark)]
         return array("I", ids).tobytes()
 
+    def _chunk(self, word: str) -> str:
+        return word if self.drops_space else chunk_of(word)
+
     def _word_ids(self, words: list[str]) -> dict[str, bytes]:
         found: dict[str, bytes] = {}
         if self.direct:
@@ -101,14 +113,23 @@ class ChunkEncoder:
             found = {w: ids for w in words if (ids := by_model(w)) is not None}
         rest = [w for w in words if w not in found] if len(found) < len(words) else []
         if rest:
-            found.update(zip(rest, self._encoded([chunk_of(w) for w in rest]), strict=True))
+            found.update(zip(rest, self._encoded([self._chunk(w) for w in rest]), strict=True))
         return found
 
     def _rarely(self, chunks: list[str]) -> list[bytes]:
         missing = list(set(chunks).difference(self.rare))
-        if missing:
-            self.rare.update(zip(missing, self._encoded(missing), strict=True))
-        return [self.rare[c] for c in chunks]
+        found = dict(zip(missing, self._encoded(missing), strict=True)) if missing else {}
+        self.rare.update((c, ids) for c, ids in found.items() if len(c) <= LONGEST)
+        return [found[c] if c in found else self.rare[c] for c in chunks]
+
+    def _split(self, text: str) -> tuple[str, list[str]] | None:
+        """A first chunk, and the words after it; None if the text can't be cut at every space."""
+        if self.drops_space:
+            if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to Python, but not to the tokenizer
+                return None
+            return "", (text.lower() if text.isascii() or _latin(text) else text).split()
+        head, *rest = cuts(text)
+        return None if rest and not safe_word(head) else (head, rest)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         get = self.words.get
@@ -116,28 +137,27 @@ class ChunkEncoder:
         tails: list[list[str]] = []
         slow: dict[int, list[str]] = {}
         for k, text in enumerate(texts):
-            if not self.drops_space and (text[:1] == " " or text.partition(" ")[0][-1:].isspace()):
-                slow[k] = [text] if self.drops_space else safe_chunks(text)
-                text = ""
-            head, *rest = cuts(text)
-            heads.append(head)
-            tails.append(rest)
+            split = self._split(text)
+            if split is None:
+                slow[k], split = [text] if self.drops_space else safe_chunks(text), ("", [])
+            heads.append(split[0])
+            tails.append(split[1])
         parts = [list(map(get, rest)) for rest in tails]
         gaps = [[i for i, ids in enumerate(part) if ids is None] for part in parts]
         missing = {rest[i] for rest, gap in zip(tails, gaps, strict=True) for i in gap}
         if missing:
-            unsafe = {w for w in missing if not safe_word(w)}
+            unsafe = set() if self.drops_space else {w for w in missing if not safe_word(w)}
             missing.difference_update(unsafe)
             older = self.older
             found = {w: older[w] for w in missing if w in older} if older else {}
             found.update(self._word_ids([w for w in missing if w not in found]))
             for k, (rest, part, gap) in enumerate(zip(tails, parts, gaps, strict=True)):
                 if unsafe and any(rest[i] in unsafe for i in gap):
-                    slow[k], parts[k] = [texts[k]] if self.drops_space else safe_chunks(texts[k]), []
+                    slow[k], parts[k] = safe_chunks(texts[k]), []
                     continue
                 for i in gap:
                     part[i] = found[rest[i]]
-            self.words.update(found)
+            self.words.update((w, ids) for w, ids in found.items() if len(w) <= LONGEST)
         out = [first + b"".join(part) for first, part in zip(self._rarely(heads), parts, strict=True)]
         for k, chunks in slow.items():
             out[k] = b"".join(self._rarely(chunks))
@@ -148,6 +168,15 @@ class ChunkEncoder:
         return out
 
 
+def _latin(text: str) -> bool:
+    """Whether lower-casing works letter by letter, without rules of position: within Latin-1."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def cuts(text: str) -> list[str]:
     """The text's words as they stand between spaces; a word after a line break keeps the break."""
     return text.replace("\n", " \n").split(" ")
