@@ -298,7 +298,8 @@ def frame_map(kspace: DataFrame, maps: DataFrame, shape: tuple[int, ...], coils:
     size, sent to every frame's task by cogroup. A frame whose solver fails becomes zeros with the error as status.
     """
     frames = kspace.select((F.col("frame") + 0).cast("int").alias("frame")).distinct()
-    dealt = maps.crossJoin(frames)  # each frame needs the whole map: frames x one map, not a search
+    own = maps.toDF(*maps.columns).select(*[(F.col(c) + 0).cast(maps.schema[c].dataType).alias(c) for c in maps.columns])  # apart from kspace's lineage
+    dealt = own.crossJoin(frames)  # each frame needs the whole map: frames x one map, not a search
 
     def volume(table: pa.Table) -> np.ndarray:
         out = np.zeros((*shape, coils), complex)
