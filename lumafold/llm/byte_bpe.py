@@ -1,14 +1,13 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
 A pre-token's bytes form a linked list. Each neighbouring pair that the vocabulary can merge lies in a
-bucket of its merge rank, as the place of its left part. Bitmaps of 64-bit words, stacked until one word
-is left, mark the buckets in use: find-first-set on the way down gives the lowest rank at a cost that
-depends neither on the pre-token's length nor on the number of waiting pairs. A place whose pair has
+bucket of its merge rank, as the place of its left part. A bitmap of 64-bit words marks the buckets in use, and a
+bitmap above it the words in use: find-first-set on the way down gives the lowest rank at a cost that depends
+neither on the pre-token's length nor on the number of waiting pairs. A place whose pair has
 changed since it was queued is skipped when it comes up. Within a bucket the leftmost place comes first,
 as in the reference order of merges.
 
-Pre-tokens repeat, so their ids are kept in a bounded memo, and so are those of whole chunks between
-spaces. The work for a pre-token of n bytes is O(n log n) at worst (the buckets are heaps), so one
+Words repeat, so the ids of what stands between two spaces are kept in a bounded memo. The work for a pre-token of n bytes is O(n log n) at worst (the buckets are heaps), so one
 pre-token of megabytes is no special case.
 """
 
@@ -17,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -36,90 +36,82 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class RankQueue:
-    """A priority queue over small integer ranks, each with a bucket of places."""
+    """Bitmaps over ranks: a bit in ``low`` for each rank in use. The level above, a bit for each word of ``low`` that isn't
+    zero, is one integer that merge_bytes keeps, as it does the buckets."""
 
     def __init__(self, size: int) -> None:
-        self.levels: list[list[int]] = []
-        while True:
-            size = (size + 63) >> 6
-            self.levels.append([0] * size)
-            if size == 1:
-                break
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, place: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [place]
-            at = rank
-            for level in self.levels:
-                word, bit = at >> 6, 1 << (at & 63)
-                was = level[word]
-                level[word] = was | bit
-                if was:  # the levels above know of this word
-                    return
-                at = word
-        else:
-            heapq.heappush(bucket, place)
-
-    def pop(self) -> tuple[int, int] | None:
-        """The lowest rank and its leftmost place."""
-        at = 0
-        for level in reversed(self.levels):
-            word = level[at]
-            if not word:
-                return None
-            at = at << 6 | (word & -word).bit_length() - 1
-        bucket = self.buckets[at]
-        place = heapq.heappop(bucket)
-        if not bucket:
-            del self.buckets[at]
-            up = at
-            for level in self.levels:
-                level[up >> 6] &= ~(1 << (up & 63))
-                up >>= 6
-                if level[up]:
-                    break
-        return at, place
+        self.low = [0] * ((size + 63) >> 6)
+
+
+_BIT = [1 << k for k in range(64)]
 
 
 def merge_bytes(piece: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]:
-    """The ids of one pre-token. The queue must be empty, and is empty again afterwards."""
+    """The ids of one pre-token. All bits of the queue are clear before and after.
+
+    Pushing and popping stand in line, since they are most of the work. A bucket is a place, or a heap of places if
+    there are several.
+    """
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
     n = len(piece)
+    low, top, bit, rank_of = queue.low, 0, _BIT, ranks.get
+    buckets: dict[int, int | list[int]] = {}
     after = list(range(1, n + 1))  # the place right of a part, which is also the part's end
     before = list(range(-1, n - 1))
     waiting = [-1] * n  # the rank under which the pair that begins here is queued
-    rank_of, push = ranks.get, queue.push
-    for i in range(n - 1):
-        rank = rank_of(piece[i : i + 2])
-        if rank is not None:
+    fresh = [(rank, i) for i in range(n - 1) if (rank := rank_of(piece[i : i + 2])) is not None]
+    while True:
+        for rank, i in fresh:  # push
             waiting[i] = rank
-            push(rank, i)
-    while (top := queue.pop()) is not None:
-        rank, i = top
+            if rank in buckets:
+                bucket = buckets[rank]
+                if type(bucket) is int:
+                    buckets[rank] = [bucket, i] if bucket < i else [i, bucket]
+                else:
+                    heapq.heappush(bucket, i)
+            else:
+                buckets[rank] = i
+                word = rank >> 6
+                low[word] |= bit[rank & 63]
+                top |= 1 << word
+        if not top:
+            break
+        # find-first-set on both levels: the lowest rank in use, and its leftmost place
+        word = (top & -top).bit_length() - 1
+        bits = low[word]
+        rank = word << 6 | (bits & -bits).bit_length() - 1
+        i = buckets[rank]
+        if type(i) is not int:
+            bucket = i
+            i = heapq.heappop(bucket)
+            if len(bucket) == 1:
+                buckets[rank] = bucket[0]
+        else:
+            del buckets[rank]
+            low[word] = bits = bits & (bits - 1)
+            if not bits:
+                top &= top - 1
+        fresh = []
         if waiting[i] != rank:
             continue  # stale: the pair has changed or gone
         j = after[i]
         end = after[j]
-        after[i], waiting[j] = end, -1
-        waiting[i] = -1
+        after[i] = end
+        waiting[i] = waiting[j] = -1
         if end < n:
             before[end] = i
             new = rank_of(piece[i : after[end]])
             if new is not None:
-                waiting[i] = new
-                push(new, i)
+                fresh.append((new, i))
         left = before[i]
         if left >= 0:
             new = rank_of(piece[left:end])
             if new is None:
                 waiting[left] = -1
             elif new != waiting[left]:
-                waiting[left] = new
-                push(new, left)
+                fresh.append((new, left))
     ids, i = [], 0
     while i < n:
         ids.append(ranks[piece[i : after[i]]])
@@ -130,29 +122,38 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list
 class ByteBPE:
     """Encodes texts by ranks and a pre-token pattern, and decodes ids."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cap: int = 400_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cap: int = 700_000) -> None:
         self.ranks, self.cap = ranks, cap
         self.split = regex.compile(pattern).findall
         self.queue = RankQueue(max(ranks.values()) + 1)
         self.tokens: list[bytes] = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        self.pretokens: dict[str, list[int]] = {}
+        self.marks = {m: self._chunk(m) for m in ".,!?;:"}
+        #: Whether the pattern takes words as _word() expects, so that it needn't run on each.
+        self.plain = [self.split(x) for x in (" the", " É,", " ñu:", " x!")] == [[" the"], [" É", ","], [" ñu", ":"], [" x", "!"]]
         self.words: dict[str, bytes] = {}  # of a space and the word
         self.older: dict[str, bytes] = {}
 
-    def _ids(self, text: str) -> Iterator[int]:
-        known, ranks, queue = self.pretokens, self.ranks, self.queue
-        for pretoken in self.split(text):
-            ids = known.get(pretoken)
-            if ids is None:
-                ids = merge_bytes(pretoken.encode(), ranks, queue)
-                if len(known) < self.cap and len(pretoken) < 64:
-                    known[pretoken] = ids
-            yield from ids
-
     def _chunk(self, chunk: str) -> bytes:
-        return np.fromiter(self._ids(chunk), "<u4").tobytes()
+        ids: list[int] = []
+        for pretoken in self.split(chunk):
+            ids += merge_bytes(pretoken.encode(), self.ranks, self.queue)
+        return array("I", ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word of cuts(). Letters are one pre-token with the space before them, a closing mark is another one; all
+        else goes through the pattern."""
+        mark = self.marks.get(word[-1])
+        core = word[:-1] if mark else word
+        if self.plain and core.isalpha():
+            if mark is None:
+                return array("I", merge_bytes((" " + core).encode(), self.ranks, self.queue)).tobytes()
+            ids = self.words.get(core) or self.older.get(core)
+            if ids is None:
+                ids = self.words[core] = self._word(core)
+            return ids + mark
+        return self._chunk(chunk_of(word))
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit bytes."""
@@ -167,7 +168,7 @@ class ByteBPE:
                 if not safe_word(word):
                     safe = False  # not every space of this text is a place to cut
                     break
-                ids = older.get(word) or self._chunk(chunk_of(word))
+                ids = older.get(word) or self._word(word)
                 part[i] = ids
                 if len(word) <= LONGEST:
                     self.words[word] = ids
@@ -177,17 +178,18 @@ class ByteBPE:
             out.append(self._chunk(head) + b"".join(part))
             if len(self.words) > self.cap:
                 self.older, self.words = self.words, {}
-        if len(self.pretokens) >= self.cap:
-            self.pretokens = {}
         return out
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes that little-endian unsigned 32-bit ids stand for."""
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return self.decode_list(np.frombuffer(ids, "<u4").tolist())
+
+    def decode_list(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, ids))
 
 
 @lru_cache(maxsize=2)
-def codec(path: str, pattern: str, cap: int = 400_000) -> ByteBPE:
+def codec(path: str, pattern: str, cap: int = 700_000) -> ByteBPE:
     """One codec for each worker process, kept over its tasks."""
     return ByteBPE(load_ranks(path), pattern, cap)
 
@@ -238,7 +240,7 @@ def digests(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
                     ids = np.frombuffer(raw, "<u4").tolist()
                     n.append(len(ids))
                     ids_sha.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
-                    text_sha.append(hashlib.sha256(bpe.decode(raw)).hexdigest())
+                    text_sha.append(hashlib.sha256(bpe.decode_list(ids)).hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return _columns(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
