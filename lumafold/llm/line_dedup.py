@@ -46,22 +46,26 @@ def window_hashes(lines: list[bytes], places: list[int], width: int) -> list[byt
 
 
 def windows(docs: DataFrame, width: int = 3) -> DataFrame:
-    """Each document's distinct windows: two halves of the hash, doc_id, and the window numbers it has."""
+    """Each document's distinct windows: two halves of the hash, doc_id, and the number of the first window that has it."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes: list[bytes] = []
             ids: list[int] = []
+            places: list[int] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 if text:
-                    found = dict.fromkeys(window_hashes(*word_lines(text), width))
-                    hashes += found
-                    ids += [doc] * len(found)
+                    first: dict[bytes, int] = {}
+                    for k, h in enumerate(window_hashes(*word_lines(text), width)):
+                        first.setdefault(h, k)
+                    hashes += first
+                    places += first.values()
+                    ids += [doc] * len(first)
             if ids:
                 halves = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.array(ids, pa.int64())], ["h1", "h2", "doc"])
+                yield pa.RecordBatch.from_arrays([pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.array(ids, pa.int64()), pa.array(places, pa.int32())], ["h1", "h2", "doc", "at"])
 
-    return _columns(docs).mapInArrow(find, "h1 long, h2 long, doc long")
+    return _columns(docs).mapInArrow(find, "h1 long, h2 long, doc long, at int")
 
 
 def _columns(docs: DataFrame) -> DataFrame:
@@ -69,29 +73,30 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 
 def late_windows(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc, late: the hashes (16 bytes each, joined) of its windows that a smaller doc_id has too."""
+    """doc, late: the numbers of its windows that a smaller doc_id has too."""
     found = windows(docs, width)
     first = found.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("h1", "h2", "first")
     # Written, so that the join has an exchange on either side, which adaptive execution can split.
     first = stage(first, "repeated-lines")
     late = found.join(first, ["h1", "h2"]).where("doc > first")
-    return late.groupBy("doc").agg(F.collect_set(F.struct("h1", "h2")).alias("late"))
+    return late.groupBy("doc").agg(F.collect_list("at").alias("late"))
 
 
-def covered(hashes: list[bytes], late: set[bytes], width: int) -> np.ndarray:
-    """Which lines with words are covered by a window that is late, or that the text had before."""
+def covered(hashes: list[bytes], late: list[int], width: int) -> np.ndarray:
+    """Which lines with words are covered by a window that is late (so are its repeats), or that the text had before."""
     n = len(hashes) + width - 1 if hashes else 0
     step = np.zeros(n + 1, np.int64)
-    seen: set[bytes] = set()
+    seen = {hashes[k] for k in late}
     for i, h in enumerate(hashes):
-        if h in late or h in seen:
+        if h in seen:
             step[i] += 1
             step[i + width] -= 1
-        seen.add(h)
+        else:
+            seen.add(h)
     return np.cumsum(step)[:n] > 0
 
 
-def _kept(text: bytes, late: set[bytes], width: int) -> tuple[bytes, int, int]:
+def _kept(text: bytes, late: list[int], width: int) -> tuple[bytes, int, int]:
     """The text that stays, its number of lines before, and how many were removed."""
     lines, places = word_lines(text)
     gone = covered(window_hashes(lines, places, width), late, width)
@@ -108,9 +113,8 @@ def _with_late(docs: DataFrame, width: int) -> DataFrame:
     return docs.withColumn("__key", key).join(late.hint("shuffle_hash"), F.col("__key") == F.col("__doc"), "left").drop("__key", "__doc")
 
 
-def _late_sets(column: pa.Array) -> Iterator[set[bytes]]:
-    for pairs in column:
-        yield {np.array([p["h1"], p["h2"]], "<i8").tobytes() for p in pairs.as_py()} if pairs.is_valid else set()
+def _late(column: pa.Array) -> list[list[int]]:
+    return [x or [] for x in column.to_pylist()]
 
 
 def dedup_lines(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -122,7 +126,7 @@ def dedup_lines(docs: DataFrame, width: int = 3) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(None, 0, 0) if text is None else _kept(text, late, width) for text, late in zip(batch.column(at).cast(pa.binary()).to_pylist(), _late_sets(batch.column(len(names))), strict=True)]
+            out = [(None, 0, 0) if text is None else _kept(text, late, width) for text, late in zip(batch.column(at).cast(pa.binary()).to_pylist(), _late(batch.column(len(names))), strict=True)]
             texts = pa.array([x[0] for x in out], pa.binary()).cast(pa.string())
             columns = [texts if k == at else batch.column(k) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64())], [*names, "n_lines", "n_removed"])
@@ -136,7 +140,7 @@ def dedup_digest(docs: DataFrame, width: int = 3) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(b"", 0, 0) if text is None else _kept(text, late, width) for text, late in zip(batch.column(1).cast(pa.binary()).to_pylist(), _late_sets(batch.column(2)), strict=True)]
+            out = [(b"", 0, 0) if text is None else _kept(text, late, width) for text, late in zip(batch.column(1).cast(pa.binary()).to_pylist(), _late(batch.column(2)), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64()), pa.array([hashlib.sha256(x[0]).hexdigest() for x in out], pa.string())],
                 ["doc_id", "n_lines", "n_removed", "kept_sha256"],
