@@ -10,6 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 PACKAGE = Path(__file__).resolve().parent
 
 
@@ -38,8 +39,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Give executors this package, so that Arrow functions import it wherever the driver was started."""
+    """Give executors this package, so that Arrow functions import it wherever the driver was started.
+
+    Also lower the rows of an Arrow batch, if the session left them at the default: rows may hold whole documents.
+    """
     sc = spark.sparkContext
+    if spark.conf.get(BATCH, "10000") == "10000":
+        spark.conf.set(BATCH, "1000")
     if getattr(sc, "_lumafold_shipped", None) != sc.applicationId:
         target = os.path.join(tempfile.mkdtemp(prefix="lumafold-"), "lumafold.zip")
         with zipfile.ZipFile(target, "w") as bundle:
