@@ -24,7 +24,6 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -82,56 +81,68 @@ class MTree:
         limit = max(LEAF, len(rows) // 2)
         return [part for g in groups if len(g) for part in np.array_split(g, -(-len(g) // limit))]
 
-    def candidates(self, query: np.ndarray, bound: float) -> Iterator[tuple[np.ndarray, list[float]]]:
-        """Row numbers page by page, nearest pages first. After each, the caller sets the bound beyond which nothing counts in the list that comes along."""
-        limit = [bound]
-        if self.root < 0:
-            return
-        top = self.pages[self.root]
-        start = float(np.linalg.norm(query - top["center"]))
-        heap = [(max(0.0, start - top["reach"]), self.root, start)]
-        while heap:
-            least, at, own = heapq.heappop(heap)
-            if least > limit[0]:
-                return
-            page = self.pages[at]
-            # |d(query, parent) - d(entry, parent)| bounds the distance from below, without computing it.
-            if page["rows"] is not None:
-                maybe = np.abs(own - page["near"]) <= limit[0]
-                if maybe.any():
-                    yield page["rows"][maybe], limit
+
+def search_tree(tree: MTree, ints: np.ndarray, ids: np.ndarray, length2: float, queries: np.ndarray, query_ids: np.ndarray, floors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best rows (score, then smaller id) of a tree for each of many integer queries, among scores of its floor or more.
+
+    ``ints`` and ``ids`` are the tree's rows, sorted by id. Returns row numbers and scores (queries x k; row -1 where there
+    are fewer). Best-first: pages wait in a heap by the least distance at which any of their queries could still find
+    something; a page carries the queries that it concerns, and each query drops out as soon as its own bound allows.
+    """
+    n, m = len(ints), len(queries)
+    empty = np.iinfo(np.int64).min
+    keys = np.full((m, k), empty, np.int64)  # score * n + (n - 1 - row): larger is better, ties to the smaller id
+    if not n or not m:
+        return np.full((m, k), -1), np.zeros((m, k), np.int64)
+    floats = np.column_stack([queries.astype(float), np.zeros(m)])
+    q2 = (queries.astype(np.int64) ** 2).sum(axis=1)
+
+    def reach(q: np.ndarray, score: np.ndarray) -> np.ndarray:
+        """The distance at which a score lies."""
+        with np.errstate(invalid="ignore"):
+            return np.sqrt(np.maximum(q2[q] + length2 - 2 * score, 0.0)) * (1 + SLACK) + SLACK
+
+    everyone = np.arange(m)
+    limit = reach(everyone, floors)
+    top = tree.pages[tree.root]
+    start = np.linalg.norm(floats - top["center"], axis=1)
+    heap: list[tuple] = [(0.0, 0, tree.root, everyone, start, np.maximum(start - top["reach"], 0.0))]
+    pushed = 0
+    while heap:
+        _, _, at, who, own, least = heapq.heappop(heap)
+        still = least <= limit[who]
+        if not still.any():
+            continue
+        who, own = who[still], own[still]
+        page = tree.pages[at]
+        # |d(query, parent) - d(entry, parent)| bounds the distance from below, without computing it.
+        bound = np.abs(own[:, None] - page["near"][None])
+        if page["rows"] is not None:
+            maybe = bound <= limit[who][:, None]
+            some = maybe.any(axis=0)
+            if not some.any():
                 continue
-            maybe = np.flatnonzero(np.abs(own - page["near"]) - page["radius"] <= limit[0])
-            if len(maybe):
-                d = np.linalg.norm(page["objects"][maybe] - query, axis=1)
-                low = np.maximum(0.0, d - page["radius"][maybe])
-                for k, far, floor in zip(maybe.tolist(), d.tolist(), low.tolist(), strict=True):
-                    if floor <= limit[0]:
-                        heapq.heappush(heap, (floor, page["children"][k], far))
-
-
-def search_tree(tree: MTree, ints: np.ndarray, ids: np.ndarray, length2: float, query: np.ndarray, query_id: int, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-    """The k best (score, then smaller id) rows for an integer query with scores of ``floor`` or more: row numbers and scores."""
-    long_query = np.append(query.astype(float), 0.0)
-    q2 = float((query.astype(np.int64) ** 2).sum())
-
-    def reach(score: float) -> float:
-        """The distance at which that score lies."""
-        return np.sqrt(max(q2 + length2 - 2 * score, 0.0)) * (1 + SLACK) + SLACK
-
-    rows, scores = np.empty(0, np.int64), np.empty(0, np.int64)
-    for found, limit in tree.candidates(long_query, reach(floor)):
-        found = found[ids[found] != query_id]
-        if not len(found):
+            rows = page["rows"][some]
+            found = (queries[who].astype(np.int64) @ ints[rows].T) * n + (n - 1 - rows)
+            found[~maybe[:, some] | (ids[rows][None] == query_ids[who][:, None])] = empty
+            best = np.concatenate([keys[who], found], axis=1)
+            keys[who] = np.partition(best, best.shape[1] - k, axis=1)[:, -k:]
+            worst = keys[who].min(axis=1)
+            full = worst > empty
+            limit[who[full]] = np.minimum(limit[who[full]], reach(who[full], np.maximum(worst[full] // n, floors[who[full]])))
             continue
-        rows = np.concatenate([rows, found])
-        scores = np.concatenate([scores, ints[found] @ query])
-        if len(rows) > k:
-            best = np.lexsort((ids[rows], -scores))[:k]
-            rows, scores = rows[best], scores[best]
-        if len(rows) == k:
-            limit[0] = min(limit[0], reach(max(float(scores.min()), floor)))
-    return rows, scores
+        maybe = bound - page["radius"][None] <= limit[who][:, None]
+        for e in np.flatnonzero(maybe.any(axis=0)).tolist():
+            asked = who[maybe[:, e]]
+            d = np.linalg.norm(floats[asked] - page["objects"][e], axis=1)
+            low = np.maximum(d - page["radius"][e], 0.0)
+            near = low <= limit[asked]
+            if near.any():
+                pushed += 1
+                heapq.heappush(heap, (float(low[near].min()), pushed, page["children"][e], asked[near], d[near], low[near]))
+    order = -np.sort(-keys, axis=1)
+    scores = order // n
+    return np.where(order == empty, -1, n - 1 - (order - scores * n)), scores
 
 
 def whole_vectors(table: DataFrame, scale: int) -> DataFrame:
@@ -196,22 +207,20 @@ def _longest(vectors: DataFrame) -> float:
 def _search(data: DataFrame, queries: DataFrame, length2: float, k: int) -> DataFrame:
     """query_id, vec_id, score: the k best of each query's block. ``queries``: id, v, floor, block, part."""
 
-    def search(vectors: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if len(vectors) and len(asked):
-            vectors = vectors.sort_values("id", kind="stable")
-            ids = vectors["id"].to_numpy()
-            ints = np.stack(vectors["v"].to_numpy()).astype(np.int64)
+    def search(key: tuple, vectors: pa.Table, asked: pa.Table) -> pa.Table:
+        ids = query_ids = rows = scores = np.empty(0, np.int64)
+        if vectors.num_rows and asked.num_rows:
+            vectors = vectors.sort_by("id")
+            ids, query_ids = vectors["id"].to_numpy(), asked["id"].to_numpy()
+            ints, wanted = _array(vectors["v"].combine_chunks()).astype(np.int64), _array(asked["v"].combine_chunks()).astype(np.int64)
             spare = np.sqrt(np.maximum(length2 - (ints**2).sum(axis=1), 0.0))
-            tree = MTree(np.column_stack([ints.astype(float), spare]))
-            for query_id, query, floor in zip(asked["id"].tolist(), asked["v"], asked["floor"].tolist(), strict=True):
-                q = np.asarray(query, np.int64)
-                rows, scores = search_tree(tree, ints, ids, length2, q, query_id, k, -np.inf if floor is None or np.isnan(floor) else floor)
-                out.append((np.full(len(rows), query_id), ids[rows], scores))
-        parts = [np.concatenate([x[j] for x in out]) if out else np.empty(0, np.int64) for j in range(3)]
-        return pd.DataFrame({"query_id": parts[0], "vec_id": parts[1], "score": parts[2]}).astype("int64")
-
-    return data.groupBy("block", "part").cogroup(queries.groupBy("block", "part")).applyInPandas(search, "query_id long, vec_id long, score long")
+            floors = asked["floor"].fill_null(-np.inf).to_numpy()
+            rows, scores = search_tree(MTree(np.column_stack([ints.astype(float), spare])), ints, ids, length2, wanted, query_ids, floors, k)
+            query_ids, rows, scores = np.repeat(query_ids, k), rows.ravel(), scores.ravel()
+            query_ids, scores, rows = query_ids[rows >= 0], scores[rows >= 0], rows[rows >= 0]
+        return pa.table({"query_id": pa.array(query_ids if len(rows) else rows, pa.int64()), "vec_id": pa.array(ids[rows] if len(rows) else rows, pa.int64()), "score": pa.array(scores, pa.int64())})
+
+    return data.groupBy("block", "part").cogroup(queries.groupBy("block", "part")).applyInArrow(search, "query_id long, vec_id long, score long")
 
 
 SQL = """
