@@ -15,38 +15,47 @@ from lumafold.llm.common import stage
 from lumafold.session import ship, table
 
 
+#: Names of the columns that the cuts add, unlike any of documents.
+COUNTS = ("__lf_before", "__lf_removed")
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id isn't among the rows of ``gone`` (a null id counts as an id)."""
+    ids = gone.select(F.col("doc_id").alias("__lf_gone")).distinct().hint("shuffle_hash")
+    return docs.join(ids, docs["doc_id"].eqNullSafe(F.col("__lf_gone")), "left_anti").select(*docs.columns)
+
+
 def _trimmed(cut: DataFrame, docs: DataFrame) -> DataFrame:
     """The columns of ``docs`` after a cut of texts: n_chars counted anew, and no rows that the cut left without a word."""
-    emptied = (F.col("n_removed") > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    emptied = (F.col(COUNTS[1]) > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     counted = cut.where(~emptied)
     if "n_chars" in docs.columns:
-        counted = counted.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        counted = counted.withColumn("n_chars", F.when(F.col(COUNTS[1]) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return counted.select(*docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the divergence rules reject go."""
     ship(spark)
-    return docs.join(divergence.judge(docs).where("not kept").select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    return _without(docs, divergence.judge(docs).where("not kept"))
 
 
 def line_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of three-line windows go; documents of which nothing stays go too."""
     ship(spark)
-    return _trimmed(line_dedup.dedup_lines(docs), docs)
+    return _trimmed(line_dedup.dedup_lines(docs, counts=COUNTS), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates, the document with the smallest id stays."""
     ship(spark)
-    gone = near_dup.near_duplicates(docs, width=5, percent=85).where("not kept").select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    return _without(docs, near_dup.near_duplicates(docs, width=5, percent=85).where("not kept"))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of later copies of fifty-word windows go; documents of which nothing stays go too."""
     ship(spark)
-    return _trimmed(substring_dedup.dedup_substrings(docs, length=50), docs)
+    return _trimmed(substring_dedup.dedup_substrings(docs, length=50, counts=COUNTS), docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -118,7 +118,7 @@ def js_distance(p: str, q: str) -> Column:
 
 def _shares(name: str) -> Column:
     total = F.aggregate(name, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(name, lambda x: x / total)
+    return F.transform(name, lambda x: F.try_divide(x, total))  # null where there is nothing to share
 
 
 def judge(docs: DataFrame, max_class_distance: float = 0.28, max_word_distance: float = 0.5, min_words: int = 50, min_chars: int = 200, min_reference_words: int = 1000) -> DataFrame:

@@ -108,35 +108,38 @@ def _kept(text: bytes, late: list[int], width: int) -> tuple[bytes, int, int]:
 
 def _with_late(docs: DataFrame, width: int) -> DataFrame:
     """docs, with the column of late windows beside; a document's row meets at most its own windows."""
-    late = late_windows(docs, width).withColumnRenamed("doc", "__doc")
+    late = late_windows(docs, width).withColumnsRenamed({"doc": "__lf_doc", "late": "__lf_late"})
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
-    return docs.withColumn("__key", key).join(late.hint("shuffle_hash"), F.col("__key") == F.col("__doc"), "left").drop("__key", "__doc")
+    return docs.withColumn("__lf_key", key).join(late.hint("shuffle_hash"), F.col("__lf_key") == F.col("__lf_doc"), "left").drop("__lf_key", "__lf_doc")
 
 
 def _late(column: pa.Array) -> list[list[int]]:
     return [x or [] for x in column.to_pylist()]
 
 
-def dedup_lines(docs: DataFrame, width: int = 3) -> DataFrame:
-    """``docs`` with repeated line windows removed from ``text``; adds n_lines and n_removed (long)."""
-    names = docs.columns
+def dedup_lines(docs: DataFrame, width: int = 3, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """``docs`` with repeated line windows removed from ``text``; adds ``counts`` (long): lines before, and lines removed.
+
+    Other columns stay, but for such as are named like ``counts``.
+    """
+    names = [c for c in docs.columns if c not in counts]
     at = names.index("text")
-    joined = _with_late(docs, width).select(*names, "late")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_lines long, n_removed long"
+    joined = _with_late(docs, width).select(*names, "__lf_late")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names) + f", `{counts[0]}` long, `{counts[1]}` long"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [(None, 0, 0) if text is None else _kept(text, late, width) for text, late in zip(batch.column(at).cast(pa.binary()).to_pylist(), _late(batch.column(len(names))), strict=True)]
             texts = pa.array([x[0] for x in out], pa.binary()).cast(pa.string())
             columns = [texts if k == at else batch.column(k) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64())], [*names, "n_lines", "n_removed"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64())], [*names, *counts])
 
     return joined.mapInArrow(cut, schema)
 
 
 def dedup_digest(docs: DataFrame, width: int = 3) -> DataFrame:
     """doc_id, n_lines, n_removed and the sha256 of the text that stays, without moving texts after the cut."""
-    joined = _with_late(docs.select("doc_id", F.col("text").cast("string").alias("text")), width).select("doc_id", "text", "late")
+    joined = _with_late(docs.select("doc_id", F.col("text").cast("string").alias("text")), width).select("doc_id", "text", "__lf_late")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

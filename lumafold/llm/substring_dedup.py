@@ -155,9 +155,9 @@ def cut_words(words: list[bytes], copy: bool | None, starts: np.ndarray | None,
 
 
 def _with_removals(docs: DataFrame, length: int) -> DataFrame:
-    gone = removals(docs, length).withColumnsRenamed({"doc": "__doc", "copy": "__copy", "starts": "__starts"})
+    gone = removals(docs, length).withColumnsRenamed({"doc": "__lf_doc", "copy": "__lf_copy", "starts": "__lf_starts"})
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
-    return docs.withColumn("__key", key).join(gone.hint("shuffle_hash"), F.col("__key") == F.col("__doc"), "left").drop("__key", "__doc")
+    return docs.withColumn("__lf_key", key).join(gone.hint("shuffle_hash"), F.col("__lf_key") == F.col("__lf_doc"), "left").drop("__lf_key", "__lf_doc")
 
 
 def _starts(column: pa.Array) -> Iterator[np.ndarray | None]:
@@ -167,7 +167,7 @@ def _starts(column: pa.Array) -> Iterator[np.ndarray | None]:
 
 def dedup_digest(docs: DataFrame, length: int = 50) -> DataFrame:
     """doc_id, n_words, n_removed, and the sha256 of the words that stay, joined by one space."""
-    joined = _with_removals(docs.select("doc_id", F.col("text").cast("string").alias("text")), length).select("doc_id", "text", "__copy", "__starts")
+    joined = _with_removals(docs.select("doc_id", F.col("text").cast("string").alias("text")), length).select("doc_id", "text", "__lf_copy", "__lf_starts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,12 +183,15 @@ def dedup_digest(docs: DataFrame, length: int = 50) -> DataFrame:
     return joined.mapInArrow(cut, f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, n_removed long, kept_sha256 string")
 
 
-def dedup_substrings(docs: DataFrame, length: int = 50) -> DataFrame:
-    """``docs`` with removed words cut from ``text`` (the rest joined by one space; texts that lose nothing stay as they are); adds n_words and n_removed."""
-    names = docs.columns
+def dedup_substrings(docs: DataFrame, length: int = 50, counts: tuple[str, str] = ("n_words", "n_removed")) -> DataFrame:
+    """``docs`` with removed words cut from ``text`` (the rest joined by one space; texts that lose nothing stay as they are).
+
+    Adds ``counts`` (long): words before, and words removed. Other columns stay, but for such as are named like ``counts``.
+    """
+    names = [c for c in docs.columns if c not in counts]
     at = names.index("text")
-    joined = _with_removals(docs, length).select(*names, "__copy", "__starts")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_words long, n_removed long"
+    joined = _with_removals(docs, length).select(*names, "__lf_copy", "__lf_starts")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names) + f", `{counts[0]}` long, `{counts[1]}` long"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,7 +203,7 @@ def dedup_substrings(docs: DataFrame, length: int = 50) -> DataFrame:
                 removed.append(len(words) - len(kept))
                 texts.append(text if len(kept) == len(words) else b" ".join(kept))
             columns = [pa.array(texts, pa.binary()).cast(pa.string()) if k == at else batch.column(k) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(removed, pa.int64())], [*names, "n_words", "n_removed"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(removed, pa.int64())], [*names, *counts])
 
     return joined.mapInArrow(cut, schema)
 
