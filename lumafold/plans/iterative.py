@@ -67,8 +67,8 @@ def q41(spark: SparkSession, sf: str) -> DataFrame:
     mean = samples.groupBy("frame", "coil").agg(F.avg("re").alias("re"), F.avg("im").alias("im"))
     grid = spark.range(64).select((F.col("id") % 8).cast("int").alias("ix"), F.floor(F.col("id") / 8).cast("int").alias("iy"))
     # A smooth object for each frame; four Gaussian coils see it.
-    objects = mean.where("coil < 16").groupBy(F.col("frame").cast("int").alias("frame")).agg(F.sort_array(F.collect_list(F.struct("coil", "re", "im"))).alias("x"))
-    image = objects.crossJoin(grid).withColumn("p", F.get("x", (F.col("ix") + 8 * F.col("iy")).cast("int") % 16)).select("frame", "ix", "iy", F.col("p.re").alias("vr"), F.col("p.im").alias("vi"))
+    objects = mean.groupBy(F.col("frame").cast("int").alias("frame")).agg(F.sort_array(F.collect_list(F.struct("coil", "re", "im"))).alias("x"))
+    image = objects.crossJoin(grid).withColumn("p", F.get("x", (F.col("ix") + 8 * F.col("iy")).cast("int") % 32)).select("frame", "ix", "iy", F.col("p.re").alias("vr"), F.col("p.im").alias("vi"))
     corners = [(0, 0.0, 0.0), (1, 7.0, 0.0), (2, 0.0, 7.0), (3, 7.0, 7.0)]
     coils = spark.createDataFrame(corners, "coil int, cx double, cy double")
     weight = F.exp(-((F.col("ix") - F.col("cx")) * (F.col("ix") - F.col("cx")) + (F.col("iy") - F.col("cy")) * (F.col("iy") - F.col("cy"))) / 72.0)

@@ -151,3 +151,82 @@ def test_event_windows(spark, sf):
 
     events_ = table(spark, sf, "events")
     assert frames.event_windows(events_).agg(F.sum("n")).first()[0] == events_.count()
+
+
+def test_pulses():
+    from lumafold.operators import pulses
+
+    limits = {"max_grad": 0.05, "max_slew": 100.0, "raster": 4e-6}
+    p = pulses.excitation_pulse(10.0, 0.004, 6.0, 0.04, **limits)
+    assert p.duration == pytest.approx(0.004) and p.magnitude.sum() * p.raster == pytest.approx(10 / 360) and p.peak_gauss > 0
+    assert pulses.fat_pulse(90.0, 0.01, 2.0, 3.0, 4e-6).offset < 0
+    with pytest.raises(ValueError):
+        pulses.excitation_pulse(10.0, 0.0001, 60.0, 0.001, **limits)
+    for t, n, f in zip(pulses.prephasers((240, 240, 45), (0.2, 0.2, 0.04), **limits), (240, 240, 45), (0.2, 0.2, 0.04), strict=True):
+        assert t["amplitude"] * (t["flat"] + t["rise"]) == pytest.approx(-n / 2 / f)
+    assert pulses.spoilers((240, 240, 45), (0.2, 0.2, 0.04), 4, **limits)[0]["amplitude"] > 0
+
+
+def test_export_checks_before_it_writes(spark):
+    from lumafold.operators import pipeline
+
+    schema = "max_grad double, max_slew double, max_b1 double, peak_pns double, acoustics double, spec_grad double, spec_slew double, spec_b1 double, spec_pns double, spec_acoustics double"
+    good = feasibility.report(spark.createDataFrame([(1.0, 2.0, 0.1, 50.0, 0.1, 5.0, 20.0, 0.2, 100.0, 0.3)], schema))
+    bad = feasibility.report(spark.createDataFrame([(9.0, 2.0, 0.1, 50.0, 0.1, 5.0, 20.0, 0.2, 100.0, 0.3)], schema))
+    content = loopfile.LoopFile([], [], np.zeros((1, 23)))
+    assert loopfile.decode(pipeline.export_loops({"a": good}, {"a": content})["a"]).loop.shape == (1, 23)
+    with pytest.raises(ValueError, match="grad"):
+        pipeline.export_loops({"a": good, "b": bad}, {"a": content, "b": content})
+
+
+def test_raw_shots_to_image(spark):
+    """A fully sampled object through whitening, compression, gridding, correction and combination."""
+    from lumafold.operators import pipeline, recon
+
+    nx, ny, ncoil = 16, 4, 3
+    rng = np.random.default_rng(3)
+    image = np.zeros((nx, ny))
+    image[5:11, 1:3] = 1.0
+    sens = rng.normal(size=ncoil) + 1j * rng.normal(size=ncoil)
+    kx = (np.arange(nx) - nx / 2) / 20.0
+    ky = np.fft.fftshift(np.fft.fft(np.fft.fftshift(image, 1), axis=1), 1)
+    x = (np.arange(nx) - nx / 2) * 20.0 / nx
+    rows = []
+    for e in range(ny):
+        line = np.exp(-2j * np.pi * np.outer(kx, x)) @ ky[:, e]
+        line = line * np.exp(1j * 0.4) if e % 2 else line
+        rows += [(0, 0, e, c, i, float((line[i] * sens[c]).real), float((line[i] * sens[c]).imag)) for c in range(ncoil) for i in range(nx)]
+    shots = spark.createDataFrame(rows, "frame int, shot int, echo int, coil int, i int, re double, im double")
+    plan = spark.createDataFrame([(0, 0, e, e, 0) for e in range(ny)], "frame int, shot int, echo int, iy int, iz int")
+    trajectory = spark.createDataFrame([(p, i, float(k)) for p in (0, 1) for i, k in enumerate(kx)], "parity int, i int, kx double")
+    weights = recon.gridding_weights(trajectory, nx, 20.0)
+    volume = pipeline.kspace_volume(shots, plan, np.eye(ncoil), np.eye(ncoil), weights, (0.4, 0.0), nx, ny, 1)
+    assert pipeline.duplicate_places(plan).first()["duplicates"] == 0
+    found = np.zeros((nx, ny, ncoil), complex)
+    for r in volume.collect():
+        found[r["ix"], r["iy"], r["coil"]] = complex(r["re"], r["im"])
+    lines = np.fft.fftshift(np.fft.ifft(np.fft.fftshift(found, 1), axis=1), 1)
+    got = np.sqrt((np.abs(lines) ** 2).sum(-1))
+    assert np.corrcoef(got.ravel(), image.ravel())[0, 1] > 0.95
+    out = pipeline.reconstruct(volume, lambda: pytest.fail("rss needs no maps"), (nx, ny, 1), ncoil, "rss")
+    assert out.count() == nx * ny and out.where("status <> 'ok'").count() == 0 and pipeline.empty_frames(out).count() == 0
+    with pytest.raises(ValueError):
+        pipeline.reconstruct(volume, volume, (nx, ny, 1), ncoil, "magic")
+
+
+def test_delay_report_and_figures(spark):
+    from lumafold.operators import pipeline, recon
+
+    nx, etl = 32, 8
+    kx = np.linspace(-nx / 40, nx / 40, 40, endpoint=False)
+    rows = []
+    for e in range(etl):
+        s = sum(np.exp(-2j * np.pi * kx * p) for p in np.linspace(-4, 4, 9)) * np.exp(1j * (0.3 if e % 2 else 0.0))
+        rows += [(0, e, 0, i, float(s[i].real), float(s[i].imag)) for i in range(len(kx))]
+    shots = spark.createDataFrame(rows, "shot int, echo int, coil int, i int, re double, im double")
+    trajectory = spark.createDataFrame([(p, i, float(k)) for p in (0, 1) for i, k in enumerate(kx)], "parity int, i int, kx double")
+    report = pipeline.delay_report(shots, trajectory, nx, etl, 20.0, [-1.0, 0.0, 1.0])
+    assert report.count() == 3 and recon.best_delay(report).count() == 1
+    mask = lattice.sampling_masks(spark, "caipi", 8, 8, 2, 4)
+    assert pipeline.mask_figure(mask, 1, 8, 8, 0.2, 0.2).count() == 64
+    assert pipeline.run_all(["a", "b"], lambda n: spark.range(1) if n == "a" else spark.table("nowhere"))["b"].startswith("failed")
