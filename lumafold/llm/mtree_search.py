@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumafold.llm.common import stage
@@ -195,8 +195,9 @@ def top_k(table: DataFrame, is_query: Column, k: int = 20, scale: int = 64, bloc
     rest = ready.select("id", "v", "floor", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("block"), "own").where("block <> own").select("id", "v", "floor", "block", F.pmod(F.xxhash64("id"), F.lit(asked)).cast("int").alias("part"))
     dealt = data.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(asked - 1))))
     found = reached.unionByName(_search(dealt, rest, length2, k)) if count > 1 else reached
-    merged = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("i")))), 1, k).alias("best"))
-    return merged.select("query_id", F.posexplode("best").alias("p", "b")).select("query_id", (F.col("p") + 1).alias("rank"), F.col("b.i").alias("vec_id"), (-F.col("b.s")).alias("score"))
+    # Spark keeps the k best of each partition before it shuffles, so no task sees all blocks' rows of a query.
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _longest(vectors: DataFrame) -> float:
