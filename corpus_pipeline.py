@@ -37,7 +37,8 @@ def _trimmed(cut: DataFrame, docs: DataFrame) -> DataFrame:
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the divergence rules reject go."""
     ship(spark)
-    return _without(docs, divergence.judge(docs).where("not kept"))
+    verdicts = stage(divergence.judge(docs), "verdicts")  # written, else the filter would repeat the distances in its plan
+    return _without(docs, verdicts.where("not kept"))
 
 
 def line_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
