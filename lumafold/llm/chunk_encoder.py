@@ -31,7 +31,7 @@ class ChunkEncoder:
     one only between two characters that aren't white space; texts with other spaces take a slower path.
     """
 
-    def __init__(self, path: str, drops_space: bool, cap: int = 400_000) -> None:
+    def __init__(self, path: str, drops_space: bool, cap: int = 700_000) -> None:
         from tokenizers import Tokenizer
 
         self.plain = Tokenizer.from_file(path)
@@ -207,6 +207,6 @@ def _byte_letters() -> dict[int, str]:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, drops_space: bool, cap: int = 400_000) -> ChunkEncoder:
+def encoder(path: str, drops_space: bool, cap: int = 700_000) -> ChunkEncoder:
     """One encoder for each worker process, kept over its tasks."""
     return ChunkEncoder(path, drops_space, cap)

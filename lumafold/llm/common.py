@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 
 _own_dir: dict[str, str] = {}
 _roots: set[tuple[str, str]] = set()
+_staged: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,6 +42,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_dir(spark, name)
     df.write.parquet(path)
+    _staged.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lumafold_path = path
     return out
@@ -53,6 +56,22 @@ def drop_staged(*frames: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes, at its end, all tables staged inside it but those passed to the function that it gives."""
+    start, kept = len(_staged), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._lumafold_path)
+        return df
+
+    yield keep
+    for path in _staged[start:]:
+        if path not in kept:
+            _delete(spark, path)
+    _staged[start:] = [p for p in _staged[start:] if p in kept]
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)

@@ -237,8 +237,8 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, dr
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, zstd = encoder(tokenizer, drops_space), zstandard.ZstdCompressor(level=1)
         for whole in batches:
-            for at in range(0, whole.num_rows, 128):
-                batch = whole.slice(at, 128)
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
                 ids = enc.encode([t or "" for t in batch.column(1).to_pylist()])
                 key = batch.column(0)
                 shard = np.searchsorted(bounds, key.fill_null(-(1 << 63)).to_numpy(), side="right").astype(np.int32)
