@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumafold.llm import divergence, line_dedup, near_dup, packing, substring_dedup
-from lumafold.llm.common import scratch, stage
+from lumafold.llm.common import release, scratch, stage
 from lumafold.session import ship, table
 
 
@@ -84,4 +84,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, work in STAGES[:-1]:
         with scratch(spark) as keep:  # what a stage wrote for itself goes when its result is written
             docs = keep(stage(work(spark, docs, sf_dir), name))
+        release(spark)
     return STAGES[-1][1](spark, docs, sf_dir)

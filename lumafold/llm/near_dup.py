@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumafold.llm.common import WordHashes, drop_staged, mix64, rolling, stage
+from lumafold.llm.common import WordHashes, drop_staged, mix64, release, rolling, stage
 from lumafold.llm.components import connected_components
 
 ROWS, BANDS = 7, 36
@@ -311,6 +311,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, miss: fl
     shared = stage(buckets.groupBy("key").agg(F.min("c").alias("pivot"), F.max("c").alias("top"), F.count("*").alias("size")).where("pivot < top").select("key", "pivot", "size"), "shared")
     members = stage(buckets.join(shared, "key").select("key", "c", "pivot", "size"), "buckets")
     sets = _full_sets(docs, firsts.select("c", F.col("first").alias("doc")).join(members.select("c").distinct(), "c", "left_semi"), width)
+    release(docs.sparkSession)
     stars = members.where("c <> pivot").select(F.col("pivot").alias("a"), F.col("c").alias("b")).distinct()
     links = _Links(sets, percent)
     links.add(stage(_prune(stars, nodes, bounds), "stars"))

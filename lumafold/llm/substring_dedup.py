@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumafold.llm.common import WordHashes, drop_staged, rolling, stage
+from lumafold.llm.common import WordHashes, drop_staged, release, rolling, stage
 
 #: A perfect difference set: every residue modulo 31 is a difference of two members.
 PERIOD = 31
@@ -133,12 +133,14 @@ def removals(docs: DataFrame, length: int = 50) -> DataFrame:
     hits = table.join(shared, "h")
     is_copy = (F.col("at") == WHOLE) & (F.col("doc") > F.col("first"))
     by_doc = stage(hits.groupBy("doc").agg(F.max(is_copy).alias("copy"), F.collect_list(F.when(F.col("at") != WHOLE, F.col("at"))).alias("places")), "anchors")
+    release(docs.sparkSession)
     found = _windows(docs, by_doc.where("not copy and size(places) > 0").select("doc", "places"), length)
     repeated = stage(_shared(found), "shared-windows")
     late = found.join(repeated, "h").where("doc > first").groupBy("doc").agg(F.collect_list("at").alias("starts"))
     copies = by_doc.where("copy").select("doc", F.lit(True).alias("copy"), F.lit(None).cast("array<int>").alias("starts"))
     out = stage(late.select("doc", F.lit(False).alias("copy"), "starts").unionByName(copies), "removals")
     drop_staged(by_doc, shared, repeated)
+    release(docs.sparkSession)
     return out
 
 
