@@ -214,67 +214,42 @@ class ShardReader:
                 yield from _entries(block, 0, _restarts(block)[1])
 
 
-def _bounds(docs: DataFrame, shard_bytes: int) -> list[int]:
-    """The ids at which shards begin: quantiles of doc_id, so that shards hold about ``shard_bytes`` of text."""
-    grid = [k / 1024 for k in range(1, 1024)]
-    row = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.percentile_approx("doc_id", grid, 10_000).alias("q")).first()
-    shards = min(1024, -(-(row["b"] or 0) // shard_bytes))
-    return sorted({row["q"][1024 * k // shards - 1] for k in range(1, shards)}) if shards > 1 else []
-
-
 def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, drops_space: bool = True, shard_bytes: int = 32 << 20) -> DataFrame:
     """Encode ``docs`` and write them to shards under ``path``, in ascending doc_id order from shard to shard.
 
-    Returns the manifest: a row (shard, file, n_docs, n_ids) for each shard. A shard is written under a name
-    of its task attempt and then renamed, so a lost executor's shard is written again.
+    Shards are ranges of doc_id with about ``shard_bytes`` of text each (raise it with the corpus, to keep files few). A range is
+    sorted by Spark, with spill, and streamed through the encoder into its file, so memory doesn't grow with it.
+    Returns the manifest: a row (shard, file, n_docs, n_ids) for each shard. A shard is written under a name of its task
+    attempt and then renamed, so a lost executor's shard is written again.
     Null and empty texts hold only the end id; repeated ids keep all rows; extra columns are ignored.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    bounds = np.array(_bounds(docs, shard_bytes), np.int64)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     end = np.array([end_id], "<u4").tobytes()
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, zstd = encoder(tokenizer, drops_space), zstandard.ZstdCompressor(level=1)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                ids = enc.encode([t or "" for t in batch.column(1).to_pylist()])
-                key = batch.column(0)
-                shard = np.searchsorted(bounds, key.fill_null(-(1 << 63)).to_numpy(), side="right").astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(shard), key, pa.array([zstd.compress(x + end) for x in ids], pa.binary())], ["shard", "doc_id", "ids"])
-
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(path)
-        fs.create_dir(root, recursive=True)
-        unzstd = zstandard.ZstdDecompressor()
-        attempt = TaskContext.get().taskAttemptId()
-        now, sink, writer, last, copy, done = None, None, None, (), 0, []
-
-        def close() -> None:
-            if writer is not None:
-                writer.close()
-                sink.close()
-                name = f"{root}/shard-{now:08d}.sst"
-                fs.move(f"{name}.{attempt}", name)
-                done.append((now, f"shard-{now:08d}.sst", writer.docs, writer.ids))
-
-        for batch in batches:
-            for shard, doc, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if shard != now:
-                    close()
-                    now, last = shard, ()
-                    sink = fs.open_output_stream(f"{root}/shard-{now:08d}.sst.{attempt}")
+        task = TaskContext.get()
+        file = f"shard-{task.partitionId():08d}.sst"
+        enc, writer, sink, last, copy = encoder(tokenizer, drops_space), None, None, (), 0
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                if writer is None:
+                    fs.create_dir(root, recursive=True)
+                    sink = fs.open_output_stream(f"{root}/{file}.{task.taskAttemptId()}")
                     writer = ShardWriter(sink)
-                copy = copy + 1 if last == (doc,) else 0
-                last = (doc,)
-                writer.add(make_key(doc, copy), unzstd.decompress(ids))
-        close()
-        if done:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), (pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["shard", "file", "n_docs", "n_ids"])
-
-    encoded = docs.mapInArrow(encode, "shard int, doc_id long, ids binary")
-    spread = encoded.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "ids")
+                batch = whole.slice(at, 256)
+                for doc, ids in zip(batch.column(0).to_pylist(), enc.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+                    copy = copy + 1 if last == (doc,) else 0
+                    last = (doc,)
+                    writer.add(make_key(doc, copy), ids + end)
+        if writer is not None:
+            writer.close()
+            sink.close()
+            fs.move(f"{root}/{file}.{task.taskAttemptId()}", f"{root}/{file}")
+            yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int32()), pa.array([file]), pa.array([writer.docs], pa.int64()), pa.array([writer.ids], pa.int64())], ["shard", "file", "n_docs", "n_ids"])
+
+    spread = docs.repartitionByRange(max(1, -(-size // shard_bytes)), F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
     return stage(spread.mapInArrow(write, "shard int, file string, n_docs long, n_ids long"), "sst-manifest")
 
 
