@@ -10,14 +10,10 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The characters that separate words: \x20 and \x09 to \x0D. bytes.split() separates at the same six.
-WORD_GAP = r"[\x20\x09-\x0D]+"
-
 _own_dir: dict[str, str] = {}
 _roots: set[tuple[str, str]] = set()
 _staged: list[str] = []
@@ -103,24 +99,6 @@ def crc_mod5(column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % 5
 
 
-def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
-    """UTF-8 bytes of a string column, without decoding them."""
-    return column.cast(pa.binary()).to_pylist()
-
-
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """mapInArrow for a function of one batch; None yields nothing."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
-                if out is not None and out.num_rows:
-                    yield out
-
-    return df.mapInArrow(run, schema)
-
-
 class WordHashes:
     """64-bit hashes of words with a bounded two-generation memo."""
 
