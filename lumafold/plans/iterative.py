@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lumafold.operators import disc, lattice, ordering, recon, schedule
 from lumafold.operators import feasibility as P
 from lumafold.plans.masks import ETL, query_set
-from lumafold.plans.views import ACQ_SQL, CELLS_SQL, NY, NZ, acquisitions, cells, coil_samples
+from lumafold.plans.views import CELLS_SQL, NY, NZ, cells, coil_samples
 from lumafold.session import table
 
 QUERIES, ORACLES, query = query_set()
@@ -90,7 +90,7 @@ _DT, _SLEW, _CHRON = 4e-6, 23.4 / 0.333, 40e-6
 
 @query(
     "q47_stimulation",
-    f"""WITH {ACQ_SQL}, w AS (SELECT 0 AS ch, row_number() OVER (ORDER BY ts, event_id) - 1 AS i, value * 1e-6 AS g FROM events), s AS (SELECT i, coalesce((g - lag(g) OVER (ORDER BY i)) / {_DT}, 0) AS s FROM w),
+    f"""WITH w AS (SELECT 0 AS ch, row_number() OVER (ORDER BY ts, event_id) - 1 AS i, value * 1e-6 AS g FROM events), s AS (SELECT i, coalesce((g - lag(g) OVER (ORDER BY i)) / {_DT}, 0) AS s FROM w),
 p AS (SELECT a.i, sum(b.s * {_DT} / {_SLEW} * {_CHRON} / power({_CHRON} + {_DT} * (a.i - b.i + 1), 2)) AS p FROM s a JOIN s b ON b.i <= a.i AND b.i > a.i - 200 GROUP BY a.i)
 SELECT i, round(100 * abs(p), 4) + 0.0 AS pns FROM p""",
 )
