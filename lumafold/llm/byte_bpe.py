@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumafold.llm.chunk_encoder import LONGEST, chunk_of, cuts, safe_chunks, safe_word
+from lumafold.llm.common import own_memory
 
 def load_ranks(path: str) -> dict[bytes, int]:
     """A rank file: a base64 token and its rank on each line."""
@@ -189,9 +190,14 @@ class ByteBPE:
 
 
 @lru_cache(maxsize=2)
+def _kept(path: str, pattern: str, cap: int) -> ByteBPE:
+    return ByteBPE(load_ranks(path), pattern, cap)
+
+
 def codec(path: str, pattern: str, cap: int = 700_000) -> ByteBPE:
     """One codec for each worker process, kept over its tasks."""
-    return ByteBPE(load_ranks(path), pattern, cap)
+    own_memory(path, _kept.cache_clear)
+    return _kept(path, pattern, cap)
 
 
 def encode_documents(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:

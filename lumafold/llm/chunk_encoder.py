@@ -14,6 +14,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from lumafold.llm.common import own_memory
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Before a single space that stands between two characters that aren't white space.
@@ -31,7 +33,7 @@ class ChunkEncoder:
     one only between two characters that aren't white space; texts with other spaces take a slower path.
     """
 
-    def __init__(self, path: str, drops_space: bool, cap: int = 700_000) -> None:
+    def __init__(self, path: str, drops_space: bool, cap: int = 500_000) -> None:
         from tokenizers import Tokenizer
 
         self.plain = Tokenizer.from_file(path)
@@ -207,6 +209,11 @@ def _byte_letters() -> dict[int, str]:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, drops_space: bool, cap: int = 700_000) -> ChunkEncoder:
-    """One encoder for each worker process, kept over its tasks."""
+def _kept(path: str, drops_space: bool, cap: int) -> ChunkEncoder:
     return ChunkEncoder(path, drops_space, cap)
+
+
+def encoder(path: str, drops_space: bool, cap: int = 500_000) -> ChunkEncoder:
+    """One encoder for each worker process, kept over its tasks."""
+    own_memory(path, _kept.cache_clear)
+    return _kept(path, drops_space, cap)

@@ -99,12 +99,32 @@ def crc_mod5(column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % 5
 
 
+_owner = ""
+_clearers: dict[str, Callable[[], None]] = {}
+
+
+def own_memory(name: str, clear: Callable[[], None]) -> None:
+    """Called at the start of a task that fills a memo: worker processes live on from step to step, so the memos of other
+    steps go first, and a worker holds one at a time."""
+    global _owner
+    _clearers[name] = clear
+    if _owner != name:
+        for other, drop in _clearers.items():
+            if other != name:
+                drop()
+        gc.collect()
+        _owner = name
+
+
 class WordHashes:
     """64-bit hashes of words with a bounded two-generation memo."""
 
-    def __init__(self, cap: int = 500_000) -> None:
+    def __init__(self, cap: int = 400_000) -> None:
         self.cap, self.young, self.old = cap, {}, {}
 
+    def clear(self) -> None:
+        self.young, self.old = {}, {}
+
     def of(self, words: list[bytes]) -> np.ndarray:
         young = self.young
         missing = set(words).difference(young)
@@ -119,6 +139,10 @@ class WordHashes:
         return np.fromiter(map(young.__getitem__, words), np.uint64, len(words))
 
 
+#: The memo of this worker process.
+word_hashes = WordHashes()
+
+
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_MULT), -1, 1 << 64))
 _powers: list[np.ndarray] = []

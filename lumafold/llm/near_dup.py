@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumafold.llm.common import WordHashes, drop_staged, mix64, release, rolling, stage
+from lumafold.llm.common import drop_staged, mix64, own_memory, release, rolling, stage, word_hashes
 from lumafold.llm.components import connected_components
 
 ROWS, BANDS = 7, 36
@@ -46,7 +46,6 @@ BLOCK_BYTES = 32 << 20
 _rng = np.random.default_rng(20240229)
 _FACTORS = (_rng.integers(0, 1 << 31, VALUES, np.uint32) << np.uint32(1)) | np.uint32(1)
 _SHIFTS = _rng.integers(0, 1 << 32, VALUES, np.uint32)
-_hashes = WordHashes()
 
 
 def shingles(text: bytes | None, width: int) -> np.ndarray:
@@ -54,7 +53,7 @@ def shingles(text: bytes | None, width: int) -> np.ndarray:
     words = text.lower().split() if text else []
     if not words:
         return np.empty(0, np.uint64)
-    found = rolling(_hashes.of(words), min(width, len(words)))
+    found = rolling(word_hashes.of(words), min(width, len(words)))
     return np.unique(found if len(words) >= width else found + np.uint64(len(words)))
 
 
@@ -115,6 +114,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def _sketches(docs: DataFrame, width: int) -> DataFrame:
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_memory("words", word_hashes.clear)
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
@@ -164,6 +164,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """c, full: the shingle hashes of wanted contents (c, doc), made anew from the texts."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_memory("words", word_hashes.clear)
         seen: set[int] = set()
         for batch in batches:
             ids, sets = [], []

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumafold.llm.common import WordHashes, drop_staged, release, rolling, stage
+from lumafold.llm.common import drop_staged, own_memory, release, rolling, stage, word_hashes
 
 #: A perfect difference set: every residue modulo 31 is a difference of two members.
 PERIOD = 31
@@ -42,7 +42,6 @@ LAST_ID = (1 << 63) - 1
 WHOLE = -1
 
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
-_hashes = WordHashes()
 
 
 def anchor_places(n: int) -> np.ndarray:
@@ -76,6 +75,7 @@ def anchors(docs: DataFrame, length: int = 50) -> DataFrame:
         raise ValueError(f"windows must have {PERIOD} words or more")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_memory("words", word_hashes.clear)
         for batch in batches:
             found, size = [], 0
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
@@ -84,7 +84,7 @@ def anchors(docs: DataFrame, length: int = 50) -> DataFrame:
                     continue
                 at = anchor_places(len(words) - width + 1)
                 whole = xxhash.xxh3_64_intdigest(b" ".join(words), seed=1)
-                h = np.append(rolling(_hashes.of(words), width)[at], np.uint64(whole))
+                h = np.append(rolling(word_hashes.of(words), width)[at], np.uint64(whole))
                 found.append((h, doc, np.append(at, WHOLE)))
                 size += len(h)
                 if size > 200_000:
@@ -106,6 +106,7 @@ def _windows(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
     width = length - PERIOD + 1
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_memory("words", word_hashes.clear)
         for batch in batches:
             found, size = [], 0
             for doc, text, at in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2), strict=True):
@@ -113,7 +114,7 @@ def _windows(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
                 if len(words) < length:
                     continue
                 starts = candidate_windows(at.values.to_numpy(), width, length, len(words))
-                found.append((rolling(_hashes.of(words), length)[starts], doc, starts))
+                found.append((rolling(word_hashes.of(words), length)[starts], doc, starts))
                 size += len(starts)
                 if size > 200_000:
                     yield _flush(found)
