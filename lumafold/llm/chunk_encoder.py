@@ -33,7 +33,7 @@ class ChunkEncoder:
     one only between two characters that aren't white space; texts with other spaces take a slower path.
     """
 
-    def __init__(self, path: str, drops_space: bool, cap: int = 500_000) -> None:
+    def __init__(self, path: str, drops_space: bool, cap: int = 350_000) -> None:
         from tokenizers import Tokenizer
 
         self.plain = Tokenizer.from_file(path)
@@ -213,7 +213,7 @@ def _kept(path: str, drops_space: bool, cap: int) -> ChunkEncoder:
     return ChunkEncoder(path, drops_space, cap)
 
 
-def encoder(path: str, drops_space: bool, cap: int = 500_000) -> ChunkEncoder:
+def encoder(path: str, drops_space: bool, cap: int = 350_000) -> ChunkEncoder:
     """One encoder for each worker process, kept over its tasks."""
     own_memory(path, _kept.cache_clear)
     return _kept(path, drops_space, cap)
