@@ -94,6 +94,30 @@ def _clean() -> None:
                 return
 
 
+#: Repeated ids up to which only their rows get keys of their own; beyond, every row gets one.
+FEW_REPEATED = 100_000
+
+
+def with_row_keys(docs: DataFrame, last_id: int) -> DataFrame:
+    """``docs`` with __lf_doc (doc_id as a long, ``last_id`` for null) and __lf_key, which tells the rows of one id apart.
+
+    The key is a hash of the text where rows share an id, so it is the same whenever the plan is read, and rows with
+    the same id and text share it. Where an id has one row it is 0, which costs next to nothing in a shuffle.
+    """
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(last_id))
+    repeated = docs.select(doc.alias("__lf_many")).groupBy("__lf_many").count().where(F.col("count") > 1).select("__lf_many")
+    many = [r[0] for r in repeated.limit(FEW_REPEATED + 1).collect()]
+    keyed = docs.withColumn("__lf_doc", doc)
+    if not many:
+        return keyed.withColumn("__lf_key", F.lit(0).cast("long"))
+    key = F.xxhash64(F.col("text").cast("string"))
+    if len(many) > FEW_REPEATED:
+        return keyed.withColumn("__lf_key", key)
+    ids = docs.sparkSession.createDataFrame([(x,) for x in many], "__lf_many long")
+    met = keyed.join(F.broadcast(ids), F.col("__lf_doc") == F.col("__lf_many"), "left")
+    return met.withColumn("__lf_key", F.when(F.col("__lf_many").isNotNull(), key).otherwise(F.lit(0).cast("long"))).drop("__lf_many")
+
+
 def crc_mod5(column: str = "doc_id") -> Column:
     """crc32 of the id's decimal text, modulo 5; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % 5

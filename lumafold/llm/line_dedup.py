@@ -11,8 +11,8 @@ aggregation for the counts; the join that brings the first document's id back is
 adaptive execution splits where it is skewed.
 
 Null texts: no lines, nothing removed, the text stays null. Empty texts: one line without a word. Rows that
-repeat a doc_id count as one document for "first": neither removes the other's lines. A null doc_id sorts
-after all others. Extra columns are kept by ``dedup_lines``.
+repeat a doc_id count as one document for "first": neither removes the other's lines, but each loses its own
+late lines only. A null doc_id sorts after all others. Extra columns are kept by ``dedup_lines``.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumafold.llm.common import stage
+from lumafold.llm.common import stage, with_row_keys
 
 #: Stands for a null doc_id, after all others.
 LAST_ID = (1 << 63) - 1
@@ -45,15 +45,16 @@ def window_hashes(lines: list[bytes], places: list[int], width: int) -> list[byt
     return [digest(b"".join(each[i : i + width])) for i in range(len(each) - width + 1)]
 
 
-def windows(docs: DataFrame, width: int = 3) -> DataFrame:
-    """Each document's distinct windows: two halves of the hash, doc_id, and the number of the first window that has it."""
+def windows(keyed: DataFrame, width: int = 3) -> DataFrame:
+    """Each row's distinct windows: two halves of the hash, doc_id, row key, and the number of the first window that has it."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes: list[bytes] = []
             ids: list[int] = []
+            keys: list[int] = []
             places: list[int] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+            for doc, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
                 if text:
                     first: dict[bytes, int] = {}
                     for k, h in enumerate(window_hashes(*word_lines(text), width)):
@@ -61,25 +62,22 @@ def windows(docs: DataFrame, width: int = 3) -> DataFrame:
                     hashes += first
                     places += first.values()
                     ids += [doc] * len(first)
+                    keys += [key] * len(first)
             if ids:
                 halves = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.array(ids, pa.int64()), pa.array(places, pa.int32())], ["h1", "h2", "doc", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(places, pa.int32())], ["h1", "h2", "doc", "key", "at"])
 
-    return _columns(docs).mapInArrow(find, "h1 long, h2 long, doc long, at int")
+    return keyed.select("__lf_doc", "__lf_key", F.col("text").cast("string")).mapInArrow(find, "h1 long, h2 long, doc long, key long, at int")
 
 
-def _columns(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), F.col("text").cast("string").alias("text"))
-
-
-def late_windows(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc, late: the numbers of its windows that a smaller doc_id has too."""
-    found = windows(docs, width)
+def late_windows(keyed: DataFrame, width: int = 3) -> DataFrame:
+    """doc, key, late: the numbers of a row's windows that a smaller doc_id has too."""
+    found = windows(keyed, width)
     first = found.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("h1", "h2", "first")
     # Written, so that the join has an exchange on either side, which adaptive execution can split.
     first = stage(first, "repeated-lines")
     late = found.join(first, ["h1", "h2"]).where("doc > first")
-    return late.groupBy("doc").agg(F.collect_list("at").alias("late"))
+    return late.groupBy("doc", "key").agg(F.collect_list("at").alias("late"))
 
 
 def covered(hashes: list[bytes], late: list[int], width: int) -> np.ndarray:
@@ -107,10 +105,10 @@ def _kept(text: bytes, late: list[int], width: int) -> tuple[bytes, int, int]:
 
 
 def _with_late(docs: DataFrame, width: int) -> DataFrame:
-    """docs, with the column of late windows beside; a document's row meets at most its own windows."""
-    late = late_windows(docs, width).withColumnsRenamed({"doc": "__lf_doc", "late": "__lf_late"})
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
-    return docs.withColumn("__lf_key", key).join(late.hint("shuffle_hash"), F.col("__lf_key") == F.col("__lf_doc"), "left").drop("__lf_key", "__lf_doc")
+    """docs, with the column of late windows beside; a row meets at most its own windows."""
+    keyed = with_row_keys(docs, LAST_ID)
+    late = late_windows(keyed, width).withColumnsRenamed({"doc": "__lf_doc", "key": "__lf_key", "late": "__lf_late"})
+    return keyed.join(late.hint("shuffle_hash"), ["__lf_doc", "__lf_key"], "left").drop("__lf_doc", "__lf_key")
 
 
 def _late(column: pa.Array) -> list[list[int]]:

@@ -1,9 +1,11 @@
 """Inputs on which an operator once stopped short of the whole job."""
 
+import hashlib
 import random
 
 import pytest
 
+from lumafold.llm import common, line_dedup
 from lumafold.llm.components import connected_components
 
 
@@ -35,3 +37,39 @@ def test_components_of_long_chains(spark):
     with pytest.raises(RuntimeError):
         connected_components(table, max_rounds=1)
     assert connected_components(table.limit(0)).count() == 0
+
+
+def lines_that_stay(rows, width=3):
+    """Texts after line dedup, each row by itself: a window is late if a smaller id has it, or the row itself had it before."""
+    key = lambda i: float("inf") if i is None else i
+    cut = [t.split("\n") for _, t in rows]
+    first = {}
+    for (i, _), lines in zip(rows, cut, strict=True):
+        for k in range(len(lines) - width + 1):
+            w = tuple(lines[k : k + width])
+            first[w] = min(first.get(w, key(i)), key(i))
+    out = []
+    for (i, _), lines in zip(rows, cut, strict=True):
+        seen, gone = set(), set()
+        for k in range(len(lines) - width + 1):
+            w = tuple(lines[k : k + width])
+            if w in seen or first[w] < key(i):
+                gone.update(range(k, k + width))
+            seen.add(w)
+        out.append((i, "\n".join(x for k, x in enumerate(lines) if k not in gone)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_line_windows_of_rows_that_share_an_id(make, monkeypatch, few):
+    monkeypatch.setattr(common, "FEW_REPEATED", few)
+    block = ["s1 s", "s2 s", "s3 s"]
+    own = lambda name, n: [f"{name}{k} line" for k in range(n)]
+    long_late = own("a", 8) + block  # its ninth window is a copy
+    rows = [(1, "\n".join(block)), (None, "\n".join(long_late)), (None, "\n".join(own("b", 4))), (None, "\n".join(own("c", 20)))]
+    rows += [(5, "\n".join(long_late + ["z"])), (5, "\n".join(own("d", 3))), (5, "\n".join(own("e", 30))), (5, "\n".join(long_late + ["z"]))]
+    want = lines_that_stay(rows)
+    got = line_dedup.dedup_lines(make(rows)).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == want
+    digests = line_dedup.dedup_digest(make(rows)).collect()
+    assert sorted((str(r["doc_id"]), r["kept_sha256"]) for r in digests) == sorted((str(i), hashlib.sha256(t.encode()).hexdigest()) for i, t in want)
