@@ -18,7 +18,8 @@ hash, which adaptive execution splits where one passage fills much of the corpus
 but the places of one document.
 
 Null texts: no words. Texts with fewer than ``length`` words lose nothing. Rows that repeat a doc_id are
-one document to the rule: they remove nothing of each other. A null doc_id sorts after all others.
+one document to the rule: they remove nothing of each other, and each loses its own words only. A null doc_id
+sorts after all others.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumafold.llm.common import drop_staged, own_memory, release, rolling, stage, word_hashes
+from lumafold.llm.common import drop_staged, own_memory, release, rolling, stage, with_row_keys, word_hashes
 
 #: A perfect difference set: every residue modulo 31 is a difference of two members.
 PERIOD = 31
@@ -57,19 +58,20 @@ def candidate_windows(places: np.ndarray, width: int, length: int, n: int) -> np
     return np.flatnonzero(np.cumsum(step)[: max(0, n - length + 1)] > 0)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), F.col("text").cast("string").alias("text"))
+def _named(keyed: DataFrame) -> DataFrame:
+    return keyed.select(F.col("__lf_doc").alias("doc"), F.col("__lf_key").alias("key"), F.col("text").cast("string").alias("text"))
 
 
-def _flush(found: list[tuple[np.ndarray, int, np.ndarray]]) -> pa.RecordBatch:
+def _flush(found: list[tuple[np.ndarray, int, int, np.ndarray]]) -> pa.RecordBatch:
     h = np.concatenate([x[0] for x in found]).view(np.int64)
-    doc = np.repeat(np.array([x[1] for x in found], np.int64), [len(x[0]) for x in found])
-    at = np.concatenate([x[2] for x in found]).astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(h), pa.array(doc), pa.array(at)], ["h", "doc", "at"])
+    sizes = [len(x[0]) for x in found]
+    doc, key = (np.repeat(np.array([x[k] for x in found], np.int64), sizes) for k in (1, 2))
+    at = np.concatenate([x[3] for x in found]).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(h), pa.array(doc), pa.array(key), pa.array(at)], ["h", "doc", "key", "at"])
 
 
-def anchors(docs: DataFrame, length: int = 50) -> DataFrame:
-    """h, doc, at: hashes of all anchors, and of the whole word sequence, of documents with ``length`` words or more."""
+def anchors(keyed: DataFrame, length: int = 50) -> DataFrame:
+    """h, doc, key, at: hashes of all anchors, and of the whole word sequence, of rows with ``length`` words or more."""
     width = length - PERIOD + 1
     if width < 1:
         raise ValueError(f"windows must have {PERIOD} words or more")
@@ -78,14 +80,14 @@ def anchors(docs: DataFrame, length: int = 50) -> DataFrame:
         own_memory("words", word_hashes.clear)
         for batch in batches:
             found, size = [], 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+            for doc, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
                 words = text.split() if text else ()
                 if len(words) < length:
                     continue
                 at = anchor_places(len(words) - width + 1)
                 whole = xxhash.xxh3_64_intdigest(b" ".join(words), seed=1)
                 h = np.append(rolling(word_hashes.of(words), width)[at], np.uint64(whole))
-                found.append((h, doc, np.append(at, WHOLE)))
+                found.append((h, doc, key, np.append(at, WHOLE)))
                 size += len(h)
                 if size > 200_000:
                     yield _flush(found)
@@ -93,7 +95,7 @@ def anchors(docs: DataFrame, length: int = 50) -> DataFrame:
             if found:
                 yield _flush(found)
 
-    return _keyed(docs).mapInArrow(find, "h long, doc long, at int")
+    return _named(keyed).mapInArrow(find, "h long, doc long, key long, at int")
 
 
 def _shared(table: DataFrame) -> DataFrame:
@@ -101,20 +103,20 @@ def _shared(table: DataFrame) -> DataFrame:
     return table.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("h", "first")
 
 
-def _windows(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
-    """h, doc, at of the candidate windows around the anchors in ``places`` (doc, places)."""
+def _windows(keyed: DataFrame, places: DataFrame, length: int) -> DataFrame:
+    """h, doc, key, at of the candidate windows around the anchors in ``places`` (doc, key, places)."""
     width = length - PERIOD + 1
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_memory("words", word_hashes.clear)
         for batch in batches:
             found, size = [], 0
-            for doc, text, at in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2), strict=True):
+            for doc, key, text, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3), strict=True):
                 words = (text or b"").split()
                 if len(words) < length:
                     continue
                 starts = candidate_windows(at.values.to_numpy(), width, length, len(words))
-                found.append((rolling(word_hashes.of(words), length)[starts], doc, starts))
+                found.append((rolling(word_hashes.of(words), length)[starts], doc, key, starts))
                 size += len(starts)
                 if size > 200_000:
                     yield _flush(found)
@@ -122,26 +124,26 @@ def _windows(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
             if found:
                 yield _flush(found)
 
-    joined = _keyed(docs).join(places.hint("shuffle_hash"), "doc").select("doc", "text", "places")
-    return joined.mapInArrow(extend, "h long, doc long, at int")
+    joined = _named(keyed).join(places.hint("shuffle_hash"), ["doc", "key"]).select("doc", "key", "text", "places")
+    return joined.mapInArrow(extend, "h long, doc long, key long, at int")
 
 
-def removals(docs: DataFrame, length: int = 50) -> DataFrame:
-    """doc, copy, starts: what each document loses, all or the words of the windows at ``starts``."""
-    table = anchors(docs, length)
+def removals(keyed: DataFrame, length: int = 50) -> DataFrame:
+    """doc, key, copy, starts: what each row loses, all or the words of the windows at ``starts``."""
+    table = anchors(keyed, length)
     # Written, so that the join has an exchange on either side, which adaptive execution can split.
     shared = stage(_shared(table), "shared-anchors")
     hits = table.join(shared, "h")
     is_copy = (F.col("at") == WHOLE) & (F.col("doc") > F.col("first"))
-    by_doc = stage(hits.groupBy("doc").agg(F.max(is_copy).alias("copy"), F.collect_list(F.when(F.col("at") != WHOLE, F.col("at"))).alias("places")), "anchors")
-    release(docs.sparkSession)
-    found = _windows(docs, by_doc.where("not copy and size(places) > 0").select("doc", "places"), length)
+    by_doc = stage(hits.groupBy("doc", "key").agg(F.max(is_copy).alias("copy"), F.collect_list(F.when(F.col("at") != WHOLE, F.col("at"))).alias("places")), "anchors")
+    release(keyed.sparkSession)
+    found = _windows(keyed, by_doc.where("not copy and size(places) > 0").select("doc", "key", "places"), length)
     repeated = stage(_shared(found), "shared-windows")
-    late = found.join(repeated, "h").where("doc > first").groupBy("doc").agg(F.collect_list("at").alias("starts"))
-    copies = by_doc.where("copy").select("doc", F.lit(True).alias("copy"), F.lit(None).cast("array<int>").alias("starts"))
-    out = stage(late.select("doc", F.lit(False).alias("copy"), "starts").unionByName(copies), "removals")
+    late = found.join(repeated, "h").where("doc > first").groupBy("doc", "key").agg(F.collect_list("at").alias("starts"))
+    copies = by_doc.where("copy").select("doc", "key", F.lit(True).alias("copy"), F.lit(None).cast("array<int>").alias("starts"))
+    out = stage(late.select("doc", "key", F.lit(False).alias("copy"), "starts").unionByName(copies), "removals")
     drop_staged(by_doc, shared, repeated)
-    release(docs.sparkSession)
+    release(keyed.sparkSession)
     return out
 
 
@@ -158,9 +160,9 @@ def cut_words(words: list[bytes], copy: bool | None, starts: np.ndarray | None,
 
 
 def _with_removals(docs: DataFrame, length: int) -> DataFrame:
-    gone = removals(docs, length).withColumnsRenamed({"doc": "__lf_doc", "copy": "__lf_copy", "starts": "__lf_starts"})
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
-    return docs.withColumn("__lf_key", key).join(gone.hint("shuffle_hash"), F.col("__lf_key") == F.col("__lf_doc"), "left").drop("__lf_key", "__lf_doc")
+    keyed = with_row_keys(docs, LAST_ID)
+    gone = removals(keyed, length).withColumnsRenamed({x: f"__lf_{x}" for x in ("doc", "key", "copy", "starts")})
+    return keyed.join(gone.hint("shuffle_hash"), ["__lf_doc", "__lf_key"], "left").drop("__lf_doc", "__lf_key")
 
 
 def _starts(column: pa.Array) -> Iterator[np.ndarray | None]:

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from lumafold.llm import common, line_dedup
+from lumafold.llm import common, line_dedup, substring_dedup
 from lumafold.llm.components import connected_components
 
 
@@ -73,3 +73,36 @@ def test_line_windows_of_rows_that_share_an_id(make, monkeypatch, few):
     assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == want
     digests = line_dedup.dedup_digest(make(rows)).collect()
     assert sorted((str(r["doc_id"]), r["kept_sha256"]) for r in digests) == sorted((str(i), hashlib.sha256(t.encode()).hexdigest()) for i, t in want)
+
+
+def words_that_stay(rows, length):
+    """Texts after substring dedup, each row by itself."""
+    key = lambda i: float("inf") if i is None else i
+    first = {}
+    for i, t in rows:
+        w = t.split()
+        for k in range(len(w) - length + 1):
+            s = tuple(w[k : k + length])
+            first[s] = min(first.get(s, key(i)), key(i))
+    out = []
+    for i, t in rows:
+        w = t.split()
+        gone = {j for k in range(len(w) - length + 1) if first[tuple(w[k : k + length])] < key(i) for j in range(k, k + length)}
+        out.append((i, " ".join(x for j, x in enumerate(w) if j not in gone)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+@pytest.mark.parametrize("whole", [True, False])
+def test_substrings_of_rows_that_share_an_id(make, monkeypatch, few, whole):
+    monkeypatch.setattr(common, "FEW_REPEATED", few)
+    own = lambda name, n: [f"{name}{k}" for k in range(n)]
+    passage = own("p", 60)
+    copy = passage if whole else own("x", 90) + passage
+    rows = [(1, passage), (None, copy), (None, own("a", 55)), (None, own("b", 200)), (5, own("c", 52)), (5, copy), (5, own("d", 300))]
+    rows = [(i, " ".join(w)) for i, w in rows]
+    want = words_that_stay(rows, 50)
+    got = substring_dedup.dedup_substrings(make(rows), 50).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == want
+    digests = substring_dedup.dedup_digest(make(rows), 50).collect()
+    assert sorted((str(r["doc_id"]), r["kept_sha256"]) for r in digests) == sorted((str(i), hashlib.sha256(t.encode()).hexdigest()) for i, t in want)
