@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumafold.llm import divergence, line_dedup, near_dup, packing, substring_dedup
-from lumafold.llm.common import release, scratch, stage
+from lumafold.llm.common import release, scratch, stage, text_key
 from lumafold.session import ship, table
 
 
@@ -20,9 +20,10 @@ COUNTS = ("__lf_before", "__lf_removed")
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id isn't among the rows of ``gone`` (a null id counts as an id)."""
-    ids = gone.select(F.col("doc_id").alias("__lf_gone")).distinct().hint("shuffle_hash")
-    return docs.join(ids, docs["doc_id"].eqNullSafe(F.col("__lf_gone")), "left_anti").select(*docs.columns)
+    """Rows of ``docs`` that aren't among the rows of ``gone`` (doc_id and __lf_key): other texts of the same id, or without one, stay."""
+    rows = gone.select(F.col("doc_id").alias("__lf_gone"), F.col("__lf_key").alias("__lf_gone_key")).distinct().hint("shuffle_hash")
+    same = docs["doc_id"].eqNullSafe(F.col("__lf_gone")) & (text_key() == F.col("__lf_gone_key"))
+    return docs.join(rows, same, "left_anti").select(*docs.columns)
 
 
 def _trimmed(cut: DataFrame, docs: DataFrame) -> DataFrame:
@@ -37,7 +38,7 @@ def _trimmed(cut: DataFrame, docs: DataFrame) -> DataFrame:
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the divergence rules reject go."""
     ship(spark)
-    verdicts = stage(divergence.judge(docs), "verdicts")  # written, else the filter would repeat the distances in its plan
+    verdicts = stage(divergence.judge(docs, with_keys=True), "verdicts")  # written, else the filter would repeat the distances in its plan
     return _without(docs, verdicts.where("not kept"))
 
 
@@ -50,7 +51,7 @@ def line_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates, the document with the smallest id stays."""
     ship(spark)
-    return _without(docs, near_dup.near_duplicates(docs, width=5, percent=85).where("not kept"))
+    return _without(docs, near_dup.near_duplicates(docs, width=5, percent=85, with_keys=True).where("not kept"))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

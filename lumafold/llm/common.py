@@ -98,6 +98,11 @@ def _clean() -> None:
 FEW_REPEATED = 100_000
 
 
+def text_key() -> Column:
+    """A hash of ``text``: with doc_id it names a row up to rows that are equal in both."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def with_row_keys(docs: DataFrame, last_id: int) -> DataFrame:
     """``docs`` with __lf_doc (doc_id as a long, ``last_id`` for null) and __lf_key, which tells the rows of one id apart.
 
@@ -110,7 +115,7 @@ def with_row_keys(docs: DataFrame, last_id: int) -> DataFrame:
     keyed = docs.withColumn("__lf_doc", doc)
     if not many:
         return keyed.withColumn("__lf_key", F.lit(0).cast("long"))
-    key = F.xxhash64(F.col("text").cast("string"))
+    key = text_key()
     if len(many) > FEW_REPEATED:
         return keyed.withColumn("__lf_key", key)
     ids = docs.sparkSession.createDataFrame([(x,) for x in many], "__lf_many long")

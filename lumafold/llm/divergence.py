@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumafold.llm.common import stage
+from lumafold.llm.common import stage, text_key
 
 #: The function words of each language that make the bins of the word histogram.
 COMMON_WORDS = {
@@ -45,14 +45,17 @@ def _letter(k: int) -> str:
     return chr(0x100 + k)
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, the base counts, and the two histograms (array<long>) of every document."""
+def features(docs: DataFrame, with_keys: bool = False) -> DataFrame:
+    """doc_id, lang, the base counts, and the two histograms (array<long>) of every document; the text's key (__lf_key) if asked."""
+    ids = ["doc_id", "__lf_key"] if with_keys else ["doc_id"]
+    if with_keys:
+        docs = docs.withColumn("__lf_key", text_key())
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    words = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), text.alias("text")).select(
+    words = docs.select(*ids, F.col("lang").cast("string").alias("lang"), text.alias("text")).select(
         "*", F.filter(F.split("text", SPLIT), lambda w: w != "").alias("words")
     )
     hashed = words.select(
-        "doc_id", "lang", "text", "words",
+        *ids, "lang", "text", "words",
         F.size("words").cast("long").alias("n_words"),
         F.transform("words", lambda w: F.xxhash64(w)).alias("h"),
         _lines_with_words(F.col("text")).alias("lines"),
@@ -74,7 +77,7 @@ def features(docs: DataFrame) -> DataFrame:
         return F.length(F.regexp_replace("text", f"[^{pattern}]+", "")).cast("long")
 
     counted = placed.select(
-        "doc_id", "lang", "n_words",
+        *ids, "lang", "n_words",
         F.aggregate("words", F.lit(0).cast("long"), lambda acc, w: acc + F.length(w)).alias("word_chars"),
         only(r"#*$%&|<>").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
@@ -87,7 +90,7 @@ def features(docs: DataFrame) -> DataFrame:
     other = F.col("word_chars") - F.col("upper") - F.col("digit") - F.col("mark") - F.col("n_symbols")
     hits = [(F.length("common") - F.length(F.replace("common", F.lit(_letter(k)), F.lit("")))).cast("long") for k in range(len(VOCABULARY))]
     return counted.select(
-        "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars",
+        *ids, "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars",
         F.array("upper", "digit", "mark", "n_symbols", space, other).alias("classes"),
         F.array(*hits, F.col("n_words") - F.length("common")).alias("common"),
     )
@@ -121,14 +124,15 @@ def _shares(name: str) -> Column:
     return F.transform(name, lambda x: F.try_divide(x, total))  # null where there is nothing to share
 
 
-def judge(docs: DataFrame, max_class_distance: float = 0.28, max_word_distance: float = 0.5, min_words: int = 50, min_chars: int = 200, min_reference_words: int = 1000) -> DataFrame:
-    """doc_id, the base counts, base_failed, language (best fit), class_distance, word_distance, kept."""
+def judge(docs: DataFrame, max_class_distance: float = 0.28, max_word_distance: float = 0.5, min_words: int = 50, min_chars: int = 200, min_reference_words: int = 1000, with_keys: bool = False) -> DataFrame:
+    """doc_id, the base counts, base_failed, language (best fit), class_distance, word_distance, kept; the text's key (__lf_key) if asked."""
     spark = docs.sparkSession
-    found = stage(features(docs), "divergence")
+    ids = ["doc_id", "__lf_key"] if with_keys else ["doc_id"]
+    found = stage(features(docs, with_keys), "divergence")
     # At most one row for each language of COMMON_WORDS, so the reference rows fit in the plan as literals.
     rows = references(found, min_reference_words).orderBy("lang").collect()
     base = found.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-    keep = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars", "base_failed"]
+    keep = [*ids, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars", "base_failed"]
     shares = base.select(*keep, _shares("classes").alias("p_classes"), _shares("common").alias("p_common"))
 
     def against(kind: str, row) -> Column:
@@ -149,7 +153,7 @@ def judge(docs: DataFrame, max_class_distance: float = 0.28, max_word_distance:
             (F.col("n_words") >= min_words) & F.coalesce(F.col("word_distance") > max_word_distance, F.lit(False)),
         ],
     )
-    return best.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "language", "class_distance", "word_distance", (~F.col("base_failed") & ~far).alias("kept"))
+    return best.select(*ids, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "language", "class_distance", "word_distance", (~F.col("base_failed") & ~far).alias("kept"))
 
 
 def sql(max_class_distance: float = 0.28, max_word_distance: float = 0.5, min_words: int = 50, min_chars: int = 200, min_reference_words: int = 1000) -> str:

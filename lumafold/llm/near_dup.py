@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumafold.llm.common import drop_staged, mix64, own_memory, release, rolling, stage, word_hashes
+from lumafold.llm.common import drop_staged, mix64, own_memory, release, rolling, stage, text_key, word_hashes
 from lumafold.llm.components import connected_components
 
 ROWS, BANDS = 7, 36
@@ -130,9 +130,9 @@ def _sketches(docs: DataFrame, width: int) -> DataFrame:
                     else:
                         for x in (content, bands, values):
                             x.append(None)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(content, pa.int64()), pa.array(bands, pa.binary()), pa.array(values, pa.binary())], ["doc", "n", "c", "bands", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(content, pa.int64()), pa.array(bands, pa.binary()), pa.array(values, pa.binary())], ["doc", "key", "n", "c", "bands", "sig"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).mapInArrow(sketch, "doc long, n long, c long, bands binary, sig binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"), text_key().alias("key")).mapInArrow(sketch, "doc long, key long, n long, c long, bands binary, sig binary")
     return stage(rows.withColumn("row", F.monotonically_increasing_id()), "sketches")
 
 
@@ -300,8 +300,8 @@ def _across(members: DataFrame, nodes: DataFrame, sets: DataFrame, bounds: dict[
     return dealt.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, miss: float = 1e-5) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept (doc_id = component_id), a row for each row."""
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, miss: float = 1e-5, with_keys: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept (doc_id = component_id), a row for each row; the text's key (__lf_key) if asked."""
     bounds = least_matches(percent / 100, miss)
     rows = _sketches(docs, width)
     known = rows.where("c is not null and doc is not null")
@@ -326,8 +326,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, miss: fl
     lowest = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
     component = stage(labelled.join(lowest, "root").select("c", "component_id"), "components")
     drop_staged(sets, nodes, members, mixed, several, shared)
-    out = rows.select("doc", "n", "c").join(component, "c", "left")
-    out = out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
+    out = rows.select("doc", "key", "n", "c").join(component, "c", "left")
+    keys = [F.col("key").alias("__lf_key")] if with_keys else []
+    out = out.select(F.col("doc").alias("doc_id"), *keys, F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+import corpus_pipeline
 from lumafold.llm import common, line_dedup, substring_dedup
 from lumafold.llm.components import connected_components
 
@@ -106,3 +107,14 @@ def test_substrings_of_rows_that_share_an_id(make, monkeypatch, few, whole):
     assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == want
     digests = substring_dedup.dedup_digest(make(rows), 50).collect()
     assert sorted((str(r["doc_id"]), r["kept_sha256"]) for r in digests) == sorted((str(i), hashlib.sha256(t.encode()).hexdigest()) for i, t in want)
+
+
+def test_filters_judge_rows_not_ids(spark, make):
+    own = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    again = " ".join(["over and over again we say"] * 10)  # fails the base rule
+    rows = [(None, "short"), (None, own("clean", 40)), (7, again), (7, own("fine", 40)), (7, None), (8, own("good", 30))]
+    left = corpus_pipeline.quality_rules(spark, make(rows), "")
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in left.collect()))) == sorted(map(str, (rows[1], rows[3], rows[5])))
+    rows = [(1, own("a", 60)), (2, own("a", 60)), (2, own("b", 60)), (None, own("a", 60)), (None, own("c", 60))]
+    left = corpus_pipeline.near_duplicates(spark, make(rows), "")
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in left.collect()))) == sorted(map(str, (rows[0], *rows[2:])))
