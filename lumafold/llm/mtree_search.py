@@ -1,6 +1,6 @@
 """Exact top-k by inner product with M-trees.
 
-Vectors of integers get one more coordinate so that all have the same length, and queries get a zero there: among
+Vectors of integers get one more coordinate so that all of a block have the same length, and queries get a zero there: among
 vectors of one length, the largest inner product is the smallest distance, so a metric tree finds it.
 
 * Rows are spread over blocks of near vectors: each goes to the nearest of some pivots (a bounded sample, which decides only
@@ -12,7 +12,9 @@ vectors of one length, the largest inner product is the smallest distance, so a
 * Query blocks meet every tree; each tree returns its k best for a query, which are then merged. A query skips a tree
   at the root if it can't beat the k-th score that the query reached in the tree of its own neighbourhood.
 
-Scores are exact: distances (floats) only prune, with slack, and every reported score is an integer product.
+Scores are exact: distances (floats) only prune, with slack, and every reported score is an integer product. Where products
+could pass 64 bits they are taken with Python's integers; a reported score, or a scaled component, that itself doesn't fit into
+64 bits is an error, since the result has no type for it.
 
 Vectors that are null, or hold a null or non-finite component, or another number of components than most, take no part;
 neither do rows without an id. Ties go to the smaller id, then repeated ids keep all rows but those with the query's own id.
@@ -34,6 +36,8 @@ from lumafold.llm.common import stage
 LEAF, FAN = 64, 16
 #: Share of a distance that floating-point error may take.
 SLACK = 1e-6
+#: Share of the squared lengths that floating-point error may take where they cancel.
+CANCEL = 1e-12
 
 
 class MTree:
@@ -90,17 +94,22 @@ def search_tree(tree: MTree, ints: np.ndarray, ids: np.ndarray, length2: float,
     something; a page carries the queries that it concerns, and each query drops out as soon as its own bound allows.
     """
     n, m = len(ints), len(queries)
-    empty = np.iinfo(np.int64).min
-    keys = np.full((m, k), empty, np.int64)  # score * n + (n - 1 - row): larger is better, ties to the smaller id
     if not n or not m:
         return np.full((m, k), -1), np.zeros((m, k), np.int64)
+    largest = _largest_product(ints, queries)
+    empty = -largest - 2  # below every score
+    kind = np.int64 if largest < 1 << 62 else object
+    packed = (largest + 2) * n < 1 << 62
+    ints, queries = ints.astype(kind), queries.astype(kind)
+    scores, places, worst = np.full((m, k), empty, kind), np.full((m, k), -1), np.full(m, empty, kind)
     floats = np.column_stack([queries.astype(float), np.zeros(m)])
-    q2 = (queries.astype(np.int64) ** 2).sum(axis=1)
+    q2 = (floats**2).sum(axis=1)
 
     def reach(q: np.ndarray, score: np.ndarray) -> np.ndarray:
         """The distance at which a score lies."""
         with np.errstate(invalid="ignore"):
-            return np.sqrt(np.maximum(q2[q] + length2 - 2 * score, 0.0)) * (1 + SLACK) + SLACK
+            square = q2[q] + length2
+            return np.sqrt(np.maximum(square - 2 * score.astype(float), 0.0) + CANCEL * square) * (1 + SLACK) + SLACK
 
     everyone = np.arange(m)
     limit = reach(everyone, floors)
@@ -123,13 +132,19 @@ def search_tree(tree: MTree, ints: np.ndarray, ids: np.ndarray, length2: float,
             if not some.any():
                 continue
             rows = page["rows"][some]
-            found = (queries[who].astype(np.int64) @ ints[rows].T) * n + (n - 1 - rows)
+            found = queries[who] @ ints[rows].T
             found[~maybe[:, some] | (ids[rows][None] == query_ids[who][:, None])] = empty
-            best = np.concatenate([keys[who], found], axis=1)
-            keys[who] = np.partition(best, best.shape[1] - k, axis=1)[:, -k:]
-            worst = keys[who].min(axis=1)
-            full = worst > empty
-            limit[who[full]] = np.minimum(limit[who[full]], reach(who[full], np.maximum(worst[full] // n, floors[who[full]])))
+            better = (found >= worst[who][:, None]).any(axis=1)
+            if not better.any():
+                continue
+            who, found = who[better], found[better]
+            score, place = np.concatenate([scores[who], found], axis=1), np.concatenate([places[who], np.broadcast_to(rows, found.shape)], axis=1)
+            # Without overflow, one number can stand for score and place; larger is better, ties to the smaller place.
+            best = np.argpartition(score * n + (n - 1 - place), score.shape[1] - k, axis=1)[:, -k:] if packed else _best(score, place, k)
+            scores[who], places[who] = np.take_along_axis(score, best, axis=1), np.take_along_axis(place, best, axis=1)
+            worst[who] = scores[who].min(axis=1)
+            full = who[worst[who] > empty]
+            limit[full] = np.minimum(limit[full], reach(full, np.maximum(worst[full].astype(float), floors[full])))
             continue
         maybe = bound - page["radius"][None] <= limit[who][:, None]
         for e in np.flatnonzero(maybe.any(axis=0)).tolist():
@@ -140,16 +155,36 @@ def search_tree(tree: MTree, ints: np.ndarray, ids: np.ndarray, length2: float,
             if near.any():
                 pushed += 1
                 heapq.heappush(heap, (float(low[near].min()), pushed, page["children"][e], asked[near], d[near], low[near]))
-    order = -np.sort(-keys, axis=1)
-    scores = order // n
-    return np.where(order == empty, -1, n - 1 - (order - scores * n)), scores
+    best = _best(scores, places, k)
+    scores, places = np.take_along_axis(scores, best, axis=1), np.take_along_axis(places, best, axis=1)
+    return np.where(scores == empty, -1, places), scores
+
+
+def _largest_product(x: np.ndarray, y: np.ndarray) -> int:
+    """A bound of the absolute products of rows of ``x`` and ``y``."""
+    largest = [max(int(v.max()), -int(v.min())) if v.size else 0 for v in (x, y)]
+    return x.shape[1] * largest[0] * largest[1]
+
+
+def _best(score: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k best of each row: by score, then by the smaller place."""
+    by_place = np.argsort(place, axis=1, kind="stable")
+    by_score = np.argsort(-np.take_along_axis(score, by_place, axis=1), axis=1, kind="stable")[:, :k]
+    return np.take_along_axis(by_place, by_score, axis=1)
+
+
+def _squares(ints: np.ndarray) -> np.ndarray:
+    """The exact squared length of each row."""
+    return (ints.astype(np.int64 if _largest_product(ints, ints) < 1 << 62 else object) ** 2).sum(axis=1)
 
 
 def whole_vectors(table: DataFrame, scale: int) -> DataFrame:
-    """id and v (array<int>): floor(scale * x) of usable vectors."""
+    """id and v (array<long>): floor(scale * x) of usable vectors."""
     x = F.col("embedding").cast("array<double>")
-    usable = F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < 1e6))
-    return table.where(usable).select(F.col("vec_id").cast("long").alias("id"), F.transform(x, lambda c: F.floor(c * scale).cast("int")).alias("v"))
+    usable = F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    fits = lambda c: F.abs(c * scale) < 2.0**63
+    whole = lambda c: F.when(fits(c), F.floor(c * scale)).otherwise(F.raise_error(F.lit("a scaled component doesn't fit into 64 bits")).cast("long"))
+    return table.where(usable).select(F.col("vec_id").cast("long").alias("id"), F.transform(x, whole).alias("v"))
 
 
 def _array(column: pa.Array) -> np.ndarray:
@@ -165,9 +200,8 @@ def top_k(table: DataFrame, is_query: Column, k: int = 20, scale: int = 64, bloc
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     dim = common["n"]
     vectors = stage(vectors.where(F.size("v") == dim), "vectors")
-    length2 = _longest(vectors)
     sample = vectors.orderBy(F.xxhash64("id"), "id").limit(max_pivots).toArrow()
-    pivots = np.unique(_array(sample["v"].combine_chunks()).astype(np.int64), axis=0)
+    pivots = np.unique(_array(sample["v"].combine_chunks()).astype(np.float64), axis=0)
     pivot2 = (pivots**2).sum(axis=1)
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +210,7 @@ def top_k(table: DataFrame, is_query: Column, k: int = 20, scale: int = 64, bloc
             home = (pivot2 - 2 * (x @ pivots.T)).argmin(axis=1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home.astype(np.int32))], ["id", "v", "home"])
 
-    homed = stage(vectors.mapInArrow(nearest, "id long, v array<int>, home int"), "homes")
+    homed = stage(vectors.mapInArrow(nearest, "id long, v array<long>, home int"), "homes")
     sizes = {r["home"]: r["count"] for r in homed.groupBy("home").count().collect()}  # at most max_pivots rows
     blocks = {h: max(1, -(-n // block_rows)) for h, n in sizes.items()}
     first = dict(zip(sorted(blocks), np.concatenate([[0], np.cumsum([blocks[h] for h in sorted(blocks)])]).tolist(), strict=False))
@@ -188,25 +222,23 @@ def top_k(table: DataFrame, is_query: Column, k: int = 20, scale: int = 64, bloc
     queries = homed.where(is_query).select("id", "v", block.alias("own")).distinct()
     # Phase 1: a query's k-th score in its own block bounds what any other block must reach.
     own = queries.select("id", "v", F.lit(None).cast("double").alias("floor"), F.col("own").alias("block"), F.lit(0).alias("part"))
-    reached = stage(_search(data.withColumn("part", F.lit(0)), own, length2, k), "own-block")
+    reached = stage(_search(data.withColumn("part", F.lit(0)), own, k), "own-block")
     floors = reached.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("floor"))
     ready = stage(queries.join(floors, queries["id"] == floors["query_id"], "left").select("id", "v", "own", "floor"), "floors")
     asked = max(1, -(-ready.count() // query_rows))  # query blocks, so that no task holds all queries
     rest = ready.select("id", "v", "floor", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("block"), "own").where("block <> own").select("id", "v", "floor", "block", F.pmod(F.xxhash64("id"), F.lit(asked)).cast("int").alias("part"))
     dealt = data.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(asked - 1))))
-    found = reached.unionByName(_search(dealt, rest, length2, k)) if count > 1 else reached
+    found = reached.unionByName(_search(dealt, rest, k)) if count > 1 else reached
     # Spark keeps the k best of each partition before it shuffles, so no task sees all blocks' rows of a query.
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _longest(vectors: DataFrame) -> float:
-    square = F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x.cast("long") * x)
-    return float(vectors.agg(F.max(square)).first()[0] or 0)
+def _search(data: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, score: the k best of each query's block. ``queries``: id, v, floor, block, part.
 
-
-def _search(data: DataFrame, queries: DataFrame, length2: float, k: int) -> DataFrame:
-    """query_id, vec_id, score: the k best of each query's block. ``queries``: id, v, floor, block, part."""
+    Vectors are brought to the length of the longest of their own block, so an outlier dulls the bounds of one block only.
+    """
 
     def search(key: tuple, vectors: pa.Table, asked: pa.Table) -> pa.Table:
         ids = query_ids = rows = scores = np.empty(0, np.int64)
@@ -214,7 +246,8 @@ def _search(data: DataFrame, queries: DataFrame, length2: float, k: int) -> Data
             vectors = vectors.sort_by("id")
             ids, query_ids = vectors["id"].to_numpy(), asked["id"].to_numpy()
             ints, wanted = _array(vectors["v"].combine_chunks()).astype(np.int64), _array(asked["v"].combine_chunks()).astype(np.int64)
-            spare = np.sqrt(np.maximum(length2 - (ints**2).sum(axis=1), 0.0))
+            squares = _squares(ints)
+            length2, spare = float(squares.max()), np.sqrt((squares.max() - squares).astype(float))
             floors = asked["floor"].fill_null(-np.inf).to_numpy()
             rows, scores = search_tree(MTree(np.column_stack([ints.astype(float), spare])), ints, ids, length2, wanted, query_ids, floors, k)
             query_ids, rows, scores = np.repeat(query_ids, k), rows.ravel(), scores.ravel()

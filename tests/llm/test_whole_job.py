@@ -3,10 +3,12 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lumafold.llm import common, line_dedup, substring_dedup
+from lumafold.llm import common, line_dedup, mtree_search, substring_dedup
 from lumafold.llm.components import connected_components
 
 
@@ -118,3 +120,22 @@ def test_filters_judge_rows_not_ids(spark, make):
     rows = [(1, own("a", 60)), (2, own("a", 60)), (2, own("b", 60)), (None, own("a", 60)), (None, own("c", 60))]
     left = corpus_pipeline.near_duplicates(spark, make(rows), "")
     assert sorted(map(str, ((r["doc_id"], r["text"]) for r in left.collect()))) == sorted(map(str, (rows[0], *rows[2:])))
+
+
+@pytest.mark.parametrize("large", [1e5, 1e7])
+def test_tree_search_keeps_large_vectors(spark, large):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 16))
+    x[::37] *= large
+    x[40], x[41], x[42] = large, large, large + 1 / 64
+    x[60], x[61], x[62] = -large, large * (1 + rng.normal(size=16) * 1e-7), -large
+    table = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = mtree_search.top_k(table, F.col("id") % 20 == 0, k=7, block_rows=64, query_rows=8, max_pivots=5)
+    ints = [[int(c) for c in np.floor(64 * v)] for v in x]
+    want = set()
+    for q in range(0, 400, 20):
+        scores = [sum(a * b for a, b in zip(ints[q], v, strict=True)) for v in ints]
+        order = sorted((k for k in range(400) if k != q), key=lambda k: (-scores[k], k))[:7]
+        want |= {(q, n + 1, k, scores[k]) for n, k in enumerate(order)}
+    assert max(abs(s) for *_, s in want) < 1 << 63
+    assert {tuple(r) for r in got.collect()} == want
