@@ -31,6 +31,8 @@ class ChunkEncoder:
 
     drops_space: the tokenizer drops white space, so every space is a place to cut. Otherwise a space is
     one only between two characters that aren't white space; texts with other spaces take a slower path.
+    A text that holds a special token as it is written takes the library's own way as a whole, since the library
+    finds such tokens before it cuts anything (``Tokenizer.encode(text, add_special_tokens=False)`` gives their ids).
     """
 
     def __init__(self, path: str, drops_space: bool, cap: int = 350_000) -> None:
@@ -40,6 +42,8 @@ class ChunkEncoder:
         self.plain.encode_special_tokens = True
         self.marked = Tokenizer.from_file(path)
         special = {i: t.content for i, t in self.marked.get_added_tokens_decoder().items() if t.special}
+        if any(not t.special or t.normalized or "<" not in t.content for t in self.marked.get_added_tokens_decoder().values()):
+            raise ValueError("added tokens must be special ones with a '<', matched as they are written")
         self.mark_id, self.mark = max(special.items()) if special else (-1, "")
         self.special = tuple(special.values())
         self.drops_space, self.cap = drops_space, cap
@@ -138,7 +142,11 @@ class ChunkEncoder:
         heads: list[str] = []
         tails: list[list[str]] = []
         slow: dict[int, list[str]] = {}
+        whole: dict[int, bytes] = {}
         for k, text in enumerate(texts):
+            if "<" in text and any(s in text for s in self.special):
+                whole[k] = np.array(self.marked.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+                text = ""
             split = self._split(text)
             if split is None:
                 slow[k], split = [text] if self.drops_space else safe_chunks(text), ("", [])
@@ -163,6 +171,8 @@ class ChunkEncoder:
         out = [first + b"".join(part) for first, part in zip(self._rarely(heads), parts, strict=True)]
         for k, chunks in slow.items():
             out[k] = b"".join(self._rarely(chunks))
+        for k, ids in whole.items():
+            out[k] = ids
         if len(self.words) > self.cap:
             self.older, self.words = self.words, {}
         if len(self.rare) > self.cap // 8:

@@ -20,9 +20,11 @@ _staged: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode one of our own where it is unset (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         base = _own_dir.get(app) or _own_dir.setdefault(app, "file://" + tempfile.mkdtemp(prefix="lumafold-shared-"))
     root = f"{base.rstrip('/')}/lumafold-{spark.sparkContext.applicationId}"
@@ -172,21 +174,22 @@ class WordHashes:
 word_hashes = WordHashes()
 
 
-_MULT = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_MULT), -1, 1 << 64))
-_powers: list[np.ndarray] = []
+#: Odd multipliers: the first for one hash of a window, the second for another half.
+MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_powers: dict[int, list[np.ndarray]] = {}
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
+def _power_tables(n: int, multiplier: int) -> tuple[np.ndarray, np.ndarray]:
+    known = _powers.setdefault(multiplier, [])
+    if not known or len(known[0]) < n:
         size = 1 << max(12, int(n - 1).bit_length())
         tables = []
-        for base in (_MULT, _INVERSE):
+        for base in (multiplier, pow(multiplier, -1, 1 << 64)):
             table = np.full(size, base, np.uint64)
             table[0] = 1
             tables.append(np.cumprod(table, dtype=np.uint64))
-        _powers[:] = tables
-    return _powers[0][:n], _powers[1][:n]
+        known[:] = tables
+    return known[0][:n], known[1][:n]
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -198,12 +201,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def rolling(hashes: np.ndarray, width: int) -> np.ndarray:
+def rolling(hashes: np.ndarray, width: int, multiplier: int = MULTIPLIERS[0]) -> np.ndarray:
     """One 64-bit hash for each window of ``width`` consecutive words, independent of the window's place."""
     n = len(hashes)
     if n < width:
         return np.empty(0, np.uint64)
-    power, inverse = _power_tables(n + 1)
+    power, inverse = _power_tables(n + 1, multiplier)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(hashes * power[:n], out=total[1:])
     k = n - width + 1

@@ -3,7 +3,7 @@
 Texts are sets of distinct ``width``-word shingles (A-Z lower-cased). Two sets are linked if
 ``100 * intersection >= percent * union``; documents reachable over links form a component.
 
-1. Equal sets are one node, so copies cost nothing beyond their own row.
+1. Equal sets (by 128 bits over their shingle hashes) are one node, so copies cost nothing beyond their own row.
 2. A node's MinHash signature is cut into bands of ROWS values; equal bands make a bucket.
 3. In each bucket every node is paired with one pivot only. A pair's signatures are compared batch by batch;
    it is pruned as soon as the posterior probability that its similarity reaches the threshold falls below
@@ -12,8 +12,11 @@ Texts are sets of distinct ``width``-word shingles (A-Z lower-cased). Two sets a
    and then only pairs whose ends are still in different components.
 5. Buckets that still hold several components are compared across them in bounded blocks: by the same batches and
    bounds, then on the full sets, each pair in the first bucket that it shares. A block only sends the links
-   that join two components. So a group of copies costs a star, no pair of a bucket is left out, and rows grow
-   with members, not with pairs.
+   that join two components. A large component has blocks of its own, which never meet each other; the blocks of two
+   large ones meet only if the distance of their representatives, less both radii, leaves room for a link (1 less the
+   Jaccard similarity is a metric, so this bound is exact); members of small components share blocks. So a group of
+   copies costs a star, no pair of a bucket is left out, and a large component costs a row a member for each
+   other component that may lie near it, and for each block of small ones.
 
 A pair at the threshold 0.85 shares no band with probability (1 - 0.85^7)^36, below 1e-6.
 
@@ -57,8 +60,10 @@ def shingles(text: bytes | None, width: int) -> np.ndarray:
     return np.unique(found if len(words) >= width else found + np.uint64(len(words)))
 
 
-def content_id(found: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63)
+def content_id(found: np.ndarray) -> tuple[int, int]:
+    """128 bits over a set, as two longs."""
+    a, b = np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), np.int64).tolist()
+    return a, b
 
 
 def signature(found: np.ndarray) -> np.ndarray:
@@ -118,21 +123,22 @@ def _sketches(docs: DataFrame, width: int) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                n, content, bands, values = [], [], [], []
+                n, content, bands, values = [], ([], []), [], []
                 for text in batch.column(1).cast(pa.binary()).to_pylist():
                     found = shingles(text, width)
                     n.append(len(found))
                     if len(found):
                         sig = signature(found)
-                        content.append(content_id(found))
+                        for x, half in zip(content, content_id(found), strict=True):
+                            x.append(half)
                         bands.append(band_keys(sig).tobytes())
                         values.append((sig & np.uint32(0xFFFF)).astype("<u2").tobytes())
                     else:
-                        for x in (content, bands, values):
+                        for x in (*content, bands, values):
                             x.append(None)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(content, pa.int64()), pa.array(bands, pa.binary()), pa.array(values, pa.binary())], ["doc", "key", "n", "c", "bands", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), *(pa.array(x, pa.int64()) for x in content), pa.array(bands, pa.binary()), pa.array(values, pa.binary())], ["doc", "key", "n", "h1", "h2", "bands", "sig"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"), text_key().alias("key")).mapInArrow(sketch, "doc long, key long, n long, c long, bands binary, sig binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"), text_key().alias("key")).mapInArrow(sketch, "doc long, key long, n long, h1 long, h2 long, bands binary, sig binary")
     return stage(rows.withColumn("row", F.monotonically_increasing_id()), "sketches")
 
 
@@ -161,23 +167,22 @@ def _prune(pairs: DataFrame, nodes: DataFrame, bounds: dict[int, int]) -> DataFr
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """c, full: the shingle hashes of wanted contents (c, doc), made anew from the texts."""
+    """c, full: the shingle hashes of wanted nodes (c, and doc and key of a row that has the set), made anew from the texts."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_memory("words", word_hashes.clear)
-        seen: set[int] = set()
+        seen: set[int] = set()  # rows that repeat both id and text meet in one task (or, where that is split, give a set twice, which changes no link)
         for batch in batches:
             ids, sets = [], []
             for c, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                found = shingles(text, width)
-                if len(found) and c not in seen and content_id(found) == c:
+                if c not in seen:
                     seen.add(c)
                     ids.append(c)
-                    sets.append(found.tobytes())
+                    sets.append(shingles(text, width).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["c", "full"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
-    return stage(texts.join(wanted.hint("shuffle_hash"), "doc").select("c", "text").mapInArrow(make, "c long, full binary"), "sets")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), text_key().alias("key"), F.col("text").cast("string").alias("text"))
+    return stage(texts.join(wanted.hint("shuffle_hash"), ["doc", "key"]).select("c", "text").mapInArrow(make, "c long, full binary"), "sets")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -279,39 +284,96 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(x) + len(y) - common)
 
 
+def distance(x: np.ndarray, y: np.ndarray) -> float:
+    """1 less the Jaccard similarity of two sorted sets: a metric."""
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    place = np.searchsorted(large, small)
+    place[place == len(large)] = 0
+    common = int((large[place] == small).sum())
+    return 1 - common / max(1, len(x) + len(y) - common)
+
+
+def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, d: the exact distances of pairs (a, b) of nodes."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d = [distance(*(np.frombuffer(batch.column(j)[k].as_py(), np.uint64) for j in (2, 3))) for k in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d, pa.float64())], ["a", "b", "d"])
+
+    joined = pairs.join(sets.withColumnsRenamed({"c": "b", "full": "full_b"}), "b").join(sets.withColumnsRenamed({"c": "a", "full": "full_a"}), "a")
+    return joined.select("a", "b", "full_a", "full_b").mapInArrow(measure, "a long, b long, d double")
+
+
+#: The cell of a bucket that holds the members of all its small components.
+SMALL = -1
+
+
+def block_pairs(members: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """How buckets are compared: the members with cell and block, and the pairs of blocks (key, g, i, g2, i2) that have to meet.
+
+    A cell is a large component (its root) of a bucket, or SMALL. Blocks of one large component never meet.
+    """
+    sized = members.join(sets.select("c", F.octet_length("full").alias("bytes")), "c")
+    groups = stage(sized.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min("c").alias("rep")), "groups")
+    blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")
+    is_large = (F.col("n") >= block // 2) | (F.col("bytes") >= BLOCK_BYTES // 2)
+    large = groups.where(is_large).select("key", F.col("root").alias("g"), blocks, "rep")
+    small = groups.where(~is_large).groupBy("key").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).select("key", F.lit(SMALL).cast("long").alias("g"), blocks, F.lit(None).cast("long").alias("rep"))
+    cells = stage(large.unionByName(small), "cells")
+    placed = members.join(groups.select("key", "root", F.when(is_large, F.col("root")).otherwise(SMALL).alias("g")), ["key", "root"])
+    placed = placed.join(cells.select("key", "g", "blocks"), ["key", "g"]).select("key", "c", "root", "g", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int").alias("i"))
+    other = cells.select("key", F.col("g").alias("g2"), F.col("blocks").alias("blocks2"), F.col("rep").alias("rep2"))
+    met = cells.join(other, "key").where(f"g < g2 or (g = {SMALL} and g2 = {SMALL})")
+    both = stage(met.where("rep is not null and rep2 is not null"), "large-cells")
+    if both.limit(1).count():
+        tops = both.select("key", F.col("g").alias("root"), "rep").unionByName(both.select("key", F.col("g2").alias("root"), F.col("rep2").alias("rep"))).distinct()
+        spokes = members.join(tops, ["key", "root"]).select(F.col("rep").alias("a"), F.col("c").alias("b")).distinct()
+        reach = stage(_distances(spokes, sets), "reach")
+        radius = members.join(tops, ["key", "root"]).join(reach.withColumnsRenamed({"a": "rep", "b": "c"}), ["rep", "c"]).groupBy("key", F.col("root").alias("g")).agg(F.max("d").alias("r"))
+        apart = _distances(both.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct(), sets)
+        far = both.join(apart.withColumnsRenamed({"a": "rep", "b": "rep2", "d": "apart"}), ["rep", "rep2"]).join(radius, ["key", "g"]).join(radius.withColumnsRenamed({"g": "g2", "r": "r2"}), ["key", "g2"])
+        far = stage(far.where(F.col("apart") > F.col("r") + F.col("r2") + (1 - percent / 100) + 1e-9).select("key", "g", "g2"), "far-cells")
+        met = met.join(far, ["key", "g", "g2"], "left_anti")
+    pairs = met.select("key", "g", "g2", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), "blocks2").select("key", "g", "g2", "i", F.explode(F.sequence(F.lit(0), F.col("blocks2") - 1)).alias("i2"))
+    return placed, pairs.where("g <> g2 or i <= i2")
+
+
 def _across(members: DataFrame, nodes: DataFrame, sets: DataFrame, bounds: dict[int, int], percent: int) -> DataFrame:
     """a, b: links that join components (root) within a bucket (key), found block by block."""
-    rows = members.join(nodes.select("c", "sig", "bands").join(sets, "c"), "c")
-    sizes = members.join(sets.select("c", F.octet_length("full").alias("bytes")), "c").groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    placed = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
-    # A block meets every block of its bucket once, in the task named by the pair of their numbers.
-    dealt = placed.select("key", "c", "root", "sig", "bands", "full", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("key", "c", "root", "sig", "bands", "full", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") <= F.col("other")).alias("low"))
+    placed, pairs = block_pairs(members, sets, percent)
+    placed, pairs = stage(placed, "placed"), stage(pairs, "block-pairs")
+    name = ["key", "g", "i", "g2", "i2"]
+    left = placed.join(pairs, ["key", "g", "i"]).select(*name, "c", "root", F.lit(True).alias("low"))
+    right = placed.withColumnsRenamed({"g": "g2", "i": "i2"}).join(pairs.where("g <> g2 or i <> i2"), ["key", "g2", "i2"]).select(*name, "c", "root", F.lit(False).alias("low"))
+    dealt = left.unionByName(right).join(nodes.select("c", "sig", "bands").join(sets, "c"), "c")
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
         c, root, low = (table[x].to_numpy(zero_copy_only=False) for x in ("c", "root", "low"))
         bands = np.frombuffer(b"".join(table["bands"].to_pylist()), np.int64).reshape(-1, BANDS)
         full = [np.frombuffer(x, np.uint64) for x in table["full"].to_pylist()]
         every = np.arange(len(c))
-        left, right = (every, every) if key[1].as_py() == key[2].as_py() else (every[low], every[~low])
+        left, right = (every, every) if key[1:3] == key[3:5] else (every[low], every[~low])
         found = compare_block(c, root, _matrix(table["sig"].combine_chunks()), bands, full, left, right, key[0].as_py(), bounds, percent)
         return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
-    return dealt.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
+    return dealt.groupBy(*name).applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, miss: float = 1e-5, with_keys: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept (doc_id = component_id), a row for each row; the text's key (__lf_key) if asked."""
     bounds = least_matches(percent / 100, miss)
     rows = _sketches(docs, width)
-    known = rows.where("c is not null and doc is not null")
-    firsts = stage(known.groupBy("c").agg(F.min("doc").alias("first"), F.min("row").alias("row")), "firsts")
-    nodes = stage(known.select("c", "row", "bands", "sig").join(firsts.select("row", "first"), "row").select("c", "first", "bands", "sig"), "nodes")
+    known = rows.where("h1 is not null and doc is not null")
+    # A node is named by the number of the row that has its set and the smallest id.
+    least = known.groupBy("h1", "h2").agg(F.min(F.struct("doc", "row", "key")).alias("x"))
+    firsts = stage(least.select("h1", "h2", F.col("x.row").alias("c"), F.col("x.doc").alias("first"), F.col("x.key").alias("key")), "firsts")
+    nodes = stage(known.select(F.col("row").alias("c"), "bands", "sig").join(firsts.select("c", "first"), "c").select("c", "first", "bands", "sig"), "nodes")
     buckets = _explode_bands(nodes)
     # Written, so that the join has an exchange on either side, which adaptive execution can split.
     shared = stage(buckets.groupBy("key").agg(F.min("c").alias("pivot"), F.max("c").alias("top"), F.count("*").alias("size")).where("pivot < top").select("key", "pivot", "size"), "shared")
     members = stage(buckets.join(shared, "key").select("key", "c", "pivot", "size"), "buckets")
-    sets = _full_sets(docs, firsts.select("c", F.col("first").alias("doc")).join(members.select("c").distinct(), "c", "left_semi"), width)
+    sets = _full_sets(docs, firsts.select("c", F.col("first").alias("doc"), "key").join(members.select("c").distinct(), "c", "left_semi"), width)
     release(docs.sparkSession)
     stars = members.where("c <> pivot").select(F.col("pivot").alias("a"), F.col("c").alias("b")).distinct()
     links = _Links(sets, percent)
@@ -322,13 +384,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, miss: fl
     mixed = stage(several.join(split, "key", "left_semi"), "mixed")
     if mixed.limit(1).count():
         links.join(stage(_across(mixed, nodes, sets, bounds, percent), "across"))
-    labelled = _rooted(firsts.select("c", "first"), links.roots, "c", "root")
+    labelled = _rooted(firsts.select("h1", "h2", "c", "first"), links.roots, "c", "root")
     lowest = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
-    component = stage(labelled.join(lowest, "root").select("c", "component_id"), "components")
+    component = stage(labelled.join(lowest, "root").select("h1", "h2", "component_id"), "components")
     drop_staged(sets, nodes, members, mixed, several, shared)
-    out = rows.select("doc", "key", "n", "c").join(component, "c", "left")
+    out = rows.select("doc", "key", "n", "h1", "h2").join(component, ["h1", "h2"], "left")
     keys = [F.col("key").alias("__lf_key")] if with_keys else []
-    out = out.select(F.col("doc").alias("doc_id"), *keys, F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
+    # A row without an id belongs to no component, not even that of its copies.
+    mine = F.when(F.col("doc").isNotNull(), F.coalesce("component_id", "doc"))
+    out = out.select(F.col("doc").alias("doc_id"), *keys, F.col("n").alias("n_shingles"), mine.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

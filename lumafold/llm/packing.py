@@ -1,12 +1,16 @@
 """Best-fit packing of token sequences by hierarchical residual packing.
 
-Pieces are packed best-fit-decreasing inside each input partition. Bins that are nearly full are final;
-the others become items of the next round, where the bins of ``fan_in`` neighbouring groups are packed
-together, and so on until one group is left. Moving whole bins keeps every piece's place inside its bin,
-so a piece's final place is the sum of the offsets along its chain of bins.
-
-Only ids, sizes and offsets move between rounds, never tokens. A group passes at most ``carry`` underfull
-bins upwards (the emptiest ones; the rest are final as they are), so no task grows with the corpus.
+Pieces are packed best-fit-decreasing inside each input partition (in groups of ``group_rows`` consecutive pieces, so
+that memory is bounded however large a partition is; the size of Arrow batches plays no part). Bins that are nearly
+full are final; the others become items of the next round, where the bins of ``fan_in`` neighbouring groups are
+packed together, and so on until one group is left. Moving whole bins keeps every piece's place inside its bin, so a
+piece's final place is the sum of the offsets along its chain of bins.
+
+Only ids, sizes and offsets move between rounds, never tokens. A group passes its ``carry`` emptiest underfull bins
+upwards, and it can pass no more that would ever gain by it: of the bins that best-fit leaves, no two fit into one (the
+later one's first item would have gone into the earlier), so all but one are more than half full, and each takes in at
+most one bin of another group. A round therefore joins at most ``fan_in`` pairs, and a bin that fits anywhere
+fits into the emptiest. With ``carry`` well above ``fan_in`` no join is lost, and no task grows with the corpus.
 
 Nulls, empty texts: a null or empty text is one piece holding only the end id. Repeated rows are packed
 as often as they occur. An empty table gives an empty result. Extra columns are ignored.
@@ -93,7 +97,7 @@ def best_fit(sizes: list[int], capacity: int) -> tuple[list[int], list[int], lis
 
 
 def _final(fill: list[int], capacity: int, full_enough: float, carry: int) -> list[bool]:
-    """Which bins of a group go no further: nearly full ones, and all beyond the ``carry`` emptiest."""
+    """Which bins of a group go no further: nearly full ones, and all beyond the ``carry`` emptiest, which nothing could fill."""
     final = [f >= full_enough * capacity for f in fill]
     under = sorted((k for k, done in enumerate(final) if not done), key=lambda k: fill[k])
     for k in under[carry:]:
@@ -101,37 +105,65 @@ def _final(fill: list[int], capacity: int, full_enough: float, carry: int) -> li
     return final
 
 
-def pack(pieces: DataFrame, capacity: int = 1024, full_enough: float = 0.995, fan_in: int = 8, carry: int = 1024) -> DataFrame:
+#: Groups of one partition, at most: a group's number is its partition's times this, plus its own.
+GROUPS = 1 << 16
+
+
+def pack(pieces: DataFrame, capacity: int = 1024, full_enough: float = 0.995, fan_in: int = 8, carry: int = 1024, group_rows: int = 1 << 18) -> DataFrame:
     """Give each piece (a ``length`` column of 1 to ``capacity``) a sequence_id and its offset in that sequence.
 
     ``pieces`` must be a stable table (a read of written files): its partitions are the groups of round 0.
     """
-    spark = pieces.sparkSession
+    if carry < 4 * fan_in:
+        raise ValueError("carry must be at least four times fan_in")
     names = pieces.columns
     first = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", bin long, `offset` long, fill long, final boolean, grp long"
+    schema = pa.schema([("bin", pa.int64()), ("offset", pa.int64()), ("fill", pa.int64()), ("final", pa.bool_()), ("grp", pa.int64())])
+
+    def placed_group(batches: list[pa.RecordBatch], part: int, group: int, used: int) -> tuple[list[pa.RecordBatch], int]:
+        """The batches of a group with the places of their pieces, and the number of its bins."""
+        bins, offsets, fill = best_fit([n for b in batches for n in b.column(names.index("length")).to_pylist()], capacity)
+        bins_at = np.array(bins, np.int64)
+        columns = [
+            (part << 36) + used + bins_at, np.array(offsets, np.int64), np.array(fill, np.int64)[bins_at],
+            np.array(_final(fill, capacity, full_enough, carry), bool)[bins_at], np.full(len(bins_at), part * GROUPS + group, np.int64),
+        ]
+        out, at = [], 0
+        for b in batches:
+            added = [pa.array(c[at : at + b.num_rows], f.type) for c, f in zip(columns, schema, strict=True)]
+            out.append(pa.RecordBatch.from_arrays([*b.columns, *added], [*names, *schema.names]))
+            at += b.num_rows
+        return out, len(fill)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        used = 0
-        for batch in batches:
-            sizes = batch.column(names.index("length")).to_pylist()
-            bins, offsets, fill = best_fit(sizes, capacity)
-            final = _final(fill, capacity, full_enough, carry)
-            ids = [(part << 36) + used + b for b in range(len(fill))]
-            used += len(fill)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([ids[b] for b in bins], pa.int64()), pa.array(offsets, pa.int64()), pa.array([fill[b] for b in bins], pa.int64()), pa.array([final[b] for b in bins]), pa.array([part] * len(bins), pa.int64())],
-                [*names, "bin", "offset", "fill", "final", "grp"],
-            )
+        held: list[pa.RecordBatch] = []
+        group = used = rows = 0
+        for whole in batches:
+            at = 0
+            while at < whole.num_rows:
+                batch = whole.slice(at, group_rows - rows)
+                held.append(batch)
+                at, rows = at + batch.num_rows, rows + batch.num_rows
+                if rows == group_rows:
+                    out, bins = placed_group(held, part, group, used)
+                    yield from out
+                    held, rows, group, used = [], 0, group + 1, used + bins
+        if held:
+            yield from placed_group(held, part, group, used)[0]
 
     placed = stage(pieces.mapInArrow(local, first), "pack-local")
     residual = placed.where("not final and `offset` = 0").select("bin", "fill", "grp")
     chains: DataFrame | None = None
-    top = residual.agg(F.max("grp")).first()[0]
+    last = residual.agg(F.max("grp").alias("top"), F.max(F.col("grp") % GROUPS).alias("inner")).first()
+    # Groups of one partition merge first, where there are several; then neighbouring partitions.
+    top, step = last["top"], GROUPS
+    if top is not None and not last["inner"]:
+        top, residual, step = top // GROUPS, residual.withColumn("grp", F.floor(F.col("grp") / GROUPS).cast("long")), fan_in
     level = 0
     while top is not None:
         level += 1
-        merged = stage(residual.select("bin", "fill", F.floor(F.col("grp") / fan_in).cast("long").alias("up")).groupBy("up").applyInArrow(_merge(capacity, full_enough, carry), "bin long, root long, shift long, fill long, final boolean, grp long"), f"pack-merge-{level}")
+        merged = stage(residual.select("bin", "fill", F.floor(F.col("grp") / step).cast("long").alias("up")).groupBy("up").applyInArrow(_merge(capacity, full_enough, carry), "bin long, root long, shift long, fill long, final boolean, grp long"), f"pack-merge-{level}")
         moved = merged.select("bin", "root", "shift")
         if chains is None:
             chains = moved
@@ -139,10 +171,10 @@ def pack(pieces: DataFrame, capacity: int = 1024, full_enough: float = 0.995, fa
             up = moved.select(F.col("bin").alias("root"), F.col("root").alias("root2"), F.col("shift").alias("shift2"))
             chains = chains.join(up, "root", "left").select("bin", F.coalesce("root2", "root").alias("root"), (F.col("shift") + F.coalesce("shift2", F.lit(0))).alias("shift"))
             chains = stage(chains, f"pack-chain-{level}")
-        if top < fan_in:
+        if top < step:
             break
         residual = merged.where("not final and shift = 0").select(F.col("root").alias("bin"), "fill", "grp")
-        top = top // fan_in
+        top, step = top // step, fan_in
     if chains is None:
         return placed.select(*names, F.col("bin").alias("sequence_id"), F.col("offset"))
     out = placed.join(chains, "bin", "left")

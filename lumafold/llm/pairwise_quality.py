@@ -13,7 +13,8 @@ can bend. Neither ids, labels, language nor source enter them.
 Training is bounded: at most ``max_train`` labelled documents (those with the smallest hash of their id) and
 ``pairs`` preference pairs, both documented parameters; scoring covers every document.
 
-Null and empty texts score as texts with no characters. Repeated label rows of a document vote by mean.
+Null and empty texts score as texts with no characters. Repeated label rows of a document vote by mean (a tie
+is good); of labelled documents that share an id, the one with the smallest features trains, so no row order matters.
 Without both labels in training every score is ``at``. Extra columns are ignored.
 """
 
@@ -122,17 +123,18 @@ def fit(raw: np.ndarray, good: np.ndarray, pairs: int = 60_000, ridge: float = 1
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_train: int) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of at most ``max_train`` labelled documents outside the held-out fold."""
-    marks = labels.where("doc_id is not null and quality is not null").where(crc_mod5() != 0).groupBy("doc_id").agg((F.avg("quality") >= 0.5).alias("good"))
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where("doc_id is not null and quality is not null").where(crc_mod5() != 0).groupBy("doc_id").agg((F.avg("quality") >= 0.5).alias("good"))
     sample = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [measures(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.list_(pa.float64()))], ["good", "x"])
+            raw = [measures(t) for t in batch.column(2).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(raw, pa.list_(pa.float64()))], ["doc_id", "good", "x"])
 
     # At most max_train ids of 8 bytes, so the broadcast has a fixed bound.
-    chosen = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("good", "text")
-    rows = chosen.mapInArrow(measure, "good boolean, x array<double>").limit(2 * max_train).toArrow()
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "good", "text")
+    # Of rows that share an id, the one with the smallest features: a row for each id, so at most max_train.
+    rows = chosen.mapInArrow(measure, "doc_id long, good boolean, x array<double>").groupBy("doc_id").agg(F.first("good").alias("good"), F.min("x").alias("x")).toArrow()
     width = len(measures(b""))
     raw = rows["x"].combine_chunks().values.to_numpy(zero_copy_only=False).reshape(-1, width) if rows.num_rows else np.zeros((0, width))
     good = rows["good"].to_numpy(zero_copy_only=False).astype(bool) if rows.num_rows else np.zeros(0, bool)

@@ -27,7 +27,7 @@ import pyarrow.fs as pafs
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumafold.llm.chunk_encoder import encoder
@@ -207,6 +207,21 @@ class ShardReader:
                         return value if k == key else None
         return None
 
+    def get_all(self, doc_id: int | None) -> Iterator[bytes]:
+        """The values of all rows with an id that this shard holds."""
+        if not self.docs or not self.may_have(doc_id):
+            return
+        low, high = make_key(doc_id), make_key(doc_id, (1 << 32) - 1)
+        for last, place in _seek(self._index, low):
+            if last < low:
+                continue
+            block = _unpacked(self._read(*struct.unpack("<QQ", place)))
+            for key, value in _seek(block, low):
+                if key > high:
+                    return
+                if key >= low:
+                    yield value
+
     def scan(self) -> Iterator[tuple[bytes, bytes]]:
         if self.docs:
             for _, place in _entries(self._index, 0, _restarts(self._index)[1]):
@@ -219,8 +234,9 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, dr
 
     Shards are ranges of doc_id with about ``shard_bytes`` of text each (raise it with the corpus, to keep files few). A range is
     sorted by Spark, with spill, and streamed through the encoder into its file, so memory doesn't grow with it.
-    Returns the manifest: a row (shard, file, n_docs, n_ids) for each shard. A shard is written under a name of its task
-    attempt and then renamed, so a lost executor's shard is written again.
+    Returns the manifest: a row (shard, file, n_docs, n_ids, first_key, last_key) for each shard. A file bears its task attempt's name,
+    and only the manifest, which Spark commits once, says which file counts: a lost executor's shard is written again under another
+    name, and nothing is renamed (a copy on object stores).
     Null and empty texts hold only the end id; repeated ids keep all rows; extra columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -230,13 +246,13 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, dr
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(path)
         task = TaskContext.get()
-        file = f"shard-{task.partitionId():08d}.sst"
+        file = f"shard-{task.partitionId():08d}-{task.taskAttemptId()}.sst"
         enc, writer, sink, last, copy = encoder(tokenizer, drops_space), None, None, (), 0
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 if writer is None:
                     fs.create_dir(root, recursive=True)
-                    sink = fs.open_output_stream(f"{root}/{file}.{task.taskAttemptId()}")
+                    sink = fs.open_output_stream(f"{root}/{file}")
                     writer = ShardWriter(sink)
                 batch = whole.slice(at, 256)
                 for doc, ids in zip(batch.column(0).to_pylist(), enc.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
@@ -246,20 +262,27 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, dr
         if writer is not None:
             writer.close()
             sink.close()
-            fs.move(f"{root}/{file}.{task.taskAttemptId()}", f"{root}/{file}")
-            yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int32()), pa.array([file]), pa.array([writer.docs], pa.int64()), pa.array([writer.ids], pa.int64())], ["shard", "file", "n_docs", "n_ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((task.partitionId(), file, writer.docs, writer.ids, writer.keys[0], writer.keys[-1]), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["shard", "file", "n_docs", "n_ids", "first_key", "last_key"])
 
     spread = docs.repartitionByRange(max(1, -(-size // shard_bytes)), F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
-    return stage(spread.mapInArrow(write, "shard int, file string, n_docs long, n_ids long"), "sst-manifest")
+    return stage(spread.mapInArrow(write, "shard long, file string, n_docs long, n_ids long, first_key binary, last_key binary"), "sst-manifest")
+
+
+#: Shards of one bucket of the prefix sum over the manifest.
+BUCKET = 1024
+
+
+def shard_starts(manifest: DataFrame) -> DataFrame:
+    """file and base (ids in all shards before): a prefix sum in two steps, over buckets of shards and inside each."""
+    placed = manifest.select("shard", "file", "n_ids", F.floor(F.col("shard") / BUCKET).alias("bucket"))
+    before = F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))  # a row for each BUCKET shards
+    buckets = placed.groupBy("bucket").agg(F.sum("n_ids").alias("n")).select("bucket", F.coalesce(before, F.lit(0)).alias("ahead"))
+    inside = F.sum("n_ids").over(Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
+    return placed.withColumn("inside", F.coalesce(inside, F.lit(0))).join(buckets, "bucket").select("file", (F.col("ahead") + F.col("inside")).alias("base"))
 
 
 def read_shards(manifest: DataFrame, path: str) -> DataFrame:
     """The rows of written shards: doc_id, start (ids of all rows before it), n_tokens, ids_crc32."""
-    spark = manifest.sparkSession
-    shards, base = [], 0
-    for row in manifest.orderBy("shard").collect():  # a row for each shard, not for each document
-        shards.append((row["file"], base))
-        base += row["n_ids"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(path)
@@ -276,8 +299,36 @@ def read_shards(manifest: DataFrame, path: str) -> DataFrame:
                     if rows:
                         yield _rows(rows)
 
-    listed = spark.createDataFrame(shards, "file string, base long")
-    return listed.repartition(max(1, len(shards))).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shard_starts(manifest).repartition(max(1, manifest.count())).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+#: Ids that one lookup may ask for.
+MOST_WANTED = 10_000
+
+
+def lookup(manifest: DataFrame, path: str, wanted: list[int | None]) -> DataFrame:
+    """doc_id and ids (binary, little-endian) of every row with one of the ``wanted`` ids (MOST_WANTED at most).
+
+    An id meets the one shard whose range of keys holds it; there the Bloom filter, the sparse index and binary search find it,
+    and no other block is read.
+    """
+    if len(wanted) > MOST_WANTED:
+        raise ValueError(f"at most {MOST_WANTED} ids a lookup")
+    asked = manifest.sparkSession.createDataFrame([(i, make_key(i), make_key(i, (1 << 32) - 1)) for i in dict.fromkeys(wanted)], "doc_id long, low binary, high binary")
+    met = manifest.select("file", "first_key", "last_key").join(F.broadcast(asked), (F.col("first_key") <= F.col("high")) & (F.col("last_key") >= F.col("low")))
+
+    def find(key: tuple, table: pa.Table) -> pa.Table:
+        fs, root = pafs.FileSystem.from_uri(path)
+        ids, values = [], []
+        with fs.open_input_file(f"{root}/{key[0].as_py()}") as source:
+            reader = ShardReader(source)
+            for doc in table["doc_id"].to_pylist():
+                for value in reader.get_all(doc):
+                    ids.append(doc)
+                    values.append(value)
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "ids": pa.array(values, pa.binary())})
+
+    return met.select("file", "doc_id").groupBy("file").applyInArrow(find, "doc_id long, ids binary")
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:

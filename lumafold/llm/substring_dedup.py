@@ -8,7 +8,8 @@ hashed: runs of ``length - PERIOD + 1`` words that start at a place whose remain
 a difference cover. For any two places there is a shift below PERIOD that brings both into the cover, so
 two equal windows hold an equal, aligned anchor. Anchors that occur in one document only are dropped. Every
 other anchor is extended to all windows that hold it, and only these windows are compared, as wholes, over
-all documents. So no match is lost and none is added, up to collisions of 64-bit hashes.
+all documents. So no match is lost. Anchors are hashed to 64 bits, since a false anchor only adds a candidate; what decides
+(windows, and whole sequences) to 128 bits, so that none is added at any size of corpus.
 
 The same comparison finds whole copies: a document's word sequence counts as one more anchor. A copy of a
 document with a smaller id loses all its words and needs no windows.
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumafold.llm.common import drop_staged, own_memory, release, rolling, stage, with_row_keys, word_hashes
+from lumafold.llm.common import MULTIPLIERS, drop_staged, own_memory, release, rolling, stage, with_row_keys, word_hashes
 
 #: A perfect difference set: every residue modulo 31 is a difference of two members.
 PERIOD = 31
@@ -62,16 +63,16 @@ def _named(keyed: DataFrame) -> DataFrame:
     return keyed.select(F.col("__lf_doc").alias("doc"), F.col("__lf_key").alias("key"), F.col("text").cast("string").alias("text"))
 
 
-def _flush(found: list[tuple[np.ndarray, int, int, np.ndarray]]) -> pa.RecordBatch:
-    h = np.concatenate([x[0] for x in found]).view(np.int64)
+def _flush(found: list[tuple[np.ndarray, np.ndarray, int, int, np.ndarray]]) -> pa.RecordBatch:
+    h, h2 = (np.concatenate([x[k] for x in found]).view(np.int64) for k in (0, 1))
     sizes = [len(x[0]) for x in found]
-    doc, key = (np.repeat(np.array([x[k] for x in found], np.int64), sizes) for k in (1, 2))
-    at = np.concatenate([x[3] for x in found]).astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(h), pa.array(doc), pa.array(key), pa.array(at)], ["h", "doc", "key", "at"])
+    doc, key = (np.repeat(np.array([x[k] for x in found], np.int64), sizes) for k in (2, 3))
+    at = np.concatenate([x[4] for x in found]).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(h), pa.array(h2), pa.array(doc), pa.array(key), pa.array(at)], ["h", "h2", "doc", "key", "at"])
 
 
 def anchors(keyed: DataFrame, length: int = 50) -> DataFrame:
-    """h, doc, key, at: hashes of all anchors, and of the whole word sequence, of rows with ``length`` words or more."""
+    """h, h2, doc, key, at: hashes of all anchors (h2 is 0), and of the whole word sequence (128 bits), of rows with ``length`` words or more."""
     width = length - PERIOD + 1
     if width < 1:
         raise ValueError(f"windows must have {PERIOD} words or more")
@@ -85,26 +86,27 @@ def anchors(keyed: DataFrame, length: int = 50) -> DataFrame:
                 if len(words) < length:
                     continue
                 at = anchor_places(len(words) - width + 1)
-                whole = xxhash.xxh3_64_intdigest(b" ".join(words), seed=1)
-                h = np.append(rolling(word_hashes.of(words), width)[at], np.uint64(whole))
-                found.append((h, doc, key, np.append(at, WHOLE)))
-                size += len(h)
+                whole = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(words), seed=1), np.uint64)
+                h2 = np.zeros(len(at) + 1, np.uint64)
+                h2[-1] = whole[1]
+                found.append((np.append(rolling(word_hashes.of(words), width)[at], whole[0]), h2, doc, key, np.append(at, WHOLE)))
+                size += len(h2)
                 if size > 200_000:
                     yield _flush(found)
                     found, size = [], 0
             if found:
                 yield _flush(found)
 
-    return _named(keyed).mapInArrow(find, "h long, doc long, key long, at int")
+    return _named(keyed).mapInArrow(find, "h long, h2 long, doc long, key long, at int")
 
 
 def _shared(table: DataFrame) -> DataFrame:
-    """h, first: the hashes that occur in two documents or more, and the smallest of these."""
-    return table.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("h", "first")
+    """h, h2, first: the hashes that occur in two documents or more, and the smallest of these."""
+    return table.groupBy("h", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("h", "h2", "first")
 
 
 def _windows(keyed: DataFrame, places: DataFrame, length: int) -> DataFrame:
-    """h, doc, key, at of the candidate windows around the anchors in ``places`` (doc, key, places)."""
+    """h, h2, doc, key, at of the candidate windows around the anchors in ``places`` (doc, key, places)."""
     width = length - PERIOD + 1
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +118,8 @@ def _windows(keyed: DataFrame, places: DataFrame, length: int) -> DataFrame:
                 if len(words) < length:
                     continue
                 starts = candidate_windows(at.values.to_numpy(), width, length, len(words))
-                found.append((rolling(word_hashes.of(words), length)[starts], doc, key, starts))
+                hashes = word_hashes.of(words)
+                found.append((*(rolling(hashes, length, m)[starts] for m in MULTIPLIERS), doc, key, starts))
                 size += len(starts)
                 if size > 200_000:
                     yield _flush(found)
@@ -125,7 +128,7 @@ def _windows(keyed: DataFrame, places: DataFrame, length: int) -> DataFrame:
                 yield _flush(found)
 
     joined = _named(keyed).join(places.hint("shuffle_hash"), ["doc", "key"]).select("doc", "key", "text", "places")
-    return joined.mapInArrow(extend, "h long, doc long, key long, at int")
+    return joined.mapInArrow(extend, "h long, h2 long, doc long, key long, at int")
 
 
 def removals(keyed: DataFrame, length: int = 50) -> DataFrame:
@@ -133,13 +136,15 @@ def removals(keyed: DataFrame, length: int = 50) -> DataFrame:
     table = anchors(keyed, length)
     # Written, so that the join has an exchange on either side, which adaptive execution can split.
     shared = stage(_shared(table), "shared-anchors")
-    hits = table.join(shared, "h")
+    release(keyed.sparkSession)
+    hits = table.join(shared, ["h", "h2"])
     is_copy = (F.col("at") == WHOLE) & (F.col("doc") > F.col("first"))
     by_doc = stage(hits.groupBy("doc", "key").agg(F.max(is_copy).alias("copy"), F.collect_list(F.when(F.col("at") != WHOLE, F.col("at"))).alias("places")), "anchors")
     release(keyed.sparkSession)
     found = _windows(keyed, by_doc.where("not copy and size(places) > 0").select("doc", "key", "places"), length)
     repeated = stage(_shared(found), "shared-windows")
-    late = found.join(repeated, "h").where("doc > first").groupBy("doc", "key").agg(F.collect_list("at").alias("starts"))
+    release(keyed.sparkSession)
+    late = found.join(repeated, ["h", "h2"]).where("doc > first").groupBy("doc", "key").agg(F.collect_list("at").alias("starts"))
     copies = by_doc.where("copy").select("doc", "key", F.lit(True).alias("copy"), F.lit(None).cast("array<int>").alias("starts"))
     out = stage(late.select("doc", "key", F.lit(False).alias("copy"), "starts").unionByName(copies), "removals")
     drop_staged(by_doc, shared, repeated)

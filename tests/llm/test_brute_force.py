@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from tokenizers import Tokenizer
 from pyspark.sql import functions as F
 from tests_brute import brute_components
 
@@ -21,6 +22,10 @@ MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 GAP = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+#: Texts that hold special tokens, as they are written and otherwise.
+SPECIAL = [(700, "hello <|endoftext|> world"), (701, "<|startoftext|><|endoftext|>"), (702, "a <|ENDOFTEXT|> b <|endoftext"), (703, "x<|endoftext|>y\n<|endoftext|> z")]
+
+
 def some(rng, n, prefix="w", size=400):
     return [f"{prefix}{rng.randrange(size)}" for _ in range(n)]
 
@@ -64,6 +69,24 @@ def test_blocks_find_links_beyond_the_pivot(make, rng):
     assert {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(make(rows)).collect()} == want
 
 
+def test_large_components_of_a_bucket_meet_only_where_they_may_link(spark):
+    """A bucket of 20,000 with two components far apart: a row a member, not a row a member and block."""
+    rng = np.random.default_rng(4)
+    base = [np.sort(rng.integers(0, 1 << 63, 60, np.uint64)) for _ in range(3)]
+    members, sets = [], []
+    for c in range(20_003):
+        g = c % 2 if c < 20_000 else 2
+        own = base[g].copy()
+        own[rng.integers(60)] = rng.integers(1 << 63)
+        members.append((7, c, g if c < 20_000 else c))
+        sets.append((c, np.sort(own).tobytes()))
+    members = spark.createDataFrame(members, "key long, c long, root long")
+    placed, pairs = near_dup.block_pairs(members, spark.createDataFrame(sets, "c long, full binary"), 85, block=2048)
+    assert placed.count() == 20_003
+    met = [tuple(r) for r in pairs.collect()]
+    assert all(p[1] == near_dup.SMALL or p[3] == near_dup.SMALL for p in met) and len(met) == 5 + 5 + 1
+
+
 def test_posterior_bounds():
     bounds = near_dup.least_matches(0.85, 1e-5)
     assert list(bounds) == list(range(36, 253, 36))
@@ -135,12 +158,12 @@ def test_line_dedup(make, rng, odd):
 
 
 def test_packing(make, rng, odd):
-    rows = [(k, " ".join(some(rng, rng.choice((1, 30, 300, 900, 2500))))) for k in range(10, 90)] + odd
+    rows = [(k, " ".join(some(rng, rng.choice((1, 30, 300, 900, 2500))))) for k in range(10, 90)] + odd + SPECIAL
     packed = packing.pack_documents(make(rows), BYTE).collect()
-    enc = packing.encoder(BYTE, False)
+    tok = Tokenizer.from_file(BYTE)
     want = Counter()
     for i, t in rows:
-        ids = enc.plain.encode(t or "", add_special_tokens=False).ids + [2]
+        ids = tok.encode(t or "", add_special_tokens=False).ids + [2]
         sizes = packing.cut_lengths(len(ids), 1024)
         assert sum(sizes) == len(ids) and all(s == 1024 for s in sizes[1:])
         start = 0
@@ -174,13 +197,45 @@ def test_packing_merges_over_many_groups(spark, rng):
     assert sums.count() <= len(fill) * 1.03 + 1
 
 
+def test_packing_does_not_depend_on_batches(spark, rng):
+    """Groups are counts of pieces, not Arrow batches; several groups of one partition merge."""
+    from lumafold.llm.common import stage
+
+    rows = [(k, 0, 0, rng.randrange(1, 1025), 0) for k in range(3000)]
+    pieces = stage(spark.createDataFrame(rows, packing.PIECES).coalesce(2), "test-pieces")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen = spark.conf.get(key), {}
+    try:
+        for group_rows in (1 << 18, 500):
+            for batch in ("7", "1000"):
+                spark.conf.set(key, batch)
+                out = packing.pack(pieces, 1024, group_rows=group_rows)
+                seen.setdefault(group_rows, []).append(sorted(map(tuple, out.select("doc_id", "sequence_id", "offset").collect())))
+                sums = out.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("m"))
+                assert sums.where("n <> m OR n > 1024").count() == 0 and out.count() == 3000
+    finally:
+        spark.conf.set(key, before)
+    for one, other in seen.values():
+        assert one == other
+    _, _, fill = packing.best_fit([r[3] for r in rows], 1024)
+    assert all(len({s for _, s, _ in runs[0]}) <= len(fill) * 1.02 + 1 for runs in seen.values())
+
+
+def test_carry_loses_no_join(rng):
+    """Of the bins that best-fit leaves, at most one is half full or less, so none that a group keeps back could join another."""
+    for _ in range(50):
+        _, _, fill = packing.best_fit([rng.randrange(1, 1025) for _ in range(rng.randrange(1, 300))], 1024)
+        under = sorted(fill)
+        assert sum(2 * f <= 1024 for f in fill) <= 1 and all(a + b > 1024 for a, b in zip(under, under[1:]))
+
+
 def test_shards(make, rng, odd, tmp_path):
-    rows = [(k, " ".join(some(rng, rng.randrange(1, 60), "Word"))) for k in range(10, 400)] + odd
+    rows = [(k, " ".join(some(rng, rng.randrange(1, 60), "Word"))) for k in range(10, 400)] + odd + SPECIAL
     path = f"file://{tmp_path}/sst"
     manifest = sstable.write_shards(make(rows), WORD, path, shard_bytes=20_000)
     assert manifest.count() > 3
     got = sstable.read_shards(manifest, path).collect()
-    plain = packing.encoder(WORD, True).plain
+    plain = Tokenizer.from_file(WORD)
     start = 0
     ordered = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0))
     for r, (i, t) in zip(sorted(got, key=lambda r: r["start"]), ordered, strict=True):
@@ -188,7 +243,12 @@ def test_shards(make, rng, odd, tmp_path):
         assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (i, start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
     files = sorted((tmp_path / "sst").glob("*.sst"))
-    assert not list((tmp_path / "sst").glob("*.sst.*"))
+    assert sorted(r["file"] for r in manifest.collect()) == [f.name for f in files]
+    found = sstable.lookup(manifest, path, [57, 4, None, 10**6, 57]).collect()
+    of = lambda i: [*plain.encode(i or "", add_special_tokens=False).ids, 1]
+    assert sorted((str(r["doc_id"]), np.frombuffer(r["ids"], "<u4").tolist()) for r in found) == sorted((str(i), of(t)) for i, t in rows if i in (57, 4, None))
+    with pytest.raises(ValueError):
+        sstable.lookup(manifest, path, list(range(sstable.MOST_WANTED + 1)))
     readers = [sstable.ShardReader(f.open("rb")) for f in files]
     texts = dict(rows)
     for i in (0, 10, 57, 399, None):

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lumafold.llm import common, line_dedup, mtree_search, substring_dedup
+from lumafold.llm import common, line_dedup, mtree_search, near_dup, pairwise_quality, substring_dedup
 from lumafold.llm.components import connected_components
 
 
@@ -139,3 +139,20 @@ def test_tree_search_keeps_large_vectors(spark, large):
         want |= {(q, n + 1, k, scores[k]) for n, k in enumerate(order)}
     assert max(abs(s) for *_, s in want) < 1 << 63
     assert {tuple(r) for r in got.collect()} == want
+
+
+def test_rows_with_equal_ids_but_other_texts_train_once(make, spark):
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(1, 60)], "doc_id long, quality int, toxic int")
+    rows = [(k, ("nice words in a row here" if k % 2 else "BAD $$$ !!!") + f" {copy}") for k in range(1, 60) for copy in range(9)]
+    raw, good = pairwise_quality.training_rows(make(rows), labels, 20)
+    assert len(raw) == len(good) == 20
+    again, _ = pairwise_quality.training_rows(make(rows[::-1]), labels, 20)
+    assert (raw == again).all()
+
+
+def test_hot_id_with_many_texts(make):
+    """Rows of one id with different texts: each meets its own set only."""
+    own = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    rows = [(5, own(f"t{k % 300}_", 30)) for k in range(600)] + [(k, own(f"t{k}_", 30)) for k in range(6, 12)]
+    got = near_dup.near_duplicates(make(rows)).collect()
+    assert len(got) == len(rows) and {r["component_id"] for r in got} == {5}
