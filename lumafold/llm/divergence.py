@@ -5,33 +5,30 @@ histogram of a language, gathered from all documents of that language, by the Je
 2, so from 0 to 1). A text takes the language that fits it best, whatever its label says. It is kept unless
 it fails the base rules, or is long enough to judge and lies too far from every language.
 
+The common words are learned: the ``top_words`` most frequent words with a letter of every language that the corpus
+names, lower-cased, counted over all documents. The limit of the word distance is learned too, since a short text lies
+farther from any reference than a long one: of the documents of a language with about as many words (the same power of
+two), the median distance to their own language plus ``spread`` times what lies between the median and the lowest
+twentieth (``min_spread`` at least). Both are taken from the lower half, which junk does not reach.
+
 Guards: texts of fewer than ``min_words`` words have too little evidence for the word histogram, and of fewer
 than ``min_chars`` characters for the classes; the guarded distance is not held against them. A language with
-fewer than ``min_reference_words`` words in the corpus is no reference; with no reference at all nothing is
-rejected by distance.
+fewer than ``min_reference_words`` words in the corpus is no reference; a length of which it has fewer than
+``min_documents`` documents takes the limit of the next shorter length, which is laxer (none, if there is no such); with no
+reference at all nothing is rejected by distance.
 
 Null texts count as empty: no words, so the base rule fails them. Repeated rows are judged each. An empty
 table gives an empty result. Extra columns are ignored. A null language only keeps a text out of the
-references.
+references. Quantiles are of distances in thousandths, so they need a count for each thousandth only.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumafold.llm.common import stage, text_key
+from lumafold.llm.common import drop_staged, stage, text_key
 
-#: The function words of each language that make the bins of the word histogram.
-COMMON_WORDS = {
-    "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "auf", "für", "ist", "im"],
-    "en": ["the", "of", "and", "to", "a", "in", "is", "that", "for", "it", "was", "on", "are", "with", "be"],
-    "es": ["de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un", "por", "con", "una"],
-    "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est", "pour", "qui", "dans"],
-}
-VOCABULARY = sorted({w for words in COMMON_WORDS.values() for w in words})
 CLASSES = ("upper", "digit", "mark", "symbol", "space", "other")
 SPLIT = r"[\x20\x09-\x0D]+"
 
@@ -40,19 +37,32 @@ def _lines_with_words(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda line: F.rlike(line, F.lit(r"[^\x20\x09-\x0D]")))
 
 
-def _letter(k: int) -> str:
-    """One character for each common word; none is special to replace()."""
-    return chr(0x100 + k)
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, SPLIT), lambda w: w != "")
+
 
+def vocabulary(docs: DataFrame, top_words: int = 50, min_reference_words: int = 1000) -> list[str]:
+    """The common words of all languages, in order: at most ``top_words`` for each language that is a reference."""
+    lang, text = F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    counts = docs.where("lang is not null").select(lang, F.explode(_words(F.lower(text))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    counts = stage(counts, "words-by-language")
+    large = counts.groupBy("lang").agg(F.sum("n").alias("total")).where(F.col("total") >= min_reference_words).select("lang")
+    lettered = counts.where(F.rlike("word", F.lit(r"\p{L}"))).join(F.broadcast(large), "lang")  # a row for each language
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    top = lettered.withColumn("place", place).where(F.col("place") <= top_words).select("word").distinct().collect()
+    drop_staged(counts)
+    return sorted(r["word"] for r in top)
 
-def features(docs: DataFrame, with_keys: bool = False) -> DataFrame:
-    """doc_id, lang, the base counts, and the two histograms (array<long>) of every document; the text's key (__lf_key) if asked."""
+
+def features(docs: DataFrame, common_words: list[str], with_keys: bool = False) -> DataFrame:
+    """doc_id, lang, the base counts, the class histogram, and the common words in the text as (k, n): place among ``common_words``
+    (the last place is that of all other words) and count; the text's key (__lf_key) if asked."""
     ids = ["doc_id", "__lf_key"] if with_keys else ["doc_id"]
     if with_keys:
         docs = docs.withColumn("__lf_key", text_key())
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     words = docs.select(*ids, F.col("lang").cast("string").alias("lang"), text.alias("text")).select(
-        "*", F.filter(F.split("text", SPLIT), lambda w: w != "").alias("words")
+        "*", _words(F.col("text")).alias("words")
     )
     hashed = words.select(
         *ids, "lang", "text", "words",
@@ -70,9 +80,6 @@ def features(docs: DataFrame, with_keys: bool = False) -> DataFrame:
     placed = repeated.withColumn("places", F.sort_array(F.array_distinct(F.flatten(twice))))
     # Windows of five words from ascending places cover min(5, distance to the place before) new words each.
     covered = F.aggregate("places", F.struct(F.lit(-5).alias("last"), F.lit(0).cast("long").alias("n")), lambda acc, p: F.struct(p.alias("last"), (acc["n"] + F.least(F.lit(5), p - acc["last"])).alias("n")), lambda acc: acc["n"])
-    letters = F.create_map(*[F.lit(x) for k, w in enumerate(VOCABULARY) for x in (w, _letter(k))])
-    common = F.array_join(F.transform(F.filter("words", lambda w: F.lower(w).isin(VOCABULARY)), lambda w: F.element_at(letters, F.lower(w))), "")
-
     def only(pattern: str) -> Column:
         return F.length(F.regexp_replace("text", f"[^{pattern}]+", "")).cast("long")
 
@@ -84,82 +91,120 @@ def features(docs: DataFrame, with_keys: bool = False) -> DataFrame:
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         F.length("text").cast("long").alias("chars"),
         only(r"\p{Lu}").alias("upper"), only(r"\p{Nd}").alias("digit"), only(r".,;:!?'()\x22\x2D").alias("mark"),
-        common.alias("common"),
+        _hits(F.col("words"), common_words).alias("hits"),
     )
     space = F.col("chars") - F.col("word_chars")
     other = F.col("word_chars") - F.col("upper") - F.col("digit") - F.col("mark") - F.col("n_symbols")
-    hits = [(F.length("common") - F.length(F.replace("common", F.lit(_letter(k)), F.lit("")))).cast("long") for k in range(len(VOCABULARY))]
+    listed = F.lit(common_words) if common_words else F.array().cast("array<string>")
+    found = F.transform(F.array_distinct("hits"), lambda w: F.struct((F.array_position(listed, w) - 1).cast("int").alias("k"), F.size(F.filter("hits", lambda x: x == w)).cast("long").alias("n")))
+    others = F.col("n_words") - F.size("hits")
+    rest = F.when(others > 0, F.array(F.struct(F.lit(len(common_words)).alias("k"), others.cast("long").alias("n")))).otherwise(F.array().cast("array<struct<k:int,n:bigint>>"))
     return counted.select(
         *ids, "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars",
         F.array("upper", "digit", "mark", "n_symbols", space, other).alias("classes"),
-        F.array(*hits, F.col("n_words") - F.length("common")).alias("common"),
+        F.concat(found, rest).alias("common"),
     )
 
 
+def _hits(words: Column, common_words: list[str]) -> Column:
+    if not common_words:
+        return F.array().cast("array<string>")
+    return F.filter(F.transform(words, F.lower), lambda w: w.isin(common_words))
+
+
 def _sums(name: str, size: int) -> Column:
     return F.array(*[F.sum(F.col(name)[k]).cast("double") for k in range(size)])
 
 
-def references(found: DataFrame, min_reference_words: int = 1000) -> DataFrame:
-    """lang and its two histograms, from all documents of a language of COMMON_WORDS: at most one row each."""
-    sums = found.where(F.col("lang").isin(list(COMMON_WORDS))).groupBy("lang").agg(F.sum("n_words").alias("total"), _sums("classes", len(CLASSES)).alias("ref_classes"), _sums("common", len(VOCABULARY) + 1).alias("ref_common"))
-    return sums.where(F.col("total") >= min_reference_words).select("lang", "ref_classes", "ref_common")
+def references(found: DataFrame, bins: int, min_reference_words: int = 1000) -> dict[str, tuple[list[float], list[float]]]:
+    """The shares of classes and of common words (``bins`` of them) of each language with enough words, from all its documents."""
+    mine = found.where("lang is not null")
+    sums = mine.groupBy("lang").agg(F.sum("n_words").alias("total"), _sums("classes", len(CLASSES)).alias("classes")).where(F.col("total") >= min_reference_words).collect()  # a row for each language
+    counts = {r["lang"]: [0.0] * bins for r in sums}
+    for r in mine.select("lang", F.explode("common").alias("x")).groupBy("lang", "x.k").agg(F.sum("x.n").alias("n")).collect():  # a row for each language and common word
+        if r["lang"] in counts:
+            counts[r["lang"]][r["k"]] = float(r["n"])
+    return {r["lang"]: tuple([x / sum(row) for x in row] for row in (r["classes"], counts[r["lang"]])) for r in sorted(sums, key=lambda r: r["lang"])}
 
 
-def js_distance(p: str, q: str) -> Column:
-    """Jensen-Shannon distance of two histograms (arrays of counts); null where one is empty."""
+def _term(a: Column, b: Column) -> Column:
+    return F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(F.lit(0.0))
 
-    def total(name: str) -> Column:
-        return F.aggregate(name, F.lit(0.0), lambda acc, x: acc + x)
 
-    def term(a: Column, b: Column) -> Column:
-        return F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(F.lit(0.0))
-
-    terms = F.zip_with(p, q, lambda a, b: term(a, b) + term(b, a))
+def js_distance(shares: str, ref: list[float]) -> Column:
+    """Jensen-Shannon distance of a column of shares (null where there are none) from a reference."""
+    terms = F.zip_with(shares, F.lit(ref), lambda a, b: _term(a, b) + _term(b, a))
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + x) / 2, F.lit(0.0)))
 
 
+def sparse_distance(counts: str, total: str, ref: list[float]) -> Column:
+    """The same from (k, n) counts: bins without a count add their reference share, so only the others are visited. Null for no counts."""
+    shares = F.lit(ref)
+
+    def add(acc: Column, x: Column) -> Column:
+        p, q = x["n"] / F.col(total), F.get(shares, x["k"])
+        return acc + _term(p, q) + _term(q, p) - q
+
+    twice = F.aggregate(counts, F.lit(1.0), add)
+    return F.when(F.col(total) > 0, F.sqrt(F.greatest(twice / 2, F.lit(0.0))))
+
+
 def _shares(name: str) -> Column:
     total = F.aggregate(name, F.lit(0.0), lambda acc, x: acc + x)
     return F.transform(name, lambda x: F.try_divide(x, total))  # null where there is nothing to share
 
 
-def judge(docs: DataFrame, max_class_distance: float = 0.28, max_word_distance: float = 0.5, min_words: int = 50, min_chars: int = 200, min_reference_words: int = 1000, with_keys: bool = False) -> DataFrame:
-    """doc_id, the base counts, base_failed, language (best fit), class_distance, word_distance, kept; the text's key (__lf_key) if asked."""
-    spark = docs.sparkSession
-    ids = ["doc_id", "__lf_key"] if with_keys else ["doc_id"]
-    found = stage(features(docs, with_keys), "divergence")
-    # At most one row for each language of COMMON_WORDS, so the reference rows fit in the plan as literals.
-    rows = references(found, min_reference_words).orderBy("lang").collect()
-    base = found.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-    keep = [*ids, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars", "base_failed"]
-    shares = base.select(*keep, _shares("classes").alias("p_classes"), _shares("common").alias("p_common"))
-
-    def against(kind: str, row) -> Column:
-        total = sum(row[f"ref_{kind}"])
-        ref = F.array(*[F.lit(x / total) for x in row[f"ref_{kind}"]])
-        return js_distance(f"p_{kind}", ref)
-
-    if rows:
-        fits = shares.select(*keep, F.array(*[F.struct((c + w).alias("sum"), F.lit(r["lang"]).alias("language"), c.alias("c"), w.alias("w")) for r in rows for c, w in [(against("classes", r), against("common", r))]]).alias("fits"))
-        best = fits.withColumn("best", F.array_min(F.filter("fits", lambda x: x["sum"].isNotNull())))
-        best = best.select(*keep, F.col("best.language").alias("language"), F.col("best.c").alias("class_distance"), F.col("best.w").alias("word_distance"))
-    else:
-        best = shares.select(*keep, F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("class_distance"), F.lit(None).cast("double").alias("word_distance"))
-    far = reduce(
-        lambda a, b: a | b,
-        [
-            (F.col("chars") >= min_chars) & F.coalesce(F.col("class_distance") > max_class_distance, F.lit(False)),
-            (F.col("n_words") >= min_words) & F.coalesce(F.col("word_distance") > max_word_distance, F.lit(False)),
-        ],
-    )
-    return best.select(*ids, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "language", "class_distance", "word_distance", (~F.col("base_failed") & ~far).alias("kept"))
+def _length_class(n_words: Column) -> Column:
+    """Powers of two of the number of words (1 or more)."""
+    return F.length(F.bin(n_words)).cast("int")
+
 
+def word_limits(distances: DataFrame, spread: float, min_spread: float, min_documents: int) -> DataFrame:
+    """language, length_class and limit: 63 rows for each language. ``distances``: lang, length_class, own."""
+    thousandths = distances.where("own is not null").groupBy("lang", "length_class", F.floor(F.col("own") * 1000).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    group = Window.partitionBy("lang", "length_class")
+    ranked = thousandths.select("lang", "length_class", "bin", F.sum("n").over(group.orderBy("bin")).alias("upto"), F.sum("n").over(group).alias("docs"))
+    middle, low = (F.min(F.when(F.col("upto") * k >= F.col("docs"), F.col("bin"))) for k in (2, 20))
+    found = ranked.where(F.col("docs") >= min_documents).groupBy("lang", "length_class").agg(middle.alias("middle"), low.alias("low"))
+    limits = found.select(F.col("lang").alias("language"), "length_class", (F.col("middle") / 1000 + F.greatest(F.lit(spread) * (F.col("middle") - F.col("low")) / 1000, F.lit(min_spread))).alias("limit"))
+    # A class with too few documents takes the limit of the next shorter one, which is laxer.
+    every = limits.select("language").distinct().select("language", F.explode(F.sequence(F.lit(1), F.lit(63))).alias("length_class"))
+    return every.join(limits, ["language", "length_class"], "left").withColumn("limit", F.last("limit", ignorenulls=True).over(Window.partitionBy("language").orderBy("length_class")))
 
-def sql(max_class_distance: float = 0.28, max_word_distance: float = 0.5, min_words: int = 50, min_chars: int = 200, min_reference_words: int = 1000) -> str:
-    """The same verdict in SQL, for checking."""
-    bins = ", ".join(f"'{w}'" for w in VOCABULARY)
-    langs = ", ".join(f"'{x}'" for x in COMMON_WORDS)
+
+def judge(
+    docs: DataFrame, max_class_distance: float = 0.28, top_words: int = 50, spread: float = 2.5, min_spread: float = 0.05, min_words: int = 50,
+    min_chars: int = 200, min_reference_words: int = 1000, min_documents: int = 30, with_keys: bool = False,
+) -> DataFrame:
+    """doc_id, the base counts, base_failed, language (best fit), class_distance, word_distance, word_limit, kept; the text's key (__lf_key) if asked."""
+    ids = ["doc_id", "__lf_key"] if with_keys else ["doc_id"]
+    common_words = vocabulary(docs, top_words, min_reference_words)
+    found = stage(features(docs, common_words, with_keys), "divergence")
+    refs = references(found, len(common_words) + 1, min_reference_words)
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars"]
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    shares = found.select(*ids, "lang", *counts, failed.alias("base_failed"), _shares("classes").alias("p_classes"), "common", _length_class(F.col("n_words")).alias("length_class"))
+    none = F.array().cast("array<struct<sum:double,language:string,c:double,w:double>>")
+    each = [(F.lit(lang).alias("language"), js_distance("p_classes", classes).alias("c"), sparse_distance("common", "n_words", words).alias("w")) for lang, (classes, words) in refs.items()]
+    fits = F.transform(F.array(*[F.struct(*e) for e in each]), lambda x: F.struct((x["c"] + x["w"]).alias("sum"), x["language"].alias("language"), x["c"].alias("c"), x["w"].alias("w"))) if each else none
+    measured = shares.select(*ids, "lang", *counts, "base_failed", "length_class", fits.alias("fits"))
+    best = F.array_min(F.filter("fits", lambda x: x["sum"].isNotNull()))
+    own = F.get(F.filter("fits", lambda x: x["language"] == F.col("lang")), F.lit(0))
+    placed = measured.select(*ids, "lang", *counts, "base_failed", "length_class", best.alias("best"), own.alias("own"))
+    placed = stage(placed.select(*ids, "lang", *counts, "base_failed", "length_class", F.col("best.language").alias("language"), F.col("best.c").alias("class_distance"), F.col("best.w").alias("word_distance"), F.col("own.w").alias("own")), "distances")
+    limits = stage(word_limits(placed.where("not base_failed"), spread, min_spread, min_documents), "limits")  # 63 rows a language
+    met = placed.join(F.broadcast(limits.withColumnRenamed("limit", "word_limit")), ["language", "length_class"], "left")
+    far = (F.col("chars") >= min_chars) & F.coalesce(F.col("class_distance") > max_class_distance, F.lit(False))
+    strange = (F.col("n_words") >= min_words) & F.coalesce(F.col("word_distance") > F.col("word_limit"), F.lit(False))
+    drop_staged(found)
+    return met.select(*ids, *counts[:-1], "base_failed", "language", "class_distance", "word_distance", "word_limit", (~F.col("base_failed") & ~far & ~strange).alias("kept"))
+
+
+def sql(
+    max_class_distance: float = 0.28, top_words: int = 50, spread: float = 2.5, min_spread: float = 0.05, min_words: int = 50,
+    min_chars: int = 200, min_reference_words: int = 1000, min_documents: int = 30,
+) -> str:
+    """The same verdict in SQL, for checking: dense histograms, and limits by the same rule."""
 
     def only(pattern: str) -> str:
         return f"length(regexp_replace(text, '[^{pattern}]+', '', 'g'))"
@@ -190,23 +235,43 @@ WITH cut AS (
          coalesce(repeated.n, 0) AS n_repeat_words, length(text) AS chars,
          {only("\\p{Lu}")} AS up, {only("\\p{Nd}")} AS dig, {only(".,;:!?''()\\x22\\x2D")} AS mark
   FROM cut LEFT JOIN repeated ON repeated.r = cut.r
+), spoken AS (
+  SELECT lang, lower(x) AS word, count(*) AS n FROM (SELECT lang, unnest(w) AS x FROM cut WHERE lang IS NOT NULL) GROUP BY 1, 2
+), tops AS (
+  SELECT word FROM spoken WHERE regexp_matches(word, '\\p{{L}}') AND lang IN (SELECT lang FROM spoken GROUP BY lang HAVING sum(n) >= {min_reference_words})
+  QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= {top_words}
+), bins AS (
+  SELECT coalesce(list(DISTINCT word), []) AS words FROM tops
 ), hist AS (
-  SELECT *, [up, dig, mark, n_symbols, chars - word_chars, word_chars - up - dig - mark - n_symbols] AS classes,
-         list_transform([{bins}], lambda b: len(list_filter(w, lambda x: lower(x) = b))) AS hits
-  FROM counted
+  SELECT counted2.*, [up, dig, mark, n_symbols, chars - word_chars, word_chars - up - dig - mark - n_symbols] AS classes,
+         list_transform(list_transform(bins.words, lambda b: [b]), lambda b: len(list_filter(lw, lambda x: x = b[1]))) AS hits
+  FROM (SELECT *, list_transform(w, lambda x: lower(x)) AS lw FROM counted) AS counted2, bins
 ), found AS (
-  SELECT * EXCLUDE (hits), list_append(hits, n_words - coalesce(list_sum(hits), 0)::BIGINT) AS common FROM hist
+  SELECT * EXCLUDE (hits, lw), list_append(hits, n_words - coalesce(list_sum(hits), 0)::BIGINT) AS common FROM hist
 ), refs AS (
-  SELECT lang AS language, {sums("classes", len(CLASSES))} AS ref_classes, {sums("common", len(VOCABULARY) + 1)} AS ref_common
-  FROM found WHERE lang IN ({langs}) GROUP BY lang HAVING sum(n_words) >= {min_reference_words}
+  SELECT lang AS language, {sums("classes", len(CLASSES))} AS ref_classes, ref_common FROM found JOIN (
+    SELECT lang, list(n ORDER BY k) AS ref_common FROM (SELECT lang, k, sum(c)::DOUBLE AS n FROM (SELECT lang, unnest(common) AS c, unnest(range(len(common))) AS k FROM found) GROUP BY ALL) GROUP BY lang
+  ) USING (lang) GROUP BY ALL HAVING sum(n_words) >= {min_reference_words}
 ), fits AS (
-  SELECT r, {distance("classes", "ref_classes")} AS c, {distance("common", "ref_common")} AS d, language FROM found, refs
+  SELECT r, lang, {distance("classes", "ref_classes")} AS c, {distance("common", "ref_common")} AS d, language FROM found, refs
 ), best AS (
-  SELECT r, c, d FROM fits WHERE NOT isnan(c + d) AND c + d IS NOT NULL QUALIFY row_number() OVER (PARTITION BY r ORDER BY c + d, language) = 1
+  SELECT r, c, d, language FROM fits WHERE NOT isnan(c + d) AND c + d IS NOT NULL QUALIFY row_number() OVER (PARTITION BY r ORDER BY c + d, language) = 1
+), based AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, length(bin(n_words)) AS length_class FROM found
+), binned AS (
+  SELECT based.lang, length_class, floor(d * 1000)::BIGINT AS b, count(*) AS n FROM based JOIN fits ON fits.r = based.r AND fits.language = based.lang
+  WHERE NOT base_failed AND d IS NOT NULL AND NOT isnan(d) GROUP BY ALL
+), ranked AS (
+  SELECT lang, length_class, b, sum(n) OVER (PARTITION BY lang, length_class ORDER BY b) AS upto, sum(n) OVER (PARTITION BY lang, length_class) AS docs FROM binned
+), few AS (
+  SELECT lang AS language, length_class, middle / 1000 + greatest({spread}::DOUBLE * (middle - low) / 1000, {min_spread}::DOUBLE) AS word_limit FROM (
+    SELECT lang, length_class, min(b) FILTER (WHERE upto * 2 >= docs) AS middle, min(b) FILTER (WHERE upto * 20 >= docs) AS low FROM ranked WHERE docs >= {min_documents} GROUP BY ALL)
+), limits AS (
+  SELECT language, length_class, last_value(word_limit IGNORE NULLS) OVER (PARTITION BY language ORDER BY length_class) AS word_limit
+  FROM (SELECT DISTINCT language FROM few) JOIN range(1, 64) AS t(length_class) ON true LEFT JOIN few USING (language, length_class)
 ), judged AS (
-  SELECT found.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-         chars >= {min_chars} AND coalesce(c > {max_class_distance}, false) OR n_words >= {min_words} AND coalesce(d > {max_word_distance}, false) AS far
-  FROM found LEFT JOIN best ON best.r = found.r
+  SELECT based.*, chars >= {min_chars} AND coalesce(c > {max_class_distance}, false) OR n_words >= {min_words} AND coalesce(d > word_limit, false) AS far
+  FROM based LEFT JOIN best ON best.r = based.r LEFT JOIN limits ON limits.language = best.language AND limits.length_class = based.length_class
 )
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
        n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND NOT far AS kept

@@ -40,7 +40,7 @@ def op4_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(ship(spark), sf_dir, "documents")
-    return divergence.judge(docs).drop("language", "class_distance", "word_distance")
+    return divergence.judge(docs).drop("language", "class_distance", "word_distance", "word_limit")
 
 
 def op3_bayesian_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

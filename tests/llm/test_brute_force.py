@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -373,7 +374,7 @@ def brute_base(t):
 
 
 def test_divergence(make, rng, odd):
-    pool = divergence.COMMON_WORDS["en"] + ["house", "tree", "river", "stone", "walk", "green", "over"]
+    pool = "the of and to a in is that for it was on are with be".split() + ["house", "tree", "river", "stone", "walk", "green", "over"]
     clean = [(k, " ".join(rng.choice(pool) for _ in range(120)) + ".") for k in range(10, 60)]
     junk = [(100, "#### $$$$ %%%% " * 3 + " ".join(f"{k}#%$&" for k in range(120))), (101, " ".join(w.upper() + "!!" for _, t in clean[:2] for w in t.split()))]
     rep = [(110, "a b c d e f g h i j " * 5), (111, "x y\nx y\nz"), (112, "a b c d e a b c d e q r s t u v w x y z")]
@@ -389,6 +390,27 @@ def test_divergence(make, rng, odd):
     assert divergence.judge(make([])).count() == 0
 
 
+def test_divergence_learns_words_and_limits(spark, make, rng):
+    """Clean characters are not enough: a text without its language's common words goes; lengths have limits of their own."""
+    speech = {lang: [f"{a}{b}" for a in part for b in "aeiou"] for lang, part in (("xx", "bdfgk"), ("yy", "lmnpr"))}
+    rare = [f"{a}{b}{c}" for a in "stvwz" for b in "aeiou" for c in "bdlmn"]
+    rows = []
+    for k in range(400):
+        lang = ("xx", "yy")[k % 2]
+        rows.append((k, " ".join(rng.choice(speech[lang]) if rng.random() < 0.6 else rng.choice(rare) for _ in range((80, 300, 1500)[k % 3 % 2 + (k > 380)])), lang))
+    rows += [(900, " ".join(rng.choice(rare) for _ in range(300)), "xx"), (901, " ".join(rng.choice(speech["yy"]) for _ in range(300)) + " x", "xx"), (902, None, None), (903, "x" * 300_000 + " " + " ".join(rng.choice(rare) for _ in range(3_000)), "yy")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in divergence.judge(table, top_words=25, max_class_distance=2.0).collect()}
+    assert not got[900]["kept"] and not got[901]["kept"] and not got[902]["kept"] and not got[903]["kept"]
+    assert not got[900]["base_failed"] and got[900]["word_distance"] > got[900]["word_limit"] and got[901]["language"] == "yy"
+    assert sum(r["kept"] for i, r in got.items() if i < 400) >= 395
+    assert len({r["word_limit"] for r in got.values() if r["language"] == "xx"}) > 1
+    con = duckdb.connect()
+    con.register("documents", table.toPandas())
+    want = con.sql(divergence.sql(top_words=25, max_class_distance=2.0)).fetchall()
+    assert {r[0]: r[-1] for r in want} == {i: r["kept"] for i, r in got.items()}
+
+
 def test_quality(make, spark, rng, odd):
     good = [(k, " ".join(some(rng, 80, "word"))) for k in range(10, 110)]
     bad = [(k, " ".join(["BUY!!", "$$$"] * 30 + some(rng, 10, "X"))) for k in range(200, 260)]
