@@ -5,12 +5,15 @@ word-emission probability: P(class of w | class of the word before) * P(w | clas
 
 * The ``cluster_words`` most frequent training words are assigned to ``classes`` classes by exchange
   clustering: words move, one at a time, to the class that raises the likelihood of the training bigrams most.
+* Then every other head word that occurs ``min_count`` times or more is put into the class that raises it most, by the
+  classes of its neighbours in all training texts (sparse counts from a shuffle; each word is judged in its own row).
 * All other words fall into classes by their shape (length and closing mark), and the end token has its own.
+* The transitions are counted anew over all training texts with the classes of all these words.
 * Transitions are interpolated with class frequencies by absolute discounting; emissions are smoothed by
   ``alpha``, which leaves room for one unseen word in each shape class.
 
-What is gathered: a count for each distinct training word (one shuffle of partial counts), and bigram counts
-over the clustered words and shape classes. Counts of the ``head_words`` most frequent words, of 64 bytes at
+What is gathered: a count for each distinct training word (one shuffle of partial counts), bigram counts over the
+words that are exchanged and shape classes, neighbour counts of the words put in later, and class bigrams. Counts of the ``head_words`` most frequent words, of 64 bytes at
 most, travel to the tasks (a fixed bound); other words meet their counts in a join, where no key is hot since
 a word outside the head is rare by construction.
 
@@ -33,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumafold.llm.common import crc_mod5, stage
+from lumafold.llm.common import crc_mod5, own_memory, stage
 
 LONGEST = 64
 #: Shape classes: octets of a word (up to 1, 3, 5, 8, 12, 18, 27, more), twice: without and with a closing mark.
@@ -200,6 +203,120 @@ class Model:
         return self.first_shape + SHAPES
 
 
+def neighbour_counts(training: DataFrame, words: list[bytes], context: np.ndarray, first: int, upto: int, size: int) -> DataFrame:
+    """w, seen (list of (place, n)): how often each word from number ``first`` up to ``upto`` follows a class (place is that class) or precedes
+    one (place is ``size`` more). ``context`` is the class of the words before ``first``; all other words count as their shape's."""
+    index = {w: k for k, w in enumerate(words[:upto])}
+    shared = training.sparkSession.sparkContext.broadcast((index, context))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_memory("neighbours", lambda: None)
+        index, context = shared.value
+        get, end, shapes = index.get, size - 1, size - 1 - SHAPES
+        keys, n = np.empty(0, np.int64), np.empty(0, np.int64)
+        fresh: list[np.ndarray] = []
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            found = np.concatenate([keys, *fresh])
+            times = np.concatenate([n, np.ones(len(found) - len(keys), np.int64)])
+            order = np.argsort(found, kind="stable")
+            found, times = found[order], times[order]
+            starts = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])) if len(found) else np.empty(0, np.int64)
+            return found[starts], (np.add.reduceat(times, starts) if len(starts) else times)
+
+        def of(batch_keys: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(batch_keys // (2 * size)), pa.array((batch_keys % (2 * size)).astype(np.int32)), pa.array(times)], ["w", "place", "n"])
+
+        for batch in batches:
+            found: list[int] = []
+            kinds: list[int] = [end]
+            for text in batch.column(0).cast(pa.binary()).to_pylist():
+                words = tokens(text)
+                numbers = list(map(get, words, repeat(-1)))
+                found += numbers
+                found.append(-1)
+                kinds += [context[k] if 0 <= k < first else shapes + shape(w) for k, w in zip(numbers, words, strict=True)]
+                kinds.append(end)
+            number, kind = np.array(found, np.int64), np.array(kinds, np.int64)
+            at = np.flatnonzero(number >= first)  # kinds are one place later than numbers
+            fresh.append(number[at] * (2 * size) + kind[at])
+            fresh.append(number[at] * (2 * size) + size + kind[at + 2])
+            if sum(map(len, fresh)) > 1_000_000:
+                keys, n = merged()
+                fresh = []
+                if len(keys) > 2_000_000:
+                    yield of(keys, n)
+                    keys, n = np.empty(0, np.int64), np.empty(0, np.int64)
+        if fresh:
+            keys, n = merged()
+        if len(keys):
+            yield of(keys, n)
+
+    rows = training.select("text").mapInArrow(count, "w long, place int, n long")
+    return rows.groupBy("w", "place").agg(F.sum("n").alias("n")).groupBy("w").agg(F.collect_list(F.struct("place", "n")).alias("seen"))  # at most 2 * size for a word
+
+
+def best_classes(word: np.ndarray, place: np.ndarray, n: np.ndarray, grid: np.ndarray, classes: int) -> np.ndarray:
+    """The class of each word (rows of one word stand together) that raises the likelihood of the bigrams in ``grid`` most when the word joins it."""
+    size = len(grid)
+
+    def gained(base: np.ndarray, more: np.ndarray) -> np.ndarray:
+        return (base + more) * np.log(np.maximum(base + more, 1e-300)) - np.where(base > 0, base * np.log(np.maximum(base, 1e-300)), 0.0)
+
+    starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+    follows = place < size
+    # The class bigrams that a neighbour's count would add to, for each class that the word could join.
+    met = np.where(follows[:, None], grid[np.where(follows, place, 0), :classes], grid[:classes, np.where(follows, 0, place - size)].T)
+    gain = np.add.reduceat(gained(met, n[:, None].astype(float)), starts)
+    after, before = (np.add.reduceat(np.where(side, n, 0), starts).astype(float)[:, None] for side in (~follows, follows))
+    rows, columns = grid.sum(axis=1)[None, :classes], grid.sum(axis=0)[None, :classes]
+    gain -= np.where(after > 0, gained(rows, after), 0.0) + np.where(before > 0, gained(columns, before), 0.0)
+    return gain.argmax(axis=1)
+
+
+def place_words(neighbours: DataFrame, grid: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of words and the class that each is put in: at most one row for each head word."""
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                words, seen = batch.column(0).slice(at, 500), batch.column(1).slice(at, 500)
+                flat = seen.flatten()
+                numbers = np.repeat(words.to_numpy(), np.diff(seen.offsets.to_numpy()))
+                best = best_classes(numbers, flat.field("place").to_numpy(), flat.field("n").to_numpy(), grid, classes)
+                yield pa.RecordBatch.from_arrays([words, pa.array(best.astype(np.int32))], ["w", "class"])
+
+    found = neighbours.mapInArrow(choose, "w long, class int").toArrow()
+    return found["w"].to_numpy(), found["class"].to_numpy()
+
+
+def class_bigrams(training: DataFrame, words: list[bytes], label: np.ndarray, size: int) -> np.ndarray:
+    """Counts of neighbouring classes, the end token's being the last (also before the first word): size x size."""
+    shared = training.sparkSession.sparkContext.broadcast({w: k for w, k in zip(words, label.tolist(), strict=True) if k >= 0})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get, end, shapes = shared.value.get, size - 1, size - 1 - SHAPES
+        total = np.zeros(size * size, np.int64)
+        for batch in batches:
+            kinds: list[int] = [end]
+            for text in batch.column(0).cast(pa.binary()).to_pylist():
+                words = tokens(text)
+                found = list(map(get, words))
+                for k in [k for k, x in enumerate(found) if x is None]:
+                    found[k] = shapes + shape(words[k])
+                kinds += found
+                kinds.append(end)
+            pairs = np.array(kinds)
+            total += np.bincount(pairs[:-1] * size + pairs[1:], minlength=size * size)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["pair", "n"])
+
+    rows = training.select("text").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # at most size^2 rows
+    out = np.zeros(size * size)
+    out[rows["pair"].to_numpy()] = rows["n"].to_numpy()
+    return out.reshape(size, size)
+
+
 def _head(counts: DataFrame, size: int) -> tuple[list[bytes], np.ndarray]:
     """The most frequent words of LONGEST bytes at most, and their counts: at most ``size`` words, whole ties only.
 
@@ -218,36 +335,43 @@ def _head(counts: DataFrame, size: int) -> tuple[list[bytes], np.ndarray]:
     return [w for _, w in rows], np.array([c for c, _ in rows], np.int64)
 
 
-def train(training: DataFrame, counts: DataFrame, head_words: int, cluster_words: int, classes: int, alpha: float, discount: float) -> Model:
+def train(training: DataFrame, counts: DataFrame, head_words: int, cluster_words: int, classes: int, alpha: float, discount: float, min_count: int = 3) -> Model:
     """``counts``: a stable table of word and c."""
     ended = training.count()
     row = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     words, count = _head(counts, head_words)
-    clustered = words[:cluster_words]
-    pairs = bigram_counts(training, clustered)
-    label = exchange_clusters(pairs, len(clustered), classes)
-    first_shape = int(label[: len(clustered)].max(initial=-1)) + 1
-    label = np.concatenate([label[: len(clustered)], first_shape + np.arange(SHAPES + 1)])
+    exchanged = words[:cluster_words]
+    pairs = bigram_counts(training, exchanged)
+    found = exchange_clusters(pairs, len(exchanged), classes)
+    first_shape = int(found[: len(exchanged)].max(initial=-1)) + 1
     size = first_shape + SHAPES + 1
-    member = np.zeros((len(label), size))
-    member[np.arange(len(label)), label] = 1
-    grid = member.T @ pairs @ member
+    label = np.full(len(words), -1)
+    label[: len(exchanged)] = found[: len(exchanged)]
+    upto = int((count >= min_count).sum())  # words are in order of count
+    if upto > len(exchanged) and first_shape:
+        every = np.concatenate([label[: len(exchanged)], first_shape + np.arange(SHAPES + 1)])
+        member = np.zeros((len(every), size))
+        member[np.arange(len(every)), every] = 1
+        neighbours = neighbour_counts(training, words, label[: len(exchanged)], len(exchanged), upto, size)
+        which, put = place_words(neighbours, member.T @ pairs @ member, first_shape)
+        label[which] = put
+    grid = class_bigrams(training, words, label, size)
     unigram = (grid.sum(axis=0) + 0.5) / (grid.sum() + 0.5 * size)
     before = grid.sum(axis=1, keepdims=True)
     spare = np.where(before > 0, discount * (grid > 0).sum(axis=1, keepdims=True) / np.maximum(before, 1), 1.0)
     transition = np.log10(np.maximum(grid - discount, 0) / np.maximum(before, 1) + spare * unigram[None, :])
-    shapes = counts.join(F.broadcast(counts.sparkSession.createDataFrame([(w,) for w in clustered], "word binary")), "word", "left_anti") if clustered else counts
-    by_shape = shapes.groupBy(shape_column(F.col("word")).alias("s")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()  # a row for each shape
+    shapes = np.array([shape(w) for w in words], np.int64)
+    in_class = label >= 0
     shape_n, shape_v = np.zeros(SHAPES), np.zeros(SHAPES)
-    for r in by_shape:
+    for r in counts.groupBy(shape_column(F.col("word")).alias("s")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():  # a row for each shape
         shape_n[r["s"]], shape_v[r["s"]] = r["n"], r["v"]
-    of = np.array([label[k] if k < len(clustered) else first_shape + shape(w) for k, w in enumerate(words)], np.int64)
+    np.subtract.at(shape_n, shapes[in_class], count[in_class])  # words with a class are none of their shape's
+    np.subtract.at(shape_v, shapes[in_class], 1)
     class_n = np.zeros(size)
-    np.add.at(class_n, label[: len(clustered)], count[: len(clustered)])
-    emission = np.zeros(len(words))
-    for k, c in enumerate(count.tolist()):
-        s = of[k] - first_shape
-        emission[k] = np.log10(c / class_n[of[k]]) if k < len(clustered) else np.log10((c + alpha) / (shape_n[s] + alpha * (shape_v[s] + 1)))
+    np.add.at(class_n, label[in_class], count[in_class])
+    emission = np.log10((count + alpha) / (shape_n + alpha * (shape_v + 1))[shapes]) if len(words) else np.empty(0)
+    emission[in_class] = np.log10(count[in_class] / class_n[label[in_class]])
+    of = np.where(in_class, label, first_shape + shapes) if len(words) else label
     return Model({w: k for k, w in enumerate(words)}, count, of, transition, emission, int(row["n"]) + ended, int(row["v"]) + (ended > 0), shape_n, shape_v, alpha, first_shape)
 
 
@@ -296,12 +420,12 @@ def _heads(rows: DataFrame, model: Model, ends: int) -> DataFrame:
     return rows.mapInArrow(score, "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, total double, rare array<struct<word:binary,tf:long>>")
 
 
-def score_documents(docs: DataFrame, head_words: int = 1 << 18, cluster_words: int = 512, classes: int = 48, alpha: float = 0.5, discount: float = 0.75) -> DataFrame:
+def score_documents(docs: DataFrame, head_words: int = 1 << 18, cluster_words: int = 2048, classes: int = 96, alpha: float = 0.5, discount: float = 0.75, min_count: int = 3) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every document."""
     rows = _rows(docs)
     training = rows.where(~F.col("held_out"))
     counts = stage(word_counts(training), "words")
-    model = train(training, counts, head_words, cluster_words, classes, alpha, discount)
+    model = train(training, counts, head_words, cluster_words, classes, alpha, discount, min_count)
     ends = model.n - int(counts.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
     heads = stage(_heads(rows, model, ends), "heads")
     rare = heads.select("uid", F.explode("rare").alias("r")).select("uid", "r.word", "r.tf")

@@ -9,8 +9,12 @@ vectors of one length, the largest inner product is the smallest distance, so a
   inner page holds routing objects with covering radii and their distances to the parent's object.
 * Best-first search visits pages by the least distance that they could hold. An entry whose stored parent distance
   already rules it out by the triangle inequality is skipped without computing its own distance.
-* Query blocks meet every tree; each tree returns its k best for a query, which are then merged. A query skips a tree
-  at the root if it can't beat the k-th score that the query reached in the tree of its own neighbourhood.
+* Each block's tree is built once and written, with its block's mean and covering radius beside it.
+* A query first searches the tree of its own block. The k-th score that it reached there bounds what any other block must
+  offer: at most the product with the block's mean plus the query's length times the radius. Groups of blocks (those of one
+  pivot) are ruled out by the same bound first, then single blocks, both before a query is sent anywhere. So rows are queries
+  times the blocks that may hold something for them, and a block is copied once for each ``query_rows`` of these queries.
+* Each tree returns its k best for a query, which are then merged.
 
 Scores are exact: distances (floats) only prune, with slack, and every reported score is an integer product. Where products
 could pass 64 bits they are taken with Python's integers; a reported score, or a scaled component, that itself doesn't fit into
@@ -18,11 +22,13 @@ could pass 64 bits they are taken with Python's integers; a reported score, or a
 
 Vectors that are null, or hold a null or non-finite component, or another number of components than most, take no part;
 neither do rows without an id. Ties go to the smaller id, then repeated ids keep all rows but those with the query's own id.
+A query id that occurs twice asks twice (equal rows once), and its results are ranked together.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -200,7 +206,8 @@ def top_k(table: DataFrame, is_query: Column, k: int = 20, scale: int = 64, bloc
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     dim = common["n"]
     vectors = stage(vectors.where(F.size("v") == dim), "vectors")
-    sample = vectors.orderBy(F.xxhash64("id"), "id").limit(max_pivots).toArrow()
+    wanted = min(max_pivots, max(1, -(-2 * common["count"] // block_rows)))  # blocks of half block_rows or more, while there are few
+    sample = vectors.orderBy(F.xxhash64("id"), "id").limit(wanted).toArrow()
     pivots = np.unique(_array(sample["v"].combine_chunks()).astype(np.float64), axis=0)
     pivot2 = (pivots**2).sum(axis=1)
 
@@ -218,43 +225,113 @@ def top_k(table: DataFrame, is_query: Column, k: int = 20, scale: int = 64, bloc
     number = F.create_map(*[F.lit(x) for h in sorted(blocks) for x in (h, blocks[h])])
     start = F.create_map(*[F.lit(x) for h in sorted(blocks) for x in (h, first[h])])
     block = (F.element_at(start, F.col("home")) + F.pmod(F.xxhash64("id", F.col("v")), F.element_at(number, F.col("home")))).cast("int")
-    data = homed.select("id", "v", block.alias("block"))
     queries = homed.where(is_query).select("id", "v", block.alias("own")).distinct()
+    trees = stage(homed.select("id", "v", "home", block.alias("block")).groupBy("block").applyInArrow(_plant, TREES), "trees")
     # Phase 1: a query's k-th score in its own block bounds what any other block must reach.
     own = queries.select("id", "v", F.lit(None).cast("double").alias("floor"), F.col("own").alias("block"), F.lit(0).alias("part"))
-    reached = stage(_search(data.withColumn("part", F.lit(0)), own, k), "own-block")
+    reached = stage(_search(trees.select("block", "tree", F.lit(0).alias("part")), own, k), "own-block")
+    if count == 1:
+        return _ranked(reached, k)
     floors = reached.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("floor"))
     ready = stage(queries.join(floors, queries["id"] == floors["query_id"], "left").select("id", "v", "own", "floor"), "floors")
-    asked = max(1, -(-ready.count() // query_rows))  # query blocks, so that no task holds all queries
-    rest = ready.select("id", "v", "floor", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("block"), "own").where("block <> own").select("id", "v", "floor", "block", F.pmod(F.xxhash64("id"), F.lit(asked)).cast("int").alias("part"))
-    dealt = data.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(asked - 1))))
-    found = reached.unionByName(_search(dealt, rest, k)) if count > 1 else reached
+    # Phase 2: the blocks that may hold more, first by pivot (at most max_pivots balls), then one by one.
+    near = _may_reach(ready, _balls(trees), "home").join(trees.select("home", "block", "center", "radius"), "home")
+    near = near.where("block <> own").mapInArrow(_still_reached, "id long, v array<long>, floor double, block int")
+    near = stage(near, "near-blocks")
+    parts = stage(near.groupBy("block").agg(F.ceil(F.count("*") / query_rows).cast("int").alias("parts")), "parts")
+    asked = near.join(parts, "block").select("id", "v", "floor", "block", F.pmod(F.xxhash64("id", "v"), F.col("parts")).cast("int").alias("part"))
+    dealt = trees.join(parts, "block").select("block", "tree", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return _ranked(reached.unionByName(_search(dealt, asked, k)), k)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     # Spark keeps the k best of each partition before it shuffles, so no task sees all blocks' rows of a query.
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _search(data: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, vec_id, score: the k best of each query's block. ``queries``: id, v, floor, block, part.
+#: A written block: its tree, and a ball (mean and radius, as bytes of doubles) that covers it.
+TREES = "block int, home int, center binary, radius double, tree binary"
 
-    Vectors are brought to the length of the longest of their own block, so an outlier dulls the bounds of one block only.
-    """
 
-    def search(key: tuple, vectors: pa.Table, asked: pa.Table) -> pa.Table:
+def _plant(key: tuple, vectors: pa.Table) -> pa.Table:
+    """The M-tree of a block's vectors, brought to the length of the longest of the block, so that an outlier dulls its own block only."""
+    vectors = vectors.sort_by("id")
+    ids, ints = vectors["id"].to_numpy(), _array(vectors["v"].combine_chunks()).astype(np.int64)
+    squares = _squares(ints)
+    length2, spare = float(squares.max()), np.sqrt((squares.max() - squares).astype(float))
+    tree = MTree(np.column_stack([ints.astype(float), spare]))
+    tree.points = np.empty((0, 0))  # the search takes vectors from ``ints``
+    floats = ints.astype(float)
+    center = floats.mean(axis=0)
+    radius = float(np.linalg.norm(floats - center, axis=1).max()) * (1 + SLACK)
+    return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "home": vectors["home"].slice(0, 1), "center": pa.array([center.tobytes()], pa.binary()), "radius": [radius], "tree": pa.array([pickle.dumps((tree, ids, ints, length2))], pa.binary())})
+
+
+def _balls(trees: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers, centres and radii of balls that cover all blocks of each ``home`` (a bounded number of them)."""
+
+    def cover(key: tuple, table: pa.Table) -> pa.Table:
+        centers = np.array([np.frombuffer(x) for x in table["center"].to_pylist()])
+        center = centers.mean(axis=0)
+        radius = float((np.linalg.norm(centers - center, axis=1) + table["radius"].to_numpy()).max()) * (1 + SLACK)
+        return pa.table({"home": pa.array([key[0].as_py()], pa.int32()), "center": pa.array([center.tobytes()], pa.binary()), "radius": [radius]})
+
+    rows = trees.select("home", "center", "radius").groupBy("home").applyInArrow(cover, "home int, center binary, radius double").toArrow()
+    return rows["home"].to_numpy(), np.array([np.frombuffer(x) for x in rows["center"].to_pylist()]), rows["radius"].to_numpy()
+
+
+def _offers(v: np.ndarray, centers: np.ndarray, radii: np.ndarray) -> np.ndarray:
+    """At least the largest product that each query (a row of ``v``) could have with a point of each ball."""
+    inner, length = v @ centers.T, np.linalg.norm(v, axis=1)[:, None]
+    size = length * (np.linalg.norm(centers, axis=1) + radii)[None]
+    return inner + length * radii[None] + SLACK * size + SLACK
+
+
+def _may_reach(ready: DataFrame, balls: tuple[np.ndarray, np.ndarray, np.ndarray], name: str) -> DataFrame:
+    """ready, once for each ball (column ``name``) that may offer a score of the query's floor or more."""
+    numbers, centers, radii = balls
+
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                offers = _offers(_array(batch.column(1)).astype(float), centers, radii)
+                floor = batch.column(3).fill_null(-np.inf).to_numpy()
+                query, ball = np.nonzero(offers >= floor[:, None])
+                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(query)).columns, pa.array(numbers[ball].astype(np.int32))], ["id", "v", "own", "floor", name])
+
+    return ready.mapInArrow(prune, f"id long, v array<long>, own int, floor double, {name} int")
+
+
+def _still_reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows (a query and a block) whose block may offer the query's floor or more."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        column = dict(zip(batch.schema.names, batch.columns, strict=True))
+        v = _array(column["v"]).astype(float)
+        centers = np.frombuffer(b"".join(column["center"].to_pylist())).reshape(len(v), -1)
+        radii, length = column["radius"].to_numpy(), np.linalg.norm(v, axis=1)
+        offers = (v * centers).sum(axis=1) + length * radii + SLACK * length * (np.linalg.norm(centers, axis=1) + radii) + SLACK
+        kept = pa.array(np.flatnonzero(offers >= column["floor"].fill_null(-np.inf).to_numpy()))
+        yield pa.RecordBatch.from_arrays([column[x].take(kept) for x in ("id", "v", "floor", "block")], ["id", "v", "floor", "block"])
+
+
+def _search(trees: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, score: the k best of each query's block. ``trees``: block, part, tree; ``queries``: id, v, floor, block, part."""
+
+    def search(key: tuple, planted: pa.Table, asked: pa.Table) -> pa.Table:
         ids = query_ids = rows = scores = np.empty(0, np.int64)
-        if vectors.num_rows and asked.num_rows:
-            vectors = vectors.sort_by("id")
-            ids, query_ids = vectors["id"].to_numpy(), asked["id"].to_numpy()
-            ints, wanted = _array(vectors["v"].combine_chunks()).astype(np.int64), _array(asked["v"].combine_chunks()).astype(np.int64)
-            squares = _squares(ints)
-            length2, spare = float(squares.max()), np.sqrt((squares.max() - squares).astype(float))
+        if planted.num_rows and asked.num_rows:
+            tree, ids, ints, length2 = pickle.loads(planted["tree"][0].as_py())  # written by this operator
+            query_ids, wanted = asked["id"].to_numpy(), _array(asked["v"].combine_chunks()).astype(np.int64)
             floors = asked["floor"].fill_null(-np.inf).to_numpy()
-            rows, scores = search_tree(MTree(np.column_stack([ints.astype(float), spare])), ints, ids, length2, wanted, query_ids, floors, k)
+            rows, scores = search_tree(tree, ints, ids, length2, wanted, query_ids, floors, k)
             query_ids, rows, scores = np.repeat(query_ids, k), rows.ravel(), scores.ravel()
             query_ids, scores, rows = query_ids[rows >= 0], scores[rows >= 0], rows[rows >= 0]
         return pa.table({"query_id": pa.array(query_ids if len(rows) else rows, pa.int64()), "vec_id": pa.array(ids[rows] if len(rows) else rows, pa.int64()), "score": pa.array(scores, pa.int64())})
 
-    return data.groupBy("block", "part").cogroup(queries.groupBy("block", "part")).applyInArrow(search, "query_id long, vec_id long, score long")
+    return trees.groupBy("block", "part").cogroup(queries.groupBy("block", "part")).applyInArrow(search, "query_id long, vec_id long, score long")
 
 
 SQL = """

@@ -365,6 +365,73 @@ def test_model_probabilities_sum_to_one(make, rng):
         assert (10 ** m.emission[m.label == k]).sum() == pytest.approx(1)
 
 
+def test_language_model_scores_by_the_definition(make, rng, odd):
+    """The scores of all documents, from the classes that were learned and plain counts."""
+    from lumafold.llm.common import stage
+
+    pool = [f"v{k}" for k in range(60)]
+    rows = [(k, " ".join(pool[min(int(rng.expovariate(0.08)), 59)] + rng.choice(["", "", ","]) for _ in range(rng.randrange(50)))) for k in range(10, 150)] + odd + [(900, "Zz " * 5000)]
+    docs = brown_lm._rows(make(rows)).where("not held_out")
+    m = brown_lm.train(docs, stage(brown_lm.word_counts(docs), "t"), 1 << 18, 12, 5, 0.5, 0.75)
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    texts = [(i, GAP.findall((t or "").translate(low))) for i, t in rows]
+    trained = [w for i, w in texts if i is None or zlib.crc32(str(i).encode()) % 5 != 1]
+    c = Counter(x for w in trained for x in w)
+    own = {w.decode(): int(m.label[k]) for w, k in m.head.items() if m.label[k] < m.first_shape}
+    assert {w for w, n in c.items() if n >= 3 and len(w.encode()) <= 64} <= set(own) and len(own) > 12
+    of = lambda w: own.get(w, m.first_shape + brown_lm.shape(w.encode()))
+    size = m.end + 1
+    grid = np.zeros((size, size))
+    for w in trained:
+        kinds = [m.end, *map(of, w), m.end]
+        for a, b in zip(kinds, kinds[1:]):
+            grid[a, b] += 1
+    class_n, class_v = Counter(), Counter()
+    for w, n in c.items():
+        class_n[of(w)] += n
+        class_v[of(w)] += 1
+
+    def chance(a, b):
+        base = (grid[:, b].sum() + 0.5) / (grid.sum() + 0.5 * size)
+        return base if not grid[a].sum() else (max(grid[a, b] - 0.75, 0) + 0.75 * (grid[a] > 0).sum() * base) / grid[a].sum()
+
+    def emitted(w):
+        k = of(w)
+        return c[w] / class_n[k] if k < m.first_shape else (c[w] + 0.5) / (class_n[k] + 0.5 * (class_v[k] + 1))
+
+    want = Counter()
+    for i, w in texts:
+        kinds = [m.end, *map(of, w), m.end]
+        want[i, round(sum(math.log10(chance(a, b)) for a, b in zip(kinds, kinds[1:])) + sum(math.log10(emitted(x)) for x in w), 5)] += 1
+    for head in (1 << 18, 20):
+        got = Counter((r["doc_id"], round(r["score"], 5)) for r in brown_lm.score_documents(make(rows), head_words=head, cluster_words=12, classes=5).collect())
+        if head > 20:
+            assert got == want
+        assert {i for i, _ in got} == {i for i, _ in want}
+
+
+def test_words_join_the_class_that_raises_the_likelihood_most():
+    rng = np.random.default_rng(2)
+    grid, classes = rng.poisson(4, (9, 9)).astype(float), 6
+    nlogn = lambda x: (x[x > 0] * np.log(x[x > 0])).sum()
+    counts = {w: rng.poisson(1, 18) * (rng.random(18) < 0.6) + (np.arange(18) == w) for w in range(7)}
+    flat = [(w, p, n) for w, row in counts.items() for p, n in enumerate(row) if n]
+    got = brown_lm.best_classes(*(np.array(x) for x in zip(*flat)), grid, classes)
+    for w, row in counts.items():
+        values = []
+        for b in range(classes):
+            joined = grid.copy()
+            joined[:, b] += row[:9]
+            joined[b, :] += row[9:]
+            # What leads to a class or follows it counts wherever the word goes, so only the joined class's own totals change.
+            rows, columns = grid.sum(1), grid.sum(0)
+            rows[b] += row[9:].sum()
+            columns[b] += row[:9].sum()
+            cells = nlogn(grid) + sum(nlogn(np.array([grid[k, b] + row[k]])) - nlogn(grid[k, b : b + 1]) for k in range(9)) + sum(nlogn(np.array([grid[b, k] + row[9 + k]])) - nlogn(grid[b, k : k + 1]) for k in range(9))
+            values.append(cells - nlogn(rows) - nlogn(columns))
+        assert got[w] == int(np.argmax(values))
+
+
 def brute_base(t):
     w = GAP.findall(t or "")
     times = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
