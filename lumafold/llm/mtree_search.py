@@ -328,7 +328,10 @@ def _search(trees: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             floors = asked["floor"].fill_null(-np.inf).to_numpy()
             rows, scores = search_tree(tree, ints, ids, length2, wanted, query_ids, floors, k)
             query_ids, rows, scores = np.repeat(query_ids, k), rows.ravel(), scores.ravel()
-            query_ids, scores, rows = query_ids[rows >= 0], scores[rows >= 0], rows[rows >= 0]
+            # Only what the query's own block doesn't already surpass k times goes on (floors are doubles, hence the slack).
+            least = np.repeat(floors - CANCEL * np.abs(np.where(np.isfinite(floors), floors, 0.0)), k)
+            kept = (rows >= 0) & (scores.astype(float) >= least)
+            query_ids, scores, rows = query_ids[kept], scores[kept], rows[kept]
         return pa.table({"query_id": pa.array(query_ids if len(rows) else rows, pa.int64()), "vec_id": pa.array(ids[rows] if len(rows) else rows, pa.int64()), "score": pa.array(scores, pa.int64())})
 
     return trees.groupBy("block", "part").cogroup(queries.groupBy("block", "part")).applyInArrow(search, "query_id long, vec_id long, score long")
