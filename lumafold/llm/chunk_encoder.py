@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -26,6 +27,21 @@ _SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
 LONGEST = 256
 
 
+class _Unsafe(Exception):
+    """A text holds a word at which it can't be cut."""
+
+
+class _Memo(dict):
+    """A dictionary that asks for what it lacks."""
+
+    def __init__(self, ask: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self._ask = ask
+
+    def __missing__(self, word: str) -> bytes:
+        return self._ask(word)
+
+
 class ChunkEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
@@ -35,7 +51,7 @@ class ChunkEncoder:
     finds such tokens before it cuts anything (``Tokenizer.encode(text, add_special_tokens=False)`` gives their ids).
     """
 
-    def __init__(self, path: str, drops_space: bool, cap: int = 350_000) -> None:
+    def __init__(self, path: str, drops_space: bool, cap: int = 500_000) -> None:
         from tokenizers import Tokenizer
 
         self.plain = Tokenizer.from_file(path)
@@ -48,7 +64,7 @@ class ChunkEncoder:
         self.special = tuple(special.values())
         self.drops_space, self.cap = drops_space, cap
         self._byte_letters = {b: c for b, c in _byte_letters().items() if chr(b) != c}
-        self.words: dict[str, bytes] = {}  # of a word with the space before it, if spaces count
+        self.words = _Memo(self._word_ids)  # of a word with the space before it, if spaces count
         self.older: dict[str, bytes] = {}
         self.rare: dict[str, bytes] = {}  # of short first chunks, and of short chunks with other white space
         self.marks = {m: array("I", [t.id for t in self.plain.model.tokenize(m)]).tobytes() for m in ".,!?;:"}
@@ -89,7 +105,9 @@ class ChunkEncoder:
             core = word[:-1]
             if not core[lead:].isalpha():
                 return None
-            ids = self.words.get(core) or self.older.get(core) or self._by_model(core)
+            ids = self.words.get(core) or self.older.get(core)
+            if ids is None and (ids := self._by_model(core)) and len(core) <= LONGEST:
+                self.words[core] = ids
             return ids + self.marks[word[-1]] if ids else None
         core = word[lead:]
         if not core.isalpha():
@@ -112,15 +130,20 @@ class ChunkEncoder:
     def _chunk(self, word: str) -> str:
         return word if self.drops_space else chunk_of(word)
 
-    def _word_ids(self, words: list[str]) -> dict[str, bytes]:
-        found: dict[str, bytes] = {}
-        if self.direct:
-            by_model = self._by_model
-            found = {w: ids for w in words if (ids := by_model(w)) is not None}
-        rest = [w for w in words if w not in found] if len(found) < len(words) else []
-        if rest:
-            found.update(zip(rest, self._encoded([self._chunk(w) for w in rest]), strict=True))
-        return found
+    def _word_ids(self, word: str) -> bytes:
+        """Ids of a word that the memo doesn't hold. Raises _Unsafe where the text can't be cut at every space."""
+        ids = self.older.get(word)
+        if ids is None:
+            if self.direct and word:
+                ids = self._by_model(word)  # a word of letters is safe to cut at
+            if ids is None:
+                if not self.drops_space and not safe_word(word):
+                    raise _Unsafe
+                ids = self._encoded([self._chunk(word)])[0]
+            if len(word) > LONGEST:
+                return ids
+        self.words[word] = ids
+        return ids
 
     def _rarely(self, chunks: list[str]) -> list[bytes]:
         missing = list(set(chunks).difference(self.rare))
@@ -138,47 +161,29 @@ class ChunkEncoder:
         return None if rest and not safe_word(head) else (head, rest)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        get = self.words.get
-        heads: list[str] = []
-        tails: list[list[str]] = []
-        slow: dict[int, list[str]] = {}
-        whole: dict[int, bytes] = {}
-        for k, text in enumerate(texts):
+        ids_of = self.words.__getitem__
+        out: list[bytes] = []
+        for text in texts:
             if "<" in text and any(s in text for s in self.special):
-                whole[k] = np.array(self.marked.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-                text = ""
+                out.append(np.array(self.marked.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+                continue
             split = self._split(text)
-            if split is None:
-                slow[k], split = [text] if self.drops_space else safe_chunks(text), ("", [])
-            heads.append(split[0])
-            tails.append(split[1])
-        parts = [list(map(get, rest)) for rest in tails]
-        gaps = [[i for i, ids in enumerate(part) if ids is None] for part in parts]
-        missing = {rest[i] for rest, gap in zip(tails, gaps, strict=True) for i in gap}
-        if missing:
-            unsafe = set() if self.drops_space else {w for w in missing if not safe_word(w)}
-            missing.difference_update(unsafe)
-            older = self.older
-            found = {w: older[w] for w in missing if w in older} if older else {}
-            found.update(self._word_ids([w for w in missing if w not in found]))
-            for k, (rest, part, gap) in enumerate(zip(tails, parts, gaps, strict=True)):
-                if unsafe and any(rest[i] in unsafe for i in gap):
-                    slow[k], parts[k] = safe_chunks(texts[k]), []
-                    continue
-                for i in gap:
-                    part[i] = found[rest[i]]
-            self.words.update((w, ids) for w, ids in found.items() if len(w) <= LONGEST)
-        out = [first + b"".join(part) for first, part in zip(self._rarely(heads), parts, strict=True)]
-        for k, chunks in slow.items():
-            out[k] = b"".join(self._rarely(chunks))
-        for k, ids in whole.items():
-            out[k] = ids
+            try:
+                out.append(self._first(split[0]) + b"".join(map(ids_of, split[1])) if split else self._slowly(text))
+            except _Unsafe:
+                out.append(self._slowly(text))
         if len(self.words) > self.cap:
-            self.older, self.words = self.words, {}
+            self.older, self.words = self.words, _Memo(self._word_ids)
         if len(self.rare) > self.cap // 8:
             self.rare = {}
         return out
 
+    def _first(self, head: str) -> bytes:
+        return self._rarely([head])[0] if head else b""
+
+    def _slowly(self, text: str) -> bytes:
+        return b"".join(self._rarely([text] if self.drops_space else safe_chunks(text)))
+
 
 def _latin(text: str) -> bool:
     """Whether lower-casing works letter by letter, without rules of position: within Latin-1."""
@@ -223,7 +228,7 @@ def _kept(path: str, drops_space: bool, cap: int) -> ChunkEncoder:
     return ChunkEncoder(path, drops_space, cap)
 
 
-def encoder(path: str, drops_space: bool, cap: int = 350_000) -> ChunkEncoder:
+def encoder(path: str, drops_space: bool, cap: int = 500_000) -> ChunkEncoder:
     """One encoder for each worker process, kept over its tasks."""
     own_memory(path, _kept.cache_clear)
     return _kept(path, drops_space, cap)
