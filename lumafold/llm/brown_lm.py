@@ -45,11 +45,11 @@ MARKS = b".,;:!?"
 SHAPES = 2 * (len(LENGTHS) + 1)
 
 
+_BY_LENGTH = [2 * sum(n > x for x in LENGTHS) for n in range(LENGTHS[-1] + 2)]
+
+
 def shape(word: bytes) -> int:
-    n, k = len(word), 0
-    while k < len(LENGTHS) and n > LENGTHS[k]:
-        k += 1
-    return 2 * k + (word[-1] in MARKS)
+    return _BY_LENGTH[min(len(word), LENGTHS[-1] + 1)] + (word[-1] in MARKS)
 
 
 def shape_column(word: Column) -> Column:
@@ -207,11 +207,12 @@ def neighbour_counts(training: DataFrame, words: list[bytes], context: np.ndarra
     """w, seen (list of (place, n)): how often each word from number ``first`` up to ``upto`` follows a class (place is that class) or precedes
     one (place is ``size`` more). ``context`` is the class of the words before ``first``; all other words count as their shape's."""
     index = {w: k for k, w in enumerate(words[:upto])}
-    shared = training.sparkSession.sparkContext.broadcast((index, context))
+    kind_of = np.concatenate([context, [size - 1 - SHAPES + shape(w) for w in words[first:upto]], [size - 1]])  # the last is the end's
+    shared = training.sparkSession.sparkContext.broadcast((index, kind_of.astype(np.int64)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_memory("neighbours", lambda: None)
-        index, context = shared.value
+        index, kind_of = shared.value
         get, end, shapes = index.get, size - 1, size - 1 - SHAPES
         keys, n = np.empty(0, np.int64), np.empty(0, np.int64)
         fresh: list[np.ndarray] = []
@@ -228,19 +229,20 @@ def neighbour_counts(training: DataFrame, words: list[bytes], context: np.ndarra
             return pa.RecordBatch.from_arrays([pa.array(batch_keys // (2 * size)), pa.array((batch_keys % (2 * size)).astype(np.int32)), pa.array(times)], ["w", "place", "n"])
 
         for batch in batches:
-            found: list[int] = []
-            kinds: list[int] = [end]
+            found: list[int] = [-1]
+            odd: list[int] = []  # shapes of the words without a number
             for text in batch.column(0).cast(pa.binary()).to_pylist():
                 words = tokens(text)
-                numbers = list(map(get, words, repeat(-1)))
+                numbers = list(map(get, words, repeat(-2)))
+                odd += [shapes + shape(w) for k, w in zip(numbers, words, strict=True) if k == -2]
                 found += numbers
                 found.append(-1)
-                kinds += [context[k] if 0 <= k < first else shapes + shape(w) for k, w in zip(numbers, words, strict=True)]
-                kinds.append(end)
-            number, kind = np.array(found, np.int64), np.array(kinds, np.int64)
-            at = np.flatnonzero(number >= first)  # kinds are one place later than numbers
-            fresh.append(number[at] * (2 * size) + kind[at])
-            fresh.append(number[at] * (2 * size) + size + kind[at + 2])
+            number = np.array(found, np.int64)
+            kind = kind_of[np.maximum(number, -1)]
+            kind[number == -2] = odd
+            at = np.flatnonzero(number >= first)
+            fresh.append(number[at] * (2 * size) + kind[at - 1])
+            fresh.append(number[at] * (2 * size) + size + kind[at + 1])
             if sum(map(len, fresh)) > 1_000_000:
                 keys, n = merged()
                 fresh = []
