@@ -91,12 +91,16 @@ def features(docs: DataFrame, common_words: list[str], with_keys: bool = False)
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         F.length("text").cast("long").alias("chars"),
         only(r"\p{Lu}").alias("upper"), only(r"\p{Nd}").alias("digit"), only(r".,;:!?'()\x22\x2D").alias("mark"),
-        _hits(F.col("words"), common_words).alias("hits"),
+        F.sort_array(_hits(F.col("words"), common_words)).alias("hits"),
     )
     space = F.col("chars") - F.col("word_chars")
     other = F.col("word_chars") - F.col("upper") - F.col("digit") - F.col("mark") - F.col("n_symbols")
     listed = F.lit(common_words) if common_words else F.array().cast("array<string>")
-    found = F.transform(F.array_distinct("hits"), lambda w: F.struct((F.array_position(listed, w) - 1).cast("int").alias("k"), F.size(F.filter("hits", lambda x: x == w)).cast("long").alias("n")))
+    # Equal hits stand together, so a word's count is the distance from its first place to the next word's.
+    starts = F.filter(F.sequence(F.lit(0), F.size("hits") - 1), lambda i: (i == 0) | (F.get("hits", i) != F.get("hits", i - 1)))
+    counted = counted.withColumn("starts", F.when(F.size("hits") > 0, starts).otherwise(F.array().cast("array<int>")))
+    ends = F.concat(F.slice("starts", F.lit(2), F.size("starts")), F.array(F.size("hits")))
+    found = F.zip_with("starts", F.when(F.size("starts") > 0, ends).otherwise(F.array().cast("array<int>")), lambda a, b: F.struct((F.array_position(listed, F.get("hits", a)) - 1).cast("int").alias("k"), (b - a).cast("long").alias("n")))
     others = F.col("n_words") - F.size("hits")
     rest = F.when(others > 0, F.array(F.struct(F.lit(len(common_words)).alias("k"), others.cast("long").alias("n")))).otherwise(F.array().cast("array<struct<k:int,n:bigint>>"))
     return counted.select(
