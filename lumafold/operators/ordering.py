@@ -301,7 +301,7 @@ def spoke_order(points: np.ndarray, center: tuple[float, float], scale: tuple[fl
     order = half(others[:target], False) + [pivot] + half(others[target:], True)
     if n > 3:
         cap = float(path_steps(step_lengths(points, scale), order).max())
-        order = uncrossed(points, scale, order, cap, {0, target, n - 1}, passes=8)
+        order = uncrossed(points, scale, order, cap, {0, target, n - 1})
     return order
 
 

@@ -125,8 +125,8 @@ def q43(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("q45_frame_windows", f"WITH {ACQ_SQL} SELECT channel, i // 16 AS frame, count(*) AS n, count(*) = 16 AS complete FROM acq GROUP BY 1, 2")
 def q45(spark: SparkSession, sf: str) -> DataFrame:
-    acq = acquisitions(spark, sf).withColumn("frame", R.frames_of(F.col("i"), 16))
-    return acq.groupBy("channel", "frame").agg(F.count("*").alias("n")).withColumn("complete", F.col("n") == 16)
+    acq = acquisitions(spark, sf).select(F.struct("channel", R.frames_of(F.col("i"), 16).alias("frame")).alias("frame"), F.col("i").alias("acq"))
+    return R.frame_completeness(acq, 16).select("frame.channel", "frame.frame", "n", "complete")
 
 
 @query("q46_scanner_catalog", "SELECT s_suppkey, s_name, n_name, r_name FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey")

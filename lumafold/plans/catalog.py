@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumafold.plans import blocks, iterative, masks, signals
+from lumafold.plans import blocks, iterative, masks, parts, signals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _part in (masks, blocks, signals, iterative):
+for _part in (masks, blocks, signals, iterative, parts):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES
 QUERIES = dict(sorted(QUERIES.items()))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumafold.functions.columns import settled, uniform
+from lumafold.functions.columns import settled
 from lumafold.operators import lattice as L
 from lumafold.operators import schedule as S
 from lumafold.plans.views import CELLS_SQL, NY, NZ, acquisitions, cells
@@ -56,12 +56,12 @@ def q01(spark: SparkSession, sf: str) -> DataFrame:
     return cells(spark, sf).groupBy("frame").agg(F.count("*").alias("n"), F.count_if(hit).alias("hits"))
 
 
-@query("q02_temporal_caipi_coverage", f"WITH {CELLS_SQL}, f AS (SELECT DISTINCT iy, iz, t.frame AS frame FROM cells, range({ACCEL}) AS t(frame)) SELECT iy, iz, count(*) FILTER (WHERE {_ticaipi_sql()}) AS frames FROM f GROUP BY iy, iz")
+@query("q02_temporal_caipi_coverage", f"WITH {CELLS_SQL}, f AS (SELECT DISTINCT iy, iz, t.frame AS frame FROM cells, range({ACCEL}) AS t(frame)) SELECT iy, iz, count(*) FILTER (WHERE {_ticaipi_sql()}) AS frames FROM f GROUP BY iy, iz HAVING count(*) FILTER (WHERE {_ticaipi_sql()}) > 0")
 def q02(spark: SparkSession, sf: str) -> DataFrame:
     seen = cells(spark, sf).select("iy", "iz").distinct()
     frames = seen.select("iy", "iz", F.explode(F.sequence(F.lit(0), F.lit(ACCEL - 1))).alias("frame"))
     hit = L.temporal_caipi(NY, NZ, ACCEL, F.col("iy"), F.col("iz"), F.col("frame"))
-    return frames.groupBy("iy", "iz").agg(F.count_if(hit).alias("frames"))
+    return L.coverage(frames.withColumn("sampled", hit))
 
 
 _SY, _SZ = NY / 6, NZ / 6
@@ -84,12 +84,10 @@ def q04(spark: SparkSession, sf: str) -> DataFrame:
     return cells(spark, sf).groupBy("frame").agg(F.count("*").alias("n"), F.count_if(rho <= 1).alias("inside"), F.count_if(rho <= _RC).alias("calib"), settled(F.avg(rho)).alias("mean_rho"))
 
 
-@query("q05_weighted_sampling", f"WITH {CELLS_SQL}, k AS (SELECT *, round(ln({_u_sql(7, 'frame', 'iy', 'iz')} + 1e-12) / (round({_W_SQL}, 9) + 1e-12), 6) AS key FROM cells), r AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY key DESC, iy, iz) AS rank FROM k) SELECT frame, iy, iz, rank FROM r WHERE rank <= 1200")
+@query("q05_weighted_sampling", f"WITH {CELLS_SQL}, k AS (SELECT *, ln({_u_sql(7, 'frame', 'iy', 'iz')} + 1e-12) / (round({_W_SQL}, 9) + 1e-12) AS key FROM cells), r AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY key DESC, iy, iz) AS rank FROM k) SELECT frame, iy, iz, rank FROM r WHERE rank <= 1200")
 def q05(spark: SparkSession, sf: str) -> DataFrame:
     dense = L.gaussian_density(cells(spark, sf), NY, NZ, (_SY, _SZ))
-    key = F.round(F.log(uniform(7, F.col("frame"), F.col("iy"), F.col("iz")) + F.lit(1e-12)) / (F.round("w", 9) + 1e-12), 6)
-    ranked = dense.withColumn("key", key).withColumn("rank", F.row_number().over(Window.partitionBy("frame").orderBy(F.desc("key"), "iy", "iz")))
-    return ranked.where("rank <= 1200").select("frame", "iy", "iz", "rank")
+    return L.weighted_top(dense, 1200, F.round("w", 9), 7).select("frame", "iy", "iz", "rank")
 
 
 _LATTICE_SQL = f"lattice AS (SELECT f AS frame, y AS iy, z AS iz FROM range(1, 8) AS a(f), range({NY}) AS b(y), range({NZ}) AS c(z))"
@@ -173,12 +171,11 @@ def q11(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "q34_mask_rebuilt",
-    f"WITH {CELLS_SQL}, {_SCHED_SQL}, v AS (SELECT DISTINCT iy, iz FROM sched) SELECT frame, count(*) AS n, count(v.iy) AS sampled FROM cells LEFT JOIN v ON v.iy = cells.iy AND v.iz = cells.iz GROUP BY frame",
+    f"WITH {CELLS_SQL}, {_SCHED_SQL}, v AS (SELECT DISTINCT frame % 7 + 1 AS f, iy, iz FROM sched) SELECT frame, count(*) AS n, count(v.iy) AS sampled FROM cells LEFT JOIN v ON v.f = frame AND v.iy = cells.iy AND v.iz = cells.iz GROUP BY frame",
 )
 def q34(spark: SparkSession, sf: str) -> DataFrame:
-    plan = schedule(spark, sf).select("iy", "iz").distinct().withColumn("hit", F.lit(1))
-    visited = cells(spark, sf).join(plan, ["iy", "iz"], "left")
-    return visited.groupBy("frame").agg(F.count("*").alias("n"), F.count("hit").alias("sampled"))
+    plan = schedule(spark, sf).withColumn("frame", (F.col("frame") % 7 + 1).cast("int"))
+    return S.rebuilt_mask(cells(spark, sf), plan).groupBy("frame").agg(F.count("*").alias("n"), F.count_if("sampled").alias("sampled"))
 
 
 @query(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumafold.functions.columns import settled
@@ -64,11 +64,12 @@ r AS (SELECT d, count(*) FILTER (WHERE step > pi()) AS wrap_count, round(avg(pha
 SELECT d, wrap_count, a2 + 0.0 AS a2 FROM r ORDER BY (wrap_count = 0) DESC, CASE WHEN wrap_count = 0 THEN abs(a2) ELSE wrap_count END, d LIMIT 1""",
 )
 def q23(spark: SparkSession, sf: str) -> DataFrame:
-    tried = acquisitions(spark, sf).select("channel", "i", "value", F.explode(F.sequence(F.lit(0), F.lit(240))).alias("d"))
-    phases = tried.withColumn("phase", F.round(F.col("value") * 0.02 * (F.col("d") * 0.05 - 6 - 1.3), 9))
-    w = Window.partitionBy("d", "channel").orderBy("i")
-    steps = phases.withColumn("step", F.abs(F.col("phase") - F.lag("phase").over(w)))
-    found = steps.groupBy("d").agg(F.count_if(F.col("step") > F.pi()).alias("wrap_count"), settled(F.avg("phase")).alias("a2")).withColumn("delay", F.col("d"))
+    # The phase is linear in the delay, so one window and one pass of conditional counts serve all candidates.
+    steps = G.difference(acquisitions(spark, sf), ["channel"], ["i"], "value", "step")
+    turn = [0.02 * (d * 0.05 - 6 - 1.3) for d in range(241)]
+    counts = F.array(*[F.count_if(F.abs("step") * abs(t) > F.pi()) for t in turn])
+    tried = steps.agg(counts.alias("wraps"), F.avg("value").alias("mean")).select("mean", F.posexplode("wraps").alias("d", "wrap_count"))
+    found = tried.select("d", "wrap_count", settled(F.col("mean") * 0.02 * (F.col("d") * 0.05 - 6 - 1.3)).alias("a2")).withColumn("delay", F.col("d"))
     return R.best_delay(found).select(F.col("d").cast("long").alias("d"), "wrap_count", "a2")
 
 
@@ -144,8 +145,8 @@ SELECT coil, rank, round(share, 6) + 0.0 AS share, least(greatest((SELECT min(ra
 def q30(spark: SparkSession, sf: str) -> DataFrame:
     energy = coil_samples(spark, sf).groupBy("coil").agg(F.round(F.sum(F.col("re") * F.col("re") + F.col("im") * F.col("im")), 6).alias("energy"))
     ranked = G.cumulative_share(energy, "energy", [F.desc("energy"), F.asc("coil")])
-    enough = F.min(F.when(F.col("share") >= 0.9, F.col("rank"))).over(Window.partitionBy(F.lit(1)))
-    return ranked.select("coil", F.col("rank").cast("long").alias("rank"), settled(F.col("share")).alias("share"), F.least(F.greatest(enough, F.lit(4)), F.lit(32)).cast("int").alias("kept"))
+    kept = C.channels_for_energy(np.diag([r["energy"] for r in energy.collect()]), 0.9, 4)  # a row for each channel
+    return ranked.select("coil", F.col("rank").cast("long").alias("rank"), settled(F.col("share")).alias("share"), F.lit(kept).alias("kept"))
 
 
 @query("q31_whitening", "SELECT i::INT AS i, j::INT AS j, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS re, 0.0::DOUBLE AS im FROM range(32) AS a(i), range(32) AS b(j)")

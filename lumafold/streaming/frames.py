@@ -34,11 +34,12 @@ def write_frames(shots: DataFrame, size: int, out: str, checkpoint: str, process
     def take(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         new = with_frames(batch, size)
-        new.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "frame").parquet(f"{out}/shots")
+        new.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("frame", "batch").parquet(f"{out}/shots")
         touched = [r["frame"] for r in new.select("frame").distinct().collect()]  # frames of one micro-batch
         if not touched:
             return
-        stored = spark.read.parquet(f"{out}/shots").where(F.col("frame").isin(touched)).drop("batch").dropDuplicates(["frame", "acq", "coil"])
+        # Only the folders of these frames are listed, so a batch's cost doesn't grow with the batches before it.
+        stored = spark.read.option("basePath", f"{out}/shots").parquet(*[f"{out}/shots/frame={f}" for f in touched]).drop("batch").dropDuplicates(["frame", "acq", "coil"])
         complete = stored.groupBy("frame").agg(F.countDistinct("acq").alias("n")).where(F.col("n") == size).select("frame")
         whole = stored.join(complete, "frame", "left_semi")
         result = process(whole) if process else whole
