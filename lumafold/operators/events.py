@@ -82,12 +82,17 @@ def strongest_instance(instances: DataFrame, segment: str, energy: str, order: s
     return instances.withColumn("rk", F.row_number().over(at)).where("rk = 1").drop("rk")
 
 
-def running_rows(instances: DataFrame, order: str, size: str, groups: int = 64) -> DataFrame:
+#: Rows of one range of running_rows, about.
+RANGE_ROWS = 200_000
+
+
+def running_rows(instances: DataFrame, order: str, size: str, groups: int | None = None) -> DataFrame:
     """Adds first and last: the row numbers (from 1) of each instance when instances follow each other by ``order``.
 
     A running sum in two steps, so that no single task sees all instances: inside equal ranges of the (numeric) key,
-    then over the ranges' totals.
+    then over the ranges' totals. Without ``groups`` there are as many ranges as keep each at about RANGE_ROWS rows.
     """
+    groups = groups or max(64, -(-instances.count() // RANGE_ROWS))
     ends = instances.agg(F.min(order).alias("__lo"), F.max(order).alias("__hi"))
     share = (F.col(order) - F.col("__lo")) / (F.col("__hi") - F.col("__lo") + 1)
     spread = instances.crossJoin(F.broadcast(ends)).withColumn("__g", F.floor(share * groups)).drop("__lo", "__hi")  # one row of ends

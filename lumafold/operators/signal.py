@@ -184,6 +184,43 @@ def combined(frame: DataFrame, key: list[str], value: str, out: str = "total") -
     return frame.groupBy(*key).agg(F.sqrt(F.sum(F.col(value) * F.col(value))).alias(out))
 
 
+#: Values that a percentile gathers at last, and bins of each pass before.
+LAST_VALUES, BINS = 100_000, 1024
+
+
+def exact_percentile(frame: DataFrame, value: Column, share: float, last_values: int = LAST_VALUES) -> float | None:
+    """The percentile of ``value`` (nulls left out), linear between neighbours, or None without values.
+
+    Each pass counts values in BINS equal bins of the range that still matters, and keeps the bins of the two ranks
+    that are wanted; only when few values are left (or all are equal) are they gathered. No task holds them all.
+    """
+    values = frame.select(value.cast("double").alias("v")).where("v IS NOT NULL")
+    row = values.agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    n, lo, hi, below, inside = row["n"], row["lo"], row["hi"], 0, row["n"]
+    if not n:
+        return None
+    at = share * (n - 1)
+    first, second = math.floor(at), min(math.floor(at) + 1, n - 1)
+    while inside > last_values and hi > lo:
+        width = (hi - lo) / BINS
+        bin_of = F.least(F.floor((F.col("v") - lo) / width), F.lit(BINS - 1))
+        counts = values.where((F.col("v") >= lo) & (F.col("v") <= hi)).groupBy(bin_of.alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("b").collect()  # at most BINS rows
+        kept, seen = [], below
+        for r in counts:
+            if seen + r["n"] > first and seen <= second:
+                kept.append((r["lo"], r["hi"], r["n"], seen))
+            seen += r["n"]
+        if len(kept) == 2:  # the first rank is the last of one bin, the second the first of the next
+            return kept[0][1] + (at - first) * (kept[1][0] - kept[0][1])
+        lo, hi, inside, below = kept[0]
+    if hi == lo:
+        return lo
+    ordered = sorted(r["v"] for r in values.where((F.col("v") >= lo) & (F.col("v") <= hi)).collect())  # at most last_values rows
+    pick = [ordered[k - below] for k in (first, second)]
+    return pick[0] + (at - first) * (pick[1] - pick[0])
+
+
 def percentile_scale(frame: DataFrame, magnitude: Column, share: float = 0.99) -> DataFrame:
     """One row: the reciprocal of a percentile of the magnitudes that aren't zero; 1 if there is none."""
-    return frame.where(magnitude > 0).agg(F.coalesce(1.0 / F.percentile(magnitude, F.lit(share)), F.lit(1.0)).alias("scale"))
+    found = exact_percentile(frame.where(magnitude > 0), magnitude, share)
+    return frame.sparkSession.createDataFrame([(1.0 / found if found else 1.0,)], "scale double")

@@ -103,7 +103,7 @@ def test_settings(spark):
 def test_loop_file_round_trip(spark, tmp_path):
     rng = np.random.default_rng(0)
     parents = [
-        loopfile.Parent(1, 0.5, loopfile.Pulse(np.array([0.0, 2.0, 1.0]), np.array([0.0, 0.5, 1.0]), 0.25, 0.125, 3.0), (loopfile.Gradient(0.5, 1, 2, 1), None, None)),
+        loopfile.Parent(1, 0.5, loopfile.Pulse(np.array([0.5, 1.0, 1.5]), np.array([0.0, 2.0, 1.0]), np.array([0.0, 0.5, 1.0]), 0.25, 0.125), (loopfile.Gradient(0.5, 1, 2, 1), None, None)),
         loopfile.Parent(2, 0.25, None, (loopfile.Gradient(0.0, times=np.arange(4) * 0.25, waveform=np.arange(4.0)), loopfile.Gradient(0.0, times=np.array([0, 0.25, 1.0]), waveform=np.array([0, 1.0, 0])), None), (64, 0.5, 0.25)),
     ]
     loop = rng.integers(0, 100, (7, 23)).astype(float)
@@ -230,3 +230,24 @@ def test_delay_report_and_figures(spark):
     mask = lattice.sampling_masks(spark, "caipi", 8, 8, 2, 4)
     assert pipeline.mask_figure(mask, 1, 8, 8, 0.2, 0.2).count() == 64
     assert pipeline.run_all(["a", "b"], lambda n: spark.range(1) if n == "a" else spark.table("nowhere"))["b"].startswith("failed")
+
+
+def test_loop_file_bytes():
+    """The layout, written out by hand."""
+    import struct
+
+    pulse = loopfile.Pulse((np.arange(4) + 0.5) * 2.0, np.array([1.0, 4.0, 2.0, 0.0]), np.zeros(4), 8.0, 0.5)
+    corner = loopfile.Pulse(np.array([0.0, 1.0]), np.array([2.0, 2.0]), np.array([0.0, 1.0]), 1.0, 0.0)
+    center = loopfile.Gradient(0.25, times=np.array([1.0, 3.0]), waveform=np.array([-2.0, 1.0]))
+    edge = loopfile.Gradient(0.0, times=np.array([0.0, 4.0]), waveform=np.array([0.0, -8.0]))
+    parents = [loopfile.Parent(1, 0.5, pulse, (loopfile.Gradient(1, 2, 3, 4), center, edge), None), loopfile.Parent(2, 0.25, corner, (None, None, None), (64, 0.5, 0.125))]
+    content = loopfile.LoopFile(parents, [loopfile.SegmentDef(1, [1, 0], 7), loopfile.SegmentDef(2, [2, -1], 9)], np.array([[1.0, 2.0]]), (1.0, 0.5, 0.25, 0.125, 2.0), 3, 1, 4)
+    want = struct.pack("<hh", 47, 2)
+    want += struct.pack("<if", 1, 0.5) + struct.pack("<hhif", 1, 1, 4, 2.0) + struct.pack("<8f", 0.25, 1.0, 0.5, 0.0, 0, 0, 0, 0) + struct.pack("<3f", 8.0, 0.5, 2 * (0.0625 + 1 + 0.25))
+    want += struct.pack("<h4f", 1, 1, 2, 3, 4) + struct.pack("<hfif2f", 2, 0.25, 2, 2.0, -1.0, 0.5) + struct.pack("<hfif4f", 3, 0.0, 2, 0.0, 0.0, 4.0, 0.0, -1.0) + struct.pack("<hh", 0, 0)
+    want += struct.pack("<if", 2, 0.25) + struct.pack("<hhif", 2, 1, 2, 1.0) + struct.pack("<6f", 0.0, 1.0, 1.0, 1.0, 0.0, 1.0) + struct.pack("<3f", 1.0, 0.0, 1.0)
+    want += struct.pack("<hhh", 0, 0, 0) + struct.pack("<hiff", 1, 64, 0.5, 0.125) + struct.pack("<h", 0)
+    want += struct.pack("<h", 2) + struct.pack("<hhhhih", 1, 2, 1, 0, 7, 1) + struct.pack("<hhhhih", 2, 2, 2, -1, 9, 0)
+    want += struct.pack("<ih2f", 1, 2, 1.0, 2.0) + struct.pack("<5f3i", 1.0, 0.5, 0.25, 0.125, 2.0, 3, 1, 4)
+    assert loopfile.encode(content) == want
+    assert loopfile.encode(loopfile.decode(want)) == want

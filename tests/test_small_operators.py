@@ -144,3 +144,17 @@ def test_program_comparison(spark):
     a = spark.createDataFrame([(1, 1.0), (2, 2.0)], "n int, v double")
     b = spark.createDataFrame([(1, 1.00001), (2, 2.5), (3, 0.0)], "n int, v double")
     assert sorted(r["n"] for r in compare_tables(a, b, ["n"]).collect()) == [2, 3]
+
+
+def test_exact_percentile_in_passes(spark):
+    import numpy as np
+
+    from lumafold.operators import signal
+
+    rng = np.random.default_rng(0)
+    for values in (rng.lognormal(0, 3, 5000), np.repeat([1.0, 2.0, 5.0], 2000), np.concatenate([np.full(4000, 7.0), rng.random(30)]), np.array([3.0])):
+        table = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+        for share in (0.0, 0.5, 0.99, 1.0):
+            got = signal.exact_percentile(table, F.col("v"), share, last_values=50)
+            assert abs(got - np.quantile(values, share)) < 1e-9 * max(1, abs(got))
+    assert signal.exact_percentile(table.limit(0), F.col("v"), 0.5) is None
