@@ -105,8 +105,13 @@ def _shared(table: DataFrame) -> DataFrame:
     return table.groupBy("h", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("h", "h2", "first")
 
 
-def _windows(keyed: DataFrame, places: DataFrame, length: int) -> DataFrame:
-    """h, h2, doc, key, at of the candidate windows around the anchors in ``places`` (doc, key, places)."""
+def _with_places(keyed: DataFrame, places: DataFrame) -> DataFrame:
+    """doc, key, text, places of the rows that ``places`` (doc, key, places) has anchors of."""
+    return _named(keyed).join(places.hint("shuffle_hash"), ["doc", "key"]).select("doc", "key", "text", "places")
+
+
+def _windows(held: DataFrame, length: int) -> DataFrame:
+    """h, h2, doc, key, at of the candidate windows around the anchors in ``held`` (doc, key, text, places)."""
     width = length - PERIOD + 1
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,8 +132,7 @@ def _windows(keyed: DataFrame, places: DataFrame, length: int) -> DataFrame:
             if found:
                 yield _flush(found)
 
-    joined = _named(keyed).join(places.hint("shuffle_hash"), ["doc", "key"]).select("doc", "key", "text", "places")
-    return joined.mapInArrow(extend, "h long, h2 long, doc long, key long, at int")
+    return held.mapInArrow(extend, "h long, h2 long, doc long, key long, at int")
 
 
 def removals(keyed: DataFrame, length: int = 50) -> DataFrame:
@@ -141,13 +145,16 @@ def removals(keyed: DataFrame, length: int = 50) -> DataFrame:
     is_copy = (F.col("at") == WHOLE) & (F.col("doc") > F.col("first"))
     by_doc = stage(hits.groupBy("doc", "key").agg(F.max(is_copy).alias("copy"), F.collect_list(F.when(F.col("at") != WHOLE, F.col("at"))).alias("places")), "anchors")
     release(keyed.sparkSession)
-    found = _windows(keyed, by_doc.where("not copy and size(places) > 0").select("doc", "key", "places"), length)
+    # Written, since the windows are hashed twice from the few texts with shared anchors: all texts move once, not twice.
+    held = stage(_with_places(keyed, by_doc.where("not copy and size(places) > 0").select("doc", "key", "places")), "held")
+    release(keyed.sparkSession)
+    found = _windows(held, length)
     repeated = stage(_shared(found), "shared-windows")
     release(keyed.sparkSession)
     late = found.join(repeated, ["h", "h2"]).where("doc > first").groupBy("doc", "key").agg(F.collect_list("at").alias("starts"))
     copies = by_doc.where("copy").select("doc", "key", F.lit(True).alias("copy"), F.lit(None).cast("array<int>").alias("starts"))
     out = stage(late.select("doc", "key", F.lit(False).alias("copy"), "starts").unionByName(copies), "removals")
-    drop_staged(by_doc, shared, repeated)
+    drop_staged(by_doc, shared, held, repeated)
     release(keyed.sparkSession)
     return out
 
