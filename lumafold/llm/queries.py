@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumafold.llm import brown_lm, byte_bpe, divergence, line_dedup, mtree_search, near_dup, packing, pairwise_quality, sstable, substring_dedup
+from lumafold.llm import brown_lm, byte_bpe, codebooks, divergence, infill, line_dedup, mtree_search, near_dup, packing, pairwise_quality, piece_counts, sstable, substring_dedup
 from lumafold.session import ship, table
 
 
@@ -63,6 +63,21 @@ def op8_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree_search.top_k(vectors, F.col("id") % 20 == 0, k=20)
 
 
+def op11_pretoken_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(ship(spark), sf_dir, "documents")
+    return piece_counts.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(ship(spark), sf_dir, "documents")
+    return infill.digests(docs)
+
+
+def op13_kdtree_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(ship(spark), sf_dir, "embeddings")
+    return codebooks.code_table(vectors)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_sst_shards": op6_sst_shards,
@@ -74,6 +89,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bradley_terry": op1_bradley_terry,
     "op10_brown_classes": op10_brown_classes,
     "op8_mtree_topk": op8_mtree_topk,
+    "op11_pretoken_counts": op11_pretoken_counts,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_kdtree_codes": op13_kdtree_codes,
 }
 
 ORACLES: dict[str, str] = {
@@ -82,4 +100,6 @@ ORACLES: dict[str, str] = {
     "op3_bayesian_minhash": near_dup.SQL,
     "op2_divergence_rules": divergence.sql(),
     "op8_mtree_topk": mtree_search.SQL,
+    "op12_fill_in_middle": infill.SQL,
+    "op13_kdtree_codes": codebooks.sql(),
 }
