@@ -2,8 +2,8 @@
 
 A SentencePiece BPE model merges two neighbouring symbols only if what they make is a piece. So no merge crosses a place
 between two characters that stand beside each other in no piece, and a text has as many tokens as the parts have
-between such places: its pre-tokens. Here these are words with the spaces before them, single line breaks, and longer
-runs cut at every such place.
+between such places: its pre-tokens. Here these are words with the spaces before them, without marks such as full stops
+(those that no piece has after a letter), such marks with what follows them, single line breaks, and parts of longer runs, cut at every such place.
 
 1. Every task counts its pre-tokens; the sums over all tasks are the table of distinct pre-tokens.
 2. Each distinct pre-token is encoded once, for its number of pieces.
@@ -32,16 +32,39 @@ from pyspark.sql import functions as F
 from lumafold.llm.common import own_memory, stage
 
 #: Rows of the head at most. A row holds at most LONGEST characters, so the head has a bounded size.
-HEAD = 131_072
+HEAD = 262_144
 #: Characters of a pre-token that the head keeps as it is; longer ones are known by their digest.
 LONGEST = 64
 #: Length from which a word is cut at every place that no piece spans.
-FINE = 24
+FINE = 64
 #: Distinct pre-tokens that a task holds before it sends their counts.
-HELD = 300_000
+HELD = 400_000
 
 SPACE = "▁"
-_WORDS = regex.compile(r" *+[^ \n]++|\n| ++")
+
+
+_LETTER = regex.compile(r"[\p{L}\p{N}]")
+
+
+def closing_marks(spans: set[tuple[str, str]]) -> dict[str, str]:
+    """The characters of pieces that are neither letters nor digits, by the letters and digits that pieces have before them.
+
+    A text may be cut before such a character where any other letter or digit comes before it.
+    """
+    marks = sorted({c for pair in spans for c in pair if c not in " \n" and not _LETTER.match(c)})
+    groups: dict[str, str] = {}
+    for c in marks:
+        letters = "".join(sorted(before for before, after in spans if after == c and _LETTER.match(before)))
+        groups[letters] = groups.get(letters, "") + c
+    return groups
+
+
+def pretoken_pattern(spans: set[tuple[str, str]]) -> str:
+    """Words with the spaces before them, cut before marks where no piece goes on; single line breaks; spaces at the end."""
+    groups = closing_marks(spans)
+    every = "".join(map(regex.escape, "".join(groups.values())))
+    kept = [rf"(?<!{f'(?![{letters}])' if letters else ''}[\p{{L}}\p{{N}}])[{regex.escape(marks)}]" for letters, marks in groups.items()]
+    return rf" *+[^ \n](?:{'|'.join([rf'[^ \n{every}]++', *kept])})*+|\n| ++"
 
 
 class PieceModel:
@@ -57,6 +80,7 @@ class PieceModel:
         self.spans = {pair for p in pieces for pair in zip(p, p[1:], strict=False)}
         if any("\n" in pair or (pair[1] == " " and pair[0] != " ") for pair in self.spans):
             raise ValueError("pieces must not span line breaks, or a space after another character")
+        self._words = regex.compile(pretoken_pattern(self.spans))
         self._fence = len(self.model.encode("\n"))
         for probe in ("a", " a", "  a  b ", "one\ntwo", "<s> x</s>", "Åﬁ　x​", "a\tb\r\n", SPACE + "a", "\x00"):
             if len(self.model.encode(probe)) != sum(self.pieces([w])[0] * n for w, n in Counter(self.pretokens(probe)).items()):
@@ -64,8 +88,8 @@ class PieceModel:
 
     def pretokens(self, text: str) -> list[str]:
         """The pre-tokens of a text that isn't empty, in turn, after the space that the library puts before it."""
-        words = _WORDS.findall(" " + text.replace(SPACE, " "))
-        if len(max(words, key=len)) < FINE:
+        words = self._words.findall(" " + text.replace(SPACE, " "))
+        if max(map(len, words)) < FINE:
             return words
         return [part for word in words for part in ((word,) if len(word) < FINE else self._finely(word))]
 
@@ -119,17 +143,25 @@ def distinct_pretokens(texts: DataFrame, path: str) -> DataFrame:
 
 
 def count_pieces(words: DataFrame, path: str) -> DataFrame:
-    """name (null for a long word), h1, h2, pieces, times for each row of ``words`` (word, times)."""
+    """word, pieces, times for each row of ``words`` (word, times)."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(path)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            halves = np.frombuffer(b"".join(map(digest, texts)), "<i8").reshape(-1, 2)
-            names = pa.array([w if len(w) <= LONGEST else None for w in texts], pa.string())
-            yield pa.RecordBatch.from_arrays([names, pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.array(model.pieces(texts), pa.int64()), batch.column(1)], ["name", "h1", "h2", "pieces", "times"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.pieces(batch.column(0).to_pylist()), pa.int32()), batch.column(1)], ["word", "pieces", "times"])
+
+    return words.mapInArrow(encode, "word string, pieces int, times long")
+
+
+def _digested(words: DataFrame) -> DataFrame:
+    """h1, h2, pieces: the digests of ``words`` (word, pieces)."""
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            halves = np.frombuffer(b"".join(map(digest, batch.column(0).to_pylist())), "<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), batch.column(1)], ["h1", "h2", "pieces"])
 
-    return words.mapInArrow(encode, "name string, h1 long, h2 long, pieces long, times long")
+    return words.select("word", "pieces").mapInArrow(name, "h1 long, h2 long, pieces int")
 
 
 def _rank_bucket() -> Column:
@@ -147,10 +179,14 @@ def head_of(counted: DataFrame, head: int) -> tuple[dict[str | bytes, int], int]
         least, total = bucket, total + n
     if not total:
         return {}, least
-    rows = counted.where(_rank_bucket() >= least).select("name", "h1", "h2", "pieces").toArrow()
-    halves = np.stack([rows["h1"].to_numpy(), rows["h2"].to_numpy()], axis=1).astype("<i8")
-    names = [halves[k].tobytes() if name is None else name for k, name in enumerate(rows["name"].to_pylist())]
-    return dict(zip(names, rows["pieces"].to_pylist(), strict=True)), least
+    # Long words leave the executors as digests, so that the head has a bounded size.
+    short = F.length("word") <= LONGEST
+    rows = counted.where(_rank_bucket() >= least)
+    found = rows.where(short).select("word", "pieces").toArrow()
+    known: dict[str | bytes, int] = dict(zip(found["word"].to_pylist(), found["pieces"].to_pylist(), strict=True))
+    for r in _digested(rows.where(~short)).collect():
+        known[np.array([r["h1"], r["h2"]], "<i8").tobytes()] = r["pieces"]
+    return known, least
 
 
 def _frequencies(docs: DataFrame, path: str, known: dict[str | bytes, int]) -> DataFrame:
@@ -174,7 +210,7 @@ def _frequencies(docs: DataFrame, path: str, known: dict[str | bytes, int]) -> D
                 size.append(len(text.encode()) if text else 0)
                 total.append(n)
                 tails.append(b"".join(rare))
-                times.append(np.array(often, "<i8").tobytes())
+                times.append(np.array(often, "<i4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(total, pa.int64()), pa.array(tails, pa.binary()), pa.array(times, pa.binary())], ["doc_id", "n_bytes", "n_head", "tail", "times"])
 
     named = docs.select("doc_id", F.col("text").cast("string").alias("text"))
@@ -188,11 +224,11 @@ def _tail_pairs(rows: DataFrame) -> DataFrame:
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             halves = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<i8").reshape(-1, 2)
-            times = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<i8")
+            times = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<i4")
             row = np.repeat(batch.column(0).to_numpy(), [len(x) // 16 for x in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.array(times)], ["row", "h1", "h2", "times"])
 
-    return rows.where(F.octet_length("tail") > 0).select("row", "tail", "times").mapInArrow(explode, "row long, h1 long, h2 long, times long")
+    return rows.where(F.octet_length("tail") > 0).select("row", "tail", "times").mapInArrow(explode, "row long, h1 long, h2 long, times int")
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 4096, head: int = HEAD) -> DataFrame:
@@ -200,8 +236,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 4096, head: int = HEAD
     counted = stage(count_pieces(distinct_pretokens(docs.select(F.col("text").cast("string")), path), path), "pieces")
     known, least = head_of(counted, head)
     rows = _frequencies(docs, path, known)
-    tail = counted.where(_rank_bucket() < least).select("h1", "h2", "pieces")
-    sums = _tail_pairs(rows).join(tail, ["h1", "h2"]).groupBy("row").agg(F.sum(F.col("pieces") * F.col("times")).alias("n_tail"))
+    tail = _digested(counted.where(_rank_bucket() < least))
+    sums = _tail_pairs(rows).join(tail, ["h1", "h2"]).groupBy("row").agg(F.sum(F.col("pieces").cast("long") * F.col("times")).alias("n_tail"))
     out = rows.select("row", "doc_id", "n_bytes", "n_head").join(sums, "row", "left")
     n = (F.col("n_head") + F.coalesce("n_tail", F.lit(0))).cast("long")
     return out.select("doc_id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))
