@@ -125,6 +125,26 @@ def with_row_keys(docs: DataFrame, last_id: int) -> DataFrame:
     return met.withColumn("__lf_key", F.when(F.col("__lf_many").isNotNull(), key).otherwise(F.lit(0).cast("long"))).drop("__lf_many")
 
 
+class OnceEach:
+    """Remembers which repeated rows (doc, key) a task has met, up to ``cap`` of them: what it forgets is only done twice.
+
+    Rows with key 0 are alone with their id and aren't remembered.
+    """
+
+    def __init__(self, cap: int = 100_000) -> None:
+        self.cap, self.met = cap, set()
+
+    def first(self, doc: int, key: int) -> bool:
+        if not key:
+            return True
+        if (doc, key) in self.met:
+            return False
+        if len(self.met) >= self.cap:
+            self.met.clear()
+        self.met.add((doc, key))
+        return True
+
+
 def crc_mod5(column: str = "doc_id") -> Column:
     """crc32 of the id's decimal text, modulo 5; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % 5

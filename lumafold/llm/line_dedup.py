@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumafold.llm.common import stage, with_row_keys
+from lumafold.llm.common import OnceEach, stage, with_row_keys
 
 #: Stands for a null doc_id, after all others.
 LAST_ID = (1 << 63) - 1
@@ -49,13 +49,14 @@ def windows(keyed: DataFrame, width: int = 3) -> DataFrame:
     """Each row's distinct windows: two halves of the hash, doc_id, row key, and the number of the first window that has it."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once = OnceEach()
         for batch in batches:
             hashes: list[bytes] = []
             ids: list[int] = []
             keys: list[int] = []
             places: list[int] = []
             for doc, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
-                if text:
+                if text and once.first(doc, key):
                     first: dict[bytes, int] = {}
                     for k, h in enumerate(window_hashes(*word_lines(text), width)):
                         first.setdefault(h, k)
@@ -71,13 +72,13 @@ def windows(keyed: DataFrame, width: int = 3) -> DataFrame:
 
 
 def late_windows(keyed: DataFrame, width: int = 3) -> DataFrame:
-    """doc, key, late: the numbers of a row's windows that a smaller doc_id has too."""
+    """doc, key, late: the numbers of a row's windows that a smaller doc_id has too; equal rows of an id share one set, no longer than a text."""
     found = windows(keyed, width)
     first = found.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("h1", "h2", "first")
     # Written, so that the join has an exchange on either side, which adaptive execution can split.
     first = stage(first, "repeated-lines")
     late = found.join(first, ["h1", "h2"]).where("doc > first")
-    return late.groupBy("doc", "key").agg(F.collect_list("at").alias("late"))
+    return late.groupBy("doc", "key").agg(F.collect_set("at").alias("late"))
 
 
 def covered(hashes: list[bytes], late: list[int], width: int) -> np.ndarray:

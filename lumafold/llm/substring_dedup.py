@@ -16,7 +16,7 @@ document with a smaller id loses all its words and needs no windows.
 
 Every step is a partial aggregation (smallest and largest doc_id of a hash) followed by an equi-join on the
 hash, which adaptive execution splits where one passage fills much of the corpus; no group is collected
-but the places of one document.
+but the places of one document, as a set, so equal rows of one id add nothing to it.
 
 Null texts: no words. Texts with fewer than ``length`` words lose nothing. Rows that repeat a doc_id are
 one document to the rule: they remove nothing of each other, and each loses its own words only. A null doc_id
@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumafold.llm.common import MULTIPLIERS, drop_staged, own_memory, release, rolling, stage, with_row_keys, word_hashes
+from lumafold.llm.common import MULTIPLIERS, OnceEach, drop_staged, own_memory, release, rolling, stage, with_row_keys, word_hashes
 
 #: A perfect difference set: every residue modulo 31 is a difference of two members.
 PERIOD = 31
@@ -79,10 +79,11 @@ def anchors(keyed: DataFrame, length: int = 50) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_memory("words", word_hashes.clear)
+        once = OnceEach()
         for batch in batches:
             found, size = [], 0
             for doc, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
-                words = text.split() if text else ()
+                words = text.split() if text and once.first(doc, key) else ()
                 if len(words) < length:
                     continue
                 at = anchor_places(len(words) - width + 1)
@@ -116,10 +117,11 @@ def _windows(held: DataFrame, length: int) -> DataFrame:
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_memory("words", word_hashes.clear)
+        once = OnceEach()
         for batch in batches:
             found, size = [], 0
             for doc, key, text, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3), strict=True):
-                words = (text or b"").split()
+                words = text.split() if text and once.first(doc, key) else ()
                 if len(words) < length:
                     continue
                 starts = candidate_windows(at.values.to_numpy(), width, length, len(words))
@@ -143,7 +145,7 @@ def removals(keyed: DataFrame, length: int = 50) -> DataFrame:
     release(keyed.sparkSession)
     hits = table.join(shared, ["h", "h2"])
     is_copy = (F.col("at") == WHOLE) & (F.col("doc") > F.col("first"))
-    by_doc = stage(hits.groupBy("doc", "key").agg(F.max(is_copy).alias("copy"), F.collect_list(F.when(F.col("at") != WHOLE, F.col("at"))).alias("places")), "anchors")
+    by_doc = stage(hits.groupBy("doc", "key").agg(F.max(is_copy).alias("copy"), F.collect_set(F.when(F.col("at") != WHOLE, F.col("at"))).alias("places")), "anchors")
     release(keyed.sparkSession)
     # Written, since the windows are hashed twice from the few texts with shared anchors: all texts move once, not twice.
     held = stage(_with_places(keyed, by_doc.where("not copy and size(places) > 0").select("doc", "key", "places")), "held")
@@ -151,7 +153,7 @@ def removals(keyed: DataFrame, length: int = 50) -> DataFrame:
     found = _windows(held, length)
     repeated = stage(_shared(found), "shared-windows")
     release(keyed.sparkSession)
-    late = found.join(repeated, ["h", "h2"]).where("doc > first").groupBy("doc", "key").agg(F.collect_list("at").alias("starts"))
+    late = found.join(repeated, ["h", "h2"]).where("doc > first").groupBy("doc", "key").agg(F.collect_set("at").alias("starts"))
     copies = by_doc.where("copy").select("doc", "key", F.lit(True).alias("copy"), F.lit(None).cast("array<int>").alias("starts"))
     out = stage(late.select("doc", "key", F.lit(False).alias("copy"), "starts").unionByName(copies), "removals")
     drop_staged(by_doc, shared, held, repeated)
