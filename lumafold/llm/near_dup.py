@@ -17,6 +17,11 @@ Texts are sets of distinct ``width``-word shingles (A-Z lower-cased). Two sets a
    Jaccard similarity is a metric, so this bound is exact); members of small components share blocks. So a group of
    copies costs a star, no pair of a bucket is left out, and a large component costs a row a member for each
    other component that may lie near it, and for each block of small ones.
+6. Where a bucket would need more than some blocks for each of its blocks (thousands of light variants of one page, say), blocks
+   would meet in their square. The members of such buckets are compared over shared rare shingles instead: with shingles in
+   the order of their document counts, two sets can only be linked if the first few of the smaller one and the
+   first few of the other have a shingle in common (the prefix filter of set joins; exact). So variants that differ in
+   shingles of their own never meet, and rows grow with members times the length of such a prefix.
 
 A pair at the threshold 0.85 shares no band with probability (1 - 0.85^7)^36, below 1e-6.
 
@@ -309,19 +314,37 @@ def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 SMALL = -1
 
 
-def block_pairs(members: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def cells_of(members: DataFrame, sets: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """The components of each bucket (key, root, n, bytes, rep, large), and its cells (key, g, blocks, rep); both written."""
+    sized = members.join(sets.select("c", F.octet_length("full").alias("bytes")), "c")
+    is_large = (F.col("n") >= block // 2) | (F.col("bytes") >= BLOCK_BYTES // 2)
+    groups = stage(sized.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min("c").alias("rep")).withColumn("large", is_large), "groups")
+    blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")
+    large = groups.where("large").select("key", F.col("root").alias("g"), blocks, "rep")
+    small = groups.where("not large").groupBy("key").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).select("key", F.lit(SMALL).cast("long").alias("g"), blocks, F.lit(None).cast("long").alias("rep"))
+    return groups, stage(large.unionByName(small), "cells")
+
+
+#: Meetings of blocks, for each block of a bucket, from which its members are compared over rare shingles instead.
+MEETINGS = 4
+
+
+def wide_keys(cells: DataFrame) -> DataFrame:
+    """key: the buckets whose blocks would meet more often than in proportion to their number."""
+    n = F.col("blocks").cast("double")
+    inside = F.sum(F.when(F.col("g") == SMALL, n * (n + 1) / 2).otherwise(0))
+    counted = cells.groupBy("key").agg(F.sum(n).alias("n"), ((F.sum(n) * F.sum(n) - F.sum(n * n)) / 2 + inside).alias("met"))
+    return counted.where(F.col("met") > MEETINGS * (F.col("n") + 1)).select("key")
+
+
+def block_pairs(members: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK, known: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """How buckets are compared: the members with cell and block, and the pairs of blocks (key, g, i, g2, i2) that have to meet.
 
-    A cell is a large component (its root) of a bucket, or SMALL. Blocks of one large component never meet.
+    A cell is a large component (its root) of a bucket, or SMALL. Blocks of one large component never meet. ``known``: what
+    cells_of gives for these members (it may hold other buckets too).
     """
-    sized = members.join(sets.select("c", F.octet_length("full").alias("bytes")), "c")
-    groups = stage(sized.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min("c").alias("rep")), "groups")
-    blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")
-    is_large = (F.col("n") >= block // 2) | (F.col("bytes") >= BLOCK_BYTES // 2)
-    large = groups.where(is_large).select("key", F.col("root").alias("g"), blocks, "rep")
-    small = groups.where(~is_large).groupBy("key").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).select("key", F.lit(SMALL).cast("long").alias("g"), blocks, F.lit(None).cast("long").alias("rep"))
-    cells = stage(large.unionByName(small), "cells")
-    placed = members.join(groups.select("key", "root", F.when(is_large, F.col("root")).otherwise(SMALL).alias("g")), ["key", "root"])
+    groups, cells = known or cells_of(members, sets, block)
+    placed = members.join(groups.select("key", "root", F.when(F.col("large"), F.col("root")).otherwise(SMALL).alias("g")), ["key", "root"])
     placed = placed.join(cells.select("key", "g", "blocks"), ["key", "g"]).select("key", "c", "root", "g", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int").alias("i"))
     other = cells.select("key", F.col("g").alias("g2"), F.col("blocks").alias("blocks2"), F.col("rep").alias("rep2"))
     met = cells.join(other, "key").where(f"g < g2 or (g = {SMALL} and g2 = {SMALL})")
@@ -339,9 +362,9 @@ def block_pairs(members: DataFrame, sets: DataFrame, percent: int, block: int =
     return placed, pairs.where("g <> g2 or i <= i2")
 
 
-def _across(members: DataFrame, nodes: DataFrame, sets: DataFrame, bounds: dict[int, int], percent: int) -> DataFrame:
+def _across(members: DataFrame, nodes: DataFrame, sets: DataFrame, bounds: dict[int, int], percent: int, known: tuple[DataFrame, DataFrame]) -> DataFrame:
     """a, b: links that join components (root) within a bucket (key), found block by block."""
-    placed, pairs = block_pairs(members, sets, percent)
+    placed, pairs = block_pairs(members, sets, percent, known=known)
     placed, pairs = stage(placed, "placed"), stage(pairs, "block-pairs")
     name = ["key", "g", "i", "g2", "i2"]
     left = placed.join(pairs, ["key", "g", "i"]).select(*name, "c", "root", F.lit(True).alias("low"))
@@ -360,7 +383,93 @@ def _across(members: DataFrame, nodes: DataFrame, sets: DataFrame, bounds: dict[
     return dealt.groupBy(*name).applyInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, miss: float = 1e-5, with_keys: bool = False) -> DataFrame:
+def prefix_lengths(n: int, percent: int) -> tuple[int, int]:
+    """How many first shingles of a set of ``n`` can decide, if it is the smaller one of a linked pair, and if it is the larger one.
+
+    A link shares at least 2 t / (1 + t) of the smaller set and at least t of the larger one.
+    """
+    return n + (-2 * percent * n // (100 + percent)) + 1, n + (-percent * n // 100) + 1
+
+
+def rare_postings(pool: DataFrame, percent: int) -> DataFrame:
+    """s, c, root, n, low: the deciding shingles of the sets in ``pool`` (c, root, full); low: as the smaller set of a pair.
+
+    Shingles of one set only match nothing, but they come first in its order, so they are counted and not sent. Written.
+    """
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                raw = part.column(1).to_pylist()
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), [len(x) // 8 for x in raw])), pa.array(np.frombuffer(b"".join(raw), np.int64))], ["c", "s"])
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[list] = [[], [], [], [], []]
+            for c, root, n, known in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
+                count, s = (x.to_numpy(zero_copy_only=False) for x in known.values.flatten())
+                alone = n - len(s)
+                low, high = (max(0, x - alone) for x in prefix_lengths(n, percent))
+                first = np.lexsort((s, count))[:high]
+                for column, x in zip(found, (s[first].tolist(), [c] * len(first), [root] * len(first), [n] * len(first), [k < low for k in range(len(first))]), strict=True):
+                    column += x
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in found[:4]), pa.array(found[4], pa.bool_())], ["s", "c", "root", "n", "low"])
+
+    each = pool.select("c", "full").mapInArrow(explode, "c long, s long")
+    # Written, so that the join has an exchange on either side, which adaptive execution can split.
+    often = stage(each.groupBy("s").agg(F.count("*").alias("count")).where("count > 1"), "shingle-counts")
+    known = each.join(often, "s").groupBy("c").agg(F.collect_list(F.struct("count", "s")).alias("known"))
+    sized = pool.select("c", "root", (F.octet_length("full") / 8).cast("long").alias("n")).join(known, "c").select("c", "root", "n", "known")
+    return stage(sized.mapInArrow(decide, "s long, c long, root long, n long, low boolean"), "postings")
+
+
+def rare_blocks(postings: DataFrame, block: int = BLOCK) -> DataFrame:
+    """s, i, j, c, root, n, low: what is compared, low rows against all others of each (s, i, j). Shingles that are low in no set, or are held by one component only, are left out."""
+    heavy = lambda n, b: F.greatest(F.ceil(n / block), F.ceil(b * 8 / BLOCK_BYTES), F.lit(1)).cast("int")
+    is_low = F.col("low").cast("int")
+    sized = postings.groupBy("s").agg(F.count("*").alias("n_all"), F.sum(is_low).alias("n_low"), F.sum("n").alias("b_all"), F.sum(F.col("n") * is_low).alias("b_low"), F.min("root").alias("least"), F.max("root").alias("most"))
+    kept = sized.where("n_low > 0 and least < most").select("s", heavy(F.col("n_low"), F.col("b_low")).alias("lows"), heavy(F.col("n_all"), F.col("b_all")).alias("alls"))
+    met = postings.join(stage(kept, "kept-shingles"), "s")
+    place = lambda n: F.pmod(F.xxhash64("c"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    low = met.where("low").select("s", place("lows").alias("i"), every("alls").alias("j"), "c", "root", "n", F.lit(True).alias("low"))
+    return low.unionByName(met.select("s", every("lows").alias("i"), place("alls").alias("j"), "c", "root", "n", F.lit(False).alias("low")))
+
+
+def _by_rare_shingles(pool: DataFrame, nodes: DataFrame, sets: DataFrame, bounds: dict[int, int], percent: int, block: int) -> DataFrame:
+    """a, b: links that join components (root) among all sets of ``pool`` (c, root), found over shared rare shingles."""
+    postings = rare_postings(pool.join(sets, "c"), percent)
+    dealt = rare_blocks(postings, block).join(nodes.select("c", "sig").join(sets, "c"), "c")
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        c, root, n, low = (table[x].to_numpy(zero_copy_only=False) for x in ("c", "root", "n", "low"))
+        full = [np.frombuffer(x, np.uint64) for x in table["full"].to_pylist()]
+        found = compare_postings(c, root, n, low, _matrix(table["sig"].combine_chunks()), full, bounds, percent)
+        return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
+
+    return dealt.groupBy("s", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def compare_postings(c: np.ndarray, root: np.ndarray, n: np.ndarray, low: np.ndarray, sig: np.ndarray, full: list[np.ndarray], bounds: dict[int, int], percent: int) -> list[tuple[int, int]]:
+    """Links between a low row and another row of its size or larger that join two components."""
+    forest, out = _Forest(), []
+    every = np.flatnonzero(~low)
+    for k in np.flatnonzero(low).tolist():
+        larger = (n[every] > n[k]) | ((n[every] == n[k]) & (c[every] > c[k]))
+        other = every[larger & (root[every] != root[k]) & (percent * n[every] <= 100 * n[k])]
+        if not len(other):
+            continue
+        alive, m = surviving(np.broadcast_to(sig[k], (len(other), VALUES)), sig[other], bounds)
+        for x in other[alive][np.argsort(-m, kind="stable")].tolist():
+            mine, its = forest.find(int(root[k])), forest.find(int(root[x]))
+            if mine != its and similar(full[k], full[x], percent):
+                forest.up[its] = mine
+                out.append((min(int(c[k]), int(c[x])), max(int(c[k]), int(c[x]))))
+    return out
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, miss: float = 1e-5, with_keys: bool = False, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept (doc_id = component_id), a row for each row; the text's key (__lf_key) if asked."""
     bounds = least_matches(percent / 100, miss)
     rows = _sketches(docs, width)
@@ -383,7 +492,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, miss: fl
     split = stage(several.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"), "split")
     mixed = stage(several.join(split, "key", "left_semi"), "mixed")
     if mixed.limit(1).count():
-        links.join(stage(_across(mixed, nodes, sets, bounds, percent), "across"))
+        known = cells_of(mixed, sets, block)
+        wide = stage(wide_keys(known[1]), "wide")
+        some = wide.limit(1).count()
+        narrow = mixed.join(wide, "key", "left_anti") if some else mixed
+        links.join(stage(_across(narrow, nodes, sets, bounds, percent, (known[0], known[1].join(wide, "key", "left_anti") if some else known[1])), "across"))
+        if some:
+            pool = stage(_rooted(mixed.join(wide, "key", "left_semi").select("c").distinct(), links.roots, "c", "root"), "pool")
+            links.join(stage(_by_rare_shingles(pool, nodes, sets, bounds, percent, block), "rare"))
     labelled = _rooted(firsts.select("h1", "h2", "c", "first"), links.roots, "c", "root")
     lowest = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
     component = stage(labelled.join(lowest, "root").select("h1", "h2", "component_id"), "components")
