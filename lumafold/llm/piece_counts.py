@@ -43,6 +43,7 @@ HELD = 400_000
 SPACE = "▁"
 
 
+_RUNS = regex.compile(r" ++[^ ]*+")
 _LETTER = regex.compile(r"[\p{L}\p{N}]")
 
 
@@ -86,13 +87,27 @@ class PieceModel:
             if len(self.model.encode(probe)) != sum(self.pieces([w])[0] * n for w, n in Counter(self.pretokens(probe)).items()):
                 raise ValueError("the model must be BPE with identity normalisation and a leading space")
 
-    def pretokens(self, text: str) -> list[str]:
-        """The pre-tokens of a text that isn't empty, in turn, after the space that the library puts before it."""
-        words = self._words.findall(" " + text.replace(SPACE, " "))
-        if max(map(len, words)) < FINE:
+    def chunks(self, text: str) -> list[str]:
+        """A text that isn't empty, cut before each space after another character; less the space that starts each chunk.
+
+        The library puts a space before the whole text. Chunks are quick to count, and only distinct ones are cut further.
+        """
+        text = text.replace(SPACE, " ")
+        if "  " not in text and text[0] != " " and text[-1] != " ":
+            return text.split(" ")
+        return [run[1:] for run in _RUNS.findall(" " + text)]
+
+    def parts(self, chunk: str) -> list[str]:
+        """The pre-tokens of a chunk."""
+        words = self._words.findall(" " + chunk)
+        if len(chunk) < FINE:
             return words
         return [part for word in words for part in ((word,) if len(word) < FINE else self._finely(word))]
 
+    def pretokens(self, text: str) -> list[str]:
+        """The pre-tokens of a text that isn't empty, in turn."""
+        return [part for chunk in self.chunks(text) for part in self.parts(chunk)]
+
     def _finely(self, word: str) -> Iterator[str]:
         start, spans = 0, self.spans
         for at, pair in enumerate(zip(word, word[1:], strict=False), 1):
@@ -124,20 +139,23 @@ def distinct_pretokens(texts: DataFrame, path: str) -> DataFrame:
     """word, times: every pre-token of ``texts`` (one column) and how often it occurs."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = _model(path).pretokens
+        model = _model(path)
         held: Counter[str] = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if text:
-                    held.update(split(text))
+                    held.update(model.chunks(text))
                 if len(held) > HELD:
-                    yield flushed(held)
-        yield flushed(held)
-
-    def flushed(held: Counter[str]) -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "times"])
+                    yield flushed(model, held)
+        yield flushed(model, held)
+
+    def flushed(model: PieceModel, held: Counter[str]) -> pa.RecordBatch:
+        words: Counter[str] = Counter()
+        for chunk, k in held.items():
+            for word in model.parts(chunk):
+                words[word] += k
         held.clear()
-        return out
+        return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "times"])
 
     return texts.mapInArrow(count, "word string, times long").groupBy("word").agg(F.sum("times").alias("times"))
 
@@ -195,22 +213,32 @@ def _frequencies(docs: DataFrame, path: str, known: dict[str | bytes, int]) -> D
     shared = spark.sparkContext.broadcast(known)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, pieces = _model(path).pretokens, shared.value
+        model, pieces = _model(path), shared.value
+        memo: dict[str, int] = {}  # of chunks whose pre-tokens are all in the head
         for batch in batches:
             size, total, tails, times = [], [], [], []
             for text in batch.column(1).to_pylist():
-                n, rare, often = 0, [], []
-                for word, k in Counter(split(text)).items() if text else ():
-                    each = pieces.get(word) if len(word) <= LONGEST else pieces.get(digest(word))
+                n, rare = 0, Counter()
+                for chunk, k in Counter(model.chunks(text)).items() if text else ():
+                    each = memo.get(chunk)
                     if each is None:
-                        rare.append(digest(word))
-                        often.append(k)
-                    else:
-                        n += each * k
+                        each, missed = 0, False
+                        for word in model.parts(chunk):
+                            found = pieces.get(word) if len(word) <= LONGEST else pieces.get(digest(word))
+                            if found is None:
+                                rare[word] += k
+                                missed = True
+                            else:
+                                each += found
+                        if not missed and len(chunk) <= LONGEST:
+                            memo[chunk] = each
+                    n += each * k
                 size.append(len(text.encode()) if text else 0)
                 total.append(n)
-                tails.append(b"".join(rare))
-                times.append(np.array(often, "<i4").tobytes())
+                tails.append(b"".join(map(digest, rare)))
+                times.append(np.array(list(rare.values()), "<i4").tobytes())
+            if len(memo) > HELD:
+                memo.clear()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(total, pa.int64()), pa.array(tails, pa.binary()), pa.array(times, pa.binary())], ["doc_id", "n_bytes", "n_head", "tail", "times"])
 
     named = docs.select("doc_id", F.col("text").cast("string").alias("text"))
