@@ -123,16 +123,20 @@ def realised_slew(loop: DataFrame, parents: DataFrame, on: str, amplitude: str,
     return loop.where(F.col(on) >= 1).join(parents, on).agg(F.max(F.col(unit) * F.abs(amplitude)).alias("max_slew"))
 
 
-def loop_table(blocks: DataFrame, parents: DataFrame) -> DataFrame:
-    """The 23-column loop table from blocks with trid, duration, signature, rf/adc structs and axis structs.
+def loop_table(blocks: DataFrame, parents: DataFrame | None = None) -> DataFrame:
+    """The 23-column loop table from blocks with trid, duration, rf/adc structs and axis structs.
+
+    Parents are met by signature; without them the blocks have their parent_id. Amplitudes and energies of an axis are the trapezoid's,
+    but for those that the blocks have as amp_ and energy_ columns.
 
     Columns: segment, parent and trigger numbers, RF amplitude/phase/frequency and energy, amplitude and energy of each
     axis, ADC phase, duration, and the nine entries of the (always identity) rotation.
     """
-    joined = blocks.join(parents.select("signature", "parent_id"), "signature", "left")
+    joined = blocks if parents is None else blocks.join(parents.select("signature", "parent_id"), "signature", "left")
     identity = [F.lit(1.0 if r == c else 0.0).alias(f"r{r}{c}") for r in range(3) for c in range(3)]
     adc_freq, rf_freq = F.col("adc.freq"), F.col("rf.freq")
-    axes = [x for a in AXES for x in (F.coalesce(F.col(f"{a}.amplitude"), F.lit(0.0)).alias(f"amp_{a}"), F.coalesce(trap_energy(F.col(f"{a}.amplitude"), F.col(f"{a}.rise"), F.col(f"{a}.flat"), F.col(f"{a}.fall")), F.lit(0.0)).alias(f"energy_{a}"))]
+    own = lambda name, made: F.coalesce(F.col(name) if name in blocks.columns else made, F.lit(0.0)).alias(name)
+    axes = [x for a in AXES for x in (own(f"amp_{a}", F.col(f"{a}.amplitude")), own(f"energy_{a}", trap_energy(F.col(f"{a}.amplitude"), F.col(f"{a}.rise"), F.col(f"{a}.flat"), F.col(f"{a}.fall"))))]
     return joined.select(
         "n", F.coalesce("seg_id", F.lit(0)).alias("segment_id"), F.coalesce("parent_id", F.lit(0)).alias("parent_id"), F.col("is_trigger").cast("int").alias("trigger"),
         F.coalesce("rf.amplitude", F.lit(0.0)).alias("rf_amp"), F.coalesce("rf.phase", F.lit(0.0)).alias("rf_phase"), F.coalesce(adc_freq, rf_freq, F.lit(0.0)).alias("frequency"),
