@@ -100,6 +100,16 @@ def regular_raster(times: np.ndarray) -> bool:
 
 
 def encode(content: LoopFile) -> bytes:
+    return head(content, *content.loop.shape) + np.asarray(content.loop, "<f4").tobytes() + foot(content)
+
+
+def foot(content: LoopFile) -> bytes:
+    """What follows the loop's rows."""
+    return FOOT.pack(*content.limits, content.readouts, content.quantum, content.heat_rows)
+
+
+def head(content: LoopFile, rows: int, columns: int) -> bytes:
+    """What comes before the loop's rows."""
     out = io.BytesIO()
     put = lambda fmt, *v: out.write(struct.pack("<" + fmt, *v))
     floats = lambda x: out.write(np.asarray(x, "<f4").tobytes())
@@ -143,9 +153,7 @@ def encode(content: LoopFile) -> bytes:
         put("hh", s.number, len(s.blocks))
         put(f"{len(s.blocks)}h", *s.blocks)
         put("ih", s.strongest_row, int(not moved.isdisjoint(s.blocks)))
-    put("ih", *content.loop.shape)
-    floats(content.loop)
-    out.write(FOOT.pack(*content.limits, content.readouts, content.quantum, content.heat_rows))
+    put("ih", rows, columns)
     return out.getvalue()
 
 
