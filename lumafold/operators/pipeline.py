@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -12,6 +13,7 @@ from lumafold.operators import coils as C
 from lumafold.operators import feasibility as P
 from lumafold.operators import recon as R
 from lumafold.operators import signal as G
+from lumafold.session import kept
 from lumafold.sources import images, loopfile
 
 
@@ -22,9 +24,34 @@ def calibrated_matrices(noise: DataFrame, reference: DataFrame, energy: float, f
     return white, C.compression(covariance, C.channels_for_energy(covariance, energy, floor))
 
 
+#: Samples of a calibration train up to which it is sent to every task of a delay sweep (about 10 MB); beyond, it is joined.
+TRAIN_SENT = 250_000
+
+
 def delayed(trajectory: DataFrame, delay: float) -> DataFrame:
-    """A trajectory (parity, i, kx) shifted by ``delay`` samples."""
-    return G.shifted_samples(trajectory.select("parity", "i", "kx"), ["parity"], "kx", delay).select("parity", "i", F.col("shifted").alias("kx"))
+    """A trajectory (parity, i, kx) at the middle of each sample, shifted by ``delay`` samples; it goes on straight beyond its ends."""
+    return G.shifted_samples(trajectory.select("parity", "i", "kx"), ["parity"], "kx", delay + 0.5).select("parity", "i", F.col("shifted").alias("kx"))
+
+
+def delayed_weights(trajectory: DataFrame, delays: Iterable[float]) -> DataFrame:
+    """delay, parity, i, kx, w: every candidate's trajectory with the density weights of its samples, which sum to one.
+
+    A trajectory is one short array, so candidates are a column: no join, and a plan whose size doesn't depend on their number.
+    """
+    sorted_kx = F.transform(F.sort_array(F.collect_list(F.struct("i", "kx"))), lambda r: r["kx"])
+    arrays = trajectory.groupBy("parity").agg(sorted_kx.alias("k")).withColumn("n", F.size("k"))
+    each = arrays.select("parity", "k", "n", F.explode(F.lit([float(d) for d in delays])).alias("delay")).repartition("delay")
+
+    def moved(i):
+        s = i - 0.5 - F.col("delay")
+        j = F.greatest(F.lit(0), F.least(F.floor(s).cast("int"), F.col("n") - 2))
+        first = F.get("k", j)
+        return first + (s - j) * (F.coalesce(F.get("k", j + 1), first) - first)
+
+    shifted = each.withColumn("k", F.transform(F.sequence(F.lit(0), F.col("n") - 1), moved))
+    steps = F.transform(F.col("k"), lambda x, i: F.coalesce(F.abs(F.get("k", i + 1) - x), F.lit(0.0)))
+    dense = shifted.withColumn("w", steps).withColumn("total", F.aggregate("w", F.lit(0.0), lambda acc, x: acc + x))
+    return dense.select("delay", "parity", "total", F.posexplode(F.arrays_zip("k", "w")).alias("i", "at")).select("delay", "parity", "i", F.col("at.k").alias("kx"), (F.col("at.w") / F.col("total")).alias("w"))
 
 
 def calibration_phase(shots: DataFrame, trajectory: DataFrame, nx: int, etl: int, fov_cm: float) -> DataFrame:
@@ -36,21 +63,22 @@ def calibration_phase(shots: DataFrame, trajectory: DataFrame, nx: int, etl: int
 def delay_report(shots: DataFrame, trajectory: DataFrame, nx: int, etl: int, fov_cm: float, delays: Iterable[float]) -> DataFrame:
     """delay, a1, a2, wrap_count for each candidate delay; ``recon.best_delay`` picks one.
 
-    Candidates are a fixed list of settings, each a plan of its own over one small calibration scan.
+    One plan for all candidates. Shots are averaged first (gridding is linear), the train is written once, a row for each
+    sample number with all its echoes and channels; each row meets every candidate's weights, and lines are summed by
+    candidate, so the weights of a place are made once and not for each channel.
     """
-    out: DataFrame | None = None
-    mean = shots.groupBy("echo", "coil", "i").agg(F.avg("re").alias("re"), F.avg("im").alias("im")).persist()
-    for delay in delays:
-        lines = R.grid_readouts(mean, R.gridding_weights(delayed(trajectory, delay), nx, fov_cm), ["echo", "coil"])
-        fit = R.odd_even_phase(lines, nx, etl)
-        odd = lines.where("echo % 2 = 1").select(F.floor(F.col("echo") / 2).alias("pair"), "coil", "ix", F.col("re").alias("ore"), F.col("im").alias("oim"))
-        even = lines.where("echo % 2 = 0").select(F.floor(F.col("echo") / 2).alias("pair"), "coil", "ix", "re", "im")
-        ratio = even.join(odd, ["pair", "coil", "ix"]).groupBy("pair", "ix").agg(F.atan2(F.sum(F.col("oim") * F.col("re") - F.col("ore") * F.col("im")), F.sum(F.col("ore") * F.col("re") + F.col("oim") * F.col("im"))).alias("th"))
-        inner = ratio.where((F.col("ix") >= round(nx / 4)) & (F.col("ix") < round(3 * nx / 4)) & (F.col("pair") >= etl // 4))
-        wraps = R.wrap_counts(inner, ["pair"], ["ix"], "th").agg(F.sum("wrap_count").cast("int").alias("wrap_count"))
-        row = fit.crossJoin(wraps).select(F.lit(float(delay)).alias("delay"), F.col("a0").alias("a1"), F.col("a1").alias("a2"), "wrap_count")
-        out = row if out is None else out.unionByName(row)
-    return out
+    mean = shots.where(F.col("echo") < etl - etl % 2).groupBy("echo", "coil", "i").agg(F.avg("re").alias("re"), F.avg("im").alias("im"))
+    rows = mean.groupBy((F.col("echo") % 2).cast("int").alias("parity"), "i").agg(F.collect_list(F.struct("echo", "coil", "re", "im")).alias("train"))  # an entry for each echo and channel
+    train = kept(rows)
+    size = train.agg(F.coalesce(F.sum(F.size("train")), F.lit(0))).first()[0]
+    met = delayed_weights(trajectory, delays).join(F.broadcast(train) if size <= TRAIN_SENT else train, ["parity", "i"])
+    places = met.select("delay", "train", "kx", "w", F.explode(F.sequence(F.lit(0), F.lit(nx - 1))).alias("ix"))
+    angle = 2 * math.pi * F.col("kx") * (F.col("ix") - nx / 2.0) * (fov_cm / nx)
+    turned = places.select("delay", "train", "ix", (F.col("w") * F.cos(angle)).alias("wre"), (F.col("w") * F.sin(angle)).alias("wim"))
+    parts = turned.select("delay", "ix", "wre", "wim", F.explode("train").alias("s")).select("delay", "ix", "wre", "wim", "s.*")
+    lines = parts.groupBy("delay", "echo", "coil", "ix").agg(F.sum(F.col("re") * F.col("wre") - F.col("im") * F.col("wim")).alias("re"), F.sum(F.col("re") * F.col("wim") + F.col("im") * F.col("wre")).alias("im"))
+    report = R.odd_even_report(kept(lines), nx, etl, key=("delay",))
+    return report.select("delay", F.col("a0").alias("a1"), F.col("a1").alias("a2"), "wrap_count")
 
 
 def kspace_volume(shots: DataFrame, schedule: DataFrame, white: np.ndarray, squeeze: np.ndarray, weights: DataFrame, phase: tuple[float, float], nx: int, ny: int, nz: int) -> DataFrame:

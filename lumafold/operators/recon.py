@@ -141,32 +141,57 @@ def grid_readouts(samples: DataFrame, weights: DataFrame, key: list[str]) -> Dat
     return met.groupBy(*key, "ix").agg(F.sum(F.col("re") * F.col("wre") - F.col("im") * F.col("wim")).alias("re"), F.sum(F.col("re") * F.col("wim") + F.col("im") * F.col("wre")).alias("im"))
 
 
-def odd_even_phase(lines: DataFrame, nx: int, etl: int, threshold: float = 0.1) -> DataFrame:
-    """One row (a0, a1): constant and linear phase between odd and even echoes of a calibration train.
+def pair_phases(lines: DataFrame, nx: int, etl: int, threshold: float = 0.1, key: tuple[str, ...] = ()) -> DataFrame:
+    """key, pair, ix, th, inside: phase of the second over the first echo of each pair along x, and whether the fit uses that place.
 
-    ``lines``: echo, coil, ix, re, im in image space along x. Native: phase along echoes at the middle, smoothed and
-    fitted for the off-resonance drift; drift removed; weighted phase of each odd/even pair; fitted over x in the mask.
+    ``lines``: key, echo (from 0), coil, ix, re, im in image space along x, from a train without blips; an odd last echo is left out.
+    Native: phase along the second echoes at the middle, unwrapped for each channel, averaged by power, smoothed and fitted for the
+    off-resonance drift; drift removed; phases of pairs averaged over channels by power. A place is inside if the echo
+    half a train after the pair's number is strong there, in the middle half of x, for the later half of the pairs.
     """
     from lumafold.operators.signal import middle_reference, moving_average, unwrap, weighted_phase
 
-    mid = nx // 2 - 1
-    even = lines.where((F.col("echo") % 2 == 0) & (F.col("ix") == mid)).withColumn("m", F.col("echo") / 2).withColumn("phase", F.atan2("im", "re")).withColumn("w", F.col("re") * F.col("re") + F.col("im") * F.col("im"))
-    drift = middle_reference(unwrap(even, ["coil"], ["m"], "phase"), ["coil"], ["m"], "unwrapped")
-    across = drift.groupBy("m").agg(weighted_phase(F.col("w"), F.col("centered")).alias("phase")).withColumn("all", F.lit(1))
-    smooth = moving_average(unwrap(across, ["all"], ["m"], "phase"), ["all"], ["m"], "unwrapped", 1 if etl / 2 < 10 else 5)
-    line = smooth.agg(F.regr_intercept(F.col("smooth"), 2 * F.col("m") + 1).alias("b0"), F.regr_slope(F.col("smooth"), 2 * F.col("m") + 1).alias("b1"))
-    fixed = lines.crossJoin(F.broadcast(line)).withColumn("t", -(F.col("b0") + F.col("b1") * (F.col("echo") + 1)))
-    fixed = fixed.select("echo", "coil", "ix", (F.col("re") * F.cos("t") - F.col("im") * F.sin("t")).alias("re"), (F.col("re") * F.sin("t") + F.col("im") * F.cos("t")).alias("im"))
-    strength = fixed.groupBy("echo", "ix").agg(F.sqrt(F.sum(F.col("re") * F.col("re") + F.col("im") * F.col("im"))).alias("s"))
-    peak = strength.agg(F.max("s").alias("peak"))
+    by, pairs = list(key), etl // 2
+    power = F.col("re") * F.col("re") + F.col("im") * F.col("im")
+    used = lines.where(F.col("echo") < 2 * pairs)
+    second = used.where((F.col("echo") % 2 == 1) & (F.col("ix") == nx // 2 - 1)).select(*by, "coil", F.floor(F.col("echo") / 2).alias("m"), F.atan2("im", "re").alias("phase"), power.alias("w"))
+    drift = middle_reference(unwrap(second, [*by, "coil"], ["m"], "phase"), [*by, "coil"], ["m"], "unwrapped")
+    across = drift.groupBy(*by, "m").agg(weighted_phase(F.col("w"), F.col("centered")).alias("phase")).withColumn("__all", F.lit(1))
+    smooth = moving_average(unwrap(across, [*by, "__all"], ["m"], "phase"), [*by, "__all"], ["m"], "unwrapped", 1 if pairs < 10 else 5)
+    place = 2 * F.col("m") + 2
+    line = smooth.groupBy(*by, "__all").agg(F.regr_intercept(F.col("smooth"), place).alias("b0"), F.regr_slope(F.col("smooth"), place).alias("b1"))
+    # A removed drift turns both echoes of a pair, so its phase changes by one step of the drift; magnitudes stay as they are.
+    strength = used.groupBy(*by, "echo", "ix").agg(F.sqrt(F.sum(power)).alias("s")).withColumn("__all", F.lit(1))
+    peak = strength.groupBy(*by, "__all").agg(F.max("s").alias("peak"))
     low, high = math.floor(nx / 4 + 0.5), math.floor(3 * nx / 4 + 0.5) - 1
-    mask = strength.crossJoin(F.broadcast(peak)).where((F.col("s") > threshold * F.col("peak")) & (F.col("ix") >= low) & (F.col("ix") < high)).select("echo", "ix")
-    odd = fixed.where("echo % 2 = 1").select((F.floor(F.col("echo") / 2)).alias("pair"), "coil", "ix", F.col("re").alias("ore"), F.col("im").alias("oim"))
-    ev = fixed.where("echo % 2 = 0").select((F.floor(F.col("echo") / 2)).alias("pair"), "coil", "ix", "re", "im")
-    ratio = ev.join(odd, ["pair", "coil", "ix"]).groupBy("pair", "ix").agg(F.sum(F.col("ore") * F.col("re") + F.col("oim") * F.col("im")).alias("c"), F.sum(F.col("oim") * F.col("re") - F.col("ore") * F.col("im")).alias("s"))
-    phase = ratio.withColumn("th", F.atan2("s", "c")).join(mask.select((F.floor(F.col("echo") / 2)).alias("pair"), "ix").distinct(), ["pair", "ix"])
-    later = phase.where(F.col("pair") >= (etl // 2) // 2).withColumn("x", (F.col("ix") - nx / 2.0 + 0.5) / nx)
-    return later.agg(F.regr_intercept(F.col("th"), F.col("x")).alias("a0"), F.regr_slope(F.col("th"), F.col("x")).alias("a1"))
+    strong = strength.where((F.col("echo") >= pairs + pairs // 2) & (F.col("ix") >= low) & (F.col("ix") < high)).join(peak, [*by, "__all"])
+    strong = strong.where(F.col("s") > threshold * F.col("peak")).select(*by, (F.col("echo") - pairs).cast("long").alias("pair"), "ix", F.lit(True).alias("inside"))
+    of = lambda side, c: F.max(F.when(F.col("echo") % 2 == side, F.col(c)))
+    met = used.groupBy(*by, "coil", F.floor(F.col("echo") / 2).alias("pair"), "ix").agg(of(0, "re").alias("ar"), of(0, "im").alias("ai"), of(1, "re").alias("br"), of(1, "im").alias("bi"))
+    turned = F.atan2(F.col("bi") * F.col("ar") - F.col("br") * F.col("ai"), F.col("br") * F.col("ar") + F.col("bi") * F.col("ai"))
+    summed = met.withColumn("p", F.col("br") * F.col("br") + F.col("bi") * F.col("bi")).withColumn("d", turned).groupBy(*by, "pair", "ix").agg(F.sum(F.col("p") * F.cos("d")).alias("c"), F.sum(F.col("p") * F.sin("d")).alias("s")).withColumn("__all", F.lit(1))
+    fixed = summed.join(line, [*by, "__all"]).withColumn("th", F.atan2(F.col("s") * F.cos("b1") - F.col("c") * F.sin("b1"), F.col("c") * F.cos("b1") + F.col("s") * F.sin("b1")))
+    return fixed.join(strong, [*by, "pair", "ix"], "left").select(*by, "pair", "ix", "th", F.coalesce("inside", F.lit(False)).alias("inside"))
+
+
+def _phase_fit(nx: int) -> tuple[Column, Column]:
+    th, x = F.when(F.col("inside"), F.col("th")), F.when(F.col("inside"), (F.col("ix") - nx / 2.0 + 0.5) / nx)
+    return F.regr_intercept(th, x).alias("a0"), F.regr_slope(th, x).alias("a1")
+
+
+def odd_even_phase(lines: DataFrame, nx: int, etl: int, threshold: float = 0.1, key: tuple[str, ...] = ()) -> DataFrame:
+    """key, a0, a1: constant and linear phase between odd and even echoes of a calibration train, over the places inside (see pair_phases)."""
+    return pair_phases(lines, nx, etl, threshold, key).groupBy(*key).agg(*_phase_fit(nx))
+
+
+def odd_even_report(lines: DataFrame, nx: int, etl: int, threshold: float = 0.1, key: tuple[str, ...] = (), jump: float = math.pi) -> DataFrame:
+    """key, a0, a1, wrap_count: the fit, and the steps over ``jump`` between neighbours in the middle half of x, in the later half of the pairs."""
+    pairs, low, high = etl // 2, math.floor(nx / 4 + 0.5), math.floor(3 * nx / 4 + 0.5)
+    w = Window.partitionBy(*key, "pair").orderBy("ix")
+    middle = (F.col("pair") >= pairs // 2) & (F.col("ix") >= low) & (F.col("ix") < high)
+    # Only neighbours that are both in the middle half make a step.
+    phases = pair_phases(lines, nx, etl, threshold, key).withColumn("__d", F.abs(F.col("th") - F.lag("th").over(w)))
+    return phases.groupBy(*key).agg(*_phase_fit(nx), F.count_if(middle & (F.col("ix") > low) & (F.col("__d") > jump)).cast("int").alias("wrap_count"))
 
 
 def phase_corrected(lines: DataFrame, nx: int, a0: float | Column, a1: float | Column) -> DataFrame:
