@@ -13,38 +13,44 @@ from pyspark.sql import functions as F
 def disc_points(ry: np.ndarray, rz: np.ndarray, calib: np.ndarray, attempts: int, rng: np.random.Generator) -> np.ndarray:
     """A mask on the grid of ``ry`` (radii along y and z of each cell): no sample inside another one's ellipse.
 
-    Samples grow from active ones: candidates at one to two radii; a candidate is refused if any sample in the window of
-    the largest radii has it inside that sample's own ellipse. Calibration cells are all taken.
+    Samples grow from active ones: candidates at one to two radii; a candidate is refused if any sample has it inside that
+    sample's own ellipse. Each sample paints its ellipse into a grid of refused cells when it is taken, so a candidate
+    is one lookup, and all candidates of a step are looked up at once. Calibration cells are all taken.
     """
     ny, nz = ry.shape
+    pad_y, pad_z = math.ceil(2 * ry.max()) + 2, math.ceil(2 * rz.max()) + 2  # no candidate or ellipse reaches beyond
+    refused = np.ones((ny + 2 * pad_y, nz + 2 * pad_z), bool)
+    refused[pad_y : pad_y + ny, pad_z : pad_z + nz] = False
+    width, flat = refused.shape[1], refused.ravel()
+    ys, zs = np.arange(-pad_y, pad_y + 1.0), np.arange(-pad_z, pad_z + 1.0)
     taken = np.zeros((ny, nz), bool)
-    active = [(int(rng.integers(ny)), int(rng.integers(nz)))]
-    taken[active[0]] = True
-    reach_y, reach_z = math.ceil(ry.max()), math.ceil(rz.max())
+
+    def take(y: int, z: int) -> tuple[int, int, float, float]:
+        a, b = float(ry[y, z]), float(rz[y, z])
+        m, n = math.ceil(a), math.ceil(b)
+        dy, dz = ys[pad_y - m : pad_y + m + 1] / a, zs[pad_z - n : pad_z + n + 1] / b
+        refused[y + pad_y - m : y + pad_y + m + 1, z + pad_z - n : z + pad_z + n + 1] |= (dy * dy)[:, None] + dz * dz < 1
+        taken[y, z] = True
+        return y, z, a, b
+
+    active = [take(int(rng.integers(ny)), int(rng.integers(nz)))]
+    drawn = 0
     while active:
-        k = int(rng.integers(len(active)))
-        y, z = active[k]
-        grow, turn = np.sqrt(3 * rng.random(attempts) + 1), 2 * math.pi * rng.random(attempts)
-        cy = np.floor(y + ry[y, z] * grow * np.sin(turn) + 0.5).astype(int)
-        cz = np.floor(z + rz[y, z] * grow * np.cos(turn) + 0.5).astype(int)
-        found = False
-        for a, b in zip(cy.tolist(), cz.tolist(), strict=True):
-            if not (0 <= a < ny and 0 <= b < nz) or taken[a, b]:
-                continue
-            rows, cols = slice(max(0, a - reach_y), a + reach_y + 1), slice(max(0, b - reach_z), b + reach_z + 1)
-            near = np.argwhere(taken[rows, cols])
-            if len(near):
-                py, pz = near[:, 0] + rows.start, near[:, 1] + cols.start
-                if (((py - a) / ry[py, pz]) ** 2 + ((pz - b) / rz[py, pz]) ** 2 < 1).any():
-                    continue
-            taken[a, b] = True
-            if len(active) < ny * nz:
-                active.append((a, b))
-            found = True
-            break
-        if not found:
+        if drawn == 0:
+            drawn = 256
+            grow, turn = np.sqrt(3 * rng.random((drawn, attempts)) + 1), 2 * math.pi * rng.random((drawn, attempts))
+            along_y, along_z, picks = grow * np.sin(turn), grow * np.cos(turn), rng.random(drawn)
+        drawn -= 1
+        k = int(picks[drawn] * len(active))
+        y, z, a, b = active[k]
+        # Padded places are positive, so cutting off the fraction rounds them.
+        at = (along_y[drawn] * a + (y + pad_y + 0.5)).astype(np.intp) * width + (along_z[drawn] * b + (z + pad_z + 0.5)).astype(np.intp)
+        first = int(at[flat[at].argmin()])
+        if flat[first]:
             active[k] = active[-1]
             active.pop()
+        else:
+            active.append(take(first // width - pad_y, first % width - pad_z))
     return taken | calib
 
 
