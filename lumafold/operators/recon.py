@@ -263,50 +263,129 @@ def rss_image(kspace: np.ndarray, maps: np.ndarray | None = None) -> np.ndarray:
 DB4 = (0.23037781330885523, 0.7148465705525415, 0.6308807679295904, -0.02798376941698385, -0.18703481171888114, 0.030841381835986965, 0.032883011666982945, -0.010597401784997278)
 
 
-def _wavelet_matrix(n: int) -> np.ndarray:
-    """Orthogonal one-level periodic transform of an even length."""
-    high = [(-1) ** k * h for k, h in enumerate(reversed(DB4))]
-    out = np.zeros((n, n))
-    for r in range(n // 2):
-        for k in range(len(DB4)):
-            out[r, (2 * r + k) % n] += DB4[k]
-            out[n // 2 + r, (2 * r + k) % n] += high[k]
+def _wavelet_level(n: int) -> np.ndarray:
+    """One level for any length: averages, then details, of the signal with zeros beyond its ends.
+
+    Every place at which a filter meets the signal is kept, (n + 7) // 2 of each kind, so columns are orthonormal and the transpose
+    is the exact adjoint and a left inverse.
+    """
+    taps = len(DB4)
+    half = (n + taps - 1) // 2
+    out = np.zeros((2 * half, n))
+    for r in range(half):
+        for k, (low, high) in enumerate(zip(DB4, reversed(DB4), strict=True)):
+            at = 2 * r + 2 - taps + k
+            if 0 <= at < n:
+                out[r, at] = low
+                out[half + r, at] = (-1) ** k * high
     return out
 
 
+class Wavelets:
+    """Separable Daubechies wavelets of an array, over as many levels as its shortest axis allows (axes too short for one are left as they are).
+
+    A level splits every axis into averages and details; the next level splits the corner of averages alone. ``forward`` gives the
+    last corner and each level's array with its corner zero; ``back`` is the adjoint, which undoes it. Axes may be odd.
+    """
+
+    def __init__(self, shape: tuple[int, ...], levels: int | None = None) -> None:
+        taps = len(DB4)
+        even = [n + n % 2 for n in shape]
+        self.axes = [a for a, n in enumerate(even) if n >= 2 * (taps - 1)]
+        most = min((int(math.log2(even[a] / (taps - 1))) for a in self.axes), default=0)
+        self.levels = most if levels is None else min(levels, most)
+        self.steps: list[tuple[list[np.ndarray], tuple[slice, ...]]] = []
+        now = list(shape)
+        for _ in range(self.levels):
+            matrices = [_wavelet_level(now[a]) for a in self.axes]
+            corner = [slice(None)] * len(shape)
+            for a, w in zip(self.axes, matrices, strict=True):
+                now[a] = len(w) // 2
+                corner[a] = slice(0, now[a])
+            self.steps.append((matrices, tuple(corner)))
+
+    def _turned(self, x: np.ndarray, matrices: list[np.ndarray], back: bool) -> np.ndarray:
+        for a, w in zip(self.axes, matrices, strict=True):
+            x = np.moveaxis(np.tensordot(w.T if back else w, x, (1, a)), 0, a)
+        return x
+
+    def forward(self, x: np.ndarray) -> list[np.ndarray]:
+        details = []
+        for matrices, corner in self.steps:
+            full = self._turned(x, matrices, False)
+            x = full[corner].copy()
+            full[corner] = 0
+            details.append(full)
+        return [x, *details]
+
+    def back(self, parts: list[np.ndarray]) -> np.ndarray:
+        x = parts[0]
+        for (matrices, corner), full in zip(reversed(self.steps), reversed(parts[1:]), strict=True):
+            full = full.copy()
+            full[corner] = x  # a corner of a level's own array has no part in it
+            x = self._turned(full, matrices, True)
+        return x
+
+
+def largest_eigenvalue(operator: Callable[[np.ndarray], np.ndarray], shape: tuple[int, ...], steps: int = 30, seed: int = 0) -> float:
+    """Of a positive operator, by power iteration from a random start (never above the true one)."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=shape) + 1j * rng.normal(size=shape)
+    size = 0.0
+    for _ in range(steps):
+        norm = float(np.linalg.norm(x))
+        if norm == 0:
+            return 0.0
+        moved = operator(x / norm)
+        size, x = float(np.linalg.norm(moved)), moved
+    return size
+
+
+def wavelet_tv_objective(image: np.ndarray, kspace: np.ndarray, maps: np.ndarray, l1: float, tv: float) -> float:
+    """What wavelet_tv makes least, for data and image in the same scale: half the squared misfit plus both weighted l1 norms."""
+    axes = tuple(range(kspace.ndim - 1))
+    mask = np.abs(kspace).max(-1, keepdims=True) > 0
+    misfit = mask * (fftc(maps * image[..., None], axes) - kspace)
+    rough = sum(float(np.abs(np.roll(image, -1, a) - image).sum()) for a in axes)
+    sparse = sum(float(np.abs(p).sum()) for p in Wavelets(image.shape).forward(image))
+    return 0.5 * float((np.abs(misfit) ** 2).sum()) + l1 * sparse + tv * rough
+
+
 def wavelet_tv(kspace: np.ndarray, maps: np.ndarray, l1: float, tv: float, iterations: int = 100) -> np.ndarray:
-    """Sparse reconstruction, l1 norm of one-level wavelets plus total variation, by a primal-dual hybrid gradient.
+    """Sparse reconstruction, l1 norm of wavelets over all levels plus total variation, by a primal-dual hybrid gradient.
 
-    Data are scaled so that the 99th percentile of their nonzero magnitudes is 1. The wavelets turn odd axes into themselves.
+    Data are scaled so that the 99th percentile of their nonzero magnitudes is 1. A place is sampled if any channel has a value
+    there. Step sizes come from the largest eigenvalue of the stacked operator, by power iteration behind its known bound.
     """
     axes = tuple(range(kspace.ndim - 1))
-    mask = (np.abs(kspace[..., :1]) > 0).astype(float)
+    mask = (np.abs(kspace).max(-1, keepdims=True) > 0).astype(float)
     found = np.abs(kspace[np.abs(kspace) > 0])
     scale = 1 / np.percentile(found, 99) if found.size else 1.0
     data = kspace * scale
-    matrices = [_wavelet_matrix(n) if n % 2 == 0 and n >= len(DB4) else np.eye(n) for n in kspace.shape[:-1]]
-
-    def wavelets(x: np.ndarray, back: bool = False) -> np.ndarray:
-        for k, w in enumerate(matrices):
-            x = np.moveaxis(np.tensordot(w.T if back else w, x, (1, k)), 0, k)
-        return x
-
+    shape = kspace.shape[:-1]
+    waves = Wavelets(shape)
     forward = lambda x: mask * fftc(maps * x[..., None], axes)
     adjoint = lambda y: (maps.conj() * ifftc(mask * y, axes)).sum(-1)
     grad = lambda x: np.stack([np.roll(x, -1, a) - x for a in axes])
     div = lambda g: sum(np.roll(g[k], 1, a) - g[k] for k, a in enumerate(axes))
-    size = float((np.abs(maps) ** 2).sum(-1).max()) + (1 if l1 else 0) + (4 * len(axes) if tv else 0)
+
+    def normal(x: np.ndarray) -> np.ndarray:
+        return adjoint(forward(x)) + (x if l1 else 0) + (div(grad(x)) if tv else 0)  # wavelets and their adjoint cancel
+
+    bound = float((np.abs(maps) ** 2).sum(-1).max()) + (1 if l1 else 0) + (4 * len(axes) if tv else 0)
+    size = min(bound, 1.05 * largest_eigenvalue(normal, shape)) or 1.0
     tau = sigma = 1 / math.sqrt(size)
-    x = np.zeros(kspace.shape[:-1], complex)
+    x = np.zeros(shape, complex)
     ahead = x.copy()
-    y, u, v = np.zeros_like(data, dtype=complex), np.zeros_like(x), np.zeros((len(axes), *x.shape), complex)
+    y, v = np.zeros_like(data, dtype=complex), np.zeros((len(axes), *shape), complex)
+    u = [np.zeros_like(p) for p in waves.forward(x)]
     for _ in range(iterations):
         y = (y + sigma * (forward(ahead) - data)) / (1 + sigma)
         move = adjoint(y)
         if l1:
-            u = u + sigma * wavelets(ahead)
-            u = u / np.maximum(1, np.abs(u) / l1)
-            move = move + wavelets(u, True)
+            u = [a + sigma * b for a, b in zip(u, waves.forward(ahead), strict=True)]
+            u = [a / np.maximum(1, np.abs(a) / l1) for a in u]
+            move = move + waves.back(u)
         if tv:
             v = v + sigma * grad(ahead)
             v = v / np.maximum(1, np.abs(v) / tv)

@@ -31,11 +31,6 @@ def test_wavelet_tv_converges_as_weights_fall():
     assert np.isfinite(recon.wavelet_tv(k, maps, 1e-3, 1e-3, 50)).all()
 
 
-def test_wavelet_matrix_is_orthogonal():
-    w = recon._wavelet_matrix(16)
-    assert np.allclose(w @ w.T, np.eye(16), atol=1e-9)
-
-
 def test_rss():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(6, 8, 4, 3)) + 1j * rng.normal(size=(6, 8, 4, 3))
