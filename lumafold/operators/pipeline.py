@@ -14,7 +14,7 @@ from lumafold.operators import feasibility as P
 from lumafold.operators import recon as R
 from lumafold.operators import signal as G
 from lumafold.session import kept
-from lumafold.sources import images, loopfile
+from lumafold.sources import committed, images, loopfile
 
 
 def calibrated_matrices(noise: DataFrame, reference: DataFrame, energy: float, floor: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,6 +94,38 @@ def kspace_volume(shots: DataFrame, schedule: DataFrame, white: np.ndarray, sque
     return kept.select("frame", "coil", "ix", "iy", "iz", "re", "im")
 
 
+def preprocess(root: str, scan: str, shots: DataFrame, schedule: DataFrame, noise: DataFrame, reference: DataFrame, calibration: DataFrame, trajectory: DataFrame, size: tuple[int, int, int], etl: int, fov_cm: float, delay: float, energy: float = 0.95, floor: int = 1, batch: int = 8) -> tuple[str, list[int]]:
+    """Raw shots to k-space volumes under ``root``, a batch of frames to a job, going on where an earlier run stopped.
+
+    Tables: shots (frame, shot, echo, coil, i, re, im), schedule (frame, shot, echo, iy, iz), noise and reference (sample, coil, re, im),
+    calibration (shot, echo, coil, i, re, im), trajectory (parity, i, kx). The mark covers the name of the scan, settings and
+    all tables but the shots, which are too many to read twice; another set of shots needs another name. A frame whose
+    shots aren't all there is an error that names it; frames before it stay. Returns the mark (see read_frames) and the frames written.
+    """
+    spark = shots.sparkSession
+    nx, ny, nz = size
+    settings = {"scan": scan, "size": list(size), "etl": etl, "fov_cm": fov_cm, "delay": delay, "energy": energy, "floor": floor}
+    mark = committed.fingerprint(settings, {"schedule": schedule, "noise": noise, "reference": reference, "calibration": calibration, "trajectory": trajectory})
+    frames = [r["frame"] for r in schedule.select("frame").distinct().collect()]  # numbers of frames
+    if all(str(f) in committed.commits(spark, root, mark) for f in frames):
+        return mark, []
+    white, squeeze = calibrated_matrices(noise, reference, energy, floor)
+    moved = delayed(trajectory, delay)
+    even = etl - etl % 2
+    fit = calibration_phase(C.mixed(calibration.where(F.col("echo") < even), squeeze @ white.conj(), conjugate=False), moved, nx, even, fov_cm).first()
+    weights = kept(R.gridding_weights(moved, nx, fov_cm))
+
+    def work(now: list[int]) -> DataFrame:
+        own, plan = shots.where(F.col("frame").isin(now)), schedule.where(F.col("frame").isin(now))
+        arrived = own.select("frame", "shot", "echo").distinct()
+        short = sorted(r["frame"] for r in plan.select("frame", "shot", "echo").join(arrived, ["frame", "shot", "echo"], "left_anti").select("frame").distinct().collect())
+        if short:
+            raise RuntimeError(f"the archive ended before all shots of frames {short} were read")
+        return kspace_volume(own, plan, white, squeeze, weights, (fit["a0"], fit["a1"]), nx, ny, nz)
+
+    return mark, committed.process_frames(root, mark, frames, work, spark, batch)
+
+
 def duplicate_places(schedule: DataFrame) -> DataFrame:
     """frame, duplicates: samples that another one of the frame overwrites."""
     return schedule.groupBy("frame", "iy", "iz").count().groupBy("frame").agg(F.sum(F.col("count") - 1).alias("duplicates"))
