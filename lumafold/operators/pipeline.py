@@ -60,8 +60,8 @@ def calibration_phase(shots: DataFrame, trajectory: DataFrame, nx: int, etl: int
     return R.odd_even_phase(R.grid_readouts(mean, R.gridding_weights(trajectory, nx, fov_cm), ["echo", "coil"]), nx, etl)
 
 
-def delay_report(shots: DataFrame, trajectory: DataFrame, nx: int, etl: int, fov_cm: float, delays: Iterable[float]) -> DataFrame:
-    """delay, a1, a2, wrap_count for each candidate delay; ``recon.best_delay`` picks one.
+def delayed_lines(shots: DataFrame, trajectory: DataFrame, nx: int, etl: int, fov_cm: float, delays: Iterable[float]) -> DataFrame:
+    """delay, echo, coil, ix, re, im: image lines of the averaged shots (shot, echo, coil, i, re, im) under each candidate delay.
 
     One plan for all candidates. Shots are averaged first (gridding is linear), the train is written once, a row for each
     sample number with all its echoes and channels; each row meets every candidate's weights, and lines are summed by
@@ -76,8 +76,12 @@ def delay_report(shots: DataFrame, trajectory: DataFrame, nx: int, etl: int, fov
     angle = 2 * math.pi * F.col("kx") * (F.col("ix") - nx / 2.0) * (fov_cm / nx)
     turned = places.select("delay", "train", "ix", (F.col("w") * F.cos(angle)).alias("wre"), (F.col("w") * F.sin(angle)).alias("wim"))
     parts = turned.select("delay", "ix", "wre", "wim", F.explode("train").alias("s")).select("delay", "ix", "wre", "wim", "s.*")
-    lines = parts.groupBy("delay", "echo", "coil", "ix").agg(F.sum(F.col("re") * F.col("wre") - F.col("im") * F.col("wim")).alias("re"), F.sum(F.col("re") * F.col("wim") + F.col("im") * F.col("wre")).alias("im"))
-    report = R.odd_even_report(kept(lines), nx, etl, key=("delay",))
+    return parts.groupBy("delay", "echo", "coil", "ix").agg(F.sum(F.col("re") * F.col("wre") - F.col("im") * F.col("wim")).alias("re"), F.sum(F.col("re") * F.col("wim") + F.col("im") * F.col("wre")).alias("im"))
+
+
+def delay_report(shots: DataFrame, trajectory: DataFrame, nx: int, etl: int, fov_cm: float, delays: Iterable[float]) -> DataFrame:
+    """delay, a1, a2, wrap_count for each candidate delay; ``recon.best_delay`` picks one. Lines are written once."""
+    report = R.odd_even_report(kept(delayed_lines(shots, trajectory, nx, etl, fov_cm, delays)), nx, etl, key=("delay",))
     return report.select("delay", F.col("a0").alias("a1"), F.col("a1").alias("a2"), "wrap_count")
 
 

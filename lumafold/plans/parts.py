@@ -219,18 +219,25 @@ def q69(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", round_away(F.col("p_retailprice") / 10.0 - 60).alias("whole"))
 
 
-@query("q70_mask_dispatch", f"WITH l AS (SELECT f AS frame, y AS iy, z AS iz FROM range({ACCEL}) AS a(f), range({NY}) AS b(y), range({NZ}) AS c(z)) SELECT frame::INT AS frame, count(*) AS cells, count(*) FILTER (WHERE {_ticaipi_sql()}) AS samples, coalesce(sum(iy * 100 + iz) FILTER (WHERE {_ticaipi_sql()}), 0)::BIGINT AS checksum FROM l GROUP BY frame")
+@query("q70_mask_dispatch", f"WITH {CELLS_SQL} SELECT frame::INT AS frame, count(*) AS cells, count(*) FILTER (WHERE {_ticaipi_sql()}) AS samples, coalesce(sum(iy * 100 + iz) FILTER (WHERE {_ticaipi_sql()}), 0)::BIGINT AS checksum FROM cells WHERE frame < {ACCEL} GROUP BY frame")
 def q70(spark: SparkSession, sf: str) -> DataFrame:
-    mask = L.sampling_masks(spark, "ticaipi", NY, NZ, ACCEL, ACCEL)
-    return mask.groupBy(F.col("frame").cast("int").alias("frame")).agg(F.count("*").alias("cells"), F.count_if("sampled").alias("samples"), F.sum(F.when(F.col("sampled"), F.col("iy") * 100 + F.col("iz")).otherwise(0)).cast("long").alias("checksum"))
+    """Of the points that occur, those that the dispatched mask samples."""
+    mask = L.sampling_masks(spark, "ticaipi", NY, NZ, ACCEL, ACCEL).select(F.col("frame").cast("int").alias("frame"), "iy", "iz", "sampled")
+    seen = cells(spark, sf).select(F.col("frame").cast("int").alias("frame"), "iy", "iz").join(mask, ["frame", "iy", "iz"])
+    return seen.groupBy("frame").agg(F.count("*").alias("cells"), F.count_if("sampled").alias("samples"), F.sum(F.when(F.col("sampled"), F.col("iy") * 100 + F.col("iz")).otherwise(0)).cast("long").alias("checksum"))
 
 
 _ECHO_LIMITS = [(0, 400.0, 900.0), (1, 250.0, 310.0), (2, 510.0, 1200.0)]
+_ECHO_BANDS_SQL = "bands AS (SELECT band, axis, 1 / (2e-6 * long) AS lo, 1 / (2e-6 * short) AS hi FROM (VALUES " + ", ".join(f"({k}, {a}, {s}::DOUBLE, {g}::DOUBLE)" for k, (a, s, g) in enumerate(_ECHO_LIMITS)) + ") AS t(band, axis, short, long))"
 
 
-@query("q71_acoustic_bands", "SELECT band::INT AS band, axis::INT AS axis, round(1 / (2e-6 * long), 6) + 0.0 AS lo, round(1 / (2e-6 * short), 6) + 0.0 AS hi FROM (VALUES " + ", ".join(f"({k}, {a}, {s}::DOUBLE, {g}::DOUBLE)" for k, (a, s, g) in enumerate(_ECHO_LIMITS)) + ") AS t(band, axis, short, long)")
+@query("q71_acoustic_bands", f"WITH {_ECHO_BANDS_SQL} SELECT band::INT AS band, axis::INT AS axis, round(lo, 6) + 0.0 AS lo, round(hi, 6) + 0.0 AS hi, count(value) AS inside, round(coalesce(max(value), 0), 6) + 0.0 AS peak FROM bands LEFT JOIN events ON value * 20 BETWEEN lo AND hi GROUP BY ALL")
 def q71(spark: SparkSession, sf: str) -> DataFrame:
-    return P.acoustic_bands(spark, _ECHO_LIMITS).select("band", "axis", settled(F.col("lo")).alias("lo"), settled(F.col("hi")).alias("hi"))
+    """The bands of the echo limits, and the readings inside them; a reading may lie in several."""
+    bands = P.acoustic_bands(spark, _ECHO_LIMITS)
+    met = table(spark, sf, "events").select("value", (F.col("value") * 20).alias("hz")).join(F.broadcast(bands), F.col("hz").between(F.col("lo"), F.col("hi")))  # three bands
+    inside = met.groupBy("band").agg(F.count("value").alias("inside"), F.max("value").alias("peak"))
+    return bands.join(inside, "band", "left").select("band", "axis", settled(F.col("lo")).alias("lo"), settled(F.col("hi")).alias("hi"), F.coalesce("inside", F.lit(0)).cast("long").alias("inside"), settled(F.coalesce("peak", F.lit(0.0))).alias("peak"))
 
 
 @query("q72_event_windows", "SELECT floor(epoch(ts) / 300)::BIGINT * 300 AS start, event_type, count(*) AS n, round(sum(value), 4) + 0.0 AS total FROM events GROUP BY 1, 2")
