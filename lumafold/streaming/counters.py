@@ -95,7 +95,9 @@ class LogCounter(StatefulProcessor):
 
 
 def counted_stream(log: DataFrame, first: int = 0) -> DataFrame:
-    """COUNTED by the stateful processor, for a stream of LOG rows (or a table of them, with the same result as ``counted`` where a log has no gap)."""
+    """COUNTED by the stateful processor, for a stream of LOG rows; where a log has no gap, the same rows as ``counted`` gives for a table."""
+    if not log.isStreaming:
+        raise ValueError("a table of logs is counted by counted()")
     rows = log.select("log", "n", "trid", "pulse")
     return rows.groupBy("log").transformWithStateInPandas(LogCounter(first), COUNTED, "Append", "None")
 

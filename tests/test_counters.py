@@ -81,7 +81,6 @@ def test_rows_wait_for_a_gap(spark, tmp_path):
     assert found(spark.read.parquet(out)) == expected(rows)
 
 
-def test_processor_over_a_table(spark):
-    counters.use_rocksdb(spark)
-    rows = logs(4, [300, 20])
-    assert found(counters.counted_stream(spark.createDataFrame(rows, counters.LOG))) == expected(rows)
+def test_a_table_needs_no_state(spark):
+    with pytest.raises(ValueError):
+        counters.counted_stream(spark.createDataFrame(logs(4, [3]), counters.LOG))
