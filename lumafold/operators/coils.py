@@ -5,8 +5,11 @@ A channel matrix has at most MAX_CHANNELS squared entries, which bounds what is
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MAX_CHANNELS = 256
@@ -15,17 +18,38 @@ MAX_CHANNELS = 256
 def gram(samples: DataFrame, conjugate_first: bool = True) -> DataFrame:
     """i, j, re, im: average over samples of conj(x_i) x_j (noise layout), or of x_i conj(x_j).
 
-    ``samples``: sample, coil, re, im. Each sample's channels become one array first, so pairs are made inside a row
-    and summed by partial aggregation; no self-join.
+    ``samples``: sample, coil, re, im. Each sample's channels become one array first. A task multiplies whole batches of samples and
+    sends one matrix (at most MAX_CHANNELS squared entries), so rows made don't grow with the samples. Pairs that no sample has
+    are left out.
     """
-    rows = samples.groupBy("sample").agg(F.sort_array(F.collect_list(F.struct("coil", "re", "im"))).alias("x"))
-    i, j = F.explode("x").alias("p"), F.explode("x").alias("q")
-    pairs = rows.select("x", i).select("p", j)
-    re = F.col("p.re") * F.col("q.re") + F.col("p.im") * F.col("q.im")
-    im = (F.col("p.re") * F.col("q.im") - F.col("p.im") * F.col("q.re")) * (1 if conjugate_first else -1)
-    total = rows.agg(F.count("*").alias("n"))
-    sums = pairs.groupBy(F.col("p.coil").alias("i"), F.col("q.coil").alias("j")).agg(F.sum(re).alias("re"), F.sum(im).alias("im"))
-    return sums.crossJoin(F.broadcast(total)).select("i", "j", (F.col("re") / F.col("n")).alias("re"), (F.col("im") / F.col("n")).alias("im"))
+    entry = F.struct(F.col("coil").cast("int").alias("coil"), F.col("re").cast("double").alias("re"), F.col("im").cast("double").alias("im"))
+    rows = samples.groupBy("sample").agg(F.collect_list(entry).alias("x")).select("x")  # an entry for each channel
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size, total, seen, count = 0, np.zeros((0, 0), complex), np.zeros((0, 0)), 0
+        for batch in batches:
+            lists = batch.column(0)
+            entries = lists.flatten()
+            coil = entries.field("coil").to_numpy()
+            if not len(coil):
+                continue
+            if coil.min() < 0 or coil.max() >= MAX_CHANNELS:
+                raise ValueError("too many channels")
+            if coil.max() >= size:
+                grown = int(coil.max()) + 1 - size
+                total, seen, size = np.pad(total, (0, grown)), np.pad(seen, (0, grown)), size + grown
+            row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+            x, has = np.zeros((len(lists), size), complex), np.zeros((len(lists), size))
+            x[row, coil], has[row, coil] = entries.field("re").to_numpy() + 1j * entries.field("im").to_numpy(), 1
+            total, seen, count = total + x.conj().T @ x, seen + has.T @ has, count + len(lists)
+        i, j = np.nonzero(seen)
+        whole = np.append(total[i, j], count)  # the last row carries the number of samples
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(i, -1), pa.int32()), pa.array(np.append(j, -1), pa.int32()), pa.array(whole.real), pa.array(whole.imag)], ["i", "j", "re", "im"])
+
+    sums = rows.mapInArrow(partial, "i int, j int, re double, im double").groupBy("i", "j").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+    n = F.max(F.when(F.col("i") < 0, F.col("re"))).over(Window.partitionBy(F.lit(0)))  # a row for each pair of channels
+    sign = 1 if conjugate_first else -1
+    return sums.withColumn("n", n).where("i >= 0").select("i", "j", (F.col("re") / F.col("n")).alias("re"), (sign * F.col("im") / F.col("n")).alias("im"))
 
 
 def matrix_of(entries: DataFrame) -> np.ndarray:

@@ -139,9 +139,7 @@ def reconstruct(kspace: DataFrame, maps: DataFrame | Callable[[], DataFrame], sh
     """Images of all frames (or the first ``frames``) by rss, cg_sense or wavelet_tv. Maps may be a function, called only if the method needs them."""
     wanted = kspace if frames is None else kspace.where(F.col("frame") < frames)
     if method == "rss":
-        spark = kspace.sparkSession
-        none = spark.createDataFrame([(0, 0, 0, 0, 0.0, 0.0)], "coil int, ix int, iy int, iz int, re double, im double")
-        return R.frame_map(wanted, none, shape, channels, lambda k, _: R.rss_image(k))
+        return R.frame_map(wanted, None, shape, channels, lambda k, _: R.rss_image(k))
     if method not in ("cg_sense", "wavelet_tv"):
         raise ValueError(f"unknown method {method!r}")
     solver = {"cg_sense": R.cg_sense, "wavelet_tv": R.wavelet_tv}[method]

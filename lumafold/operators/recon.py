@@ -6,10 +6,11 @@ import math
 from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumafold.operators import volumes
+
 
 def scatter(cells: DataFrame, samples: DataFrame, values: list[str], last_first: list[Column], key: tuple[str, ...] = ("frame", "iy", "iz")) -> DataFrame:
     """Every cell with its sample's values, zero where there is none; filled, and copies (samples that fell on the cell).
@@ -216,9 +217,6 @@ def wrap_counts(phases: DataFrame, key: list[str], order: list[str], phase: str)
 
 # ---- per-frame solvers ---------------------------------------------------------------------------------------------
 
-SolverFn = Callable[[np.ndarray, np.ndarray], np.ndarray]
-
-
 def fftc(x: np.ndarray, axes: tuple[int, ...]) -> np.ndarray:
     """Centred unitary transform."""
     return np.fft.fftshift(np.fft.fftn(np.fft.ifftshift(x, axes), axes=axes, norm="ortho"), axes)
@@ -395,30 +393,6 @@ def wavelet_tv(kspace: np.ndarray, maps: np.ndarray, l1: float, tv: float, itera
     return x / scale
 
 
-def frame_map(kspace: DataFrame, maps: DataFrame, shape: tuple[int, ...], coils: int, solve: SolverFn) -> DataFrame:
-    """Reconstruct each frame in its own task: frame, ix, iy, iz, re, im, status.
-
-    kspace: frame, coil, ix, iy, iz, re, im (missing places are zero). maps: coil, ix, iy, iz, re, im, of one frame's
-    size, sent to every frame's task by cogroup. A frame whose solver fails becomes zeros with the error as status.
-    """
-    frames = kspace.select((F.col("frame") + 0).cast("int").alias("frame")).distinct()
-    own = maps.toDF(*maps.columns).select(*[(F.col(c) + 0).cast(maps.schema[c].dataType).alias(c) for c in maps.columns])  # apart from kspace's lineage
-    dealt = own.crossJoin(frames)  # each frame needs the whole map: frames x one map, not a search
-
-    def volume(table: pa.Table) -> np.ndarray:
-        out = np.zeros((*shape, coils), complex)
-        at = tuple(table[c].to_numpy() for c in ("ix", "iy", "iz", "coil"))
-        out[at] = table["re"].to_numpy() + 1j * table["im"].to_numpy()
-        return out
-
-    def run(key: tuple, k: pa.Table, m: pa.Table) -> pa.Table:
-        try:
-            image, status = np.asarray(solve(volume(k), volume(m))).reshape(shape), "ok"
-        except Exception as error:  # one bad frame must not stop the others
-            image, status = np.zeros(shape, complex), f"failed: {error}"
-        at = np.indices(shape).reshape(3, -1)
-        flat = image.reshape(-1)
-        n = flat.size
-        return pa.table({"frame": pa.array([key[0].as_py()] * n, pa.int32()), "ix": pa.array(at[0].astype(np.int32)), "iy": pa.array(at[1].astype(np.int32)), "iz": pa.array(at[2].astype(np.int32)), "re": pa.array(flat.real.astype(float)), "im": pa.array(flat.imag.astype(float)), "status": pa.array([status] * n)})
-
-    return kspace.groupBy("frame").cogroup(dealt.groupBy("frame")).applyInArrow(run, "frame int, ix int, iy int, iz int, re double, im double, status string")
+def frame_map(kspace: DataFrame, maps: DataFrame | None, shape: tuple[int, ...], coils: int, solve: volumes.SolverFn) -> DataFrame:
+    """Reconstruct each frame in its own task: frame, ix, iy, iz, re, im, status. See ``volumes.frame_images``, which moves packed blocks."""
+    return volumes.voxels(volumes.frame_images(kspace, maps, shape, coils, solve), shape)

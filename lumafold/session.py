@@ -38,19 +38,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def kept(frame: DataFrame) -> DataFrame:
-    """``frame``, computed once and written: plans built on it start from the written rows, and lost executors cost a read.
-
-    The rows go to spark.checkpoint.dir, or in local mode to a folder of our own where that is unset (tests).
-    """
-    sc = frame.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, as a URI: under spark.checkpoint.dir, or in local mode a folder of our own where that is unset (tests)."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        base = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
+        base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
             if not sc.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = tempfile.mkdtemp(prefix="lumafold-kept-")
         sc.setCheckpointDir(base)
+    scheme, colon, rest = sc.getCheckpointDir().partition(":")
+    return f"{scheme}://{rest}" if colon and not rest.startswith("//") else f"{scheme}{colon}{rest}"
+
+
+def kept(frame: DataFrame) -> DataFrame:
+    """``frame``, computed once and written to the shared folder: plans built on it start from the written rows, and lost executors cost a read."""
+    shared_folder(frame.sparkSession)
     return frame.checkpoint()
 
 
