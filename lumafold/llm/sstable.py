@@ -10,8 +10,8 @@ Layout of a shard, in order (integers little-endian, keys big-endian so that byt
 * Bloom filter: bits of all keys, then the number of probes.
 * footer, 60 bytes: places and sizes of index and filter, counts of documents and ids, magic.
 
-A key is the document id with its sign bit flipped, then the row's number among rows of the same id, so
-repeated ids keep all their rows. A null id sorts before all others (flag byte 0).
+A key is the document id with its sign bit flipped, then the row's number among the shard's rows of the same id, so
+repeated ids keep all their rows. A null id sorts before all others (flag byte 0). Rows of one id may go on in the next shards.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from __future__ import annotations
 import bisect
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -123,10 +124,14 @@ def _seek(raw: bytes, key: bytes) -> Iterator[tuple[bytes, bytes]]:
     return _entries(raw, starts[max(at, 0)], end)
 
 
-def _probes(key: bytes, bits: int) -> list[int]:
-    h = xxhash.xxh3_128_intdigest(key)
-    a, b = h & ((1 << 64) - 1), (h >> 64) | 1
-    return [(a + k * b) % bits for k in range(PROBES)]
+def _halves(key: bytes) -> tuple[int, int]:
+    """Two 64-bit hashes of a key's id."""
+    h = xxhash.xxh3_128_intdigest(key[:9])
+    return h & ((1 << 64) - 1), h >> 64
+
+
+def _probes(a: int, b: int, bits: int) -> list[int]:
+    return [(a + k * (b | 1)) % bits for k in range(PROBES)]
 
 
 class ShardWriter:
@@ -136,7 +141,8 @@ class ShardWriter:
         self.sink, self.block_bytes = sink, block_bytes
         self.zstd = zstandard.ZstdCompressor(level=1)
         self.block, self.index, self.at = _Block(), _Block(), 0
-        self.keys: list[bytes] = []
+        self.first = self.last = b""
+        self.hashes = array("Q")  # two for each id
         self.docs = self.ids = 0
 
     def _write(self, stored: bytes) -> tuple[int, int]:
@@ -152,10 +158,14 @@ class ShardWriter:
             self.block = _Block()
 
     def add(self, key: bytes, value: bytes) -> None:
-        if self.keys and key <= self.keys[-1]:
+        if self.docs and key <= self.last:
             raise ValueError("keys must ascend")
         self.block.add(key, value)
-        self.keys.append(key)
+        if not self.docs:
+            self.first = key
+        if key[:9] != self.last[:9]:
+            self.hashes.extend(_halves(key))
+        self.last = key
         self.docs, self.ids = self.docs + 1, self.ids + len(value) // 4
         if self.block.size >= self.block_bytes:
             self._flush()
@@ -163,10 +173,10 @@ class ShardWriter:
     def close(self) -> None:
         self._flush()
         index = self._write(self.index.packed(self.zstd))
-        bits = max(64, BITS_PER_KEY * len(self.keys))
+        bits = max(64, BITS_PER_KEY * len(self.hashes) // 2)
         bloom = bytearray((bits + 7) // 8)
-        for key in self.keys:
-            for p in _probes(key[:9], bits):
+        for a, b in zip(self.hashes[::2], self.hashes[1::2], strict=True):
+            for p in _probes(a, b, bits):
                 bloom[p >> 3] |= 1 << (p & 7)
         filter_ = self._write(struct.pack("<Q", bits) + bytes(bloom))
         self.sink.write(FOOTER.pack(*index, *filter_, self.docs, self.ids, MAGIC))
@@ -193,7 +203,7 @@ class ShardReader:
         if self._bloom is None:
             self._bloom = self._read(self.bloom_at, self.bloom_size)
         bits = struct.unpack_from("<Q", self._bloom)[0]
-        return all(self._bloom[8 + (p >> 3)] >> (p & 7) & 1 for p in _probes(make_key(doc_id)[:9], bits))
+        return all(self._bloom[8 + (p >> 3)] >> (p & 7) & 1 for p in _probes(*_halves(make_key(doc_id)), bits))
 
     def get(self, doc_id: int | None, copy: int = 0) -> bytes | None:
         key = make_key(doc_id, copy)
@@ -232,8 +242,10 @@ class ShardReader:
 def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, drops_space: bool = True, shard_bytes: int = 32 << 20) -> DataFrame:
     """Encode ``docs`` and write them to shards under ``path``, in ascending doc_id order from shard to shard.
 
-    Shards are ranges of doc_id with about ``shard_bytes`` of text each (raise it with the corpus, to keep files few). A range is
-    sorted by Spark, with spill, and streamed through the encoder into its file, so memory doesn't grow with it.
+    Shards are ranges of doc_id with about ``shard_bytes`` of text each (raise it with the corpus, to keep files few). Rows of one
+    id (or without one) are split further by their text's hash, so an id that many texts share fills as many shards as it needs; equal
+    rows stay in one shard, where a text is encoded once in a step. A range is sorted by Spark, with spill, and streamed through
+    the encoder into its file, so memory doesn't grow with it but for 16 bytes of filter hashes an id.
     Returns the manifest: a row (shard, file, n_docs, n_ids, first_key, last_key) for each shard. A file bears its task attempt's name,
     and only the manifest, which Spark commits once, says which file counts: a lost executor's shard is written again under another
     name, and nothing is renamed (a copy on object stores).
@@ -255,16 +267,20 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, dr
                     sink = fs.open_output_stream(f"{root}/{file}")
                     writer = ShardWriter(sink)
                 batch = whole.slice(at, 256)
-                for doc, ids in zip(batch.column(0).to_pylist(), enc.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+                texts = [t or "" for t in batch.column(1).to_pylist()]
+                once = list(dict.fromkeys(texts))
+                of = dict(zip(once, enc.encode(once), strict=True))
+                for doc, text in zip(batch.column(0).to_pylist(), texts, strict=True):
                     copy = copy + 1 if last == (doc,) else 0
                     last = (doc,)
-                    writer.add(make_key(doc, copy), ids + end)
+                    writer.add(make_key(doc, copy), of[text] + end)
         if writer is not None:
             writer.close()
             sink.close()
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((task.partitionId(), file, writer.docs, writer.ids, writer.keys[0], writer.keys[-1]), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["shard", "file", "n_docs", "n_ids", "first_key", "last_key"])
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((task.partitionId(), file, writer.docs, writer.ids, writer.first, writer.last), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["shard", "file", "n_docs", "n_ids", "first_key", "last_key"])
 
-    spread = docs.repartitionByRange(max(1, -(-size // shard_bytes)), F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
+    order = (F.asc_nulls_first("doc_id"), F.xxhash64("text").asc())
+    spread = docs.repartitionByRange(max(1, -(-size // shard_bytes)), *order).sortWithinPartitions(*order, "text")
     return stage(spread.mapInArrow(write, "shard long, file string, n_docs long, n_ids long, first_key binary, last_key binary"), "sst-manifest")
 
 
@@ -309,8 +325,8 @@ MOST_WANTED = 10_000
 def lookup(manifest: DataFrame, path: str, wanted: list[int | None]) -> DataFrame:
     """doc_id and ids (binary, little-endian) of every row with one of the ``wanted`` ids (MOST_WANTED at most).
 
-    An id meets the one shard whose range of keys holds it; there the Bloom filter, the sparse index and binary search find it,
-    and no other block is read.
+    An id meets the shards whose range of keys may hold it (one, unless its rows go on in the next); there the Bloom filter, the
+    sparse index and binary search find it, and no other block is read.
     """
     if len(wanted) > MOST_WANTED:
         raise ValueError(f"at most {MOST_WANTED} ids a lookup")

@@ -260,6 +260,24 @@ def test_shards(make, rng, odd, tmp_path):
     assert sstable.round_trip(make([]), WORD).count() == 0
 
 
+def test_shards_split_a_hot_id(make, rng, tmp_path):
+    """A third of the rows have no id and a third share one: both fill several shards, and lookups find all of them."""
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, " ".join(some(rng, 40, "Word"))) for k in range(1800)] + [(7, "the same")] * 20 + [(7, None), (7, "")]
+    path = f"file://{tmp_path}/sst"
+    manifest = sstable.write_shards(make(rows), WORD, path, shard_bytes=20_000)
+    shards = sorted((r["shard"], r["n_docs"], r["first_key"], r["last_key"]) for r in manifest.collect())
+    assert len(shards) > 10 and max(s[1] for s in shards) < len(rows) / 4
+    assert all(a[3][:9] <= b[2][:9] for a, b in zip(shards, shards[1:]))
+    plain = Tokenizer.from_file(WORD)
+    of = lambda t: np.array([*plain.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes()
+    got = sorted(sstable.read_shards(manifest, path).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+    assert [r["start"] for r in got] == [0, *np.cumsum([r["n_tokens"] for r in got])[:-1].tolist()]
+    assert sorted((str(r["doc_id"]), r["ids_crc32"]) for r in got) == sorted((str(i), zlib.crc32(of(t))) for i, t in rows)
+    found = sstable.lookup(manifest, path, [7, None, 2]).collect()
+    assert sorted((str(r["doc_id"]), bytes(r["ids"])) for r in found) == sorted((str(i), of(t)) for i, t in rows if i in (7, None, 2))
+
+
 def test_byte_bpe(make, rng, odd):
     ranks = byte_bpe.load_ranks(MULTI)
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
