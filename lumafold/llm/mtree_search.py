@@ -3,17 +3,20 @@
 Vectors of integers get one more coordinate so that all of a block have the same length, and queries get a zero there: among
 vectors of one length, the largest inner product is the smallest distance, so a metric tree finds it.
 
-* Rows are spread over blocks of near vectors: each goes to the nearest of some pivots (a bounded sample, which decides only
-  the layout), and a pivot's rows to as many blocks as ``block_rows`` needs, so a vector that fills the table fills many blocks.
+* Rows are spread over blocks of near vectors: each goes to the nearest of some pivots (at most FANOUT rows of a node, which decide
+  only the layout), and nodes with more than ``block_rows`` rows are split again in the same way, so blocks stay small balls
+  however large the table is. Only a node of equal pivots is dealt out by hash, so a vector that fills the table fills many blocks.
 * Each block is an M-tree of pages: a leaf page holds vectors with their distances to the page's routing object; an
   inner page holds routing objects with covering radii and their distances to the parent's object.
 * Best-first search visits pages by the least distance that they could hold. An entry whose stored parent distance
   already rules it out by the triangle inequality is skipped without computing its own distance.
 * Each block's tree is built once and written, with its block's mean and covering radius beside it.
 * A query first searches the tree of its own block. The k-th score that it reached there bounds what any other block must
-  offer: at most the product with the block's mean plus the query's length times the radius. Groups of blocks (those of one
-  pivot) are ruled out by the same bound first, then single blocks, both before a query is sent anywhere. So rows are queries
-  times the blocks that may hold something for them, and a block is copied once for each ``query_rows`` of these queries.
+  offer: at most the product with the block's mean plus the query's length times the radius. The first split's nodes are ruled out
+  by the same bound first, then pages of at most FANOUT blocks meet a query, and it goes on to those blocks that pass alone. So
+  rows sent are queries times the blocks that may hold something for them, and a block is copied once for each ``query_rows``
+  of these queries.
+* Of these blocks each query searches the few that may offer most first; the k-th score found by then is tested against the rest.
 * Each tree returns its k best for a query, which are then merged.
 
 Scores are exact: distances (floats) only prune, with slack, and every reported score is an integer product. Where products
@@ -40,6 +43,14 @@ from lumafold.llm.common import stage
 
 #: Vectors of a leaf page, and entries of an inner page.
 LEAF, FAN = 64, 16
+#: Pivots of a split, and blocks of a page of bounds.
+FANOUT = 64
+#: Rows of a node that one task assigns to pivots.
+ASSIGNED = 1 << 16
+#: Blocks that a query searches first, beside its own, to raise its floor before the others are tested again.
+FIRST = 4
+#: Splits by pivots; beyond, a node is dealt out by hash (it would hold FANOUT ** DEEPEST blocks if pivots split it evenly).
+DEEPEST = 8
 #: Share of a distance that floating-point error may take.
 SLACK = 1e-6
 #: Share of the squared lengths that floating-point error may take where they cancel.
@@ -197,51 +208,100 @@ def _array(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy().reshape(len(column), -1)
 
 
-def top_k(table: DataFrame, is_query: Column, k: int = 20, scale: int = 64, block_rows: int = 4096, query_rows: int = 1024, max_pivots: int = 64) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best rows of ``table`` (vec_id, embedding) for each row that ``is_query`` selects."""
+def near_blocks(vectors: DataFrame, block_rows: int, max_pivots: int = FANOUT) -> DataFrame:
+    """vectors (id, v) with block (a path of splits), page (at most FANOUT blocks that were split from one node) and home (its first split).
+
+    A level of splits is one shuffle of the rows whose node is still too large. The number of levels is that of a tree of FANOUT
+    over the blocks, DEEPEST at most.
+    """
+    spark = vectors.sparkSession
+    rows, settled = vectors.withColumn("block", F.lit("")), []
+    key = F.xxhash64("id", "v")
+
+    def assign(group: tuple, own: pa.Table, pivots: pa.Table) -> pa.Table:
+        if not own.num_rows:
+            return own.select(["id", "v", "block"])
+        at, x = group[0].as_py(), _array(own["v"].combine_chunks()).astype(np.float64)
+        p = np.array(pivots["pivots"][0].as_py(), dtype=np.float64)
+        nearest = ((p**2).sum(axis=1) - 2 * (x @ p.T)).argmin(axis=1)
+        return pa.table({"id": own["id"], "v": own["v"], "block": pa.array([f"{at}{k}/" for k in nearest.tolist()], pa.string())})
+
+    for level in range(DEEPEST + 1):
+        sizes = rows.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > block_rows)
+        large = stage(sizes, "large-nodes")
+        if not large.count():
+            break
+        settled.append(rows.join(large, "block", "left_anti"))
+        inside = rows.join(large, "block")
+        if level == DEEPEST:
+            distinct = large.select("block", F.array().cast("array<array<bigint>>").alias("pivots"))
+        else:
+            few = F.least(F.lit(max_pivots), F.ceil(2 * F.col("n") / block_rows))
+            # Spark keeps the first rows of each partition before it shuffles, so no task sees all rows of a node.
+            drawn = inside.withColumn("rank", F.row_number().over(Window.partitionBy("block").orderBy(key, "id"))).where(F.col("rank") <= max_pivots).where(F.col("rank") <= few)
+            distinct = drawn.groupBy("block").agg(F.array_sort(F.collect_set("v")).alias("pivots"))
+        found = stage(distinct.join(large, "block").select("block", "n", "pivots"), "pivots")
+        equal = found.where(F.size("pivots") < 2).select("block", F.ceil(F.col("n") / block_rows).alias("parts"))
+        settled.append(rows.join(equal, "block").select("id", "v", F.concat("block", F.lit("x"), F.pmod(key, F.col("parts")).cast("string"), F.lit("/")).alias("block")))
+        split = found.where(F.size("pivots") >= 2).select("block", "pivots", F.ceil(F.col("n") / ASSIGNED).cast("int").alias("parts"))
+        dealt = rows.join(split.select("block", "parts"), "block").withColumn("part", F.pmod(key, F.col("parts")).cast("int")).select("id", "v", "block", "part")
+        shown = split.select("block", "pivots", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        rows = stage(dealt.groupBy("block", "part").cogroup(shown.groupBy("block", "part")).applyInArrow(assign, "id long, v array<long>, block string"), "split")
+    for more in settled:
+        rows = rows.unionByName(more.select("id", "v", "block"))
+    number = F.regexp_extract("block", r"x(\d+)/$", 1)
+    page = F.regexp_replace("block", r"x?\d+/$", "")
+    page = F.when(number != "", F.concat(page, F.lit("x"), F.floor(number.try_cast("long") / FANOUT).cast("string"))).otherwise(page)
+    home = F.regexp_extract("block", r"^(x|\d+/)?", 1)
+    return stage(rows.select("id", "v", "block", page.alias("page"), home.alias("home")), "blocks")
+
+
+def top_k(table: DataFrame, is_query: Column, k: int = 20, scale: int = 64, block_rows: int = 4096, query_rows: int = 1024, max_pivots: int = FANOUT, counts: dict | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score: the k best rows of ``table`` (vec_id, embedding) for each row that ``is_query`` selects.
+
+    ``max_pivots`` (FANOUT at most) bounds the pivots of one split. ``counts``, if given, gets the number of blocks, and of pairs of a query and another block: possible ones, and those kept.
+    """
     spark = table.sparkSession
     vectors = whole_vectors(table, scale)
     common = vectors.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if common is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     dim = common["n"]
-    vectors = stage(vectors.where(F.size("v") == dim), "vectors")
-    wanted = min(max_pivots, max(1, -(-2 * common["count"] // block_rows)))  # blocks of half block_rows or more, while there are few
-    sample = vectors.orderBy(F.xxhash64("id"), "id").limit(wanted).toArrow()
-    pivots = np.unique(_array(sample["v"].combine_chunks()).astype(np.float64), axis=0)
-    pivot2 = (pivots**2).sum(axis=1)
-
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = _array(batch.column(1)).astype(np.float64)
-            home = (pivot2 - 2 * (x @ pivots.T)).argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home.astype(np.int32))], ["id", "v", "home"])
-
-    homed = stage(vectors.mapInArrow(nearest, "id long, v array<long>, home int"), "homes")
-    sizes = {r["home"]: r["count"] for r in homed.groupBy("home").count().collect()}  # at most max_pivots rows
-    blocks = {h: max(1, -(-n // block_rows)) for h, n in sizes.items()}
-    first = dict(zip(sorted(blocks), np.concatenate([[0], np.cumsum([blocks[h] for h in sorted(blocks)])]).tolist(), strict=False))
-    count = sum(blocks.values())
-    number = F.create_map(*[F.lit(x) for h in sorted(blocks) for x in (h, blocks[h])])
-    start = F.create_map(*[F.lit(x) for h in sorted(blocks) for x in (h, first[h])])
-    block = (F.element_at(start, F.col("home")) + F.pmod(F.xxhash64("id", F.col("v")), F.element_at(number, F.col("home")))).cast("int")
-    queries = homed.where(is_query).select("id", "v", block.alias("own")).distinct()
-    trees = stage(homed.select("id", "v", "home", block.alias("block")).groupBy("block").applyInArrow(_plant, TREES), "trees")
+    placed = near_blocks(stage(vectors.where(F.size("v") == dim), "vectors"), block_rows, min(max_pivots, FANOUT))
+    queries = placed.where(is_query).select("id", "v", F.col("block").alias("own")).distinct()
+    trees = stage(placed.groupBy("block").applyInArrow(_plant, TREES), "trees")
     # Phase 1: a query's k-th score in its own block bounds what any other block must reach.
     own = queries.select("id", "v", F.lit(None).cast("double").alias("floor"), F.col("own").alias("block"), F.lit(0).alias("part"))
     reached = stage(_search(trees.select("block", "tree", F.lit(0).alias("part")), own, k), "own-block")
+    count = trees.count()
     if count == 1:
         return _ranked(reached, k)
     floors = reached.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("floor"))
     ready = stage(queries.join(floors, queries["id"] == floors["query_id"], "left").select("id", "v", "own", "floor"), "floors")
-    # Phase 2: the blocks that may hold more, first by pivot (at most max_pivots balls), then one by one.
-    near = _may_reach(ready, _balls(trees), "home").join(trees.select("home", "block", "center", "radius"), "home")
-    near = near.where("block <> own").mapInArrow(_still_reached, "id long, v array<long>, floor double, block int")
-    near = stage(near, "near-blocks")
+    # Phase 2: the blocks that may hold more, first by home (at most FANOUT + 1 balls), then by pages of balls.
+    pages = trees.groupBy("home", "page").agg(F.collect_list("block").alias("blocks"), F.collect_list("center").alias("centers"), F.collect_list("radius").alias("radii"))  # FANOUT entries at most
+    near = _may_reach(ready, _balls(trees), "home").join(pages.drop("page"), "home")
+    near = stage(near.mapInArrow(_still_reached, "id long, v array<long>, floor double, block string, offer double"), "near-blocks")
+    # Phase 3: each query's most promising blocks, whose scores raise its floor; phase 4: what may still reach that.
+    placed_near = near.withColumn("place", F.row_number().over(Window.partitionBy("id", "v").orderBy(F.desc("offer"), "block")))
+    best = stage(placed_near.where(F.col("place") <= FIRST).drop("place", "offer"), "first-blocks")
+    found = stage(_ranked(reached.unionByName(_dealt(trees, best, query_rows, k)), k), "first-found")
+    raised = found.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("raised"))
+    tried = best.select("id", "v", "block")
+    left = near.join(tried, ["id", "v", "block"], "left_anti").join(raised, "id", "left")
+    left = left.withColumn("floor", F.greatest("floor", "raised")).where(F.col("floor").isNull() | (F.col("offer") >= F.col("floor")))
+    left = stage(left.select("id", "v", "floor", "block"), "left-blocks")
+    if counts is not None:
+        counts |= {"blocks": count, "possible": queries.count() * (count - 1), "reached": near.count(), "kept": best.count() + left.count()}
+    return _ranked(found.drop("rank").unionByName(_dealt(trees, left, query_rows, k)), k)
+
+
+def _dealt(trees: DataFrame, near: DataFrame, query_rows: int, k: int) -> DataFrame:
+    """The results of pairs of a query and a block (id, v, floor, block): a block is copied once for each ``query_rows`` of its queries."""
     parts = stage(near.groupBy("block").agg(F.ceil(F.count("*") / query_rows).cast("int").alias("parts")), "parts")
     asked = near.join(parts, "block").select("id", "v", "floor", "block", F.pmod(F.xxhash64("id", "v"), F.col("parts")).cast("int").alias("part"))
     dealt = trees.join(parts, "block").select("block", "tree", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    return _ranked(reached.unionByName(_search(dealt, asked, k)), k)
+    return _search(dealt, asked, k)
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -251,7 +311,7 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
 
 
 #: A written block: its tree, and a ball (mean and radius, as bytes of doubles) that covers it.
-TREES = "block int, home int, center binary, radius double, tree binary"
+TREES = "block string, page string, home string, center binary, radius double, tree binary"
 
 
 def _plant(key: tuple, vectors: pa.Table) -> pa.Table:
@@ -265,20 +325,24 @@ def _plant(key: tuple, vectors: pa.Table) -> pa.Table:
     floats = ints.astype(float)
     center = floats.mean(axis=0)
     radius = float(np.linalg.norm(floats - center, axis=1).max()) * (1 + SLACK)
-    return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "home": vectors["home"].slice(0, 1), "center": pa.array([center.tobytes()], pa.binary()), "radius": [radius], "tree": pa.array([pickle.dumps((tree, ids, ints, length2))], pa.binary())})
+    return pa.table({"block": pa.array([key[0].as_py()], pa.string()), "page": vectors["page"].slice(0, 1), "home": vectors["home"].slice(0, 1), "center": pa.array([center.tobytes()], pa.binary()), "radius": [radius], "tree": pa.array([pickle.dumps((tree, ids, ints, length2))], pa.binary())})
 
 
-def _balls(trees: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Numbers, centres and radii of balls that cover all blocks of each ``home`` (a bounded number of them)."""
+def _balls(trees: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Names, centres and radii of balls that cover all blocks of each ``home`` (FANOUT + 1 at most)."""
 
-    def cover(key: tuple, table: pa.Table) -> pa.Table:
+    def widest(key: tuple, table: pa.Table) -> pa.Table:
+        center = np.frombuffer(table["middle"][0].as_py())
         centers = np.array([np.frombuffer(x) for x in table["center"].to_pylist()])
-        center = centers.mean(axis=0)
         radius = float((np.linalg.norm(centers - center, axis=1) + table["radius"].to_numpy()).max()) * (1 + SLACK)
-        return pa.table({"home": pa.array([key[0].as_py()], pa.int32()), "center": pa.array([center.tobytes()], pa.binary()), "radius": [radius]})
+        return pa.table({"home": table["home"].slice(0, 1), "radius": [radius]})
 
-    rows = trees.select("home", "center", "radius").groupBy("home").applyInArrow(cover, "home int, center binary, radius double").toArrow()
-    return rows["home"].to_numpy(), np.array([np.frombuffer(x) for x in rows["center"].to_pylist()]), rows["radius"].to_numpy()
+    # Any centre will do: the first block's, so that radii are maxima over parts of a home.
+    middle = trees.groupBy("home").agg(F.min_by("center", "block").alias("middle"))
+    split = trees.select("home", "center", "radius", F.pmod(F.xxhash64("block"), F.lit(64)).alias("part")).join(middle, "home")
+    radii = split.groupBy("home", "part").applyInArrow(widest, "home string, radius double").groupBy("home").agg(F.max("radius").alias("radius"))
+    rows = middle.join(radii, "home").toArrow()
+    return rows["home"].to_pylist(), np.array([np.frombuffer(x) for x in rows["middle"].to_pylist()]), rows["radius"].to_numpy()
 
 
 def _offers(v: np.ndarray, centers: np.ndarray, radii: np.ndarray) -> np.ndarray:
@@ -288,9 +352,9 @@ def _offers(v: np.ndarray, centers: np.ndarray, radii: np.ndarray) -> np.ndarray
     return inner + length * radii[None] + SLACK * size + SLACK
 
 
-def _may_reach(ready: DataFrame, balls: tuple[np.ndarray, np.ndarray, np.ndarray], name: str) -> DataFrame:
+def _may_reach(ready: DataFrame, balls: tuple[list[str], np.ndarray, np.ndarray], name: str) -> DataFrame:
     """ready, once for each ball (column ``name``) that may offer a score of the query's floor or more."""
-    numbers, centers, radii = balls
+    names, centers, radii = balls
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -298,23 +362,28 @@ def _may_reach(ready: DataFrame, balls: tuple[np.ndarray, np.ndarray, np.ndarray
                 offers = _offers(_array(batch.column(1)).astype(float), centers, radii)
                 floor = batch.column(3).fill_null(-np.inf).to_numpy()
                 query, ball = np.nonzero(offers >= floor[:, None])
-                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(query)).columns, pa.array(numbers[ball].astype(np.int32))], ["id", "v", "own", "floor", name])
+                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(query)).columns, pa.array([names[b] for b in ball.tolist()], pa.string())], ["id", "v", "own", "floor", name])
 
-    return ready.mapInArrow(prune, f"id long, v array<long>, own int, floor double, {name} int")
+    return ready.mapInArrow(prune, f"id long, v array<long>, own string, floor double, {name} string")
 
 
 def _still_reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows (a query and a block) whose block may offer the query's floor or more."""
+    """For rows of a query and a page of blocks: the query, once for each block but its own that may offer its floor or more."""
     for batch in batches:
         if not batch.num_rows:
             continue
         column = dict(zip(batch.schema.names, batch.columns, strict=True))
-        v = _array(column["v"]).astype(float)
-        centers = np.frombuffer(b"".join(column["center"].to_pylist())).reshape(len(v), -1)
-        radii, length = column["radius"].to_numpy(), np.linalg.norm(v, axis=1)
-        offers = (v * centers).sum(axis=1) + length * radii + SLACK * length * (np.linalg.norm(centers, axis=1) + radii) + SLACK
-        kept = pa.array(np.flatnonzero(offers >= column["floor"].fill_null(-np.inf).to_numpy()))
-        yield pa.RecordBatch.from_arrays([column[x].take(kept) for x in ("id", "v", "floor", "block")], ["id", "v", "floor", "block"])
+        v, floor = _array(column["v"]).astype(float), column["floor"].fill_null(-np.inf).to_numpy()
+        who, which, offered = [], [], []
+        for row, own in enumerate(column["own"].to_pylist()):
+            names = column["blocks"][row].as_py()
+            offers = _offers(v[row : row + 1], np.frombuffer(b"".join(column["centers"][row].as_py())).reshape(len(names), -1), np.array(column["radii"][row].as_py()))[0]
+            found = [b for b in np.flatnonzero(offers >= floor[row]).tolist() if names[b] != own]
+            who += [row] * len(found)
+            which += [names[b] for b in found]
+            offered += offers[found].tolist()
+        taken = pa.array(who, pa.int64())
+        yield pa.RecordBatch.from_arrays([*[column[x].take(taken) for x in ("id", "v", "floor")], pa.array(which, pa.string()), pa.array(offered, pa.float64())], ["id", "v", "floor", "block", "offer"])
 
 
 def _search(trees: DataFrame, queries: DataFrame, k: int) -> DataFrame:

@@ -316,6 +316,28 @@ def test_tree_search(spark):
     assert mtree_search.top_k(few.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
+def test_blocks_are_small_balls(spark):
+    """Clusters larger than a block are split again and again; most blocks are ruled out, and equal vectors still fill several blocks."""
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(8, 16))
+    x = centers[rng.integers(0, 8, 1500)] + 0.02 * rng.normal(size=(1500, 16))
+    x[:400] = x[0]
+    table = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    placed = mtree_search.near_blocks(mtree_search.whole_vectors(table, 64), 50, 8).toPandas()
+    assert sorted(placed["id"]) == list(range(1500)) and placed["block"].nunique() > 30
+    assert placed[placed["id"] < 400]["block"].nunique() >= 8  # dealt out by hash
+    assert placed.groupby("block")["page"].nunique().max() == 1 and placed["home"].nunique() <= 9
+    counts = {}
+    got = {tuple(r) for r in mtree_search.top_k(table, F.col("id") % 20 == 0, k=5, block_rows=50, max_pivots=8, counts=counts).collect()}
+    ints = np.floor(64 * x).astype(np.int64)
+    want = set()
+    for q in range(0, 1500, 20):
+        score = ints @ ints[q]
+        want |= {(q, n + 1, int(k), int(score[k])) for n, k in enumerate([k for k in np.lexsort((np.arange(1500), -score)) if k != q][:5])}
+    assert got == want
+    assert counts["kept"] <= counts["reached"] < counts["possible"] / 2
+
+
 def test_tree_skips_pages():
     rng = np.random.default_rng(1)
     ints = np.concatenate([rng.integers(-5, 5, (400, 4)) + c for c in ((200, 0, 0, 0), (0, 200, 0, 0), (0, 0, 200, 0))]).astype(np.int64)
