@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumafold.functions.columns import settled
-from lumafold.operators import coils, ordering, pipeline, recon, schedule, volumes
-from lumafold.plans.masks import _RANK_SQL, _THETA, _WEDGE, ETL, query_set
+from lumafold.operators import coils, lattice, ordering, pipeline, recon, schedule, volumes
+from lumafold.plans.masks import _RANK_SQL, _SCHED_SQL, _THETA, _WEDGE, ACCEL, ETL, _caipi_sql, query_set
+from lumafold.plans.masks import schedule as event_schedule
 from lumafold.plans.views import CELLS_SQL, COIL_SQL, NY, NZ, cells, coil_samples
+from lumafold.session import shared_folder, table
+from lumafold.sources import images
 
 QUERIES, ORACLES, query = query_set()
 SCALE = (1.0, 2.3)
@@ -219,3 +225,39 @@ def q98(spark: SparkSession, sf: str) -> DataFrame:
     turned = steps.withColumn("turned", (F.col("way") != F.lag("way").over(line)).cast("long"))
     whole = turned.groupBy("frame", "shot").agg(F.count("*").alias("n"), F.sum(F.col("iy") * 64 + F.col("iz")).alias("checksum"), F.countDistinct("iy").alias("lines"), F.min("iy").alias("low"), F.max("iy").alias("high"), F.min_by("iy", "echo").alias("first_line"), F.max_by("iy", "echo").alias("last_line"), F.every(F.coalesce(F.col("up"), F.lit(0)) >= 0).alias("in_turn"), F.coalesce(F.sum("turned"), F.lit(0)).alias("turns"))
     return whole.select("frame", "shot", "n", "checksum", "lines", "first_line", "last_line", "in_turn", "turns")
+
+
+# ---- drivers, figures and stored images --------------------------------------------------------------------------------
+
+
+@query("q100_overwritten_places", f"WITH {_SCHED_SQL} SELECT frame, (count(*) - count(DISTINCT iy * 64 + iz))::BIGINT AS duplicates FROM sched GROUP BY frame")
+def q100(spark: SparkSession, sf: str) -> DataFrame:
+    """Samples of each frame's schedule that another one overwrites."""
+    return pipeline.duplicate_places(event_schedule(spark, sf))
+
+
+@query("q101_empty_frames", "SELECT (event_id // 8)::BIGINT AS frame FROM events GROUP BY 1 HAVING count(*) FILTER (WHERE event_type = 'purchase' AND value <> 0) = 0")
+def q101(spark: SparkSession, sf: str) -> DataFrame:
+    """Frames of eight events whose image, the values of purchases, is zero everywhere."""
+    events = table(spark, sf, "events")
+    return pipeline.empty_frames(events.select(F.floor(F.col("event_id") / 8).alias("frame"), F.when(F.col("event_type") == "purchase", F.col("value")).otherwise(F.lit(0.0)).alias("re"), F.lit(0.0).alias("im")))
+
+
+@query("q102_stored_magnitudes", f"WITH {_VIEWS_SQL} SELECT frame, ix, iy, c AS iz, round(sqrt(re * re + im * im), 4) + 0.0 AS value FROM views")
+def q102(spark: SparkSession, sf: str) -> DataFrame:
+    """Volumes stored by frame, one frame written twice, read back by name; then their magnitudes (held as 32-bit numbers)."""
+    path = f"{shared_folder(spark)}/volumes-{uuid.uuid4().hex}"
+    volume = _views(spark, sf).select("frame", "ix", "iy", F.col("coil").alias("iz"), "re", "im")
+    images.write_volume(volume, path)
+    images.write_volume(volume.where("frame = 1"), path)  # replaces its own partition only
+    back = images.read_arrays(spark, path, ["frame", "ix", "iy", "iz", "re", "im"])
+    return images.magnitude_image(back).select(F.col("frame").cast("int").alias("frame"), "ix", "iy", "iz", settled(F.col("value").cast("double"), 4).alias("value"))
+
+
+@query("q103_mask_figures", f"WITH {CELLS_SQL} SELECT frame, round((iy - {NY / 2}) / 0.216, 6) + 0.0 AS ky, round((iz - {NZ / 2}) / 0.0405, 6) + 0.0 AS kz, {_caipi_sql('iy', 'iz')} AS sampled FROM cells")
+def q103(spark: SparkSession, sf: str) -> DataFrame:
+    """What a figure of each frame's mask shows: its cells in 1/m, and which of them a lattice samples."""
+    mask = cells(spark, sf).withColumn("sampled", lattice.caipi(NY, NZ, ACCEL, F.col("iy"), F.col("iz")))
+    frames = [r["frame"] for r in mask.select("frame").distinct().collect()]  # numbers of frames
+    figures = [pipeline.mask_figure(mask, f, NY, NZ, 0.216, 0.0405).select(F.lit(f).alias("frame"), settled(F.col("ky")).alias("ky"), settled(F.col("kz")).alias("kz"), "sampled") for f in frames]
+    return reduce(DataFrame.unionByName, figures)
