@@ -6,8 +6,8 @@ w minimises the logistic loss over pairs plus a small ridge, by Newton's method.
 a zero of the scale, so it is set by quantile: the cut is the strength below which as large a share of
 the training documents lies as is labelled bad. A score maps strength to 0..1 with the cut at ``at``.
 
-Features are measured on the whole text: shares of character classes, word and line repetition, word lengths and
-function-word-like short words, each also as hinges above its training quantiles, so that the linear model
+Features are measured on the whole text: sizes, shares of character classes and of some marks, word, pair and line repetition,
+word and line lengths, capital and long words, each also as hinges above its training quantiles, so that the linear model
 can bend. Neither ids, labels, language nor source enter them.
 
 Training is bounded: at most ``max_train`` labelled documents (those with the smallest hash of their id) and
