@@ -115,6 +115,13 @@ def test_steps_and_counts(spark):
     assert signal.difference(d2, ["g"], ["i"], "v").where("d = 5").count() == 1
 
 
+def test_phases_of_high_counts_are_exact(spark):
+    counts = [1, 2, 17, 8_773_999, 8_774_089, 8_999_905, 90_000_000_001]
+    got = spark.createDataFrame([(k,) for k in counts], "k long").select("k", *[schedule.rf_phase(F.col("k"), step).alias(str(i)) for i, step in enumerate((117.0, 50.25, -3.0))]).collect()
+    for i, (p, q) in enumerate(((117, 1), (201, 4), (-3, 1))):
+        assert [r[str(i)] for r in got] == [(p * r["k"] ** 2) % (720 * q) / (2 * q) for r in got]
+
+
 def test_entry_files_and_claims(spark):
     wanted = spark.createDataFrame([(2, 1), (4, 2), (7, 3)], "entry int, rank int")
     taken = spark.createDataFrame([(4,)], "entry int")
