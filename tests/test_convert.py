@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumafold.operators import convert, feasibility
+from lumafold.operators import convert, events, feasibility
 
 GRAD = "struct<delay:double,rise:double,flat:double,fall:double,amplitude:double>"
 LOG = f"n long, duration double, trid int, rf struct<shape:string,amplitude:double,phase:double,freq:double>, gx {GRAD}, gy {GRAD}, gz {GRAD}, adc struct<samples:int,dwell:double,phase:double,freq:double>, trigger string"
@@ -50,6 +50,38 @@ def test_block_log_to_loop(spark, monkeypatch, chunk):
     assert found == [("duration", 1, 4)]
 
 
+def heaviest(frame):
+    """The rows of the fullest task of the last exchange."""
+    return frame.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0]
+
+
+def test_tasks_hold_a_few_chunks_however_long_the_log(spark):
+    """Long logs are sorted a few chunks to a task, and the last opening row comes without sorting the log by struct or moving it by label."""
+    log = spark.range(1, 8001).select(F.col("id").alias("n"), F.when(F.col("id") % 7 == 3, (F.col("id") % 2).cast("int")).alias("trid"))
+    placed = convert.with_instances(log, 10)
+    assert placed.count() == 8000 and heaviest(placed) <= 200
+    wrong = placed.where("NOT (start <=> CASE WHEN n >= 3 THEN n - (n - 3) % 7 END AND trid <=> CAST(start % 2 AS int) AND j <=> CAST(n - start + 1 AS int))")
+    assert wrong.count() == 0
+
+
+def test_rows_are_numbered_in_ranges(spark):
+    rows = [(k, v) for k in (5, -3, 900, None, 17, 18, 19, 20) for v in (2, None, 1)]
+    want = {r: n for n, r in enumerate(sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or 0)), 1)}
+    for size in (1, 4, 1000):
+        got = events.running_numbers(spark.createDataFrame(rows, "k long, v long").repartition(3), ["k", "v"], size).collect()
+        assert {(r["k"], r["v"]): r["n"] for r in got} == want and len(got) == len(rows)
+        assert len({(r["k"], r["range"]) for r in got}) == 8
+    assert events.running_numbers(spark.createDataFrame([], "k long, v long"), ["k", "v"]).count() == 0
+    assert heaviest(events.running_numbers(spark.range(8000), ["id"], 10)) <= 200
+
+
+def test_energies_that_tie_take_the_earliest_instance(spark):
+    log = [(n, 2e-4, 5 if n % 2 else None, None, (0.0, 2e-5, 4e-5, 2e-5, 3.0), None, None, None, None) for n in range(1, 41)]
+    loop = convert.to_loop(spark.createDataFrame(log, LOG))
+    assert [r["strongest_row"] for r in loop.segments.collect()] == [1] and loop.header.first()["rows"] == 40
+    assert sorted((r["n"], r["j"]) for r in loop.rows.collect()) == [(n, 2 - n % 2) for n in range(1, 41)]
+
+
 def test_waveform_and_report(spark):
     dt, log = 1e-5, program(12)
     blocks = spark.createDataFrame(log, LOG)
