@@ -64,6 +64,18 @@ def test_tasks_hold_a_few_chunks_however_long_the_log(spark):
     assert wrong.count() == 0
 
 
+def test_waveform_and_slopes_take_bounded_tasks(spark):
+    """One reading of the waveform gives samples and slopes, dealt over as many tasks as asked, and a long log's starts a few chunks to a task."""
+    log = spark.range(1, 2001).select(F.col("id").alias("n"), F.lit(3.0).alias("duration"), *[F.struct(F.lit(0.0).alias("delay"), F.lit(1.0).alias("rise"), F.lit(1.0).alias("flat"), F.lit(1.0).alias("fall"), (F.col("id") % 5).cast("double").alias("amplitude")).alias(a) for a in ("gx", "gy", "gz")])
+    wave = convert.waveform(log, 1.0, ("gx",))
+    both = feasibility.stepped(wave, 1.0, 100, 50)
+    assert heaviest(both) <= 600
+    got = {r["i"]: (r["g"], r["s"]) for r in both.collect()}
+    want = np.concatenate([np.array([0.5, 1.0, 0.5]) * (n % 5) for n in range(1, 2001)])
+    assert np.allclose([got[i][0] for i in range(6000)], want) and np.allclose([got[i][1] for i in range(6000)], np.diff(want, prepend=want[0])) and len(got) == 6000
+    assert {r["i"]: r["g"] for r in feasibility.slew(wave, 1.0, 100).collect()} == {i: s for i, (_, s) in got.items()}
+
+
 def test_rows_are_numbered_in_ranges(spark):
     rows = [(k, v) for k in (5, -3, 900, None, 17, 18, 19, 20) for v in (2, None, 1)]
     want = {r: n for n, r in enumerate(sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or 0)), 1)}
