@@ -120,3 +120,14 @@ def test_waveform_and_report(spark):
     pns = 100 * np.sqrt(sum(np.convolve(s, kernel)[:total] ** 2 for s in slew)).max()
     assert row["peak_pns"] == pytest.approx(pns) and row["max_b1"] == pytest.approx(500 / gamma * 1e4) and row["acoustics"] > 0 and row["ok"]
     assert not convert.feasibility(blocks, {"grad": 1e-9, "slew": 1e9, "b1": 1.0, "pns": 1e9, "acoustics": 1.0}, dt=dt, gamma=gamma, slew_min=70.0, chronaxie=334e-6).first()["ok"]
+
+
+def test_shapes_at_a_place_keep_the_parents_polarity_in_long_logs(spark):
+    """A log with shapes of many chunks: rows keep their place, and joins with segments and positions send those around instead of sorting the log."""
+    drawn = lambda a, s: (0.0, 0.0, 0.0, 0.0, a, s)
+    schema = LOG.replace(GRAD, GRAD[:-1] + ",shape:long>")
+    log = [(n, 2e-4, 1 if n % 2 else None, None, drawn(-2.0 if n % 4 == 1 else 3.0, 7), None, None, None, None) for n in range(1, 401)]
+    library = convert.shape_library(spark.createDataFrame([(7, 0.0, 0.0), (7, 1e-4, 1.0), (7, 2e-4, 0.0)], "shape long, t double, v double"))
+    loop = convert.to_loop(spark.createDataFrame(log, schema), library)
+    assert {r["n"]: r["amp_gx"] for r in loop.rows.collect()} == {n: 2.0 if n % 4 == 1 else -3.0 for n in range(1, 401)}
+    assert "SortMergeJoin" not in loop.rows._jdf.queryExecution().executedPlan().toString()
