@@ -131,3 +131,9 @@ def test_shapes_at_a_place_keep_the_parents_polarity_in_long_logs(spark):
     loop = convert.to_loop(spark.createDataFrame(log, schema), library)
     assert {r["n"]: r["amp_gx"] for r in loop.rows.collect()} == {n: 2.0 if n % 4 == 1 else -3.0 for n in range(1, 401)}
     assert "SortMergeJoin" not in loop.rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_carry_their_place(spark):
+    """Rows have the place inside their instance, so none is joined back to the log."""
+    rows = convert.to_loop(spark.createDataFrame(program(6), LOG)).rows
+    assert [r["j"] for r in rows.orderBy("n").limit(8).collect()] == [None, 1, 2, 3, 1, 2, 3, 4]
