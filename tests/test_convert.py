@@ -137,3 +137,9 @@ def test_rows_carry_their_place(spark):
     """Rows have the place inside their instance, so none is joined back to the log."""
     rows = convert.to_loop(spark.createDataFrame(program(6), LOG)).rows
     assert [r["j"] for r in rows.orderBy("n").limit(8).collect()] == [None, 1, 2, 3, 1, 2, 3, 4]
+
+
+def test_the_written_log_is_read_by_columns(spark):
+    """The header's totals read three columns of the log, not its rows whole."""
+    plan = convert.to_loop(spark.createDataFrame(program(6), LOG)).blocks.agg(F.sum("duration"))._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<duration:double>" in plan
