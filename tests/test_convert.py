@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumafold.operators import convert, events, feasibility
+from lumafold.plans import logs
 
 GRAD = "struct<delay:double,rise:double,flat:double,fall:double,amplitude:double>"
 LOG = f"n long, duration double, trid int, rf struct<shape:string,amplitude:double,phase:double,freq:double>, gx {GRAD}, gy {GRAD}, gz {GRAD}, adc struct<samples:int,dwell:double,phase:double,freq:double>, trigger string"
@@ -143,3 +144,39 @@ def test_the_written_log_is_read_by_columns(spark):
     """The header's totals read three columns of the log, not its rows whole."""
     plan = convert.to_loop(spark.createDataFrame(program(6), LOG)).blocks.agg(F.sum("duration"))._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<duration:double>" in plan
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("size", [3, 1000])
+def test_a_waveform_starts_from_runs_of_the_numbering(spark, size):
+    """Runs inside ranges give the samples that a log without them gives: null, negative and uneven durations, no gradient, a shape that the library lacks, and an unnumbered key last."""
+    grad = "struct<delay:double,rise:double,flat:double,fall:double,amplitude:double,shape:long>"
+    draw = lambda k: None if k % 5 == 0 else (0.25 * (k % 4), 1.0, 0.5 * (k % 3), 0.7, float(k), {0: 7, 1: None, 2: None, 3: 99}[k % 4])
+    last = lambda k: None if k == 4 else -2.0 if k == 9 else 1.3 + k % 6
+    rows = [(None if k == 17 else 3 * k, k, last(k), draw(k)) for k in range(30)]
+    log = events.running_numbers(spark.createDataFrame(rows, f"key long, k long, duration double, gx {grad}").repartition(3), ["key", "k"], size)
+    library = convert.shape_library(spark.createDataFrame([(7, 0.0, 0.0), (7, 1.0, -4.0), (7, 1.5, 2.0)], "shape long, t double, v double"))
+    got, plain = (sorted(map(tuple, convert.waveform(x, 0.5, ("gx",), library).collect())) for x in (convert.with_runs(log, 0.5, ["key", "k"]), log))
+    assert got == plain
+    want, at = {}, 0.0
+    for _, _, duration, g in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        if duration is None or duration < 0:
+            continue
+        for i in range(int(np.ceil(at / 0.5 - 0.5 - 1e-9)), int(np.ceil((at + duration) / 0.5 - 0.5 - 1e-9))):
+            if g and g[5] == 99:
+                continue
+            corners, values = ([0], [0]) if not g else (g[0] + np.array([0, 1.0, 1.5]), [0, -1.0, 0.5]) if g[5] else (np.cumsum(g[:4]), [0, 1, 1, 0])
+            want[i] = (g[4] if g else 0.0) * np.interp((i + 0.5) * 0.5 - at, corners, values, 0, 0)
+        at += duration
+    assert [r[1] for r in got] == sorted(want) and np.allclose([r[2] for r in got], [want[i] for i in sorted(want)], atol=1e-4)
+
+
+def test_the_waveform_neither_moves_the_written_log_nor_calls_functions_on_its_lists(spark, sf):
+    """One exchange and one sort number the log; its waveform joins starts and shapes, and only parts are shuffled."""
+    plan = plan_of(logs.q86(spark, sf))
+    assert "REPARTITION" not in plan and "transform(__" not in plan and "filter(" not in plan and "Sort [n#" not in plan
+    lines = plan_of(logs.numbered_lines(spark, sf).select("n", "j", "len"))
+    assert lines.count("Sort [range") == 2  # the log's, and that of a row for each range
