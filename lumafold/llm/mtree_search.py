@@ -10,17 +10,19 @@ vectors of one length, the largest inner product is the smallest distance, so a
   inner page holds routing objects with covering radii and their distances to the parent's object.
 * Best-first search visits pages by the least distance that they could hold. An entry whose stored parent distance
   already rules it out by the triangle inequality is skipped without computing its own distance.
-* Each block's tree is built once and written, with its block's mean and covering radius beside it.
-* A query first searches the tree of its own block. The k-th score that it reached there bounds what any other block must
-  offer: at most the product with the block's mean plus the query's length times the radius. The first split's nodes are ruled out
-  by the same bound first, then pages of at most FANOUT blocks meet a query, and it goes on to those blocks that pass alone. So
-  rows sent are queries times the blocks that may hold something for them, and a block is copied once for each ``query_rows``
-  of these queries.
-* Of these blocks each query searches the few that may offer most first; the k-th score found by then is tested against the rest.
-* Each tree returns its k best for a query, which are then merged.
-
-Scores are exact: distances (floats) only prune, with slack, and every reported score is an integer product. Where products
-could pass 64 bits they are taken with Python's integers; a reported score, or a scaled component, that itself doesn't fit into
+* Each block's tree is built once and written, with its block's mean and covering radius beside it. Blocks that are neighbours in
+  the tree of splits form bins of about BIN times ``block_rows`` rows, with balls of their own.
+* Queries travel packed, up to ``query_rows`` of one bin to a row, and only between shuffles: what Spark joins or sends around are
+  names of packs and bins. A pack carries its queries' floors, the k-th scores that they reached so far, and their best rows.
+* A query first searches its own block, then the other blocks of its bin that may offer its floor or more: at most the product
+  with the block's mean plus the query's length times the radius. Bins are ruled out for a pack in the same way, homes (the first
+  split's nodes, FANOUT + 1 at most) before the bins in them.
+* Of the other bins each pack searches the FIRST that may offer most first; the floors found by then are tested against the rest.
+* Inside a task, blocks of a bin are searched from the most promising on, so floors rise from block to block, and a full bin is
+  copied once for each ``query_rows`` queries that it concerns. Each bin returns the rows that may still be among a query's k best.
+
+Scores are exact: distances (floats) only prune, with slack, and every reported score is an integer product, multiplied as floats
+where these hold each partial sum exactly. Where products could pass 64 bits they are taken with Python's integers; a reported score, or a scaled component, that itself doesn't fit into
 64 bits is an error, since the result has no type for it.
 
 Vectors that are null, or hold a null or non-finite component, or another number of components than most, take no part;
@@ -42,12 +44,14 @@ from pyspark.sql import functions as F
 from lumafold.llm.common import stage
 
 #: Vectors of a leaf page, and entries of an inner page.
-LEAF, FAN = 64, 16
-#: Pivots of a split, and blocks of a page of bounds.
+LEAF, FAN = 256, 16
+#: Pivots of a split, and blocks of a page.
 FANOUT = 64
+#: Rows of a bin, in full blocks; blocks of a bin, in small ones.
+BIN, MANY = 8, 512
 #: Rows of a node that one task assigns to pivots.
 ASSIGNED = 1 << 16
-#: Blocks that a query searches first, beside its own, to raise its floor before the others are tested again.
+#: Bins that a pack searches first, beside its own, to raise its floors before the others are tested again.
 FIRST = 4
 #: Splits by pivots; beyond, a node is dealt out by hash (it would hold FANOUT ** DEEPEST blocks if pivots split it evenly).
 DEEPEST = 8
@@ -88,12 +92,12 @@ class MTree:
         return at
 
     def _split(self, rows: np.ndarray) -> list[np.ndarray]:
-        """At most FAN groups of near rows, none larger than half: farthest-point seeds, then nearest seed."""
+        """Groups of near rows, none larger than half, of about half a leaf page if FAN suffice for that: farthest-point seeds, then nearest seed."""
         x = self.points[rows]
         seeds = [0]
         gap = np.linalg.norm(x - x[0], axis=1)
         nearest = np.zeros(len(rows), int)
-        while len(seeds) < FAN and gap.max() > 0:
+        while len(seeds) < min(FAN, -(-2 * len(rows) // LEAF)) and gap.max() > 0:
             seeds.append(int(gap.argmax()))
             d = np.linalg.norm(x - x[seeds[-1]], axis=1)
             closer = d < gap
@@ -116,10 +120,12 @@ def search_tree(tree: MTree, ints: np.ndarray, ids: np.ndarray, length2: float,
     largest = _largest_product(ints, queries)
     empty = -largest - 2  # below every score
     kind = np.int64 if largest < 1 << 62 else object
+    exact = np.float32 if largest < 1 << 24 else np.float64 if largest < 1 << 53 else kind  # holds each partial sum
     packed = (largest + 2) * n < 1 << 62
-    ints, queries = ints.astype(kind), queries.astype(kind)
-    scores, places, worst = np.full((m, k), empty, kind), np.full((m, k), -1), np.full(m, empty, kind)
     floats = np.column_stack([queries.astype(float), np.zeros(m)])
+    ints, queries = ints.astype(exact), queries.astype(exact)
+    scores, places, worst = np.full((m, k), empty, kind), np.full((m, k), -1), np.full(m, empty, kind)
+    need = _lowered(floors)
     q2 = (floats**2).sum(axis=1)
 
     def reach(q: np.ndarray, score: np.ndarray) -> np.ndarray:
@@ -142,19 +148,18 @@ def search_tree(tree: MTree, ints: np.ndarray, ids: np.ndarray, length2: float,
         who, own = who[still], own[still]
         page = tree.pages[at]
         # |d(query, parent) - d(entry, parent)| bounds the distance from below, without computing it.
-        bound = np.abs(own[:, None] - page["near"][None])
         if page["rows"] is not None:
-            maybe = bound <= limit[who][:, None]
-            some = maybe.any(axis=0)
+            some = (page["near"] >= (own - limit[who]).min()) & (page["near"] <= (own + limit[who]).max())
             if not some.any():
                 continue
             rows = page["rows"][some]
             found = queries[who] @ ints[rows].T
-            found[~maybe[:, some] | (ids[rows][None] == query_ids[who][:, None])] = empty
-            better = (found >= worst[who][:, None]).any(axis=1)
+            hit = found >= need[who].astype(np.float32 if exact is np.float32 else np.float64)[:, None]
+            better = hit.any(axis=1)
             if not better.any():
                 continue
-            who, found = who[better], found[better]
+            who, found = who[better], found[better].astype(kind)
+            found[~hit[better] | (ids[rows][None] == query_ids[who][:, None])] = empty
             score, place = np.concatenate([scores[who], found], axis=1), np.concatenate([places[who], np.broadcast_to(rows, found.shape)], axis=1)
             # Without overflow, one number can stand for score and place; larger is better, ties to the smaller place.
             best = np.argpartition(score * n + (n - 1 - place), score.shape[1] - k, axis=1)[:, -k:] if packed else _best(score, place, k)
@@ -162,8 +167,9 @@ def search_tree(tree: MTree, ints: np.ndarray, ids: np.ndarray, length2: float,
             worst[who] = scores[who].min(axis=1)
             full = who[worst[who] > empty]
             limit[full] = np.minimum(limit[full], reach(full, np.maximum(worst[full].astype(float), floors[full])))
+            need[full] = np.maximum(need[full], _lowered(worst[full].astype(float)))
             continue
-        maybe = bound - page["radius"][None] <= limit[who][:, None]
+        maybe = np.abs(own[:, None] - page["near"][None]) - page["radius"][None] <= limit[who][:, None]
         for e in np.flatnonzero(maybe.any(axis=0)).tolist():
             asked = who[maybe[:, e]]
             d = np.linalg.norm(floats[asked] - page["objects"][e], axis=1)
@@ -177,6 +183,11 @@ def search_tree(tree: MTree, ints: np.ndarray, ids: np.ndarray, length2: float,
     return np.where(scores == empty, -1, places), scores
 
 
+def _lowered(floors: np.ndarray) -> np.ndarray:
+    """Floors without what rounding to doubles may have added."""
+    return floors - CANCEL * np.abs(np.where(np.isfinite(floors), floors, 0.0))
+
+
 def _largest_product(x: np.ndarray, y: np.ndarray) -> int:
     """A bound of the absolute products of rows of ``x`` and ``y``."""
     largest = [max(int(v.max()), -int(v.min())) if v.size else 0 for v in (x, y)]
@@ -195,6 +206,11 @@ def _squares(ints: np.ndarray) -> np.ndarray:
     return (ints.astype(np.int64 if _largest_product(ints, ints) < 1 << 62 else object) ** 2).sum(axis=1)
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """``x`` in the narrowest integers that hold it."""
+    return x.astype(next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= x.min(initial=0) and x.max(initial=0) <= np.iinfo(t).max))
+
+
 def whole_vectors(table: DataFrame, scale: int) -> DataFrame:
     """id and v (array<long>): floor(scale * x) of usable vectors."""
     x = F.col("embedding").cast("array<double>")
@@ -228,7 +244,7 @@ def near_blocks(vectors: DataFrame, block_rows: int, max_pivots: int = FANOUT) -
 
     for level in range(DEEPEST + 1):
         sizes = rows.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > block_rows)
-        large = stage(sizes, "large-nodes")
+        large = F.broadcast(stage(sizes, "large-nodes"))  # at most a row for each block_rows rows
         if not large.count():
             break
         settled.append(rows.join(large, "block", "left_anti"))
@@ -242,9 +258,9 @@ def near_blocks(vectors: DataFrame, block_rows: int, max_pivots: int = FANOUT) -
             distinct = drawn.groupBy("block").agg(F.array_sort(F.collect_set("v")).alias("pivots"))
         found = stage(distinct.join(large, "block").select("block", "n", "pivots"), "pivots")
         equal = found.where(F.size("pivots") < 2).select("block", F.ceil(F.col("n") / block_rows).alias("parts"))
-        settled.append(rows.join(equal, "block").select("id", "v", F.concat("block", F.lit("x"), F.pmod(key, F.col("parts")).cast("string"), F.lit("/")).alias("block")))
+        settled.append(rows.join(F.broadcast(equal), "block").select("id", "v", F.concat("block", F.lit("x"), F.pmod(key, F.col("parts")).cast("string"), F.lit("/")).alias("block")))
         split = found.where(F.size("pivots") >= 2).select("block", "pivots", F.ceil(F.col("n") / ASSIGNED).cast("int").alias("parts"))
-        dealt = rows.join(split.select("block", "parts"), "block").withColumn("part", F.pmod(key, F.col("parts")).cast("int")).select("id", "v", "block", "part")
+        dealt = rows.join(F.broadcast(split.select("block", "parts")), "block").withColumn("part", F.pmod(key, F.col("parts")).cast("int")).select("id", "v", "block", "part")
         shown = split.select("block", "pivots", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
         rows = stage(dealt.groupBy("block", "part").cogroup(shown.groupBy("block", "part")).applyInArrow(assign, "id long, v array<long>, block string"), "split")
     for more in settled:
@@ -259,7 +275,8 @@ def near_blocks(vectors: DataFrame, block_rows: int, max_pivots: int = FANOUT) -
 def top_k(table: DataFrame, is_query: Column, k: int = 20, scale: int = 64, block_rows: int = 4096, query_rows: int = 1024, max_pivots: int = FANOUT, counts: dict | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows of ``table`` (vec_id, embedding) for each row that ``is_query`` selects.
 
-    ``max_pivots`` (FANOUT at most) bounds the pivots of one split. ``counts``, if given, gets the number of blocks, and of pairs of a query and another block: possible ones, and those kept.
+    ``max_pivots`` (FANOUT at most) bounds the pivots of one split. ``counts``, if given, gets the number of blocks, and of pairs of a
+    query and another block: possible ones, those of bins that pass for the query, and those kept, which are searched.
     """
     spark = table.sparkSession
     vectors = whole_vectors(table, scale)
@@ -268,40 +285,41 @@ def top_k(table: DataFrame, is_query: Column, k: int = 20, scale: int = 64, bloc
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     dim = common["n"]
     placed = near_blocks(stage(vectors.where(F.size("v") == dim), "vectors"), block_rows, min(max_pivots, FANOUT))
-    queries = placed.where(is_query).select("id", "v", F.col("block").alias("own")).distinct()
-    trees = stage(placed.groupBy("block").applyInArrow(_plant, TREES), "trees")
-    # Phase 1: a query's k-th score in its own block bounds what any other block must reach.
-    own = queries.select("id", "v", F.lit(None).cast("double").alias("floor"), F.col("own").alias("block"), F.lit(0).alias("part"))
-    reached = stage(_search(trees.select("block", "tree", F.lit(0).alias("part")), own, k), "own-block")
-    count = trees.count()
-    if count == 1:
-        return _ranked(reached, k)
-    floors = reached.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("floor"))
-    ready = stage(queries.join(floors, queries["id"] == floors["query_id"], "left").select("id", "v", "own", "floor"), "floors")
-    # Phase 2: the blocks that may hold more, first by home (at most FANOUT + 1 balls), then by pages of balls.
-    pages = trees.groupBy("home", "page").agg(F.collect_list("block").alias("blocks"), F.collect_list("center").alias("centers"), F.collect_list("radius").alias("radii"))  # FANOUT entries at most
-    near = _may_reach(ready, _balls(trees), "home").join(pages.drop("page"), "home")
-    near = stage(near.mapInArrow(_still_reached, "id long, v array<long>, floor double, block string, offer double"), "near-blocks")
-    # Phase 3: each query's most promising blocks, whose scores raise its floor; phase 4: what may still reach that.
-    placed_near = near.withColumn("place", F.row_number().over(Window.partitionBy("id", "v").orderBy(F.desc("offer"), "block")))
-    best = stage(placed_near.where(F.col("place") <= FIRST).drop("place", "offer"), "first-blocks")
-    found = stage(_ranked(reached.unionByName(_dealt(trees, best, query_rows, k)), k), "first-found")
-    raised = found.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("raised"))
-    tried = best.select("id", "v", "block")
-    left = near.join(tried, ["id", "v", "block"], "left_anti").join(raised, "id", "left")
-    left = left.withColumn("floor", F.greatest("floor", "raised")).where(F.col("floor").isNull() | (F.col("offer") >= F.col("floor")))
-    left = stage(left.select("id", "v", "floor", "block"), "left-blocks")
+    where = stage(_bins(placed, block_rows), "bins").hint("merge")
+    trees = stage(placed.join(where, "block").groupBy("block").applyInArrow(_plant, TREES), "trees")
+    queries = placed.where(is_query).select("id", "v", "block").distinct().join(where, "block")
+    parts = F.ceil(F.count("*").over(Window.partitionBy("bin")) / query_rows)
+    dealt = queries.withColumn("part", F.pmod(F.xxhash64("id", "v"), parts).cast("int"))
+    packs = stage(dealt.groupBy("bin", "part").applyInArrow(_pack, PACKS), "queries")
+    # Phase 1: a query's k-th score in its own bin bounds what any other bin must reach.
+    found = stage(_dealt(trees, packs, packs.select("pack", "bin", "n"), block_rows, query_rows, k, True), "own-bins")
+    packs, tried = stage(_merged(packs, found, k), "reached"), [found]
+    balls = stage(trees.groupBy("bin").applyInArrow(_cover, BALLS), "balls")
+    # Phase 2: the bins that may hold more, first by home (at most FANOUT + 1 balls), and of these the most promising ones.
+    near = _may_reach(packs, _homes(balls)).hint("merge").join(balls, "home").where(F.col("bin") != F.col("own_bin"))
+    near = _still_reached(packs, near).withColumn("place", F.row_number().over(Window.partitionBy("pack").orderBy(F.desc("offer"), "bin")))
+    near = stage(near, "near-bins")
+    found = stage(_dealt(trees, packs, near.where(F.col("place") <= FIRST), block_rows, query_rows, k), "first-bins")
+    packs, tried = stage(_merged(packs, found, k), "raised"), [*tried, found]
+    # Phase 3: what may still reach the floors by now.
+    left = near.where(F.col("place") > FIRST).select("pack", "bin").hint("merge").join(balls, "bin")
+    left = stage(_still_reached(packs, left), "left-bins")
+    found = stage(_dealt(trees, packs, left, block_rows, query_rows, k), "left-found")
+    packs, tried = stage(_merged(packs, found, k), "found"), [*tried, found]
     if counts is not None:
-        counts |= {"blocks": count, "possible": queries.count() * (count - 1), "reached": near.count(), "kept": best.count() + left.count()}
-    return _ranked(found.drop("rank").unionByName(_dealt(trees, left, query_rows, k)), k)
+        total = lambda frame, x: frame.agg(F.coalesce(F.sum(x), F.lit(0))).first()[0]
+        count, own = trees.count(), packs.join(balls, "bin")
+        counts |= {"blocks": count, "possible": total(packs, "n") * (count - 1), "reached": total(near, "pairs") + total(own, F.col("n") * (F.col("blocks") - 1)), "kept": sum(total(x, "tried") for x in tried)}
+    return _ranked(packs.select("ids", "who", "vec_id", "score").mapInArrow(_rows, "query_id long, vec_id long, score long"), k)
 
 
-def _dealt(trees: DataFrame, near: DataFrame, query_rows: int, k: int) -> DataFrame:
-    """The results of pairs of a query and a block (id, v, floor, block): a block is copied once for each ``query_rows`` of its queries."""
-    parts = stage(near.groupBy("block").agg(F.ceil(F.count("*") / query_rows).cast("int").alias("parts")), "parts")
-    asked = near.join(parts, "block").select("id", "v", "floor", "block", F.pmod(F.xxhash64("id", "v"), F.col("parts")).cast("int").alias("part"))
-    dealt = trees.join(parts, "block").select("block", "tree", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    return _search(dealt, asked, k)
+def _bins(placed: DataFrame, block_rows: int) -> DataFrame:
+    """block, bin and at (the block's place in its bin): neighbouring blocks of a home share a bin, up to about BIN * block_rows rows."""
+    sizes = placed.groupBy("home", "block").agg(F.greatest(F.count("*"), F.lit(BIN * block_rows // MANY)).alias("rows"))  # a row for each block
+    by_home = Window.partitionBy("home").orderBy("block")
+    before = F.sum("rows").over(by_home.rowsBetween(Window.unboundedPreceding, 0)) - F.col("rows")
+    numbered = sizes.withColumn("bin", F.concat("home", F.lit("b"), F.floor(before / (BIN * block_rows)).cast("string")))
+    return numbered.select("block", "bin", F.row_number().over(Window.partitionBy("bin").orderBy("block")).alias("at"))
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -311,7 +329,14 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
 
 
 #: A written block: its tree, and a ball (mean and radius, as bytes of doubles) that covers it.
-TREES = "block string, page string, home string, center binary, radius double, tree binary"
+TREES = "block string, home string, bin string, at int, rows int, center binary, radius double, tree binary"
+#: Queries of a bin, packed: ids, vectors (narrow integers of type ``kind``), places of their blocks in the bin, floors, and the best
+#: rows so far (the query's place in the pack, the row's id, the score), as bytes of numbers.
+PACKS = "pack string, bin string, home string, n int, kind string, ids binary, v binary, own binary, floors binary, who binary, vec_id binary, score binary"
+#: What a pack found in a bin, and how many pairs of a query and a block that isn't its own were searched.
+FOUND = "pack string, who binary, vec_id binary, score binary, tried long"
+#: A ball that covers a bin of so many blocks.
+BALLS = "home string, bin string, blocks int, center binary, radius double"
 
 
 def _plant(key: tuple, vectors: pa.Table) -> pa.Table:
@@ -325,11 +350,31 @@ def _plant(key: tuple, vectors: pa.Table) -> pa.Table:
     floats = ints.astype(float)
     center = floats.mean(axis=0)
     radius = float(np.linalg.norm(floats - center, axis=1).max()) * (1 + SLACK)
-    return pa.table({"block": pa.array([key[0].as_py()], pa.string()), "page": vectors["page"].slice(0, 1), "home": vectors["home"].slice(0, 1), "center": pa.array([center.tobytes()], pa.binary()), "radius": [radius], "tree": pa.array([pickle.dumps((tree, ids, ints, length2))], pa.binary())})
+    one = vectors.slice(0, 1)
+    return pa.table({"block": pa.array([key[0].as_py()], pa.string()), "home": one["home"], "bin": one["bin"], "at": one["at"], "rows": pa.array([len(ids)], pa.int32()), "center": pa.array([center.tobytes()], pa.binary()), "radius": [radius], "tree": pa.array([pickle.dumps((tree, ids, _narrow(ints), length2))], pa.binary())})
+
+
+def _pack(key: tuple, rows: pa.Table) -> pa.Table:
+    name, part, n = key[0].as_py(), key[1].as_py(), rows.num_rows
+    v, nothing = _narrow(_array(rows["v"].combine_chunks())), np.empty(0, np.int64)
+    arrays = {"ids": rows["id"].to_numpy(), "v": v, "own": rows["at"].to_numpy(), "floors": np.full(n, -np.inf), "who": nothing, "vec_id": nothing, "score": nothing}
+    return pa.table({"pack": [f"{name}p{part}"], "bin": [name], "home": [name.rpartition("b")[0]], "n": pa.array([n], pa.int32()), "kind": [v.dtype.str]} | {x: pa.array([y.tobytes()], pa.binary()) for x, y in arrays.items()})
+
+
+def _vectors(pack: dict) -> np.ndarray:
+    return np.frombuffer(pack["v"], pack["kind"]).reshape(pack["n"], -1)
+
 
+def _cover(key: tuple, trees: pa.Table) -> pa.Table:
+    """The ball of a bin: around the mean of its blocks' centres (MANY at most, or a few more)."""
+    centers = np.array([np.frombuffer(x) for x in trees["center"].to_pylist()])
+    center = centers.mean(axis=0)
+    radius = float((np.linalg.norm(centers - center, axis=1) + trees["radius"].to_numpy()).max()) * (1 + SLACK)
+    return pa.table({"home": trees["home"].slice(0, 1), "bin": pa.array([key[0].as_py()], pa.string()), "blocks": pa.array([len(centers)], pa.int32()), "center": pa.array([center.tobytes()], pa.binary()), "radius": [radius]})
 
-def _balls(trees: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Names, centres and radii of balls that cover all blocks of each ``home`` (FANOUT + 1 at most)."""
+
+def _homes(balls: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Names, centres and radii of balls that cover all bins of each home (FANOUT + 1 at most)."""
 
     def widest(key: tuple, table: pa.Table) -> pa.Table:
         center = np.frombuffer(table["middle"][0].as_py())
@@ -337,9 +382,9 @@ def _balls(trees: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
         radius = float((np.linalg.norm(centers - center, axis=1) + table["radius"].to_numpy()).max()) * (1 + SLACK)
         return pa.table({"home": table["home"].slice(0, 1), "radius": [radius]})
 
-    # Any centre will do: the first block's, so that radii are maxima over parts of a home.
-    middle = trees.groupBy("home").agg(F.min_by("center", "block").alias("middle"))
-    split = trees.select("home", "center", "radius", F.pmod(F.xxhash64("block"), F.lit(64)).alias("part")).join(middle, "home")
+    # Any centre will do: the first bin's, so that radii are maxima over parts of a home.
+    middle = balls.groupBy("home").agg(F.min_by("center", "bin").alias("middle"))
+    split = balls.select("home", "center", "radius", F.pmod(F.xxhash64("bin"), F.lit(64)).alias("part")).join(middle, "home")
     radii = split.groupBy("home", "part").applyInArrow(widest, "home string, radius double").groupBy("home").agg(F.max("radius").alias("radius"))
     rows = middle.join(radii, "home").toArrow()
     return rows["home"].to_pylist(), np.array([np.frombuffer(x) for x in rows["middle"].to_pylist()]), rows["radius"].to_numpy()
@@ -352,58 +397,133 @@ def _offers(v: np.ndarray, centers: np.ndarray, radii: np.ndarray) -> np.ndarray
     return inner + length * radii[None] + SLACK * size + SLACK
 
 
-def _may_reach(ready: DataFrame, balls: tuple[list[str], np.ndarray, np.ndarray], name: str) -> DataFrame:
-    """ready, once for each ball (column ``name``) that may offer a score of the query's floor or more."""
-    names, centers, radii = balls
+def _may_reach(packs: DataFrame, homes: tuple[list[str], np.ndarray, np.ndarray]) -> DataFrame:
+    """pack, own_bin and home, for each home that may offer some query of the pack its floor or more."""
+    names, centers, radii = homes
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                offers = _offers(_array(batch.column(1)).astype(float), centers, radii)
-                floor = batch.column(3).fill_null(-np.inf).to_numpy()
-                query, ball = np.nonzero(offers >= floor[:, None])
-                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(query)).columns, pa.array([names[b] for b in ball.tolist()], pa.string())], ["id", "v", "own", "floor", name])
+            for row in range(batch.num_rows):
+                pack = batch.slice(row, 1).to_pylist()[0]
+                some = np.flatnonzero((_offers(_vectors(pack).astype(float), centers, radii) >= np.frombuffer(pack["floors"])[:, None]).any(axis=0)).tolist()
+                yield pa.RecordBatch.from_pydict({"pack": pa.array([pack["pack"]] * len(some), pa.string()), "own_bin": pa.array([pack["bin"]] * len(some), pa.string()), "home": pa.array([names[b] for b in some], pa.string())})
+
+    return packs.select("pack", "bin", "n", "kind", "v", "floors").mapInArrow(prune, "pack string, own_bin string, home string")
+
+
+def _still_reached(packs: DataFrame, near: DataFrame) -> DataFrame:
+    """pack, bin, n, offer and pairs of ``near`` (pack and a bin's ball), where the bin may offer some query of the pack its floor or more.
+
+    n: queries of the pack; offer: the most that the bin may hold beyond a floor of these, or at all while one has none; pairs: of
+    these queries that the bin may offer something, and its blocks.
+    """
+
+    def test(key: tuple, packed: pa.Table, balls: pa.Table) -> pa.Table:
+        kept, most, pairs, n = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64), 0
+        if packed.num_rows and balls.num_rows:
+            pack = packed.to_pylist()[0]
+            n, floors = pack["n"], np.frombuffer(pack["floors"])[:, None]
+            offers = _offers(_vectors(pack).astype(float), np.array([np.frombuffer(x) for x in balls["center"].to_pylist()]), balls["radius"].to_numpy())
+            passing = (offers >= floors).sum(axis=0)
+            kept = np.flatnonzero(passing)
+            most, pairs = (offers - np.where(np.isfinite(floors), floors, 0.0)).max(axis=0)[kept], (passing * balls["blocks"].to_numpy())[kept]
+        return pa.table({"pack": pa.array([key[0].as_py()] * len(kept), pa.string()), "bin": balls["bin"].take(pa.array(kept, pa.int64())), "n": pa.array([n] * len(kept), pa.int32()), "offer": pa.array(most, pa.float64()), "pairs": pa.array(pairs, pa.int64())})
+
+    vectors = packs.select("pack", "n", "kind", "v", "floors")
+    balls = near.select("pack", "bin", "blocks", "center", "radius")
+    return vectors.groupBy("pack").cogroup(balls.groupBy("pack")).applyInArrow(test, "pack string, bin string, n int, offer double, pairs long")
 
-    return ready.mapInArrow(prune, f"id long, v array<long>, own string, floor double, {name} string")
 
+def _dealt(trees: DataFrame, packs: DataFrame, near: DataFrame, block_rows: int, query_rows: int, k: int, own: bool = False) -> DataFrame:
+    """What packs find in bins (FOUND), for pairs of these (pack, bin, n): a full bin is copied once for each ``query_rows`` of its queries.
 
-def _still_reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For rows of a query and a page of blocks: the query, once for each block but its own that may offer its floor or more."""
+    Smaller bins meet up to BIN times as many in a task. ``own``: the bins are those of the packs' own queries.
+    """
+    full = F.greatest(F.least(F.sum("rows") / (BIN * block_rows), F.lit(1.0)), F.lit(1 / BIN))
+    parts = near.groupBy("bin").agg(F.sum("n").alias("n")).join(trees.groupBy("bin").agg(full.alias("full")), "bin")  # a row for each bin
+    parts = F.broadcast(stage(parts.select("bin", F.ceil(F.col("n") * F.col("full") / query_rows).cast("int").alias("parts")), "parts"))
+    asked = near.select("pack", "bin").join(parts, "bin").hint("merge").join(packs.drop("bin"), "pack")
+    asked = asked.select("pack", "bin", "n", "kind", "ids", "v", "own", "floors", F.pmod(F.xxhash64("pack"), F.col("parts")).cast("int").alias("part"))
+    dealt = trees.join(parts, "bin").select("bin", "at", "center", "radius", "tree", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+
+    def search(key: tuple, planted: pa.Table, packed: pa.Table) -> pa.Table:
+        asked = packed.to_pylist() if planted.num_rows else []
+        names, whos, ids, scores, tried = [], [], [], [], []
+        if asked:
+            for pack, *found in _search(planted, asked, k, own):
+                for to, x in zip((names, whos, ids, scores, tried), (pack, *found), strict=True):
+                    to.append(x if isinstance(x, str | int) else x.tobytes())
+        return pa.table({"pack": pa.array(names, pa.string()), "who": pa.array(whos, pa.binary()), "vec_id": pa.array(ids, pa.binary()), "score": pa.array(scores, pa.binary()), "tried": pa.array(tried, pa.int64())})
+
+    return dealt.groupBy("bin", "part").cogroup(asked.groupBy("bin", "part")).applyInArrow(search, FOUND)
+
+
+def _search(planted: pa.Table, packs: list[dict], k: int, own: bool) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray, int]]:
+    """For each pack its name, and of the bin's rows the k best of each query among scores of its floor or more: the query's place, ids, scores; and the pairs searched."""
+    at = planted["at"].to_numpy()
+    blocks = [pickle.loads(x) for x in planted["tree"].to_pylist()]  # written by this operator
+    ids, v = (np.concatenate(x) for x in zip(*((np.frombuffer(p["ids"], np.int64), _vectors(p).astype(np.int64)) for p in packs), strict=True))
+    home, need = np.concatenate([np.frombuffer(p["own"], np.int32) for p in packs]), np.concatenate([np.frombuffer(p["floors"]) for p in packs])
+    home = home if own else np.full(len(home), -1)
+    best, tried = (np.empty(0, np.int64),) * 3, np.zeros(len(ids), np.int64)
+
+    def look(block: int, which: np.ndarray) -> None:
+        nonlocal best
+        if not len(which):
+            return
+        tree, row_ids, ints, length2 = blocks[block]
+        rows, scores = search_tree(tree, ints, row_ids, length2, v[which], ids[which], need[which], k)
+        real = rows >= 0
+        more = np.repeat(which, real.sum(axis=1)), row_ids[rows[real]], scores[real].astype(np.int64)
+        *best, rank = _best_of(*(np.concatenate(x) for x in zip(best, more, strict=True)), k)
+        last = rank == k - 1
+        need[best[0][last]] = np.maximum(need[best[0][last]], best[2][last])
+
+    for block in range(len(at)) if own else ():
+        look(block, np.flatnonzero(home == at[block]))
+    offers = _offers(v.astype(float), np.array([np.frombuffer(x) for x in planted["center"].to_pylist()]), planted["radius"].to_numpy())
+    for block in np.argsort(-offers.max(axis=0), kind="stable").tolist():
+        which = np.flatnonzero((home != at[block]) & (offers[:, block] >= need))
+        tried[which] += 1
+        look(block, which)
+    start = 0
+    for pack in packs:
+        a, b = np.searchsorted(best[0], (start, start + pack["n"]))
+        yield pack["pack"], best[0][a:b] - start, best[1][a:b], best[2][a:b], int(tried[start : start + pack["n"]].sum())
+        start += pack["n"]
+
+
+def _best_of(who: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query, by score, then by the smaller id, in the order of the queries; and their ranks from 0."""
+    order = np.lexsort((ids, ~scores, who))
+    who = who[order]
+    rank = np.arange(len(who)) - np.searchsorted(who, who)
+    kept = rank < k
+    return who[kept], ids[order][kept], scores[order][kept], rank[kept]
+
+
+def _merged(packs: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """``packs`` with what they found (FOUND) among their best rows, and with their floors raised."""
+
+    def merge(key: tuple, packed: pa.Table, found: pa.Table) -> pa.Table:
+        if not packed.num_rows:
+            return packed
+        columns = [np.concatenate([np.frombuffer(x, np.int64) for x in [packed[name][0].as_py(), *found[name].to_pylist()]]) for name in ("who", "vec_id", "score")]
+        *best, rank = _best_of(*columns, k)
+        floors, last = np.frombuffer(packed["floors"][0].as_py()).copy(), rank == k - 1
+        floors[best[0][last]] = best[2][last]
+        changed = dict(zip(("floors", "who", "vec_id", "score"), (floors, *best), strict=True))
+        return pa.table({x: pa.array([changed[x].tobytes()], pa.binary()) if x in changed else packed[x] for x in packed.schema.names})
+
+    return packs.groupBy("pack").cogroup(found.groupBy("pack")).applyInArrow(merge, PACKS)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The best rows of packs (ids, who, vec_id, score)."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        column = dict(zip(batch.schema.names, batch.columns, strict=True))
-        v, floor = _array(column["v"]).astype(float), column["floor"].fill_null(-np.inf).to_numpy()
-        who, which, offered = [], [], []
-        for row, own in enumerate(column["own"].to_pylist()):
-            names = column["blocks"][row].as_py()
-            offers = _offers(v[row : row + 1], np.frombuffer(b"".join(column["centers"][row].as_py())).reshape(len(names), -1), np.array(column["radii"][row].as_py()))[0]
-            found = [b for b in np.flatnonzero(offers >= floor[row]).tolist() if names[b] != own]
-            who += [row] * len(found)
-            which += [names[b] for b in found]
-            offered += offers[found].tolist()
-        taken = pa.array(who, pa.int64())
-        yield pa.RecordBatch.from_arrays([*[column[x].take(taken) for x in ("id", "v", "floor")], pa.array(which, pa.string()), pa.array(offered, pa.float64())], ["id", "v", "floor", "block", "offer"])
-
-
-def _search(trees: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, vec_id, score: the k best of each query's block. ``trees``: block, part, tree; ``queries``: id, v, floor, block, part."""
-
-    def search(key: tuple, planted: pa.Table, asked: pa.Table) -> pa.Table:
-        ids = query_ids = rows = scores = np.empty(0, np.int64)
-        if planted.num_rows and asked.num_rows:
-            tree, ids, ints, length2 = pickle.loads(planted["tree"][0].as_py())  # written by this operator
-            query_ids, wanted = asked["id"].to_numpy(), _array(asked["v"].combine_chunks()).astype(np.int64)
-            floors = asked["floor"].fill_null(-np.inf).to_numpy()
-            rows, scores = search_tree(tree, ints, ids, length2, wanted, query_ids, floors, k)
-            query_ids, rows, scores = np.repeat(query_ids, k), rows.ravel(), scores.ravel()
-            # Only what the query's own block doesn't already surpass k times goes on (floors are doubles, hence the slack).
-            least = np.repeat(floors - CANCEL * np.abs(np.where(np.isfinite(floors), floors, 0.0)), k)
-            kept = (rows >= 0) & (scores.astype(float) >= least)
-            query_ids, scores, rows = query_ids[kept], scores[kept], rows[kept]
-        return pa.table({"query_id": pa.array(query_ids if len(rows) else rows, pa.int64()), "vec_id": pa.array(ids[rows] if len(rows) else rows, pa.int64()), "score": pa.array(scores, pa.int64())})
-
-    return trees.groupBy("block", "part").cogroup(queries.groupBy("block", "part")).applyInArrow(search, "query_id long, vec_id long, score long")
+        for row in range(batch.num_rows):
+            ids, who, found, scores = (np.frombuffer(column[row].as_py(), np.int64) for column in batch.columns)
+            yield pa.RecordBatch.from_pydict({"query_id": ids[who], "vec_id": found, "score": scores})
 
 
 SQL = """
